@@ -137,7 +137,7 @@ def pack(df: DataFrame, path: str, keys: Sequence[str] = ("doc_id",), text: str
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(which) for k in keys), pa.array(start), pa.array(length), tokens, pa.array(total[row])], names=names)
 
     pieces = df.select(*keys, text).mapInArrow(run, schema)
-    return pieces.withColumns({"bucket": F.log2("length").cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return pieces.withColumns({"bucket": F.round(F.log2("length")).cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
