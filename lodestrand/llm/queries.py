@@ -7,15 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gam, packing, quality_rules
+from . import bpe, chat, gam, packing, quality_rules, warc
 from .common import table
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, then read back."""
+    return chat.digests(chat.with_injection(table(spark, sf_dir, "conversations")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into pieces of power-of-two lengths."""
     return packing.described(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, then read back."""
+    return warc.described(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document counted and judged by how a public vocabulary knows it."""
     return quality_rules.rate(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -31,9 +41,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+OPERATORS = (op2_chat_formatting, op4_packing, op5_warc, op7_quality_rules, op9_bpe, op10_quality_classifier)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_packing": op4_packing, "op7_quality_rules": op7_quality_rules, "op9_bpe": op9_bpe, "op10_quality_classifier": op10_quality_classifier}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_formatting": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL}
