@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, gam, packing, quality_rules, warc
+from . import bpe, chat, gam, lang_crf, packing, quality_rules, warc
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from documents.lang."""
+    return lang_crf.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -41,7 +46,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-OPERATORS = (op2_chat_formatting, op4_packing, op5_warc, op7_quality_rules, op9_bpe, op10_quality_classifier)
+OPERATORS = (op2_chat_formatting, op4_packing, op5_warc, op7_quality_rules, op8_language_id, op9_bpe, op10_quality_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
