@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 #: Characters that are worked on at once inside a Python worker.
 CHUNK_CHARS = 6_000_000
+#: Texts that are worked on at once; their places fit 16 bits.
+CHUNK_TEXTS = 50_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -66,6 +68,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes that df reads, as Spark's planner estimates them from file sizes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key's text modulo parts; a null key counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(parts)).cast("int")
@@ -93,7 +100,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         got = [t if t is not None else "" for t in batch.column(text).to_pylist()]
         first = 0
         for i, t in enumerate(got):
-            if size and size + len(t) > limit:
+            if size + len(t) > limit and size or len(texts) + i - first >= CHUNK_TEXTS:
                 if i > first:
                     held.append(batch.slice(first, i - first))
                     texts += got[first:i]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, gam, lang_crf, packing, quality_rules, warc
+from . import bpe, chat, gam, lang_crf, ngram_join, packing, quality_rules, warc
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.described(table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near copies."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document counted and judged by how a public vocabulary knows it."""
     return quality_rules.rate(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -46,7 +51,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-OPERATORS = (op2_chat_formatting, op4_packing, op5_warc, op7_quality_rules, op8_language_id, op9_bpe, op10_quality_classifier)
+OPERATORS = (op2_chat_formatting, op4_packing, op5_warc, op6_ngram_join, op7_quality_rules, op8_language_id, op9_bpe, op10_quality_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
