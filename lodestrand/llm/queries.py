@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, gam, lang_crf, ngram_join, packing, quality_rules, warc
+from . import bpe, chat, gam, lang_crf, lm, ngram_join, packing, quality_rules, warc
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_injection(table(spark, sf_dir, "conversations")))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of the training documents."""
+    return lm.score_all(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into pieces of power-of-two lengths."""
     return packing.described(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
@@ -51,7 +56,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-OPERATORS = (op2_chat_formatting, op4_packing, op5_warc, op6_ngram_join, op7_quality_rules, op8_language_id, op9_bpe, op10_quality_classifier)
+OPERATORS = (op2_chat_formatting, op3_lm_scoring, op4_packing, op5_warc, op6_ngram_join, op7_quality_rules, op8_language_id, op9_bpe, op10_quality_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
