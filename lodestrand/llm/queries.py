@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, gam, lang_crf, lm, ngram_join, packing, quality_rules, warc
+from . import ann, bpe, chat, gam, lang_crf, lm, ngram_join, packing, quality_rules, warc
 from .common import table
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, then read back."""
     return chat.digests(chat.with_injection(table(spark, sf_dir, "conversations")))
@@ -56,7 +61,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-OPERATORS = (op2_chat_formatting, op3_lm_scoring, op4_packing, op5_warc, op6_ngram_join, op7_quality_rules, op8_language_id, op9_bpe, op10_quality_classifier)
+OPERATORS = (op1_nearest, op2_chat_formatting, op3_lm_scoring, op4_packing, op5_warc, op6_ngram_join, op7_quality_rules, op8_language_id, op9_bpe, op10_quality_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
