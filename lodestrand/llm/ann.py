@@ -35,15 +35,17 @@ from .common import configure, written
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE = 20_000
 #: Centroids at most (what is sent to every task is bounded by it), and vectors a list at least aimed at.
-MOST_LISTS, LIST_SIZE = 4_096, 96
+MOST_LISTS, LIST_SIZE = 4_096, 256
 #: Neighbours of a centroid in the graph, entries, and centroids that a search keeps.
 DEGREE, ENTRIES, BEAM = 16, 8, 64
 #: Lists that a vector may lie in, and how much farther than the nearest centroid (distance ratio).
-REPLICAS, BOUNDARY = 6, 1.12
-#: How much farther than the nearest centroid a query's lists may be, and how many it reads at most.
-PRUNE, PROBES = 1.25, 48
-#: Rows of a list, or queries of a list, that one task works on.
-BLOCK = 2_048
+REPLICAS, BOUNDARY = 6, 1.03
+#: A further list needs a centroid at least so much (of its own distance) away from those chosen.
+APART = 0.4
+#: Queries of the sample by which the ratio for a query's lists is set, and the share of their neighbours that it must reach.
+TRIALS, REACH = 300, 0.97
+#: Lists that are searched together, and the rows or queries of such a group that one task works on.
+GROUP, BLOCK = 8, 4_096
 
 
 @dataclass
@@ -54,6 +56,7 @@ class Index:
     graph: np.ndarray
     entries: np.ndarray
     radius: float
+    ratio: float = 1.0
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         """Vectors on the sphere."""
@@ -150,7 +153,7 @@ def centroid_graph(c: np.ndarray, degree: int) -> np.ndarray:
     return out
 
 
-def build(sample: np.ndarray, radius: float, lists: int, seed: int = 11) -> Index:
+def build(sample: np.ndarray, radius: float, lists: int, k: int = 20, seed: int = 11) -> Index:
     """An index fitted on a sample of vectors."""
     index = Index(np.zeros((1, sample.shape[1] + 1)), np.full((1, 1), -1), np.zeros(1, dtype=np.int64), radius)
     rng = np.random.default_rng(seed)
@@ -164,6 +167,7 @@ def build(sample: np.ndarray, radius: float, lists: int, seed: int = 11) -> Inde
         chosen.append(int(far.argmax()))
         far = np.minimum(far, ((c - c[chosen[-1]]) ** 2).sum(axis=1))
     index.entries = np.unique(chosen)
+    index.ratio = calibrate(index, sample, k, rng)
     return index
 
 
@@ -180,20 +184,42 @@ def vector_lists(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(rows):
             break
         gap = np.sqrt(((c[ids[rows, :k]] - c[ids[rows, k]][:, None, :]) ** 2).sum(axis=2))
-        took[rows[~((gap < 0.7 * dist[rows, k][:, None]) & took[rows, :k]).any(axis=1)], k] = True
+        took[rows[~((gap < APART * dist[rows, k][:, None]) & took[rows, :k]).any(axis=1)], k] = True
     row, k = np.nonzero(took)
     return row, ids[row, k]
 
 
 def query_lists(index: Index, q: np.ndarray, sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and list of every list that queries read: those within the ratio, and on to at least rows vectors."""
-    ids, dist = index.search(index.aimed(q))
-    fit = dist <= PRUNE * dist[:, :1] + 1e-9
-    fit[:, PROBES:] = False
-    have = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1)
-    fit |= np.concatenate((np.zeros((len(q), 1)), have[:, :-1]), axis=1) < rows
-    row, k = np.nonzero(fit & (ids >= 0))
-    return row, ids[row, k]
+    """Row and list of every list that queries read: all within the ratio, and on to at least rows vectors.
+
+    A search that ends with its last centroid still within is made again with twice the room.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    left, room = np.arange(len(q)), BEAM
+    while len(left):
+        ids, dist = index.search(index.aimed(q[left]), beam=room)
+        have = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1)
+        fit = (dist <= index.ratio * dist[:, :1] + 1e-9) | (np.concatenate((np.zeros((len(left), 1)), have[:, :-1]), axis=1) < rows)
+        again = fit[:, -1] & (room < len(index.centroids))
+        row, k = np.nonzero(fit & (ids >= 0) & ~again[:, None])
+        found.append((left[row], ids[row, k]))
+        left, room = left[again], 2 * room
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def calibrate(index: Index, sample: np.ndarray, k: int, rng: np.random.Generator) -> float:
+    """The distance ratio within which lists must be read to meet REACH of the true neighbours of queries of the sample."""
+    own = rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)
+    held = np.zeros((len(sample), len(index.centroids)), dtype=bool)
+    held[vector_lists(index, sample)] = True
+    q = index.aimed(sample[own])
+    dist = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (index.centroids**2).sum(axis=1) - 2 * q @ index.centroids.T, 0))
+    dist /= np.maximum(dist.min(axis=1, keepdims=True), 1e-9)
+    scores = sample[own] @ sample.T
+    scores[np.arange(len(own)), own] = -np.inf
+    near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    need = [np.where(held[near[i]], dist[i], np.inf).min(axis=1) for i in range(len(own))]
+    return float(np.quantile(np.concatenate(need), REACH)) if near.size else 1.0
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -221,7 +247,7 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
     n, radius = classes.agg(F.count("*"), F.max(length)).first()
     share = min(1.0, 1.1 * SAMPLE / n + 200 / n)
     got = sorted(classes.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < int(share * (1 << 30))).select("cls", "v").collect())[:SAMPLE]
-    index = build(np.array([r.v for r in got] or [classes.first().v], dtype=np.float64), float(radius), max(1, min(MOST_LISTS, n // LIST_SIZE)))
+    index = build(np.array([r.v for r in got] or [classes.first().v], dtype=np.float64), float(radius), max(1, min(MOST_LISTS, n // LIST_SIZE)), k)
     sent = spark.sparkContext.broadcast(index)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,37 +271,50 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
             yield pa.RecordBatch.from_arrays([pa.array(at), *(b.column(c).take(take) for c in ("cls", "v"))], names=["list", "cls", "v"])
 
     probes = written(own.mapInArrow(probe, "list long, cls long, v array<float>"), "probes")
-    asked = np.zeros(len(sizes), dtype=np.int64)
-    for r in probes.groupBy("list").count().collect():
-        asked[r.list] = r["count"]
-    splits = spark.createDataFrame(list(zip(range(len(sizes)), np.maximum(-(-sizes // BLOCK), 1).tolist(), np.maximum(-(-asked // BLOCK), 1).tolist(), strict=True)), "list long, rows int, asks int")
-    splits = F.broadcast(splits)  # a row per centroid, at most MOST_LISTS
-    blocks = lists.join(splits, "list").withColumns({"row_block": F.pmod(F.xxhash64("cls"), "rows").cast("int"), "ask_block": F.explode(F.sequence(F.lit(0), F.col("asks") - 1))})
-    asks = probes.join(splits, "list").withColumns({"ask_block": F.pmod(F.xxhash64("cls"), "asks").cast("int"), "row_block": F.explode(F.sequence(F.lit(0), F.col("rows") - 1))})
+    lists, probes = (x.withColumn("grp", F.floor(F.col("list") / GROUP)) for x in (lists, probes))
+    groups = -(-len(sizes) // GROUP)
+    splits = np.ones((2, groups), dtype=np.int64)
+    for i, x in enumerate((lists, probes)):
+        for r in x.groupBy("grp").count().collect():
+            splits[i, r.grp] = -(-r["count"] // BLOCK)
+    splits = F.broadcast(spark.createDataFrame(list(zip(range(groups), *splits.tolist(), strict=True)), "grp long, rows int, asks int"))  # a row per GROUP centroids
+    blocks = lists.join(splits, "grp").withColumns({"row_block": F.pmod(F.xxhash64("cls"), "rows").cast("int"), "ask_block": F.explode(F.sequence(F.lit(0), F.col("asks") - 1))})
+    asks = probes.join(splits, "grp").withColumns({"ask_block": F.pmod(F.xxhash64("cls"), "asks").cast("int"), "row_block": F.explode(F.sequence(F.lit(0), F.col("rows") - 1))})
 
     def best(ask: pa.Table, have: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if ask.num_rows and have.num_rows:
+        heads, names = (np.asarray(x.column("cls").combine_chunks() if x.num_rows else [], dtype=np.int64) for x in (have, ask))
+        pairs = [np.zeros((3, 0))]
+        if len(heads) and len(names):
             q, v = _matrix(ask.column("v"), dim), _matrix(have.column("v"), dim)
-            ids, heads, names = have.column("ids").to_pylist(), np.asarray(have.column("cls")), ask.column("cls").to_pylist()
-            rough = q @ v.T
-            slack = 1e-12 * (np.abs(rough).max() + 1)
-            for i, name in enumerate(names):
-                own = np.arange(len(v))
-                if len(v) > k + 1:
-                    own = np.flatnonzero(rough[i] >= np.partition(rough[i], len(v) - k - 1)[len(v) - k - 1] - slack)
-                exact = (v[own] * q[i]).sum(axis=1)
-                found: list[tuple[int, int, float]] = []
-                for j in np.lexsort((heads[own], -exact)):
-                    if len(found) > k and found[-1][2] > exact[j]:
-                        break
-                    found += [(name, x, float(exact[j])) for x in ids[own[j]]]
-                found.sort(key=lambda x: (-x[2], x[1]))
-                out += found[: k + 1]
-        return pa.table({"cls": pa.array([x[0] for x in out], pa.int64()), "id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.float64())})
-
-    by = ("list", "row_block", "ask_block")
-    found = asks.select(*by, "cls", "v").groupBy(*by).cogroup(blocks.select(*by, "cls", "ids", "v").groupBy(*by)).applyInArrow(best, "cls long, id long, score double")
+            of_ask, of_have = (np.asarray(x.column("list").combine_chunks()) for x in (ask, have))
+            for at in np.unique(of_ask):
+                i, j = np.flatnonzero(of_ask == at), np.flatnonzero(of_have == at)
+                if not len(j):
+                    continue
+                rough = q[i] @ v[j].T
+                least = np.full(len(i), -np.inf)
+                if len(j) > k + 1:
+                    least = np.partition(rough, len(j) - k - 1, axis=1)[:, len(j) - k - 1] - 1e-12 * (np.abs(rough).max() + 1)
+                a, b = np.nonzero(rough >= least[:, None])
+                a, b = i[a], j[b]
+                pairs.append(np.stack((a, b, (v[b] * q[a]).sum(axis=1))))
+        a, b, exact = np.concatenate(pairs, axis=1)
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        order = np.lexsort((heads[b], -exact, names[a]))
+        a, b, exact = a[order], b[order], exact[order]
+        fresh = np.ones(len(a), dtype=bool)
+        fresh[1:] = (names[a[1:]] != names[a[:-1]]) | (heads[b[1:]] != heads[b[:-1]])  # a vector of several lists counts once
+        a, b, exact = a[fresh], b[fresh], exact[fresh]
+        first = np.flatnonzero(np.diff(names[a], prepend=names[a[0]] - 1)) if len(a) else np.zeros(0, dtype=np.int64)
+        place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+        keep = place <= k
+        ids = have.column("ids").take(pa.array(b[keep])) if have.num_rows else pa.array([], pa.list_(pa.int64()))
+        return pa.table({"cls": names[a[keep]], "head": heads[b[keep]], "ids": ids, "score": exact[keep]})
+
+    by = ("grp", "row_block", "ask_block")
+    found = asks.select(*by, "list", "cls", "v").groupBy(*by).cogroup(blocks.select(*by, "list", "cls", "ids", "v").groupBy(*by)).applyInArrow(best, "cls long, head long, ids array<long>, score double")
+    places = Window.partitionBy("cls").orderBy(F.desc("score"), "head")
+    found = found.withColumn("r", F.dense_rank().over(places)).where(f"r <= {k + 1}").select("cls", F.explode("ids").alias("id"), "score").distinct()
     order = Window.partitionBy("cls").orderBy(F.desc("score"), "id")
     top = found.withColumn("r", F.dense_rank().over(order)).where(f"r <= {k + 1}").select("cls", "id", "score").distinct()
     each = asking.withColumnRenamed("id", "query_id").join(top, "cls").where("query_id <> id")
