@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, configure, fold, sums, written
+from .common import chunks, configure, fold, sums
 from .textstats import Words, char_lengths, line_counts, repeated_words, symbol_counts
 
 #: Labelled rows that training uses at most, those of least hash.
@@ -217,42 +217,54 @@ def featurize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def train(rated: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", rows: int = TRAINING_ROWS) -> Model:
-    """A model of the labelled rows among rated (key, features), of at most rows of them.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAINING_ROWS) -> Model:
+    """A model of labelled texts, of at most rows of them.
 
-    Rows of a key count once.  Those of least hash are taken: a share of the
-    hash range that holds a few more than rows of them is gathered and cut.
+    A key counts once.  The labels of least hash are taken: a share of the hash
+    range that holds a few more than rows of them, so that what is sent to all
+    tasks to pick the texts, and what comes back, is bounded.
     """
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("_label"))
-    once = rated.join(known, key).groupBy(key).agg(F.min("features").alias("features"), F.max("_label").alias("_label")).withColumn("_hash", F.xxhash64(key))
-    there = once.agg(F.count("*")).first()[0]
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
+    there = known.agg(F.count("*")).first()[0]
     if not there:
         return Model()
-    limit = int(2**63 * min(1.0, 1.2 * rows / there + 100 / there) * 2) - 2**63 - 1
-    got = sorted(once.where(F.col("_hash") <= F.lit(limit)).select("_hash", F.col(key).cast("string").alias("k"), "features", "_label").collect())[:rows]
-    return fit(np.array([r.features for r in got]), np.array([r._label for r in got], dtype=float))
+    share = min(1.0, (1.1 * rows + 300) / there)
+    taken = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+    picked = docs.select(key, text).join(F.broadcast(taken.select(key)), key, "left_semi")
+    once = featurize(picked, key, text).groupBy(key).agg(F.min("features").alias("features"))
+    got = once.join(F.broadcast(taken), key).select(F.xxhash64(key).alias("h"), F.col(key).cast("string").alias("k"), "features", "_label").collect()
+    got = sorted(got)[:rows]
+    return fit(np.array([r.features for r in got]).reshape(-1, len(FEATURES)), np.array([r._label for r in got], dtype=float))
 
 
-def score(rated: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """The key and the score of each rated text."""
-    configure(rated.sparkSession)
-    schema = T.StructType([rated.schema[key], T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The key and the score of each text."""
+    configure(docs.sparkSession)
+    schema = T.StructType([docs.schema[key], T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, text, 4_000_000):
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(model.score(features(texts)))], names=[key, "score"])
+
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, model: Model, accept: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of docs that score accept or more, with all their columns."""
+    configure(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.asarray(batch.column("features").flatten()).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(model.score(x))], names=[key, "score"])
+        for batch, texts in chunks(batches, text, 4_000_000):
+            yield batch.filter(pa.array(model.score(features(texts)) >= accept))
 
-    return rated.select(key, "features").mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, accept: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of each document.
 
     Learns from labelled documents whose crc32(doc_id) modulo parts is not held;
-    their text alone makes features.  Features are written once to the shared
-    folder, so that texts are read once.
+    their text alone makes features.
     """
-    rated = written(featurize(docs), "features")
-    model = train(rated.where(fold("doc_id", parts) != held), labels)
-    return score(rated, model).select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+    model = train(docs.where(fold("doc_id", parts) != held), labels.where(fold("doc_id", parts) != held))
+    return score(docs, model).select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))

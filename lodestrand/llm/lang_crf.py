@@ -271,6 +271,19 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return fit([t for t, _ in taken], [x for _, x in taken]) if taken else None
 
 
+def _labelled(m: Model, texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Words of texts, each word's probabilities, its best language, and each text's language and score."""
+    w = Words([t.lower() for t in texts])
+    spoken = with_letter(w.distinct)[w.numbers] if w.total else np.zeros(0, dtype=bool)
+    p = marginals(m.emissions(w.distinct)[w.numbers], w.counts, m.moves)
+    n = sums(spoken, w.counts)
+    share = np.stack([sums(p[:, j] * spoken, w.counts) for j in range(len(m.languages))], axis=1) / np.maximum(n, 1)[:, None]
+    best = share.argmax(axis=1)
+    lang = [m.languages[b] if x else UNKNOWN for b, x in zip(best.tolist(), n.tolist(), strict=True)]
+    score = np.where(n > 0, np.clip(share[np.arange(len(texts)), best], 0.0, 1.0), 0.0)
+    return w, p, p.argmax(axis=1) if w.total else np.zeros(0, dtype=np.int64), lang, score
+
+
 def label(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key, lang_pred, score, and runs: the languages of the text's words, run by run (lang, words)."""
     spark = configure(docs.sparkSession)
@@ -281,28 +294,34 @@ def label(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        k = len(m.languages)
         names = pa.array(m.languages)
         for batch, texts in chunks(batches, text, 4_000_000):
-            w = Words([t.lower() for t in texts])
-            spoken = with_letter(w.distinct)[w.numbers] if w.total else np.zeros(0, dtype=bool)
-            p = marginals(m.emissions(w.distinct)[w.numbers], w.counts, m.moves)
-            n = sums(spoken, w.counts)
-            share = np.stack([sums(p[:, j] * spoken, w.counts) for j in range(k)], axis=1) / np.maximum(n, 1)[:, None]
-            best = share.argmax(axis=1)
-            pick = p.argmax(axis=1) if w.total else np.zeros(0, dtype=np.int64)
+            w, _, pick, lang, score = _labelled(m, texts)
             new = np.ones(w.total, dtype=bool)
             new[1:] = (pick[1:] != pick[:-1]) | (w.doc[1:] != w.doc[:-1])
             starts = np.flatnonzero(new)
             ends = np.concatenate(([0], np.cumsum(sums(new, w.counts)))).astype(np.int32)
             each = pa.StructArray.from_arrays([names.take(pa.array(pick[starts])), pa.array(np.diff(np.append(starts, w.total)).astype(np.int32))], names=["lang", "words"])
-            lang = [m.languages[b] if x else UNKNOWN for b, x in zip(best.tolist(), n.tolist(), strict=True)]
-            score = np.where(n > 0, np.clip(share[np.arange(len(texts)), best], 0.0, 1.0), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(lang, pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), each)], names=schema.names)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model | None, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs in a learned language with that score at least, with all their columns; all rows if nothing was learned."""
+    spark = configure(docs.sparkSession)
+    if model is None:
+        return docs
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, text, 4_000_000):
+            _, _, _, lang, score = _labelled(sent.value, texts)
+            yield batch.filter(pa.array((score >= least) & np.array([x != UNKNOWN for x in lang])))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score and n_runs; learns from documents whose crc32(doc_id) modulo parts is not held."""
     model = train(docs.where(fold("doc_id", parts) != held))

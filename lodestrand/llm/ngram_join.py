@@ -294,6 +294,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; columns stay."""
-    kept = join(docs, size=size, percent=percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """docs with one document of each component, that of the smallest doc_id; columns stay.
+
+    A row that repeats another's doc_id and text goes; one without a doc_id stays.
+    """
+    kept = join(docs, size=size, percent=percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
