@@ -12,8 +12,10 @@
    estimated cost (postings to scan, and candidates, at most postings / l, to
    verify) is least.
 4. In rounds, the members of each posting list are held against a few pivots of
-   it, with lengths that allow a link; candidates with enough matches are
-   verified on all shingles.  Links join components, and lists whose members
+   it, those with the fewest shingles of their own; what either of a pair shares
+   with anyone, and the bits in which their sketches differ, bound what they can
+   have in common, and with their sizes tell whether they can link.  Candidates with enough matches are verified on all
+   shingles.  Links join components, and lists whose members
    are all in one component need nothing more.  A last round holds what is left
    against each other, but for members of one component.  So a group of copies
    costs in proportion to its size, and no link between components is lost.
@@ -46,6 +48,8 @@ from .textstats import Words
 RANGE_BYTES = 12 << 20
 #: Most matches that a prefix asks for.
 MOST_MATCHES = 8
+#: Bits of a set's sketch, by which pairs that differ in too much are left out.
+BITS = 512
 #: Rows of a list of pivots in each round before the last.
 PIVOTS = (1, 4)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -185,7 +189,13 @@ def matches_asked(often: np.ndarray, n: int, base: int, most: int = MOST_MATCHES
     return int(asked[np.argmin(postings * (1 + 0.05 * n / asked))])
 
 
-CLASSES = "sig long, n long, asked int, prefix array<long>, shingles binary"
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits: for each, whether an odd number of shingles falls to it.  Two sets differ in at least as many members as bits."""
+    odd = np.bincount((_mixed(shingles) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+CLASSES = "sig long, n long, shared long, asked int, prefix array<long>, bits array<long>, shingles binary"
 
 
 def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
@@ -210,9 +220,9 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
             begin += m
             base = m + 1 - -(-percent * n // 100)  # those before it in the prefix are shared with no one
             asked = matches_asked(rare, n, base)
-            rows.append((int(names[i : i + 1].view(np.int64)[0]), n, asked, own[: base + asked - 1].astype(np.int64), own.astype("<u8").tobytes()))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["sig", "n", "asked", "prefix", "shingles"])
+            rows.append((int(names[i : i + 1].view(np.int64)[0]), n, m, asked, own[: base + asked - 1].astype(np.int64), parities(own), own.astype("<u8").tobytes()))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["sig", "n", "shared", "asked", "prefix", "bits", "shingles"])
 
     return shared.groupBy("part").applyInArrow(run, CLASSES)
 
@@ -240,21 +250,25 @@ def _verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _rounds(classes: DataFrame, percent: int) -> DataFrame:
     """sig and component of the classes that have a link; components are named by a signature."""
-    posts = classes.select("sig", "n", F.col("sig").alias("own"), F.explode("prefix").alias("token"))
+    posts = classes.select("sig", "n", "shared", "asked", "prefix", "bits", F.col("sig").alias("own"), F.explode("prefix").alias("token"))
     labels: DataFrame | None = None
     for k in (*PIVOTS, 0):
         mixed = posts.groupBy("token").agg(F.min("own").alias("_low"), F.max("own").alias("_high")).where("_low < _high").select("token")
         posts = written(posts.join(mixed, "token", "left_semi"), "postings")
         if posts.isEmpty():
             break
-        other = posts.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("own").alias("v"))
+        other = posts.select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"), F.col("asked").alias("asked_b"), F.col("prefix").alias("prefix_b"), F.col("bits").alias("bits_b"), F.col("own").alias("v"))
         if k:
             group = F.pmod(F.xxhash64("b", F.lit(k)), F.lit(k))
-            first = other.groupBy("token", group.alias("_g")).agg(F.min(F.struct(F.xxhash64("b"), "b", "m", "v")).alias("_p")).select("token", "_p.b", "_p.m", "_p.v")
+            least = F.min(F.struct(F.col("n_b") - F.col("shared_b"), F.xxhash64("b"), "b", "n_b", "shared_b", "asked_b", "prefix_b", "bits_b", "v"))  # what has least of its own is nearest to the others
+            first = other.groupBy("token", group.alias("_g")).agg(least.alias("_p")).select("token", *(f"_p.{c}" for c in other.columns if c != "token"))
             other = written(first, "pivots")
-        near = (F.col("own") != F.col("v")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        if not k:
-            near &= F.col("sig") < F.col("b")
+        apart = sum((F.bit_count(F.get(F.col("bits"), F.lit(i)).bitwiseXOR(F.get(F.col("bits_b"), F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+        most = F.least("shared", "shared_b", F.floor((F.col("shared") + F.col("shared_b") - apart) / 2))  # what a pair has in common at most
+        near = (F.col("own") != F.col("v")) & (100 * most >= percent * (F.col("n") + F.col("n_b") - most))
+        if not k:  # each pair at the first shingle that both prefixes have
+            common = F.array_intersect("prefix", "prefix_b")
+            near &= (F.col("sig") < F.col("b")) & (F.size(common) >= F.least("asked", "asked_b")) & (F.array_min(common) == F.col("_t"))
         found = posts.withColumnRenamed("token", "_t").join(other, (F.col("_t") == F.col("token")) & near)
         pairs = found.select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b"), F.least("own", "v").alias("u"), F.greatest("own", "v").alias("v")).distinct()
         links = _verify(pairs, classes, percent)
@@ -270,7 +284,7 @@ def _rounds(classes: DataFrame, percent: int) -> DataFrame:
         labels = written(labels, "labels")
         if k:
             left = posts.join(other.select("token", F.col("b").alias("sig")), ["token", "sig"], "left_anti")
-            posts = left.drop("own").join(labels, "sig", "left").select("sig", "n", F.coalesce("component", "sig").alias("own"), "token")
+            posts = left.drop("own").join(labels, "sig", "left").select("sig", "n", "shared", "asked", "prefix", "bits", F.coalesce("component", "sig").alias("own"), "token")
     return labels if labels is not None else classes.select("sig", F.col("sig").alias("component")).limit(0)
 
 
