@@ -250,28 +250,34 @@ def _verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _rounds(classes: DataFrame, percent: int) -> DataFrame:
     """sig and component of the classes that have a link; components are named by a signature."""
-    posts = classes.select("sig", "n", "shared", "asked", "prefix", "bits", F.col("sig").alias("own"), F.explode("prefix").alias("token"))
+    posts = classes.select("sig", "n", "shared", "asked", F.col("sig").alias("own"), F.explode("prefix").alias("token"))
     labels: DataFrame | None = None
     for k in (*PIVOTS, 0):
         mixed = posts.groupBy("token").agg(F.min("own").alias("_low"), F.max("own").alias("_high")).where("_low < _high").select("token")
-        posts = written(posts.join(mixed, "token", "left_semi"), "postings")
+        posts = posts.join(mixed, "token", "left_semi")
+        if not k:  # sketches come along for what is left
+            posts = posts.join(classes.select("sig", "bits"), "sig")
+        posts = written(posts, "postings")
         if posts.isEmpty():
             break
-        other = posts.select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"), F.col("asked").alias("asked_b"), F.col("prefix").alias("prefix_b"), F.col("bits").alias("bits_b"), F.col("own").alias("v"))
+        other = posts.select("token", F.col("sig").alias("b"), *(F.col(c).alias(f"{c}_b") for c in posts.columns if c not in ("token", "sig", "own")), F.col("own").alias("v"))
+        most = F.least("shared", "shared_b")  # what a pair has in common at most
         if k:
             group = F.pmod(F.xxhash64("b", F.lit(k)), F.lit(k))
-            least = F.min(F.struct(F.col("n_b") - F.col("shared_b"), F.xxhash64("b"), "b", "n_b", "shared_b", "asked_b", "prefix_b", "bits_b", "v"))  # what has least of its own is nearest to the others
-            first = other.groupBy("token", group.alias("_g")).agg(least.alias("_p")).select("token", *(f"_p.{c}" for c in other.columns if c != "token"))
-            other = written(first, "pivots")
-        apart = sum((F.bit_count(F.get(F.col("bits"), F.lit(i)).bitwiseXOR(F.get(F.col("bits_b"), F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-        most = F.least("shared", "shared_b", F.floor((F.col("shared") + F.col("shared_b") - apart) / 2))  # what a pair has in common at most
+            least = F.min(F.struct(F.col("n_b") - F.col("shared_b"), F.xxhash64("b"), *(c for c in other.columns if c != "token")))  # what has least of its own is nearest to the others
+            other = written(other.groupBy("token", group.alias("_g")).agg(least.alias("_p")).select("token", *(f"_p.{c}" for c in other.columns if c != "token")), "pivots")
+        else:
+            apart = sum((F.bit_count(F.get(F.col("bits"), F.lit(i)).bitwiseXOR(F.get(F.col("bits_b"), F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+            most = F.least(most, F.floor((F.col("shared") + F.col("shared_b") - apart) / 2))
         near = (F.col("own") != F.col("v")) & (100 * most >= percent * (F.col("n") + F.col("n_b") - most))
-        if not k:  # each pair at the first shingle that both prefixes have
-            common = F.array_intersect("prefix", "prefix_b")
-            near &= (F.col("sig") < F.col("b")) & (F.size(common) >= F.least("asked", "asked_b")) & (F.array_min(common) == F.col("_t"))
+        if not k:
+            near &= F.col("sig") < F.col("b")
         found = posts.withColumnRenamed("token", "_t").join(other, (F.col("_t") == F.col("token")) & near)
-        pairs = found.select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b"), F.least("own", "v").alias("u"), F.greatest("own", "v").alias("v")).distinct()
-        links = _verify(pairs, classes, percent)
+        pairs = found.select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b"), F.least("own", "v").alias("u"), F.greatest("own", "v").alias("v"), F.least("asked", "asked_b").alias("asked"))
+        pairs = pairs.groupBy("a", "b", "u", "v").agg(F.count("*").alias("_n"), F.min("asked").alias("asked"))
+        if not k:  # all shingles that two prefixes share are here, unless the pair was verified before
+            pairs = pairs.where("_n >= asked")
+        links = _verify(pairs.select("a", "b", "u", "v"), classes, percent)
         moved = written(components(links), "components")
         if labels is None:
             labels = moved.select(F.col("node").alias("sig"), "component")
@@ -284,7 +290,7 @@ def _rounds(classes: DataFrame, percent: int) -> DataFrame:
         labels = written(labels, "labels")
         if k:
             left = posts.join(other.select("token", F.col("b").alias("sig")), ["token", "sig"], "left_anti")
-            posts = left.drop("own").join(labels, "sig", "left").select("sig", "n", "shared", "asked", "prefix", "bits", F.coalesce("component", "sig").alias("own"), "token")
+            posts = left.drop("own").join(labels, "sig", "left").select("sig", "n", "shared", "asked", F.coalesce("component", "sig").alias("own"), "token")
     return labels if labels is not None else classes.select("sig", F.col("sig").alias("component")).limit(0)
 
 
