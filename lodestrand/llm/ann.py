@@ -38,6 +38,8 @@ SAMPLE = 20_000
 MOST_LISTS, LIST_SIZE = 4_096, 256
 #: Neighbours of a centroid in the graph, entries, and centroids that a search keeps.
 DEGREE, ENTRIES, BEAM = 16, 8, 64
+#: Vectors that are searched for at once.
+SEARCHED = 256
 #: Lists that a vector may lie in, and how much farther than the nearest centroid (distance ratio).
 REPLICAS, BOUNDARY = 6, 1.03
 #: A further list needs a centroid at least so much (of its own distance) away from those chosen.
@@ -68,8 +70,14 @@ class Index:
         q = q * (self.radius / np.sqrt((q * q).sum(axis=1)))[:, None]
         return np.concatenate((q, np.zeros((len(q), 1))), axis=1)
 
-    def search(self, x: np.ndarray, beam: int = BEAM, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids of each row, nearest first, and their distances, by best-first steps through the graph."""
+        parts = [self._search(x[a : a + SEARCHED], beam) for a in range(0, len(x), SEARCHED)] or [self._search(x, beam)]
+        wide = max(p[0].shape[1] for p in parts)
+        fill = lambda a, v: np.pad(a, ((0, 0), (0, wide - a.shape[1])), constant_values=v)
+        return np.concatenate([fill(i, -1) for i, _ in parts]), np.concatenate([fill(d, np.inf) for _, d in parts])
+
+    def _search(self, x: np.ndarray, beam: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
         n, count = len(x), len(self.centroids)
         beam = min(beam, count)
         x, c = x.astype(np.float32), self.centroids.astype(np.float32)
