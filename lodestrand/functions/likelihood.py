@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,30 +17,39 @@ def _col(x: Column | float) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
-def lgamma(x: Column) -> Column:
-    """ln Gamma(x) for x > 0: Stirling's series at x + 8, brought back by a product."""
+def let(values: Column, f: Callable[[Column], Column]) -> Column:
+    """f of values, which are worked out once however often f uses them."""
+    return F.get(F.transform(F.array(values), f), F.lit(0))
+
+
+def _series(x: Column) -> Column:
     y = x + 8
     product = x
     for k in range(1, 8):
         product = product * (x + k)
-    inverse = 1 / y
-    square = inverse * inverse
-    series = inverse * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square / 1680)))
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+    return let(1 / y, lambda v: (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + v * (1 / 12 - v * v * (1 / 360 - v * v * (1 / 1260 - v * v / 1680)))) - F.log(product)
+
+
+def lgamma(x: Column | float) -> Column:
+    """ln Gamma(x) for x > 0: Stirling's series at x + 8, brought back by a product."""
+    return let(_col(x).cast("double"), _series)
 
 
 def lbeta(a: Column | float, b: Column | float) -> Column:
     """ln Beta(a, b); where one argument is very large, by the series in its inverse, which does not cancel."""
-    a, b = _col(a), _col(b)
-    large, small = F.greatest(a, b), F.least(a, b)
-    q = small * (1 - small)
-    far = lgamma(small) - small * F.log(large) + q / (2 * large) + q * (1 - 2 * small) / (12 * large * large) - q * q / (12 * large * large * large)
-    return F.when(large < ASYMPTOTIC, lgamma(a) + lgamma(b) - lgamma(a + b)).otherwise(far)
+
+    def far(large: Column, small: Column) -> Column:
+        q = small * (1 - small)
+        return lgamma(small) - small * F.log(large) + q / (2 * large) + q * (1 - 2 * small) / (12 * large * large) - q * q / (12 * large * large * large)
+
+    a, b = _col(a).cast("double"), _col(b).cast("double")
+    pair = F.struct(F.greatest(a, b).alias("large"), F.least(a, b).alias("small"))
+    return let(pair, lambda p: F.when(p["large"] < ASYMPTOTIC, lgamma(p["large"]) + lgamma(p["small"]) - lgamma(p["large"] + p["small"])).otherwise(far(p["large"], p["small"])))
 
 
 def add_logs(a: Column, b: Column) -> Column:
     """ln(exp a + exp b)."""
-    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.greatest(p["a"], p["b"]) + F.log1p(F.exp(-F.abs(p["a"] - p["b"]))))
 
 
 def allele_error(ref: Column, alt: Column, error: float = READ_ERROR) -> Column:
@@ -52,21 +62,24 @@ def beta_binomial(p: Column | float, sigma: Column, ref: Column, alt: Column, he
     """Log-likelihood of allele counts, for a site that is heterozygous with probability het_prob."""
     p = _col(p)
     scale = 1 / (sigma * sigma) - 1
-    a, b = p * scale, (1 - p) * scale
-    own = lbeta(ref + a, alt + b) - lbeta(a, b)
-    wrong = allele_error(ref, alt, error)
-    return F.when(het_prob == 1, own).when(het_prob == 0, wrong).otherwise(add_logs(F.log(het_prob) + own, F.log(1 - het_prob) + wrong))
+    shape = F.struct((p * scale).alias("a"), ((1 - p) * scale).alias("b"))
+    own = let(shape, lambda s: lbeta(ref + s["a"], alt + s["b"]) - lbeta(s["a"], s["b"]))
+    both = F.struct(own.alias("own"), allele_error(ref, alt, error).alias("wrong"))
+    return let(both, lambda x: F.when(het_prob == 1, x["own"]).when(het_prob == 0, x["wrong"]).otherwise(add_logs(F.log(het_prob) + x["own"], F.log(1 - het_prob) + x["wrong"])))
 
 
 def beta_negative_binomial(k: Column, mean: Column, sigma: Column, n: Column) -> Column:
     """Log-likelihood of a read count k with a mean, an overdispersion sigma of the region and n of the genome."""
-    mean = F.greatest(mean, F.lit(1e-5))
-    p = n / (n + mean)
-    plain = -lbeta(n, k + 1) - F.log(n + k) + n * F.log(p) + k * F.log1p(-p)
-    scale = 1 / (sigma * sigma)
-    a, b = p * scale + 1, (1 - p) * scale
-    own = F.when(k > 0, -lbeta(n, F.greatest(k, F.lit(1))) - F.log(F.greatest(k, F.lit(1)))).otherwise(0.0) + lbeta(a + n, b + k) - lbeta(a, b)
-    return F.when(sigma < 1e-5, plain).otherwise(own)
+
+    def at(v: Column) -> Column:
+        p, k, n, sigma = v["p"], v["k"], v["n"], v["sigma"]
+        plain = -lbeta(n, k + 1) - F.log(n + k) + n * F.log(p) + k * F.log1p(-p)
+        scale = 1 / (sigma * sigma)
+        a, b = p * scale + 1, (1 - p) * scale
+        own = F.when(k > 0, -lbeta(n, F.greatest(k, F.lit(1.0))) - F.log(F.greatest(k, F.lit(1.0)))).otherwise(0.0) + lbeta(a + n, b + k) - lbeta(a, b)
+        return F.when(sigma < 1e-5, plain).otherwise(own)
+
+    return let(F.struct((n / (n + F.greatest(mean, F.lit(1e-5)))).alias("p"), k.cast("double").alias("k"), n.cast("double").alias("n"), sigma.cast("double").alias("sigma")), at)
 
 
 def het_posterior(prior: Column, ref: Column, alt: Column, error: float = GENOTYPE_ERROR) -> Column:

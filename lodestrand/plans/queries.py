@@ -675,4 +675,4 @@ def cht_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pca_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Principal components of simulated depth."""
-    return association.loadings(_simulated(spark), components=3)
+    return association.loadings(_simulated(spark), "region_reads", 3)
