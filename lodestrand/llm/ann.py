@@ -7,7 +7,9 @@ that links each to its neighbours is sent to every task and searched from a few
 entries for many vectors at once.  A vector lies in the list of its nearest
 centroid and, near a boundary, in those of further centroids too.  A query
 reads the lists whose centroids are at most a ratio farther than its nearest.
-Every vector is indexed, and scores are exact.
+Every vector is indexed, and scores are exact.  What a query finds in its lists
+counts only from the score on that as many vectors of the sample reach as are
+asked for, since the answer cannot lie below; so few rows leave a list.
 
 Equal vectors are one class: it is indexed once, with as many of its smallest
 ids as an answer can show, and equal queries are searched once.  Long lists and
@@ -59,6 +61,7 @@ class Index:
     entries: np.ndarray
     radius: float
     ratio: float = 1.0
+    sample: np.ndarray | None = None
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         """Vectors on the sphere."""
@@ -77,6 +80,13 @@ class Index:
         fill = lambda a, v: np.pad(a, ((0, 0), (0, wide - a.shape[1])), constant_values=v)
         return np.concatenate([fill(i, -1) for i, _ in parts]), np.concatenate([fill(d, np.inf) for _, d in parts])
 
+    def floor(self, q: np.ndarray, k: int) -> np.ndarray:
+        """A score that the k nearest of all reach: the k-th of the sample, or none if it is smaller than that."""
+        if self.sample is None or len(self.sample) <= k:
+            return np.full(len(q), -np.inf)
+        scores = q @ self.sample.astype(np.float64).T
+        return np.partition(scores, len(self.sample) - k, axis=1)[:, len(self.sample) - k] - 1e-9 * (np.abs(scores).max(axis=1) + 1)
+
     def _search(self, x: np.ndarray, beam: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
         n, count = len(x), len(self.centroids)
         beam = min(beam, count)
@@ -176,6 +186,7 @@ def build(sample: np.ndarray, radius: float, lists: int, k: int = 20, seed: int
         far = np.minimum(far, ((c - c[chosen[-1]]) ** 2).sum(axis=1))
     index.entries = np.unique(chosen)
     index.ratio = calibrate(index, sample, k, rng)
+    index.sample = sample.astype(np.float32)
     return index
 
 
@@ -274,11 +285,12 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, at = query_lists(sent.value, _matrix(b.column("v"), dim), sizes, REPLICAS * (k + 1))
+            q = _matrix(b.column("v"), dim)
+            row, at = query_lists(sent.value, q, sizes, REPLICAS * (k + 1))
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(at), *(b.column(c).take(take) for c in ("cls", "v"))], names=["list", "cls", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(b.column(c).take(take) for c in ("cls", "v")), pa.array(sent.value.floor(q, k + 1)[row])], names=["list", "cls", "v", "floor"])
 
-    probes = written(own.mapInArrow(probe, "list long, cls long, v array<float>"), "probes")
+    probes = written(own.mapInArrow(probe, "list long, cls long, v array<float>, floor double"), "probes")
     lists, probes = (x.withColumn("grp", F.floor(F.col("list") / GROUP)) for x in (lists, probes))
     groups = -(-len(sizes) // GROUP)
     splits = np.ones((2, groups), dtype=np.int64)
@@ -294,6 +306,7 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
         pairs = [np.zeros((3, 0))]
         if len(heads) and len(names):
             q, v = _matrix(ask.column("v"), dim), _matrix(have.column("v"), dim)
+            floor = np.asarray(ask.column("floor").combine_chunks())
             of_ask, of_have = (np.asarray(x.column("list").combine_chunks()) for x in (ask, have))
             for at in np.unique(of_ask):
                 i, j = np.flatnonzero(of_ask == at), np.flatnonzero(of_have == at)
@@ -303,7 +316,7 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
                 least = np.full(len(i), -np.inf)
                 if len(j) > k + 1:
                     least = np.partition(rough, len(j) - k - 1, axis=1)[:, len(j) - k - 1] - 1e-12 * (np.abs(rough).max() + 1)
-                a, b = np.nonzero(rough >= least[:, None])
+                a, b = np.nonzero(rough >= np.maximum(least, floor[i])[:, None])
                 a, b = i[a], j[b]
                 pairs.append(np.stack((a, b, (v[b] * q[a]).sum(axis=1))))
         a, b, exact = np.concatenate(pairs, axis=1)
@@ -320,7 +333,7 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
         return pa.table({"cls": names[a[keep]], "head": heads[b[keep]], "ids": ids, "score": exact[keep]})
 
     by = ("grp", "row_block", "ask_block")
-    found = asks.select(*by, "list", "cls", "v").groupBy(*by).cogroup(blocks.select(*by, "list", "cls", "ids", "v").groupBy(*by)).applyInArrow(best, "cls long, head long, ids array<long>, score double")
+    found = asks.select(*by, "list", "cls", "v", "floor").groupBy(*by).cogroup(blocks.select(*by, "list", "cls", "ids", "v").groupBy(*by)).applyInArrow(best, "cls long, head long, ids array<long>, score double")
     places = Window.partitionBy("cls").orderBy(F.desc("score"), "head")
     found = found.withColumn("r", F.dense_rank().over(places)).where(f"r <= {k + 1}").select("cls", F.explode("ids").alias("id"), "score").distinct()
     order = Window.partitionBy("cls").orderBy(F.desc("score"), "id")
