@@ -8,8 +8,9 @@ entries for many vectors at once.  A vector lies in the list of its nearest
 centroid and, near a boundary, in those of further centroids too.  A query
 reads the lists whose centroids are at most a ratio farther than its nearest.
 Every vector is indexed, and scores are exact.  What a query finds in its lists
-counts only from the score on that as many vectors of the sample reach as are
-asked for, since the answer cannot lie below; so few rows leave a list.
+counts only from a score on that some times as many vectors of the sample reach
+as are asked for, so that few rows leave a list; a query that finds too little
+above that floor reads its lists again without one.
 
 Equal vectors are one class: it is indexed once, with as many of its smallest
 ids as an answer can show, and equal queries are searched once.  Long lists and
@@ -40,6 +41,8 @@ SAMPLE = 20_000
 MOST_LISTS, LIST_SIZE = 4_096, 256
 #: Neighbours of a centroid in the graph, entries, and centroids that a search keeps.
 DEGREE, ENTRIES, BEAM = 16, 8, 64
+#: The floor under a query's scores is that of so many times the vectors asked for, of the sample.
+FLOOR = 4
 #: Vectors that are searched for at once.
 SEARCHED = 256
 #: Lists that a vector may lie in, and how much farther than the nearest centroid (distance ratio).
@@ -288,7 +291,7 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
             q = _matrix(b.column("v"), dim)
             row, at = query_lists(sent.value, q, sizes, REPLICAS * (k + 1))
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(at), *(b.column(c).take(take) for c in ("cls", "v")), pa.array(sent.value.floor(q, k + 1)[row])], names=["list", "cls", "v", "floor"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(b.column(c).take(take) for c in ("cls", "v")), pa.array(sent.value.floor(q, FLOOR * (k + 1))[row])], names=["list", "cls", "v", "floor"])
 
     probes = written(own.mapInArrow(probe, "list long, cls long, v array<float>, floor double"), "probes")
     lists, probes = (x.withColumn("grp", F.floor(F.col("list") / GROUP)) for x in (lists, probes))
@@ -333,9 +336,18 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
         return pa.table({"cls": names[a[keep]], "head": heads[b[keep]], "ids": ids, "score": exact[keep]})
 
     by = ("grp", "row_block", "ask_block")
-    found = asks.select(*by, "list", "cls", "v", "floor").groupBy(*by).cogroup(blocks.select(*by, "list", "cls", "ids", "v").groupBy(*by)).applyInArrow(best, "cls long, head long, ids array<long>, score double")
     places = Window.partitionBy("cls").orderBy(F.desc("score"), "head")
-    found = found.withColumn("r", F.dense_rank().over(places)).where(f"r <= {k + 1}").select("cls", F.explode("ids").alias("id"), "score").distinct()
+
+    def searched(asks: DataFrame) -> DataFrame:
+        """cls, id and score of the k + 1 nearest rows of each query's lists."""
+        got = asks.select(*by, "list", "cls", "v", "floor").groupBy(*by).cogroup(blocks.select(*by, "list", "cls", "ids", "v").groupBy(*by)).applyInArrow(best, "cls long, head long, ids array<long>, score double")
+        got = got.withColumn("r", F.dense_rank().over(places)).where(f"r <= {k + 1}").select("cls", F.explode("ids").alias("id"), "score").distinct()
+        return written(got, "found")
+
+    found = searched(asks)
+    enough = found.groupBy("cls").count().where(F.col("count") > k).select("cls")
+    short = asks.join(enough, "cls", "left_anti").withColumn("floor", F.lit(float("-inf")))
+    found = found.join(enough, "cls", "left_semi").unionByName(searched(short))
     order = Window.partitionBy("cls").orderBy(F.desc("score"), "id")
     top = found.withColumn("r", F.dense_rank().over(order)).where(f"r <= {k + 1}").select("cls", "id", "score").distinct()
     each = asking.withColumnRenamed("id", "query_id").join(top, "cls").where("query_id <> id")
