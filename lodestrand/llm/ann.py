@@ -51,8 +51,8 @@ REPLICAS, BOUNDARY = 6, 1.03
 APART = 0.4
 #: Queries of the sample by which the ratio for a query's lists is set, and the share of their neighbours that it must reach.
 TRIALS, REACH = 300, 0.97
-#: Lists that are searched together, and the rows or queries of such a group that one task works on.
-GROUP, BLOCK = 8, 4_096
+#: Lists that are searched together, and the rows and the queries' readings of such a group that one task works on.
+GROUP, BLOCKS = 8, (8_192, 32_768)
 
 
 @dataclass
@@ -299,7 +299,7 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
     splits = np.ones((2, groups), dtype=np.int64)
     for i, x in enumerate((lists, probes)):
         for r in x.groupBy("grp").count().collect():
-            splits[i, r.grp] = -(-r["count"] // BLOCK)
+            splits[i, r.grp] = -(-r["count"] // BLOCKS[i])
     splits = F.broadcast(spark.createDataFrame(list(zip(range(groups), *splits.tolist(), strict=True)), "grp long, rows int, asks int"))  # a row per GROUP centroids
     blocks = lists.join(splits, "grp").withColumns({"row_block": F.pmod(F.xxhash64("cls"), "rows").cast("int"), "ask_block": F.explode(F.sequence(F.lit(0), F.col("asks") - 1))})
     asks = probes.join(splits, "grp").withColumns({"ask_block": F.pmod(F.xxhash64("cls"), "asks").cast("int"), "row_block": F.explode(F.sequence(F.lit(0), F.col("rows") - 1))})
