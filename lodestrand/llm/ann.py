@@ -42,7 +42,7 @@ MOST_LISTS, LIST_SIZE = 4_096, 256
 #: Neighbours of a centroid in the graph, entries, and centroids that a search keeps.
 DEGREE, ENTRIES, BEAM = 16, 8, 64
 #: The floor under a query's scores is that of so many times the vectors asked for, of the sample.
-FLOOR = 4
+FLOOR = 2
 #: Vectors that are searched for at once.
 SEARCHED = 256
 #: Lists that a vector may lie in, and how much farther than the nearest centroid (distance ratio).
