@@ -6,8 +6,9 @@ and forward-backward gives each word's probabilities, so that text which
 switches languages is told apart run by run.  A text's language is the one with
 the largest mean probability over its words with a letter; that mean is the score.
 
-Training sequences hold stretches of one text, and mixtures of runs of several
-texts from which the cost of switching is learned.
+Training sequences hold stretches of one text, whole short texts, and mixtures
+of runs of several texts from which the cost of switching is learned.  Texts and
+words are shared out evenly among languages, so a rare one is learned as well.
 
 Defined results: a null or empty text, or one without a letter, is `und` with
 score 0; very long texts are labelled whole; repeated rows each give their row;
@@ -18,7 +19,8 @@ the key comes along, so clashing names do no harm.
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +33,10 @@ from pyspark.sql import types as T
 from .common import chunks, configure, fold, sums
 from .textstats import Words
 
-#: Texts that training uses at most, shared out evenly among languages, and the words that it takes of them.
+#: Texts that training uses at most, and the words that it takes of them, both shared out evenly among languages.
 TRAINING_TEXTS = 1_600
 TRAINING_WORDS = 320_000
-#: Longer texts are not used for training (they are labelled whole all the same).
+#: Of longer texts training reads the beginning (they are labelled whole all the same).
 TRAINING_CHARS = 20_000
 BUCKETS = 1 << 16
 LEXICON = 4_000
@@ -163,18 +165,23 @@ def marginals(e: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> np.ndarra
 
 
 def _sequences(words: list[np.ndarray], labels: np.ndarray, length: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers and labels of training sequences: half stretches of a text, half mixtures of runs of texts."""
+    """Word numbers and labels of training sequences, -1 after the end of shorter ones.
+
+    Of full length, half are stretches of a text and half mixtures of runs of
+    texts; what is shorter (a short text, the rest of a long one) is taken as it is.
+    """
     seqs, golds = [], []
-    usable = [i for i, w in enumerate(words) if len(w) >= 4]
-    for turn, i in enumerate(usable):
-        for a in range(0, len(words[i]) - length + 1, length):
-            if (turn + a // length) % 2:
-                seqs.append(words[i][a : a + length])
-                golds.append(np.full(length, labels[i]))
+    mixed = [i for i, w in enumerate(words) if len(w) >= 4]
+    for turn, i in enumerate(i for i, w in enumerate(words) if len(w)):
+        for a in range(0, len(words[i]), length):
+            own = words[i][a : a + length]
+            if len(own) < length or (turn + a // length) % 2:
+                seqs.append(own)
+                golds.append(np.full(len(own), labels[i]))
             else:
-                parts, marks, left = [words[i][a : a + (run := int(rng.integers(4, length // 2)))]], [np.full(run, labels[i])], length - run
+                parts, marks, left = [own[: (run := int(rng.integers(4, length // 2)))]], [np.full(run, labels[i])], length - run
                 while left > 0:
-                    j = usable[int(rng.integers(len(usable)))]
+                    j = mixed[int(rng.integers(len(mixed)))]
                     b = int(rng.integers(max(1, len(words[j]) - length // 2)))
                     got = words[j][b : b + min(left, int(rng.integers(4, length // 2)))]
                     parts.append(got)
@@ -182,7 +189,10 @@ def _sequences(words: list[np.ndarray], labels: np.ndarray, length: int, rng: np
                     left -= len(got)
                 seqs.append(np.concatenate(parts))
                 golds.append(np.concatenate(marks))
-    return (np.array(seqs), np.array(golds)) if seqs else (np.zeros((0, length), dtype=np.int64), np.zeros((0, length), dtype=np.int64))
+    out = np.full((2, len(seqs), max(map(len, seqs), default=length)), -1, dtype=np.int64)
+    for r, (x, y) in enumerate(zip(seqs, golds, strict=True)):
+        out[0, r, : len(x)], out[1, r, : len(x)] = x, y
+    return out[0], out[1]
 
 
 def fit(texts: list[str], languages: list[str], rounds: int = 45, rate: float = 0.04, decay: float = 1e-3, length: int = 64) -> Model:
@@ -197,21 +207,19 @@ def fit(texts: list[str], languages: list[str], rounds: int = 45, rate: float =
     k, size = len(names), BUCKETS + LEXICON
     model = Model(names, np.zeros((size, k), dtype=np.float32), np.zeros((k, k)), lexicon)
     seqs, gold = _sequences(words, labels, length, np.random.default_rng(7))
-    if k < 2 or not len(seqs):  # texts too short for sequences are taken one by one
-        long = [i for i, x in enumerate(words) if len(x)]
-        if k < 2 or not long:
-            return model
-        least = min(min(len(words[i]) for i in long), length)
-        seqs, gold = np.array([words[i][:least] for i in long]), np.repeat(labels[long][:, None], least, axis=1)
-    used, flat = np.unique(seqs, return_inverse=True)
-    flat = flat.reshape(seqs.shape)
+    if k < 2 or not len(seqs):
+        return model
+    here = seqs >= 0
+    used, which = np.unique(seqs[here], return_inverse=True)
+    flat = np.zeros(seqs.shape, dtype=np.int64)
+    flat[here] = which
     distinct = [w.distinct[i] for i in used]
     bucket, count = word_features(distinct, lexicon)
     starts, owner, live = np.cumsum(count) - count, np.repeat(np.arange(len(distinct)), count), with_letter(distinct)
     s, length = seqs.shape
     truth = np.eye(k)[gold]
     pairs = np.zeros((k, k))
-    np.add.at(pairs, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
+    np.add.at(pairs, (gold[:, :-1][here[:, 1:]], gold[:, 1:][here[:, 1:]]), 1)
     state = [np.zeros_like(p, dtype=float) for p in (model.weights, model.weights, model.moves, model.moves)]
     for r in range(1, rounds + 1):
         e = np.add.reduceat(model.weights[bucket], starts, axis=0) * live[:, None]
@@ -221,21 +229,21 @@ def fit(texts: list[str], languages: list[str], rounds: int = 45, rate: float =
         v = shown[:, 0] / shown[:, 0].sum(axis=1, keepdims=True)
         a[0], b[-1] = v, 1.0
         for t in range(1, length):
-            v = (v @ move) * shown[:, t]
-            v /= v.sum(axis=1, keepdims=True)
+            step = (v @ move) * shown[:, t]
+            v = np.where(here[:, t, None], step / step.sum(axis=1, keepdims=True), v)
             a[t] = v
         v = b[-1]
         seen = np.zeros((k, k))
         for t in range(length - 1, 0, -1):
             right = v * shown[:, t]
-            joint = a[t - 1].T @ (right / ((a[t - 1] @ move) * right).sum(axis=1, keepdims=True)) * move
+            joint = a[t - 1].T @ (here[:, t, None] * right / ((a[t - 1] @ move) * right).sum(axis=1, keepdims=True)) * move
             seen += joint
-            v = right @ move.T
-            v /= v.sum(axis=1, keepdims=True)
+            step = right @ move.T
+            v = np.where(here[:, t, None], step / step.sum(axis=1, keepdims=True), v)
             b[t - 1] = v
         p = a * b
         p = (p / p.sum(axis=2, keepdims=True)).transpose(1, 0, 2)
-        miss = truth - p
+        miss = (truth - p) * here[:, :, None]
         by_word = np.stack([np.bincount(flat.ravel(), miss[:, :, j].ravel(), len(distinct)) for j in range(k)], axis=1) * live[:, None]
         grads = [np.stack([np.bincount(bucket, by_word[owner, j], size) for j in range(k)], axis=1) / s - decay * model.weights, (pairs - seen) / s - decay * model.moves]
         for n, (param, g) in enumerate(zip((model.weights, model.moves), grads, strict=True)):
@@ -248,13 +256,26 @@ def fit(texts: list[str], languages: list[str], rounds: int = 45, rate: float =
     return model
 
 
+def _pieces(texts: list[str], most: int) -> list[str]:
+    """Texts with most words together at most: the longest are cut to the length at which that holds."""
+    own = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+    left, cap = most, 0
+    for n, size in zip(range(len(own), 0, -1), sorted(map(len, own)), strict=True):
+        cap = left // n
+        if size > cap:
+            break
+        cap, left = size, left - size
+    return [" ".join(x[: max(cap, 1)]) for x in own]
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = TRAINING_TEXTS) -> Model | None:
-    """A model of the texts whose language is known, of at most texts of them (about, before words are cut off).
+    """A model of the texts whose language is known, of at most texts of them.
 
-    Each language has an even share, its texts of least hash; counts over the
-    whole table say which part of the hash range holds that many.
+    Each language has an even share of the texts, its own of least hash, and an
+    even share of the words; counts over the whole table say which part of the
+    hash range holds that many.
     """
-    usable = docs.where(F.col(lang).isNotNull() & F.length(text).between(1, TRAINING_CHARS)).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    usable = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("string").alias("k"), F.substring(text, 1, TRAINING_CHARS).alias("t"), F.col(lang).cast("string").alias("l"))
     count = {r.l: r.n for r in usable.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not count:
         return None
@@ -262,12 +283,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     hashed = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
     least = F.coalesce(*(F.when(F.col("l") == name, F.lit(int(min(1.0, (1.3 * quota + 20) / n) * (1 << 30)))) for name, n in count.items()))
     rows = usable.where(hashed < least).withColumn("h", hashed).groupBy("k", "l").agg(F.first("h").alias("h"), F.min("t").alias("t")).collect()
-    taken, had, words = [], Counter(), 0
-    for r in sorted(rows, key=lambda r: (r.h, r.k)):
-        if had[r.l] < quota and words < TRAINING_WORDS:
-            taken.append((r.t, r.l))
-            had[r.l] += 1
-            words += len(r.t.split())
+    by = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.h, r.k or "")):
+        by[r.l].append(r.t)
+    taken = [(t, x) for x in sorted(by) for t in _pieces(by[x][:quota], TRAINING_WORDS // len(count))]
     return fit([t for t, _ in taken], [x for _, x in taken]) if taken else None
 
 

@@ -295,6 +295,27 @@ def test_languages_held_out_and_odd(spark, docs, odd):
     assert lang_crf.identify(empty(odd)).count() == 0
 
 
+def test_rare_language_has_its_share_of_training(spark, monkeypatch):
+    rows = [(i, " ".join(f"often{(i * 7 + j) % 50}" for j in range(40)), "aa") for i in range(3000)]
+    rows += [(5000 + i, " ".join(f"seldom{(i * 7 + j) % 50}" for j in range(40)), "bb") for i in range(60)]
+    monkeypatch.setattr(lang_crf, "TRAINING_WORDS", 4_000)
+    monkeypatch.setattr(lang_crf, "fit", lambda t, x: (t, x))
+    texts, names = lang_crf.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert Counter(names)["bb"] == 60 and Counter(names)["aa"] >= 700
+    size = Counter({x: sum(len(t.split()) for t, y in zip(texts, names, strict=True) if y == x) for x in ("aa", "bb")})
+    assert 1_000 < size["aa"] <= 2_000 and 1_000 < size["bb"] <= 2_000
+
+
+def test_long_and_short_texts_are_learned_from(spark):
+    rows = [(i, " ".join(f"often{(i * 7 + j) % 50}" for j in range(4_000 if i % 2 else 100)), "aa") for i in range(20)]
+    rows += [(100 + i, " ".join(f"long{(i * 7 + j) % 50}" for j in range(4_000)), "bb") for i in range(20)]
+    rows += [(200 + i, " ".join(f"brief{(i * 7 + j) % 50}" for j in range(10)), "cc") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_crf.train(df)
+    got = lang_crf.label(df, model).join(df, "doc_id").collect()
+    assert model.languages == ["aa", "bb", "cc"] and all(r.lang_pred == r.lang for r in got)
+
+
 def test_language_runs(spark, docs):
     model = lang_crf.train(docs)
     by = {x: docs.where((F.col("lang") == x) & F.length("text").between(400, 2000)).orderBy("doc_id").first().text.split()[:60] for x in ("de", "fr")}
