@@ -9,9 +9,9 @@ not met in training, so the probabilities of all words and the end add up to 1.
 
 Word counts cover every training text and are exact.  Weights are trained in
 rounds over every training text: each task starts from the weights sent out,
-takes Adagrad steps on its positions (in turn one of each STRIDE, in every
-text), and what it changed is averaged over tasks by how often each met a
-feature.  Texts are scored in sparse numpy batches.
+takes Adagrad steps on its positions (each round has its own of every text, and
+all rounds together have each position once), and what it changed is averaged
+over tasks by how often each met a feature.  Texts are scored in sparse numpy batches.
 
 log10(count + 1) of rare words is looked up where the counts lie: the most
 frequent words are sent to all tasks (at most HEAD of them), others are dealt
@@ -44,8 +44,7 @@ from .textstats import Words
 HEAD = 65_536
 OWN_CLASSES = 32
 CLASSES = 48
-#: A training round uses one position of each so many.
-STRIDE = 8
+#: A training round uses one position of each so many; all rounds use every position.
 ROUNDS = 2
 RANGE_BYTES = 12 << 20
 SLAB = 1 << 15
@@ -130,7 +129,7 @@ def improve(weights: np.ndarray, squares: np.ndarray, visits: np.ndarray, rows:
         miss = -np.exp(log_shares(weights, r))
         miss[np.arange(len(y)), y] += 1
         for k in range(r.shape[1]):
-            order = np.argsort(r[:, k], kind="stable")
+            order = np.argsort(r[:, k].astype(np.uint16), kind="stable")  # ROWS fit, and narrow keys sort fast
             own = r[order, k]
             starts = np.flatnonzero(np.diff(own, prepend=-1))
             at, times = own[starts], np.diff(np.append(starts, len(own)))
@@ -232,8 +231,11 @@ def _tables(counts: DataFrame) -> Tables:
     return Tables(h[order], c[order], class_of, np.log10(n + v + 1), np.log((n + 1) / (n.sum() + CLASSES)), int(tokens.sum()), int(words.sum()))
 
 
-def _changed(docs: DataFrame, text: str, t: Tables, weights: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a round over all training texts changes in the weights, averaged by visits; and the visits."""
+def _changed(docs: DataFrame, text: str, t: Tables, weights: np.ndarray, turn: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """What a round over all training texts changes in the weights, averaged by visits; and the visits.
+
+    Round turn of so many rounds uses the positions that leave turn when divided by rounds.
+    """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((t.class_of, weights))
     blocks, salts = 16, 64
@@ -245,7 +247,7 @@ def _changed(docs: DataFrame, text: str, t: Tables, weights: np.ndarray, turn: i
         for _, texts in chunks(batches, text):
             c = Corpus(texts)
             classes = class_of[c.endings]
-            at = np.flatnonzero((c.place + c.counts[c.doc]) % STRIDE == turn % STRIDE)
+            at = np.flatnonzero((c.place + c.counts[c.doc]) % rounds == turn)
             rows = contexts(c, classes)[at]
             mix = np.argsort((at.astype(np.uint64) * _PRIME) >> np.uint64(40))
             improve(w, squares, visits, rows[mix], classes[c.tokens[at]][mix])
@@ -282,7 +284,7 @@ def train(docs: DataFrame, counts: DataFrame, text: str = "text", rounds: int =
     weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
     weights[0] = t.prior
     for turn in range(rounds if t.total else 0):
-        weights = weights + _changed(docs, text, t, weights, turn)[0]
+        weights = weights + _changed(docs, text, t, weights, turn, rounds)[0]
     return t, weights
 
 

@@ -133,6 +133,15 @@ def test_lm_base_scores(odd, docs, texts):
     assert lm.score_all(empty(odd)).count() == 0
 
 
+def test_lm_trains_on_every_position(spark):
+    rows = [(i, " ".join(f"w{(i * 3 + j) % 11}" for j in range(i % 4 or 30))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    common.configure(spark)
+    t = lm._tables(lm._counted(df, "text", 8))
+    weights = np.zeros((lm.ROWS, lm.CLASSES), dtype=np.float32)
+    assert sum(lm._changed(df, "text", t, weights, turn)[1][0] for turn in range(lm.ROUNDS)) == t.total == sum(len(x.split()) + 1 for _, x in rows)
+
+
 def test_lm_shares_add_up():
     g = np.random.default_rng(2)
     rows = g.integers(0, lm.ROWS, (50, 6))
