@@ -2,7 +2,10 @@
 
 A public vocabulary with byte fallback says how well it knows a text: the
 characters that a token covers, the share of tokens that are bare bytes, and
-the entropy of the tokens.  Each script has bands of these; a text outside its
+the entropy of the tokens (a replacement character counts as a bare byte).  A
+word's script is that of its letters, so quotes and emoji do not matter; words
+of private-use, unassigned or replacement characters alone have the script none.
+Each script has bands of these; a text outside its
 script's bands is rejected, as is one that fails the plain counts.  Bands are
 parameters and the same for every corpus, so a verdict depends on its text alone.
 
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,7 +33,9 @@ from .textstats import Words, char_lengths, line_counts, repeated_words, symbol_
 
 #: First code points of blocks of Unicode, with the script that they begin (fixed values).
 SCRIPT_STARTS = ((0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"), (0x780, "other"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "cjk"), (0xA000, "other"), (0xAC00, "cjk"), (0xD7B0, "other"), (0x20000, "cjk"), (0x30000, "other"))
-SCRIPTS = tuple(dict.fromkeys(name for _, name in SCRIPT_STARTS))
+SCRIPTS = (*dict.fromkeys(name for _, name in SCRIPT_STARTS), "none")
+NONE = len(SCRIPTS) - 1
+REPLACEMENT = "\ufffd"
 
 
 @dataclass(frozen=True)
@@ -54,15 +60,24 @@ BANDS = {
     "cyrillic": Band((0.9, 10.0), 0.4, 0.4),
     "hebrew": Band((0.4, 6.0), 0.9, 0.3),
     "arabic": Band((0.4, 6.0), 0.9, 0.3),
-    "indic": Band((0.25, 6.0), 1.0, 0.2),
-    "thai": Band((0.25, 8.0), 1.0, 0.2),
-    "cjk": Band((0.25, 6.0), 1.0, 0.25),
-    "other": Band((0.2, 12.0), 1.0, 0.2),
+    "indic": Band((0.25, 6.0), 0.9, 0.2),
+    "thai": Band((0.25, 8.0), 0.9, 0.2),
+    "cjk": Band((0.25, 6.0), 0.8, 0.25),
+    "other": Band((0.2, 12.0), 1.0, 0.2),  # real scripts of which the vocabulary knows no letter
+    "none": Band((1.5, 12.0), 0.15, 0.45),
 }
 #: Words kept with their tokens by a worker before it starts afresh.
 CACHE_WORDS = 500_000
 
 
+def top_letter(word: str) -> int:
+    """The highest code point of the letters of a word; -1 without letters, -2 if it has private-use, unassigned or replacement characters instead."""
+    top = max((ord(c) for c in word if c.isalpha()), default=-1)
+    if top < 0 and any(c == REPLACEMENT or unicodedata.category(c) in ("Co", "Cn", "Cs") for c in word):
+        return -2
+    return top
+
+
 class Fertility:
     """Tokens of distinct words by a sentencepiece model with byte fallback."""
 
@@ -71,7 +86,7 @@ class Fertility:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.get_piece_size()
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
+        self.is_byte = np.array([self.model.is_byte(i) or REPLACEMENT in self.model.id_to_piece(i) for i in range(self.size)])
         self.starts = np.array([s for s, _ in SCRIPT_STARTS])
         self.kinds = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
         self.clear()
@@ -93,11 +108,12 @@ class Fertility:
             got = self.model.encode(text, num_threads=1)
             count = np.array([len(x) for x in got], dtype=np.int64)
             flat = np.fromiter(itertools.chain.from_iterable(got), dtype=np.int32, count=int(count.sum()))
-            top = np.array([max(map(ord, t)) for t in text])
+            top = np.array([top_letter(t) for t in text])
+            kind = self.kinds[np.searchsorted(self.starts, np.maximum(top, 0), side="right") - 1]
             self.at = np.concatenate([self.at, len(self.tokens) + np.cumsum(count) - count])
             self.tokens, self.count = np.concatenate([self.tokens, flat]), np.concatenate([self.count, count])
             self.bare = np.concatenate([self.bare, sums(self.is_byte[flat], count)])
-            self.script = np.concatenate([self.script, self.kinds[np.searchsorted(self.starts, top, side="right") - 1].astype(np.int8)])
+            self.script = np.concatenate([self.script, np.select([top == -2, top == -1], [NONE, -1], kind).astype(np.int8)])
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         return np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
 
@@ -126,7 +142,8 @@ def measure(texts: list[str], fertility: Fertility, w: Words | None = None) -> d
     flat = fertility.tokens[ragged(fertility.at[at][w.numbers], each)].astype(np.int64)
     weight = np.zeros((len(texts), len(SCRIPTS)))
     if w.total:
-        np.add.at(weight.reshape(-1), w.doc * len(SCRIPTS) + fertility.script[at][w.numbers], 1.0)
+        script = fertility.script[at][w.numbers]
+        np.add.at(weight.reshape(-1), (w.doc * len(SCRIPTS) + script)[script >= 0], 1.0)
     return {
         "n_words": w.counts,
         "word_chars": chars,

@@ -276,6 +276,19 @@ def test_rules_reject_what_no_vocabulary_knows(spark):
     assert not row.base_failed and row.byte_share > 0.5 and not row.kept
 
 
+def test_rules_reject_noise_with_the_production_bands(spark):
+    g = random.Random(1)
+    noise = lambda a, z: " ".join("".join(chr(g.randint(a, z)) for _ in range(8)) for _ in range(80))
+    latin = "The quick brown fox jumps over the lazy dog while many other people walk along the river and talk about the weather of the coming week and what it might bring them then".split()
+    own = [f"{w}{g.choice('aeiou')}{g.choice('nrst')}" for w in latin * 3]
+    broken = " ".join(w[:2] + "\ufffd" + w[2:] for w in own)
+    real = ["\u201c" + w + "\u201d" for w in own]
+    rows = [(1, noise(0xE000, 0xE0FF)), (2, noise(0x4E00, 0x9FFF)), (3, broken), (4, " ".join(real)), (5, " ".join(own))]
+    got = {r.doc_id: r for r in quality_rules.rate(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()}
+    assert not any(r.base_failed for r in got.values()) and [got[i].kept for i in (1, 2, 3)] == [False] * 3
+    assert [got[i].script for i in (1, 2, 3, 4, 5)] == ["none", "cjk", "latin", "latin", "latin"] and got[5].kept
+
+
 # -- language
 
 
