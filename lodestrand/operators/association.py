@@ -133,18 +133,21 @@ def combined_test(rows: DataFrame, as_disp: DataFrame | None = None, bnb_disp: D
     return flat.groupBy("region_id").applyInPandas(fit, RESULT)
 
 
-def fit_allele_dispersion(rows: DataFrame, error: float = READ_ERROR, points: int = 33, rounds: int = 4) -> DataFrame:
+def fit_allele_dispersion(rows: DataFrame, error: float = READ_ERROR, points: int = 33, rounds: int = 4, sure: bool = True) -> DataFrame:
     """individual, disp and loglik: the dispersion from 0.01 to 0.99 at which the allele counts of each are most likely at p = 1/2.
 
+    Every site takes part with its own probability of being heterozygous; if
+    sure, sites over 0.9 alone, with 0.99 at most.
     The likelihood is summed by Spark on a grid that closes in round by round,
     so that no individual's counts are gathered, however many they are.
     """
-    sites = rows.select("individual", F.explode("region_snps").alias("s")).where("s.het_prob > 0.9 AND s.ref_n + s.alt_n > 0")
+    sites = rows.select("individual", F.explode("region_snps").alias("s")).where("s.het_prob IS NOT NULL AND s.ref_n + s.alt_n > 0")
+    sites = sites.where("s.het_prob > 0.9").withColumn("s", F.col("s").withField("het_prob", F.least("s.het_prob", F.lit(0.99)))) if sure else sites
     table = sites.groupBy("individual", F.col("s.ref_n").alias("r"), F.col("s.alt_n").alias("a"), F.col("s.het_prob").alias("h")).agg(F.count("*").alias("times"))
     best = table.select("individual").distinct().select("individual", F.lit(0.01).alias("low"), F.lit(0.99).alias("high"))
     for _ in range(rounds):
         grid = best.select("individual", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("disp", F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / (points - 1))
-        ll = table.join(F.broadcast(grid), "individual").groupBy("individual", "low", "high", "disp").agg(F.sum(F.col("times") * beta_binomial(0.5, F.col("disp"), F.col("r"), F.col("a"), F.least(F.col("h"), F.lit(0.99)), error)).alias("loglik"))
+        ll = table.join(F.broadcast(grid), "individual").groupBy("individual", "low", "high", "disp").agg(F.sum(F.col("times") * beta_binomial(0.5, F.col("disp"), F.col("r"), F.col("a"), F.col("h"), error)).alias("loglik"))
         top = ll.groupBy("individual").agg(F.max_by(F.struct("disp", "low", "high", "loglik"), F.struct("loglik", -F.col("disp"))).alias("t"))
         step = (F.col("t.high") - F.col("t.low")) / (points - 1)
         kept = [(r.individual, r.disp, r.low, r.high, r.loglik) for r in top.select("individual", "t.disp", F.greatest(F.col("t.disp") - step, F.lit(0.01)).alias("low"), F.least(F.col("t.disp") + step, F.lit(0.99)).alias("high"), "t.loglik").collect()]  # a row per individual

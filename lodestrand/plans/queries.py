@@ -650,7 +650,7 @@ def simulate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fit_as(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dispersion of each individual's allele counts."""
-    return association.fit_allele_dispersion(_simulated(spark))
+    return association.fit_allele_dispersion(_simulated(spark), sure=False)
 
 
 @query()

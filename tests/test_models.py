@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import likelihood
 from lodestrand.operators import association, haplotypes, optimize, simulate
+from lodestrand.plans import queries
 from lodestrand.streaming import mates
 
 
@@ -59,6 +60,19 @@ def test_allele_dispersion_matches_a_plain_search(spark):
         assert abs(got[name].loglik + value) < 1e-2, best
 
 
+def test_allele_dispersion_takes_uncertain_sites(spark, sf_dir, monkeypatch):
+    rows = simulate.simulate_counts(spark, n_tests=30, n_inds=2, allele_freq=0.5, het_error=0.2)
+    monkeypatch.setattr(queries, "_simulated", lambda *_: rows)
+    monkeypatch.setattr(queries, "input_rows", lambda *_: rows)
+    got = {r.individual: r for r in queries.QUERIES["fit_as"](spark, sf_dir).collect()}
+    groups = rows.toPandas().groupby("individual")
+    assert set(got) == set(groups.groups)
+    for name, group in groups:
+        sites = [(s.ref_n, s.alt_n, s.het_prob) for snps in group.region_snps for s in snps]
+        best, value = optimize.bounded(lambda d, s=sites: -sum(association.bb_loglik(0.5, d, *x) for x in s), 0.01, 0.99)
+        assert abs(got[name].loglik + value) < 1e-2, best
+
+
 def test_permutation_keeps_genotypes(spark):
     rows = simulate.simulate_counts(spark, n_tests=3)
     moved = haplotypes.permuted(rows)
