@@ -268,7 +268,9 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     n, radius = classes.agg(F.count("*"), F.max(length)).first()
     share = min(1.0, 1.1 * SAMPLE / n + 200 / n)
-    got = sorted(classes.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < int(share * (1 << 30))).select("cls", "v").collect())[:SAMPLE]
+    hashed = F.pmod(F.xxhash64("cls"), F.lit(1 << 30))
+    got = sorted(classes.where(hashed < int(share * (1 << 30))).select(hashed.alias("h"), "cls", "v").collect())[:SAMPLE]
+    got.sort(key=lambda r: r.cls)
     index = build(np.array([r.v for r in got] or [classes.first().v], dtype=np.float64), float(radius), max(1, min(MOST_LISTS, n // LIST_SIZE)), k)
     sent = spark.sparkContext.broadcast(index)
 

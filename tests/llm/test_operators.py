@@ -80,6 +80,21 @@ def test_nearest_reaches_recall(spark):
     assert np.mean(hits) >= 0.9 and all(len(v) == 20 for v in got.values())
 
 
+def test_nearest_sample_reaches_the_largest_ids(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def build(sample, *_):
+        raise Seen(sample)
+
+    monkeypatch.setattr(ann, "SAMPLE", 500)
+    monkeypatch.setattr(ann, "build", build)
+    with pytest.raises(Seen) as seen:
+        ann.nearest(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3000)], "vec_id long, embedding array<float>"))
+    ids = seen.value.args[0][:, 0]
+    assert len(ids) == 500 and 20 < (ids >= 2700).sum() < 90
+
+
 def test_nearest_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [1.0, 0.0]), (5, None), (6, []), (7, [0.0, 0.0]), (8, [nan, 1.0]), (9, [1.0, None]), (10, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
