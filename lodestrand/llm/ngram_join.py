@@ -314,10 +314,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; columns stay.
+    """docs with one row of each component, that of the smallest doc_id; columns stay.
 
-    A row that repeats another's doc_id and text goes; one without a doc_id stays.
+    Rows are told apart by doc_id and text: one that repeats another's goes, a
+    component's rows without a doc_id come last, and a hash of both decides
+    among rows with the same doc_id.
     """
-    kept = join(docs, size=size, percent=percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.lit("|"), "text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    own = rows.select("_row", "doc_id").join(join(rows.select("_row", "text"), key="_row", size=size, percent=percent).select("_row", "component_id").distinct(), "_row")
+    kept = own.groupBy("component_id").agg(least.alias("_first")).select(F.col("_first")["_row"].alias("_row"))
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)

@@ -255,6 +255,15 @@ def test_near_copies(spark, odd):
     assert ngram_join.join(empty(odd)).count() == 0
 
 
+def test_one_row_of_a_component_stays_whatever_its_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    near = lambda t: t + " more"
+    rows = [(None, a), (None, near(a)), (None, a), (7, b), (None, near(b)), (3, c), (3, near(c)), (9, c), (None, "alone here")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text[0]) for r in kept) == [(-1, "a"), (-1, "a"), (3, "c"), (7, "b")]
+    assert sum(r.text == "alone here" for r in kept) == 1
+
+
 def test_matches_asked_is_the_cheapest():
     often = np.array([2, 2, 3, 50, 60, 70])
     cost = {a: (often[: 2 + a - 1] - 1).sum() * (1 + 0.05 * 40 / a) for a in range(1, 6)}
