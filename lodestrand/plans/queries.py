@@ -656,14 +656,14 @@ def fit_as(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fit_bnb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dispersion of each individual's depth."""
-    return association.fit_depth_dispersion(_simulated(spark), max_rounds=3)
+    return association.fit_depth_dispersion(_simulated(spark))
 
 
 @query()
 def depth_splines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth models of the individuals, fitted on their reads by part size and applied."""
     li = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("region_id"), F.col("l_returnflag").alias("individual")).agg(F.count("*").alias("reads")).join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("region_id"), (F.col("p_size") / 100.0).alias("gc")), "region_id")
-    return association.apply_depth_model(li, association.fit_depth_model(li, sample=500)).select("region_id", "individual", "reads", "expected")
+    return association.apply_depth_model(li, association.fit_depth_model(li)).select("region_id", "individual", "reads", "expected")
 
 
 @query()

@@ -73,6 +73,16 @@ def test_allele_dispersion_takes_uncertain_sites(spark, sf_dir, monkeypatch):
         assert abs(got[name].loglik + value) < 1e-2, best
 
 
+def test_queries_fit_with_the_defaults(spark, sf_dir, monkeypatch):
+    given = []
+    monkeypatch.setattr(association, "fit_depth_dispersion", lambda rows, **k: given.append(k))
+    monkeypatch.setattr(association, "fit_depth_model", lambda rows, **k: given.append(k) or rows.select("individual"))
+    monkeypatch.setattr(association, "apply_depth_model", lambda rows, coefs: rows.withColumn("expected", F.lit(1.0)))
+    queries.QUERIES["fit_bnb"](spark, sf_dir)
+    queries.QUERIES["depth_splines"](spark, sf_dir)
+    assert given == [{}, {}]
+
+
 def test_permutation_keeps_genotypes(spark):
     rows = simulate.simulate_counts(spark, n_tests=3)
     moved = haplotypes.permuted(rows)
