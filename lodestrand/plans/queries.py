@@ -638,7 +638,7 @@ def permute_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _simulated(spark: SparkSession) -> DataFrame:
-    return simulate.simulate_counts(spark, n_tests=24, n_inds=10, effect=1.6, effect_share=0.5)
+    return simulate.simulate_counts(spark, effect=1.6, effect_share=0.5)
 
 
 @query()
@@ -650,13 +650,13 @@ def simulate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fit_as(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dispersion of each individual's allele counts."""
-    return association.fit_allele_dispersion(_simulated(spark), sure=False)
+    return association.fit_allele_dispersion(input_rows(spark, sf_dir), sure=False)
 
 
 @query()
 def fit_bnb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dispersion of each individual's depth."""
-    return association.fit_depth_dispersion(_simulated(spark))
+    return association.fit_depth_dispersion(input_rows(spark, sf_dir))
 
 
 @query()
@@ -668,11 +668,11 @@ def depth_splines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cht_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The combined test of simulated regions."""
-    return association.combined_test(_simulated(spark))
+    """The combined test of every region."""
+    return association.combined_test(input_rows(spark, sf_dir))
 
 
 @query()
 def pca_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Principal components of simulated depth."""
-    return association.loadings(_simulated(spark), "region_reads", 3)
+    """Principal components of depth in regions."""
+    return association.loadings(input_rows(spark, sf_dir), "region_reads", 3)

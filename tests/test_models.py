@@ -83,6 +83,15 @@ def test_queries_fit_with_the_defaults(spark, sf_dir, monkeypatch):
     assert given == [{}, {}]
 
 
+def test_heavy_queries_read_the_tables(spark, sf_dir, monkeypatch):
+    rows, seen = queries.input_rows(spark, sf_dir), []
+    monkeypatch.setattr(queries, "input_rows", lambda *a: seen.append(a[1]) or rows)
+    for name in ("fit_allele_dispersion", "fit_depth_dispersion", "combined_test", "loadings"):
+        monkeypatch.setattr(association, name, lambda given, *_, **__: given)
+    assert all(queries.QUERIES[n](spark, sf_dir) is rows for n in ("fit_as", "fit_bnb", "cht_test", "pca_loadings")) and len(seen) == 4
+    assert queries.QUERIES["simulate_counts"](spark, sf_dir).select("region_id").distinct().count() == 10_000
+
+
 def test_permutation_keeps_genotypes(spark):
     rows = simulate.simulate_counts(spark, n_tests=3)
     moved = haplotypes.permuted(rows)
