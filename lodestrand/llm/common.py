@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
+import weakref
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -13,21 +15,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to Python; texts may be long, so few.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch sent to Python, at most (but for a single longer row).
+BATCH_BYTES = 4 << 20
 #: Characters that are worked on at once inside a Python worker.
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 2_000_000
 #: Texts that are worked on at once; their places fit 16 bits.
 CHUNK_TEXTS = 50_000
+#: Rows of a table that is broadcast, at most; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set what every Python-side operator here needs; safe to repeat.
 
-    Batches are kept short so that a worker's memory does not depend on text
-    lengths, and the folder of this library is named to the Python workers.
+    Arrow batches are bounded by bytes, so that a worker's memory does not
+    depend on text lengths, and the folder of this library is named to the
+    Python workers.  A smaller bound of the session's own stays.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -41,31 +50,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: what spark.checkpoint.dir names.
 
-    It is what spark.checkpoint.dir names; only where that is unset (tests on
-    one machine) a local folder is made and set.
+    Where that is unset, a session on this machine alone (master local[...])
+    gets a local folder; on a cluster its absence is an error.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at and (java := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not at and (java := sc._jsc.sc().getCheckpointDir()).isDefined():
         at = java.get()
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file:///tmp/lodestrand-{os.getpid()}"
-        spark.sparkContext.setCheckpointDir(at)
+        sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/lodestrand-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path as Spark resolves it (against the default file system if it names none), and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(at), fs
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written as a table in the shared folder and read back: it cuts the
-    lineage and outlives the loss of executors."""
+    lineage and outlives the loss of executors.
+
+    Row groups are small, so that packed rows are read a few at a time.
+    """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", 8 << 20).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables that written() made, once nothing that is still to be worked out reads them."""
+    for t in tables:
+        if t is not None and (path := _PATHS.pop(t, None)):
+            at, fs = hadoop_path(t.sparkSession, path)
+            fs.delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that this application has written to the shared folder; results not yet written elsewhere go with it."""
+    at, fs = hadoop_path(spark, session_dir(spark))
+    fs.delete(at, True)
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system, before other work comes."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -112,6 +162,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             texts += got[first:]
     if texts:
         yield joined(held), texts
+    held, texts, got = [], [], []
+    release()
 
 
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -121,6 +173,17 @@ def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
+def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary value for each stretch between cuts: the bytes of its values."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((np.asarray(cuts) * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    """All values of a column of binaries, one after another."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
 class Numbering(dict):
     """Numbers keys in the order they are first asked for."""
 
