@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,8 +14,10 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until nothing changes: each is a
     grouped minimum with partial sums and a join that Spark may split, so no
     node's neighbours are gathered, however many they are.  Each step is written
-    to the shared folder, so lineage stays short.
+    to the shared folder, so lineage stays short, and the one before it removed.
+    A link with a null end is none, and without links there is no row.
     """
+    edges = edges.where("u IS NOT NULL AND v IS NOT NULL")
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
     while True:
@@ -25,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = written(small, "small-star")
+        before, now = now, written(small, "small-star")
+        discard(before, large)
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if mark == seen:
             break

@@ -32,20 +32,21 @@ Keys are integers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, configure, plan_bytes, sums, written
+from .common import binaries, chunks, configure, discard, plan_bytes, ragged, sums, unpacked, written
 from .graph import components
 from .textstats import Words
 
-#: Bytes of input for each range that hashes are dealt out to.
-RANGE_BYTES = 12 << 20
+#: Bytes of input for each range that hashes are dealt out to; one task holds a range.
+RANGE_BYTES = 3 << 20
 #: Most matches that a prefix asks for.
 MOST_MATCHES = 8
 #: Bits of a set's sketch, by which pairs that differ in too much are left out.
@@ -88,16 +89,23 @@ def signatures(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack(hashes: np.ndarray) -> tuple[bytes, bytes]:
-    return (hashes >> np.uint64(16)).astype("<u4").tobytes(), (hashes & np.uint64(0xFFFF)).astype("<u2").tobytes()
+def _pack(hashes: np.ndarray, cuts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """48-bit hashes as two columns of binaries, a value for each stretch between cuts."""
+    return binaries((hashes >> np.uint64(16)).astype("<u4"), cuts), binaries((hashes & np.uint64(0xFFFF)).astype("<u2"), cuts)
 
 
-def _unpack(high: bytes, low: bytes) -> np.ndarray:
-    return (np.frombuffer(high, dtype="<u4").astype(np.uint64) << np.uint64(16)) | np.frombuffer(low, dtype="<u2")
+def _unpack(t: pa.Table) -> np.ndarray:
+    out = unpacked(t.column("high"), "<u4").astype(np.uint64)
+    out <<= np.uint64(16)
+    out |= unpacked(t.column("low"), "<u2")
+    return out
 
 
-def _all(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before; the first does."""
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return new
 
 
 SETS = "part long, high binary, low binary, counts binary, sigs binary, sizes binary, docs array<struct<key: long, sig: long, n: long>>"
@@ -105,33 +113,33 @@ SETS = "part long, high binary, low binary, counts binary, sigs binary, sizes bi
 
 def _deal(docs: DataFrame, key: str, text: str, size: int, ranges: int) -> DataFrame:
     """Packed hashes by range (part from 0 on), and the texts' own rows (part below 0)."""
+    kinds = pa.struct([("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int64())])
+    names = ["part", "high", "low", "counts", "sigs", "sizes", "docs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.struct([("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int64())])
-        schema = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("high", "low", "counts", "sigs", "sizes")), ("docs", pa.list_(kinds))])
         for batch, texts in chunks(batches, text):
             flat, counts = shingle_sets(texts, size)
             sigs = signatures(flat, counts)
             own = pa.StructArray.from_arrays([batch.column(key).cast(pa.int64()), pa.array(sigs.view(np.int64)), pa.array(counts)], fields=list(kinds))
-            rows = [{"part": -1 - int(sigs[0] % np.uint64(ranges)) if len(sigs) else -1, "docs": own}]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(sigs[0] % np.uint64(ranges))]), *[pa.nulls(1, pa.binary())] * 5, listed], names=names)
             once = np.zeros(len(texts), dtype=bool)
             once[np.unique(sigs, return_index=True)[1]] = True
             once &= counts > 0
             flat = flat[np.repeat(once, counts)]
-            doc = np.repeat(np.arange(int(once.sum())), counts[once])
+            if not len(flat):
+                continue
+            doc = np.repeat(np.arange(int(once.sum()), dtype=np.int32), counts[once])
             part = ((flat >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(ranges + 1))
-            sig, n = sigs[once], counts[once].astype("<u4")
-            for r in range(ranges):
-                at = order[cuts[r] : cuts[r + 1]]
-                if len(at):
-                    there = np.bincount(doc[at], minlength=len(sig))
-                    held = there > 0
-                    high, low = _pack(flat[at])
-                    rows.append({"part": r, "high": high, "low": low, "counts": there[held].astype("<u4").tobytes(), "sigs": sig[held].tobytes(), "sizes": n[held].tobytes(), "docs": None})
-            docs_column = pa.ListArray.from_arrays(pa.array([0] + [len(own)] * len(rows), pa.int32()), own)
-            yield pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in rows], schema.field(c).type) for c in schema.names[:-1]] + [docs_column], schema=schema)
+            flat, doc, part = flat[order], doc[order], part[order]
+            first = _changes(part)
+            runs = np.flatnonzero(first | _changes(doc))  # the hashes of a text in a range
+            cuts = np.append(np.flatnonzero(first), len(flat))
+            of_runs = np.append(np.searchsorted(runs, cuts[:-1]), len(runs))
+            which = doc[runs]
+            columns = [*_pack(flat, cuts), binaries(np.diff(np.append(runs, len(flat))).astype("<u4"), of_runs), binaries(sigs[once][which], of_runs), binaries(counts[once][which].astype("<u4"), of_runs)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), *columns, pa.nulls(len(cuts) - 1, pa.list_(kinds))], names=names)
 
     return docs.select(key, text).mapInArrow(run, SETS)
 
@@ -144,35 +152,33 @@ def _count(sets: DataFrame, parts: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         names = ["part", "high", "low", "often", "counts", "sigs", "sizes", "docs"]
-        kinds = [pa.int64(), *[pa.binary()] * 6, table.schema.field("docs").type]
         if table.column("part")[0].as_py() < 0:
             n = table.num_rows
             return pa.Table.from_arrays([table.column("part"), *[pa.nulls(n, pa.binary())] * 6, table.column("docs")], names=names)
-        sigs, counts, sizes = _all(table.column("sigs"), "<u8"), _all(table.column("counts"), "<u4").astype(np.int64), _all(table.column("sizes"), "<u4")
-        flat = _unpack(b"".join(table.column("high").to_pylist()), b"".join(table.column("low").to_pylist()))
+        sigs, counts, sizes = unpacked(table.column("sigs"), "<u8"), unpacked(table.column("counts"), "<u4").astype(np.int64), unpacked(table.column("sizes"), "<u4")
         once = np.zeros(len(sigs), dtype=bool)
         once[np.unique(sigs, return_index=True)[1]] = True
-        flat, sigs, counts, sizes = flat[np.repeat(once, counts)], sigs[once], counts[once], sizes[once]
+        flat = _unpack(table)[np.repeat(once, counts)]
+        sigs, counts, sizes = sigs[once], counts[once], sizes[once]
         order = np.argsort(flat, kind="stable")
-        new = np.ones(len(flat), dtype=bool)
-        new[1:] = flat[order[1:]] != flat[order[:-1]]
-        starts = np.flatnonzero(new)
+        starts = np.flatnonzero(_changes(flat[order]))
         times = np.diff(np.append(starts, len(flat)))
-        often = np.empty(len(flat), dtype=np.int64)
-        often[order] = np.repeat(times, times)
+        often = np.empty(len(flat), dtype=np.uint16)
+        often[order] = np.repeat(np.minimum(times, 65535).astype(np.uint16), times)
+        del order
         keep = often > 1
         counts = sums(keep, counts)
-        flat, often = flat[keep], np.minimum(often[keep], 65535).astype("<u2")
+        flat, often = flat[keep], often[keep]
         held = counts > 0
         sigs, counts, sizes = sigs[held], counts[held], sizes[held]
         to = (sigs >> np.uint64(8)) % np.uint64(parts)
-        each = np.repeat(to, counts)
-        rows = []
-        for q in np.unique(to):
-            at, runs = each == q, to == q
-            high, low = _pack(flat[at])
-            rows.append((int(q), high, low, often[at].tobytes(), counts[runs].astype("<u4").tobytes(), sigs[runs].tobytes(), sizes[runs].tobytes(), None))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+        order = np.argsort(to, kind="stable")
+        at = ragged((np.cumsum(counts) - counts)[order], counts[order])
+        sigs, counts, sizes, to = sigs[order], counts[order], sizes[order], to[order]
+        runs = np.append(np.flatnonzero(_changes(to)), len(to)) if len(to) else np.zeros(1, dtype=np.int64)
+        cuts = np.concatenate(([0], np.cumsum(counts)))[runs]
+        columns = [*_pack(flat[at], cuts), binaries(often[at].astype("<u2"), cuts), binaries(counts.astype("<u4"), runs), binaries(sigs, runs), binaries(sizes, runs)]
+        return pa.Table.from_arrays([pa.array(to[runs[:-1]].astype(np.int64)), *columns, pa.nulls(len(runs) - 1, table.schema.field("docs").type)], names=names)
 
     return sets.groupBy("part").applyInArrow(run, SHARED)
 
@@ -202,8 +208,8 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
     """The classes that may have a partner, with prefix and all shared shingles, rarest first."""
 
     def run(table: pa.Table) -> pa.Table:
-        sigs, counts, sizes = _all(table.column("sigs"), "<u8"), _all(table.column("counts"), "<u4").astype(np.int64), _all(table.column("sizes"), "<u4").astype(np.int64)
-        flat, often = _unpack(b"".join(table.column("high").to_pylist()), b"".join(table.column("low").to_pylist())), _all(table.column("often"), "<u2")
+        sigs, counts, sizes = unpacked(table.column("sigs"), "<u8"), unpacked(table.column("counts"), "<u4").astype(np.int64), unpacked(table.column("sizes"), "<u4").astype(np.int64)
+        flat, often = _unpack(table), unpacked(table.column("often"), "<u2")
         names, which = np.unique(sigs, return_inverse=True)
         total = np.bincount(which, weights=counts, minlength=len(names)).astype(np.int64)
         size = np.zeros(len(names), dtype=np.int64)
@@ -248,50 +254,83 @@ def _verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("u", "v", "n_a", "n_b", "asked_a", "asked_b", "p_a", "p_b", "shingles_a", "shingles_b").mapInArrow(run, "u long, v long")
 
 
+def _band(percent: int) -> Column:
+    """Bands of set sizes such that sizes of two sets that link lie in one or in neighbouring bands."""
+    wide = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-9
+    return F.floor(F.log("n") / wide)
+
+
+def _lists(posts: DataFrame) -> DataFrame:
+    """The postings of tokens whose members are not all of one component."""
+    mixed = posts.groupBy("token").agg(F.min("own").alias("_low"), F.max("own").alias("_high")).where("_low < _high").select("token")
+    return posts.join(mixed, "token", "left_semi")
+
+
+def _renamed(posts: DataFrame, rest: list[str]) -> DataFrame:
+    """Postings as the other side of a join: b and v for sig and own, the rest marked."""
+    return posts.select("token", F.col("sig").alias("b"), *(F.col(c).alias(f"{c}_b") for c in rest), F.col("own").alias("v"))
+
+
+def _merged(labels: DataFrame | None, moved: DataFrame) -> DataFrame:
+    """Components of classes, after components have been linked: node and component of what moved."""
+    if labels is None:
+        return moved.select(F.col("node").alias("sig"), "component")
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    kept = labels.join(to, "component", "left").select("sig", F.coalesce("_to", "component").alias("component"))
+    known = labels.select("component").distinct().select(F.col("component").alias("node"))
+    return kept.unionByName(moved.join(known, "node", "left_anti").select(F.col("node").alias("sig"), "component"))
+
+
 def _rounds(classes: DataFrame, percent: int) -> DataFrame:
-    """sig and component of the classes that have a link; components are named by a signature."""
-    posts = classes.select("sig", "n", "shared", "asked", F.col("sig").alias("own"), F.explode("prefix").alias("token"))
+    """sig and component of the classes that have a link; components are named by a signature.
+
+    Each step is written, and what it was made from removed.
+    """
+    sizes = ["n", "shared", "asked"]
+    pair = [F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b"), F.least("own", "v").alias("u"), F.greatest("own", "v").alias("v"), F.least("asked", "asked_b").alias("asked")]
+
+    def near(most: Column) -> Column:
+        """Whether a pair of different components that has so much in common at most can link."""
+        return (F.col("own") != F.col("v")) & (100 * most >= percent * (F.col("n") + F.col("n_b") - most))
+
+    def linked(found: DataFrame, labels: DataFrame | None, whole: bool) -> DataFrame:
+        pairs = found.select(*pair).groupBy("a", "b", "u", "v").agg(F.count("*").alias("_n"), F.min("asked").alias("asked"))
+        pairs = pairs.where("_n >= asked") if whole else pairs
+        links = written(_verify(pairs.select("a", "b", "u", "v"), classes, percent), "verified")
+        out = written(_merged(labels, components(links)), "labels")
+        discard(links, labels)
+        return out
+
     labels: DataFrame | None = None
-    for k in (*PIVOTS, 0):
-        mixed = posts.groupBy("token").agg(F.min("own").alias("_low"), F.max("own").alias("_high")).where("_low < _high").select("token")
-        posts = posts.join(mixed, "token", "left_semi")
-        if not k:  # sketches come along for what is left
-            posts = posts.join(classes.select("sig", "bits"), "sig")
-        posts = written(posts, "postings")
+    posts = classes.select("sig", *sizes, F.col("sig").alias("own"), F.explode("prefix").alias("token"))
+    for k in PIVOTS:
+        posts = written(_lists(posts), "postings")
         if posts.isEmpty():
             break
-        other = posts.select("token", F.col("sig").alias("b"), *(F.col(c).alias(f"{c}_b") for c in posts.columns if c not in ("token", "sig", "own")), F.col("own").alias("v"))
-        most = F.least("shared", "shared_b")  # what a pair has in common at most
-        if k:
-            group = F.pmod(F.xxhash64("b", F.lit(k)), F.lit(k))
-            least = F.min(F.struct(F.col("n_b") - F.col("shared_b"), F.xxhash64("b"), *(c for c in other.columns if c != "token")))  # what has least of its own is nearest to the others
-            other = written(other.groupBy("token", group.alias("_g")).agg(least.alias("_p")).select("token", *(f"_p.{c}" for c in other.columns if c != "token")), "pivots")
-        else:
-            apart = sum((F.bit_count(F.get(F.col("bits"), F.lit(i)).bitwiseXOR(F.get(F.col("bits_b"), F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-            most = F.least(most, F.floor((F.col("shared") + F.col("shared_b") - apart) / 2))
-        near = (F.col("own") != F.col("v")) & (100 * most >= percent * (F.col("n") + F.col("n_b") - most))
-        if not k:
-            near &= F.col("sig") < F.col("b")
-        found = posts.withColumnRenamed("token", "_t").join(other, (F.col("_t") == F.col("token")) & near)
-        pairs = found.select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b"), F.least("own", "v").alias("u"), F.greatest("own", "v").alias("v"), F.least("asked", "asked_b").alias("asked"))
-        pairs = pairs.groupBy("a", "b", "u", "v").agg(F.count("*").alias("_n"), F.min("asked").alias("asked"))
-        if not k:  # all shingles that two prefixes share are here, unless the pair was verified before
-            pairs = pairs.where("_n >= asked")
-        links = _verify(pairs.select("a", "b", "u", "v"), classes, percent)
-        moved = written(components(links), "components")
-        if labels is None:
-            labels = moved.select(F.col("node").alias("sig"), "component")
-        else:
-            to = moved.select(F.col("node").alias("component"), F.col("component").alias("_to"))
-            kept = labels.join(to, "component", "left").select("sig", F.coalesce("_to", "component").alias("component"))
-            known = labels.select("component").distinct().select(F.col("component").alias("node"))
-            fresh = moved.join(known, "node", "left_anti").select(F.col("node").alias("sig"), "component")
-            labels = kept.unionByName(fresh)
-        labels = written(labels, "labels")
-        if k:
-            left = posts.join(other.select("token", F.col("b").alias("sig")), ["token", "sig"], "left_anti")
-            posts = left.drop("own").join(labels, "sig", "left").select("sig", "n", "shared", "asked", F.coalesce("component", "sig").alias("own"), "token")
-    return labels if labels is not None else classes.select("sig", F.col("sig").alias("component")).limit(0)
+        # what has least of its own is nearest to the others
+        least = F.min(F.struct(F.col("n_b") - F.col("shared_b"), F.xxhash64("b"), "b", *(f"{c}_b" for c in sizes), "v"))
+        group = F.pmod(F.xxhash64("b", F.lit(k)), F.lit(k))
+        pivots = written(_renamed(posts, sizes).groupBy("token", group.alias("_g")).agg(least.alias("_p")).select("token", "_p.b", *(f"_p.{c}_b" for c in sizes), "_p.v"), "pivots")
+        found = posts.withColumnRenamed("token", "_t").join(pivots, (F.col("_t") == F.col("token")) & near(F.least("shared", "shared_b")))
+        labels = linked(found, labels, False)
+        left = posts.join(pivots.select("token", F.col("b").alias("sig")), ["token", "sig"], "left_anti")
+        rest = written(left.drop("own").join(labels, "sig", "left").select("sig", *sizes, F.coalesce("component", "sig").alias("own"), "token"), "rest")
+        discard(posts, pivots)
+        posts = rest
+    # all shingles that two prefixes share are here, unless the pair was verified before; sketches come along for what is left
+    rest = posts
+    posts = written(_lists(rest).join(classes.select("sig", "bits"), "sig").withColumn("band", _band(percent)), "postings")
+    discard(rest)
+    if posts.isEmpty():
+        return labels if labels is not None else classes.select("sig", F.col("sig").alias("component")).limit(0)
+    other = _renamed(posts, [*sizes, "bits", "band"]).withColumn("_band", F.explode(F.array("band_b", F.col("band_b") - 1)))
+    apart = sum((F.bit_count(F.get(F.col("bits"), F.lit(i)).bitwiseXOR(F.get(F.col("bits_b"), F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    most = F.least("shared", "shared_b", F.floor((F.col("shared") + F.col("shared_b") - apart) / 2))
+    smaller = (F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("sig") < F.col("b")))
+    same = (F.col("_t") == F.col("token")) & (F.col("band") == F.col("_band"))
+    labels = linked(posts.withColumnRenamed("token", "_t").join(other, same & smaller & near(most)), labels, True)
+    discard(posts)
+    return labels
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -301,7 +340,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
     words is percent / 100 or more.
     """
     configure(docs.sparkSession)
-    ranges = min(max(8, plan_bytes(docs) // RANGE_BYTES), 1 << 20)
+    ranges = min(max(8, plan_bytes(docs) // RANGE_BYTES), 1 << 26)
     shared = written(_count(_deal(docs, key, text, size, ranges), ranges), "shingles")
     rows = shared.where("part < 0").select(F.explode("docs").alias("d")).select("d.*")
     classes = written(_prefixes(shared.where("part >= 0").drop("docs"), percent), "classes")
@@ -310,7 +349,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
     named = least.join(labels, "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = written(named.join(lowest, "component").select("sig", "component_id"), "class-ids")
-    return rows.join(ids, "sig", "left").select(F.col("key").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), F.when(F.col("sig") != 0, F.col("sig")).alias("class_id"))
+    out = rows.join(ids, "sig", "left").select(F.col("key").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), F.when(F.col("sig") != 0, F.col("sig")).alias("class_id"))
+    out = written(out, "joined")
+    discard(shared, classes, labels, ids)
+    return out
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
