@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,26 +36,27 @@ from .textstats import Words
 #: Texts that training uses at most, and the words that it takes of them, both shared out evenly among languages.
 TRAINING_TEXTS = 1_600
 TRAINING_WORDS = 320_000
-#: Of longer texts training reads the beginning (they are labelled whole all the same).
-TRAINING_CHARS = 20_000
+#: Of longer texts training reads so many characters, in WINDOWS stretches spread evenly from the first to the last
+#: (they are labelled whole all the same).
+TRAINING_CHARS, WINDOWS = 20_000, 10
 BUCKETS = 1 << 16
 LEXICON = 4_000
-BLOCK = 32
+#: Words whose features are worked out at once.
+SLAB = 20_000
 UNKNOWN = "und"
 
 
-def word_features(words: list[bytes], lexicon: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the features of words, and how many each word has.
+def word_features(words: list[bytes], lexicon: dict[bytes, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the features of words and the words that have them, in order: a pair of arrays for each kind.
 
     n-grams of one to four bytes, with marks at a word's ends so that those at
     an end are its affixes, a longer suffix, and the word itself if the lexicon has it.
     """
     text = [b"\x01" + w + b"\x02" for w in words]
-    size = np.array([len(t) for t in text], dtype=np.int64)
     flat = np.frombuffer(b"".join(text), dtype=np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), size)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter(map(len, text), dtype=np.int64, count=len(text)))
     n = len(flat)
-    parts, owners = [], []
+    out = []
     code = np.zeros(n, dtype=np.uint64)
     for k in range(5):
         if n <= k:
@@ -65,15 +66,21 @@ def word_features(words: list[bytes], lexicon: dict[bytes, int]) -> tuple[np.nda
         inside = owner[:m] == owner[k:]
         if k == 4:
             inside &= flat[k:] == 2
-        parts.append(((code[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64))
-        owners.append(owner[:m][inside])
-    known = np.array([lexicon.get(w, -1) for w in words], dtype=np.int64)
-    held = np.flatnonzero(known >= 0)
-    parts.append(known[held] + BUCKETS)
-    owners.append(held)
-    bucket, own = np.concatenate(parts), np.concatenate(owners)
-    order = np.argsort(own, kind="stable")
-    return bucket[order], np.bincount(own, minlength=len(words))
+        out.append((((code[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int32), owner[:m][inside]))
+    known = np.fromiter((lexicon.get(w, -1) for w in words), dtype=np.int32, count=len(words))
+    held = np.flatnonzero(known >= 0).astype(np.int32)
+    out.append((known[held] + np.int32(BUCKETS), held))
+    return out
+
+
+def weighed(weights: np.ndarray, features: list[tuple[np.ndarray, np.ndarray]], words: int) -> np.ndarray:
+    """The sum of the weights of each word's features."""
+    out = np.zeros((words, weights.shape[1]), dtype=weights.dtype)
+    for bucket, owner in features:
+        if len(bucket):
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            out[owner[starts]] += np.add.reduceat(np.take(weights, bucket, axis=0), starts, axis=0)
+    return out
 
 
 def with_letter(words: list[bytes]) -> np.ndarray:
@@ -90,11 +97,10 @@ class Model:
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
         """What speaks for each language, for each word; nothing where a word has no letter."""
-        if not words:
-            return np.zeros((0, len(self.languages)), dtype=np.float32)
-        bucket, count = word_features(words, self.lexicon)
-        out = np.add.reduceat(self.weights[bucket], np.cumsum(count) - count, axis=0)
-        out[~with_letter(words)] = 0
+        out = np.zeros((len(words), len(self.languages)), dtype=np.float32)
+        for a in range(0, len(words), SLAB):
+            part = words[a : a + SLAB]
+            out[a : a + SLAB] = weighed(self.weights, word_features(part, self.lexicon), len(part)) * with_letter(part)[:, None]
         return out
 
 
@@ -105,27 +111,30 @@ def marginals(e: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> np.ndarra
     cut into blocks whose transfer matrices are multiplied for all blocks at
     once; then each sequence's messages pass from block to block, and last
     through the places of all blocks at once.  It is exact, and the number of
-    array operations goes with the longest sequence over BLOCK.
+    array operations goes with a block's places and the blocks of the longest
+    sequence.  Blocks grow with the labels, so that the matrices take a bounded
+    number of cells for each place.
     """
     k = e.shape[1]
     if not len(e):
         return np.zeros((0, k))
-    blocks = -(-counts // BLOCK)
+    block = max(32, k * k // 4)
+    blocks = -(-counts // block)
     first = np.cumsum(blocks) - blocks
     n = int(blocks.sum())
-    at = np.repeat(first * BLOCK - (np.cumsum(counts) - counts), counts) + np.arange(len(e))
-    shown = np.ones((n * BLOCK, k))
+    at = np.repeat(first * block - (np.cumsum(counts) - counts), counts) + np.arange(len(e))
+    shown = np.ones((n * block, k))
     shown[at] = np.exp(e - e.max(axis=1, keepdims=True))
-    shown = shown.reshape(n, BLOCK, k)
-    here = np.zeros(n * BLOCK, dtype=bool)
+    shown = shown.reshape(n, block, k)
+    here = np.zeros(n * block, dtype=bool)
     here[at] = True
-    here = here.reshape(n, BLOCK)
+    here = here.reshape(n, block)
     move = np.exp(moves - moves.max()).astype(float)
     start = np.zeros(n, dtype=bool)
     start[first[counts > 0]] = True
 
     transfer = np.broadcast_to(np.eye(k), (n, k, k)).copy()
-    for c in range(BLOCK):
+    for c in range(block):
         live = here[:, c]
         moved = transfer @ move
         if c == 0:
@@ -144,9 +153,9 @@ def marginals(e: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> np.ndarra
         i = first[order[: alive[b + 1]]] + b
         v = np.einsum("nj,nkj->nk", back[i + 1], transfer[i + 1])
         back[i] = v / v.max(axis=1, keepdims=True)
-    out = np.empty((n, BLOCK, k))
+    out = np.empty((n, block, k))
     v = into
-    for c in range(BLOCK):
+    for c in range(block):
         moved = v @ move
         if c == 0:
             moved[start] = v[start]
@@ -155,7 +164,7 @@ def marginals(e: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> np.ndarra
         v = np.where(here[:, c, None], step, v)
         out[:, c] = v
     v = back
-    for c in range(BLOCK - 1, -1, -1):
+    for c in range(block - 1, -1, -1):
         out[:, c] *= v
         step = (v * shown[:, c]) @ move.T
         step /= step.max(axis=1, keepdims=True)
@@ -195,57 +204,86 @@ def _sequences(words: list[np.ndarray], labels: np.ndarray, length: int, rng: np
     return out[0], out[1]
 
 
-def fit(texts: list[str], languages: list[str], rounds: int = 45, rate: float = 0.04, decay: float = 1e-3, length: int = 64) -> Model:
-    """Maximise the conditional likelihood of the sequences' labels by Adam on all of them at once."""
-    names = sorted(set(languages))
-    w = Words([t.lower() for t in texts])
-    ends = np.cumsum(w.counts)
-    words = [w.numbers[a:z] for a, z in zip(ends - w.counts, ends, strict=True)]
-    labels = np.array([names.index(x) for x in languages])
-    times = Counter(dict(enumerate(np.bincount(w.numbers, minlength=len(w.distinct)).tolist())))
-    lexicon = {w.distinct[i]: r for r, (i, n) in enumerate(sorted(times.items(), key=lambda x: (-x[1], w.distinct[x[0]]))[:LEXICON]) if n >= 3}
-    k, size = len(names), BUCKETS + LEXICON
-    model = Model(names, np.zeros((size, k), dtype=np.float32), np.zeros((k, k)), lexicon)
-    seqs, gold = _sequences(words, labels, length, np.random.default_rng(7))
-    if k < 2 or not len(seqs):
-        return model
-    here = seqs >= 0
-    used, which = np.unique(seqs[here], return_inverse=True)
-    flat = np.zeros(seqs.shape, dtype=np.int64)
-    flat[here] = which
-    distinct = [w.distinct[i] for i in used]
-    bucket, count = word_features(distinct, lexicon)
-    starts, owner, live = np.cumsum(count) - count, np.repeat(np.arange(len(distinct)), count), with_letter(distinct)
-    s, length = seqs.shape
-    truth = np.eye(k)[gold]
-    pairs = np.zeros((k, k))
-    np.add.at(pairs, (gold[:, :-1][here[:, 1:]], gold[:, 1:][here[:, 1:]]), 1)
-    state = [np.zeros_like(p, dtype=float) for p in (model.weights, model.weights, model.moves, model.moves)]
-    for r in range(1, rounds + 1):
-        e = np.add.reduceat(model.weights[bucket], starts, axis=0) * live[:, None]
-        shown = np.exp((x := e[flat].astype(float)) - x.max(axis=2, keepdims=True))
-        move = np.exp(model.moves)
+@dataclass
+class Sequences:
+    """Training sequences, all of one length with -1 after the end of shorter ones."""
+
+    words: np.ndarray  # (sequences, length): numbers of distinct words
+    gold: np.ndarray
+    distinct: list[bytes]
+    lexicon: dict[bytes, int]
+    labels: int
+
+    def __post_init__(self) -> None:
+        self.here = self.words >= 0
+        self.flat = np.where(self.here, self.words, 0)
+        self.features = word_features(self.distinct, self.lexicon)
+        self.live = with_letter(self.distinct)
+        self.truth = np.eye(self.labels)[self.gold]
+        self.pairs = np.zeros((self.labels, self.labels))
+        np.add.at(self.pairs, (self.gold[:, :-1][self.here[:, 1:]], self.gold[:, 1:][self.here[:, 1:]]), 1)
+
+    def gradient(self, weights: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood of the labels over all sequences, and its slopes by weights and moves, by forward-backward."""
+        k, size = self.labels, len(weights)
+        s, length = self.flat.shape
+        here = self.here
+        x = (weighed(weights, self.features, len(self.distinct)) * self.live[:, None]).astype(float)[self.flat]
+        top = x.max(axis=2, keepdims=True)
+        shown = np.exp(x - top)
+        move = np.exp(moves)
         a, b = np.empty((length, s, k)), np.empty((length, s, k))
-        v = shown[:, 0] / shown[:, 0].sum(axis=1, keepdims=True)
+        norm = shown[:, 0].sum(axis=1, keepdims=True)
+        v = shown[:, 0] / norm
+        total = float((np.log(norm[:, 0]) * here[:, 0]).sum())
         a[0], b[-1] = v, 1.0
         for t in range(1, length):
             step = (v @ move) * shown[:, t]
-            v = np.where(here[:, t, None], step / step.sum(axis=1, keepdims=True), v)
+            norm = step.sum(axis=1, keepdims=True)
+            v = np.where(here[:, t, None], step / norm, v)
+            total += float((np.log(norm[:, 0]) * here[:, t]).sum())
             a[t] = v
         v = b[-1]
         seen = np.zeros((k, k))
         for t in range(length - 1, 0, -1):
             right = v * shown[:, t]
-            joint = a[t - 1].T @ (here[:, t, None] * right / ((a[t - 1] @ move) * right).sum(axis=1, keepdims=True)) * move
-            seen += joint
+            seen += a[t - 1].T @ (here[:, t, None] * right / ((a[t - 1] @ move) * right).sum(axis=1, keepdims=True)) * move
             step = right @ move.T
             v = np.where(here[:, t, None], step / step.sum(axis=1, keepdims=True), v)
             b[t - 1] = v
         p = a * b
         p = (p / p.sum(axis=2, keepdims=True)).transpose(1, 0, 2)
-        miss = (truth - p) * here[:, :, None]
-        by_word = np.stack([np.bincount(flat.ravel(), miss[:, :, j].ravel(), len(distinct)) for j in range(k)], axis=1) * live[:, None]
-        grads = [np.stack([np.bincount(bucket, by_word[owner, j], size) for j in range(k)], axis=1) / s - decay * model.weights, (pairs - seen) / s - decay * model.moves]
+        miss = (self.truth - p) * here[:, :, None]
+        n = len(self.distinct)
+        by_word = np.stack([np.bincount(self.flat.ravel(), miss[:, :, j].ravel(), n) for j in range(k)], axis=1) * self.live[:, None]
+        slope = np.zeros((size, k))
+        for bucket, owner in self.features:
+            slope += np.stack([np.bincount(bucket, by_word[owner, j], size) for j in range(k)], axis=1)
+        loglik = float(((x * self.truth).sum(axis=2) * here).sum() + (self.pairs * moves).sum()) - total - float((top[:, :, 0] * here).sum())
+        return loglik, slope, self.pairs - seen
+
+
+def fit(texts: list[str], languages: list[str], rounds: int = 45, rate: float = 0.04, decay: float = 1e-3, length: int = 64) -> Model:
+    """Maximise the conditional likelihood of the sequences' labels by Adam on all of them at once."""
+    names = sorted(set(languages))
+    w = Words([t.lower() for t in texts])
+    ends = np.cumsum(w.counts)
+    words = [w.numbers[a:z] for a, z in zip(ends - w.counts, ends, strict=True)]
+    labels = np.array([names.index(x) for x in languages])
+    times = Counter(dict(enumerate(np.bincount(w.numbers, minlength=len(w.distinct)).tolist())))
+    lexicon = {w.distinct[i]: r for r, (i, n) in enumerate(sorted(times.items(), key=lambda x: (-x[1], w.distinct[x[0]]))[:LEXICON]) if n >= 3}
+    k = len(names)
+    model = Model(names, np.zeros((BUCKETS + LEXICON, k), dtype=np.float32), np.zeros((k, k)), lexicon)
+    seqs, gold = _sequences(words, labels, length, np.random.default_rng(7))
+    if k < 2 or not len(seqs):
+        return model
+    used, which = np.unique(seqs[seqs >= 0], return_inverse=True)
+    seqs[seqs >= 0] = which
+    data = Sequences(seqs, gold, [w.distinct[i] for i in used], lexicon, k)
+    state = [np.zeros_like(p, dtype=float) for p in (model.weights, model.weights, model.moves, model.moves)]
+    for r in range(1, rounds + 1):
+        _, by_weight, by_move = data.gradient(model.weights, model.moves)
+        grads = by_weight / len(seqs) - decay * model.weights, by_move / len(seqs) - decay * model.moves
         for n, (param, g) in enumerate(zip((model.weights, model.moves), grads, strict=True)):
             m, q = state[2 * n], state[2 * n + 1]
             m *= 0.9
@@ -257,7 +295,10 @@ def fit(texts: list[str], languages: list[str], rounds: int = 45, rate: float =
 
 
 def _pieces(texts: list[str], most: int) -> list[str]:
-    """Texts with most words together at most: the longest are cut to the length at which that holds."""
+    """Texts with most words together at most: the longest are cut to the length at which that holds.
+
+    What is kept of a text are runs of words, as many as WINDOWS, spread evenly from its first word to its last.
+    """
     own = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
     left, cap = most, 0
     for n, size in zip(range(len(own), 0, -1), sorted(map(len, own)), strict=True):
@@ -265,7 +306,23 @@ def _pieces(texts: list[str], most: int) -> list[str]:
         if size > cap:
             break
         cap, left = size, left - size
-    return [" ".join(x[: max(cap, 1)]) for x in own]
+    cap = max(cap, 1)
+    runs = min(WINDOWS, cap)
+
+    def cut(x: list[str]) -> list[str]:
+        each = cap // runs
+        starts = [round(i * (len(x) - each) / max(runs - 1, 1)) for i in range(runs)]
+        return x if len(x) <= cap else [y for s in starts for y in x[s : s + each]]
+
+    return [" ".join(cut(x)) for x in own]
+
+
+def _windows(text: Column, most: int, windows: int) -> Column:
+    """A text, or of one with more than so many characters stretches of whole words spread evenly over it."""
+    size = most // windows
+    start = lambda i: (i * (F.length(text) - size) / (windows - 1)).cast("int") + 1
+    stretch = lambda i: F.regexp_replace(F.substr(text, start(i), F.lit(size)), r"^[^\x20\x09-\x0D]+(?=[\x20\x09-\x0D])|(?<=[\x20\x09-\x0D])[^\x20\x09-\x0D]+$", "")
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), stretch), " "))
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = TRAINING_TEXTS) -> Model | None:
@@ -275,14 +332,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     even share of the words; counts over the whole table say which part of the
     hash range holds that many.
     """
-    usable = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("string").alias("k"), F.substring(text, 1, TRAINING_CHARS).alias("t"), F.col(lang).cast("string").alias("l"))
+    usable = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     count = {r.l: r.n for r in usable.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not count:
         return None
     quota = max(1, texts // len(count))
     hashed = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
     least = F.coalesce(*(F.when(F.col("l") == name, F.lit(int(min(1.0, (1.3 * quota + 20) / n) * (1 << 30)))) for name, n in count.items()))
-    rows = usable.where(hashed < least).withColumn("h", hashed).groupBy("k", "l").agg(F.first("h").alias("h"), F.min("t").alias("t")).collect()
+    picked = usable.where(hashed < least).select("k", "l", hashed.alias("h"), _windows(F.col("t"), TRAINING_CHARS, WINDOWS).alias("t"))
+    rows = picked.groupBy("k", "l").agg(F.first("h").alias("h"), F.min("t").alias("t")).collect()
     by = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.h, r.k or "")):
         by[r.l].append(r.t)
@@ -314,7 +372,7 @@ def label(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         names = pa.array(m.languages)
-        for batch, texts in chunks(batches, text, 4_000_000):
+        for batch, texts in chunks(batches, text):
             w, _, pick, lang, score = _labelled(m, texts)
             new = np.ones(w.total, dtype=bool)
             new[1:] = (pick[1:] != pick[:-1]) | (w.doc[1:] != w.doc[:-1])
@@ -334,7 +392,7 @@ def keep(docs: DataFrame, model: Model | None, least: float = 0.5, text: str = "
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, text, 4_000_000):
+        for batch, texts in chunks(batches, text):
             _, _, _, lang, score = _labelled(sent.value, texts)
             yield batch.filter(pa.array((score >= least) & np.array([x != UNKNOWN for x in lang])))
 
