@@ -43,7 +43,8 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document counted and judged by how a public vocabulary knows it."""
-    return quality_rules.rate(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    second = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return quality_rules.rate(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), second)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
