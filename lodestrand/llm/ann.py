@@ -32,13 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import configure, written
 
-#: Vectors that the centroids are fitted on, at most.
-SAMPLE = 20_000
-#: Centroids at most (what is sent to every task is bounded by it), and vectors a list at least aimed at.
-MOST_LISTS, LIST_SIZE = 4_096, 256
+#: Vectors that the centroids are fitted on, at most, unless lists are so many that each needs PER_LIST of them.
+SAMPLE, PER_LIST = 20_000, 4
+#: Lists grow with the square root of the vectors: so many times that, but LIST_SIZE vectors a list at least are aimed at.
+#: Their centroids are sent to every task, so no more than MOST_LISTS are made: reached at some 60 million vectors.
+LISTS, LIST_SIZE, MOST_LISTS = 4, 256, 32_768
 #: Neighbours of a centroid in the graph, entries, and centroids that a search keeps.
 DEGREE, ENTRIES, BEAM = 16, 8, 64
 #: The floor under a query's scores is that of so many times the vectors asked for, of the sample.
@@ -50,7 +52,7 @@ REPLICAS, BOUNDARY = 6, 1.03
 #: A further list needs a centroid at least so much (of its own distance) away from those chosen.
 APART = 0.4
 #: Queries of the sample by which the ratio for a query's lists is set, and the share of their neighbours that it must reach.
-TRIALS, REACH = 300, 0.97
+TRIALS, REACH = 300, 0.95
 #: Lists that are searched together, and the rows and the queries' readings of such a group that one task works on.
 GROUP, BLOCKS = 8, (8_192, 32_768)
 
@@ -159,7 +161,8 @@ def centroid_graph(c: np.ndarray, degree: int) -> np.ndarray:
     for i in range(n):
         d = norms + norms[i] - 2 * c @ c[i]
         d[i] = np.inf
-        near = np.argsort(d, kind="stable")[: min(n - 1, 4 * degree)]
+        near = np.argpartition(d, min(n - 1, 4 * degree) - 1)[: min(n - 1, 4 * degree)] if n > 1 else np.empty(0, dtype=np.int64)
+        near = near[np.argsort(d[near], kind="stable")]
         chosen: list[int] = []
         for j in near.tolist():
             if len(chosen) < degree and all(norms[j] + norms[k] - 2 * c[j] @ c[k] >= d[j] for k in chosen):
@@ -189,13 +192,18 @@ def build(sample: np.ndarray, radius: float, lists: int, k: int = 20, seed: int
         far = np.minimum(far, ((c - c[chosen[-1]]) ** 2).sum(axis=1))
     index.entries = np.unique(chosen)
     index.ratio = calibrate(index, sample, k, rng)
-    index.sample = sample.astype(np.float32)
+    index.sample = sample[:SAMPLE].astype(np.float32)
     return index
 
 
-def vector_lists(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def vector_lists(index: Index, x: np.ndarray, at_once: int = 16 * SEARCHED) -> tuple[np.ndarray, np.ndarray]:
     """Row and list of every place that vectors are put: the nearest centroid, and others across a boundary,
-    but not in the direction of one that has it already."""
+    but not in the direction of one that has it already.  Rows come in order."""
+    parts = [_vector_lists(index, x[a : a + at_once]) for a in range(0, len(x), at_once)] or [_vector_lists(index, x)]
+    return np.concatenate([row + i * at_once for i, (row, _) in enumerate(parts)]), np.concatenate([at for _, at in parts])
+
+
+def _vector_lists(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids, dist = index.search(index.lifted(x), beam=min(BEAM, 32))
     c = index.centroids
     took = np.zeros(ids.shape, dtype=bool)
@@ -232,16 +240,18 @@ def query_lists(index: Index, q: np.ndarray, sizes: np.ndarray, rows: int) -> tu
 def calibrate(index: Index, sample: np.ndarray, k: int, rng: np.random.Generator) -> float:
     """The distance ratio within which lists must be read to meet REACH of the true neighbours of queries of the sample."""
     own = rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)
-    held = np.zeros((len(sample), len(index.centroids)), dtype=bool)
-    held[vector_lists(index, sample)] = True
+    row, at = vector_lists(index, sample)  # rows in order
+    first = np.searchsorted(row, np.arange(len(sample) + 1))
     q = index.aimed(sample[own])
     dist = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (index.centroids**2).sum(axis=1) - 2 * q @ index.centroids.T, 0))
     dist /= np.maximum(dist.min(axis=1, keepdims=True), 1e-9)
-    scores = sample[own] @ sample.T
-    scores[np.arange(len(own)), own] = -np.inf
-    near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-    need = [np.where(held[near[i]], dist[i], np.inf).min(axis=1) for i in range(len(own))]
-    return float(np.quantile(np.concatenate(need), REACH)) if near.size else 1.0
+    need = []
+    for i, q in enumerate(own):
+        scores = sample @ sample[q]
+        scores[q] = -np.inf
+        for x in np.argsort(-scores, kind="stable")[: min(k, len(sample) - 1)]:
+            need.append(dist[i, at[first[x] : first[x + 1]]].min())
+    return float(np.quantile(need, REACH)) if need else 1.0
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -249,6 +259,13 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), dim)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SEARCHED rows at most."""
+    for b in batches:
+        for a in range(0, b.num_rows, SEARCHED):
+            yield b.slice(a, SEARCHED)
+
+
 def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), key and score of the k found nearest rows of each query, its own row apart.
 
@@ -256,7 +273,8 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
     """
     spark = configure(vectors.sparkSession)
     good = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+    kind = "array<float>" if vectors.schema[vector].dataType == T.ArrayType(T.FloatType()) else "array<double>"  # scores are of the vectors as they are
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     empty = spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
     if dims is None:
@@ -267,20 +285,22 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
     classes = written(first.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("cls"), "ids", "v"), "classes")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     n, radius = classes.agg(F.count("*"), F.max(length)).first()
-    share = min(1.0, 1.1 * SAMPLE / n + 200 / n)
+    wanted = max(1, min(MOST_LISTS, n // LIST_SIZE, int(LISTS * n**0.5)))
+    size = max(SAMPLE, PER_LIST * wanted)
+    share = min(1.0, 1.1 * size / n + 200 / n)
     hashed = F.pmod(F.xxhash64("cls"), F.lit(1 << 30))
-    got = sorted(classes.where(hashed < int(share * (1 << 30))).select(hashed.alias("h"), "cls", "v").collect())[:SAMPLE]
+    got = sorted(classes.where(hashed < int(share * (1 << 30))).select(hashed.alias("h"), "cls", "v").collect())[:size]
     got.sort(key=lambda r: r.cls)
-    index = build(np.array([r.v for r in got] or [classes.first().v], dtype=np.float64), float(radius), max(1, min(MOST_LISTS, n // LIST_SIZE)), k)
+    index = build(np.array([r.v for r in got] or [classes.first().v], dtype=np.float64), float(radius), wanted, k)
     sent = spark.sparkContext.broadcast(index)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             row, at = vector_lists(sent.value, _matrix(b.column("v"), dim))
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(at), *(b.column(c).take(take) for c in ("cls", "ids", "v"))], names=["list", "cls", "ids", "v"])
 
-    lists = written(classes.mapInArrow(put, "list long, cls long, ids array<long>, v array<float>"), "lists")
+    lists = written(classes.mapInArrow(put, f"list long, cls long, ids array<long>, v {kind}"), "lists")
     sizes = np.zeros(len(index.centroids), dtype=np.int64)
     for r in lists.groupBy("list").count().collect():
         sizes[r.list] = r["count"]
@@ -289,13 +309,13 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
     own = classes.join(asking.select("cls").distinct(), "cls", "left_semi").select("cls", "v")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             q = _matrix(b.column("v"), dim)
             row, at = query_lists(sent.value, q, sizes, REPLICAS * (k + 1))
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(at), *(b.column(c).take(take) for c in ("cls", "v")), pa.array(sent.value.floor(q, FLOOR * (k + 1))[row])], names=["list", "cls", "v", "floor"])
 
-    probes = written(own.mapInArrow(probe, "list long, cls long, v array<float>, floor double"), "probes")
+    probes = written(own.mapInArrow(probe, f"list long, cls long, v {kind}, floor double"), "probes")
     lists, probes = (x.withColumn("grp", F.floor(F.col("list") / GROUP)) for x in (lists, probes))
     groups = -(-len(sizes) // GROUP)
     splits = np.ones((2, groups), dtype=np.int64)
