@@ -10,7 +10,8 @@ first, which is what the tiktoken library does.
 Defined results: a null text encodes as an empty text (no ids); an empty text
 gives an empty array; very long texts are encoded whole; repeated rows each
 give their row; an empty table gives an empty table; all other columns pass
-through as they are, and a clashing output name is refused by name.
+through as they are, but for one that has the output's name: the output takes
+its place.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbering, chunks, configure, ragged, sums
+from .common import Numbering, chunks, configure, ragged, release, sums
 
 #: Unicode white space; the regex module's \s has the same members but for no guarantee.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pieces kept with their ids by a worker before it starts afresh.
-CACHE_PIECES = 700_000
+#: Pieces kept with their ids by a task before it starts afresh, and ranks of pairs.
+CACHE_PIECES, CACHE_PAIRS = 300_000, 500_000
 
 
 class Vocabulary:
@@ -64,7 +65,7 @@ class Vocabulary:
         key = left * self.size + right
         got = self.pair_rank.get(key)
         if got is None:
-            if len(self.pair_rank) > 2_000_000:
+            if len(self.pair_rank) > CACHE_PAIRS:
                 self.pair_rank.clear()
             got = self.pair_rank[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return got
@@ -164,6 +165,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
+        self.v.pair_rank.clear()
         self.numbers = Numbering()
         self.ids = np.empty(0, dtype=np.int32)
         self.count = np.empty(0, dtype=np.int64)
@@ -190,7 +192,7 @@ class Encoder:
 
 @functools.lru_cache(maxsize=1)
 def _encoder(path: str, pattern: str) -> Encoder:
-    """A worker's encoder; what it has met serves its later tasks too."""
+    """A worker's encoder; each task empties it when it ends."""
     return Encoder(vocabulary(path, pattern))
 
 
@@ -206,34 +208,35 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     pattern: splits texts into pieces that are merged separately.
     """
     configure(df.sparkSession)
-    if out in df.columns:
-        raise ValueError(f"column {out} is there already")
-    rest = [c for c in df.columns if c != text]
-    schema = T.StructType([f for f in df.schema if f.name != text] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    rest = [c for c in df.columns if c not in (text, out)]
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
-        for batch, texts in chunks(batches, text, 3_000_000):
+        for batch, texts in chunks(batches, text):
             ids, counts = encoder.encode(texts)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [_lists(ids, counts, pa.int32())], names=[*rest, out])
+        encoder.clear()
+        release()
 
-    return df.mapInArrow(run, schema)
+    return df.select(*rest, text).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with a binary column of the bytes that the ids stand for; all columns stay.
+    """df with a binary column of the bytes that the ids stand for; all other columns stay.
 
     Null ids give empty bytes; an id that the vocabulary lacks is an error.
     """
     configure(df.sparkSession)
-    if out in df.columns:
-        raise ValueError(f"column {out} is there already")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
+    rest = [c for c in df.columns if c != out]
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.BinaryType())])
+    asked = [*rest, F.col(ids).alias("_ids")] if ids == out else rest
+    held = "_ids" if ids == out else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for batch in batches:
-            column = batch.column(ids)
+            column = batch.column(held)
             flat = np.asarray(column.flatten(), dtype=np.int64)
             if len(flat) and (flat.min() < 0 or flat.max() >= v.size):
                 raise ValueError("an id is not in the vocabulary")
@@ -242,9 +245,10 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
             body = v.token_bytes[ragged(v.token_at[flat], size)]
             ends = np.concatenate(([0], np.cumsum(sums(size, counts)))).astype(np.int32)
             decoded = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(body)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), decoded], names=[*rest, out])
+        release()
 
-    return df.mapInArrow(run, schema)
+    return df.select(*asked).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

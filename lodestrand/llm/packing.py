@@ -8,13 +8,15 @@ sequences of equal length form a bucket that is batched by itself.
 Defined results: a null text is an empty text, of which just the end id is
 packed; very long texts are packed whole; rows that repeat, or share a key,
 are each packed; a null key stays null; an empty table gives an empty table;
-of other columns just the named keys come along.
+of other columns just the named keys come along.  A tokenizer file that does
+not prepare texts word by word as known here gets them whole.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbering, chunks, configure, ragged, sums
+from .common import Numbering, chunks, configure, ragged, release, sums
 
-#: Words kept with their ids by a worker before it starts afresh.
-CACHE_WORDS = 700_000
+#: Words kept with their ids by a task before it starts afresh.
+CACHE_WORDS = 300_000
 #: Texts of these characters only are the same to every Unicode version; others go to the tokenizer as they are.
 _PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa1-įı-ɏ]*")
 #: The word pattern of the tokenizer file (a fixed value).
@@ -41,12 +43,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: How a tokenizer file prepares texts if words may be found by _WORD in lower-cased text (fixed values).
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUT = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def word_wise(path: str) -> bool:
+    """Whether a tokenizer file prepares texts as above and marks where words end; texts of others go to the tokenizer whole."""
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    prepared = [(parts.get(k) or {}).get(v) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    return prepared == [_NORMAL, _CUT] and parts["model"].get("type") == "BPE" and parts["model"].get("end_of_word_suffix") == "</w>"
+
+
 class WordEncoder:
     """Ids of texts by a word-wise BPE tokenizer file; each distinct word is merged once."""
 
     def __init__(self, path: str):
         import tokenizers
 
+        self.by_word = word_wise(path)
         self.full = tokenizers.Tokenizer.from_file(path)
         self.full.encode_special_tokens = True
         self.words = tokenizers.Tokenizer(self.full.model)
@@ -80,7 +96,7 @@ class WordEncoder:
         find, number, old = _WORD.findall, self.numbers.__getitem__, len(self.numbers)
         found: list[np.ndarray | None] = []
         for t in texts:
-            found.append(np.fromiter(map(number, find(t.lower())), dtype=np.int64) if _PLAIN.fullmatch(t) else None)
+            found.append(np.fromiter(map(number, find(t.lower())), dtype=np.int64) if self.by_word and _PLAIN.fullmatch(t) else None)
         if len(self.numbers) > old:
             self._learn(list(itertools.islice(self.numbers, old, None)))
         plain = [f for f in found if f is not None]
@@ -93,7 +109,7 @@ class WordEncoder:
 
 @functools.lru_cache(maxsize=1)
 def _encoder(path: str) -> WordEncoder:
-    """A worker's encoder; what it has met serves its later tasks too."""
+    """A worker's encoder; each task empties it when it ends."""
     return WordEncoder(path)
 
 
@@ -121,7 +137,7 @@ def pack(df: DataFrame, path: str, keys: Sequence[str] = ("doc_id",), text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         end = np.array([end_id], dtype=np.uint32)
-        for batch, texts in chunks(batches, text, 3_000_000):
+        for batch, texts in chunks(batches, text):
             ids = encoder.encode(texts)
             flat = np.concatenate([x for one in ids for x in (one, end)]).astype("<u4")
             total = np.array([len(x) + 1 for x in ids], dtype=np.int64)
@@ -135,6 +151,8 @@ def pack(df: DataFrame, path: str, keys: Sequence[str] = ("doc_id",), text: str
             tokens = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(flat.tobytes())])
             which = pa.array(row)
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(which) for k in keys), pa.array(start), pa.array(length), tokens, pa.array(total[row])], names=names)
+        encoder.clear()
+        release()
 
     pieces = df.select(*keys, text).mapInArrow(run, schema)
     return pieces.withColumns({"bucket": F.round(F.log2("length")).cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import configure, scratch, written
+from .common import BROADCAST_ROWS, configure, hadoop_path, scratch, written
 
 NAME = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -151,14 +151,16 @@ def parse(pieces: Iterator[bytes]) -> dict:
 def with_originals(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """page_id, url, html, payload_digest, refers_to and revisit.
 
-    Groups are counted from narrow rows with partial sums; whole pages are then
-    joined to the groups of two or more, where Spark may split a large group.
+    Groups are counted from narrow rows with partial sums.  Whole pages stay
+    where they are if the groups of two or more are few enough to be sent to
+    them; else they are joined by a shuffle, where Spark may split a large group.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("payload_digest"))
     light = pages.select("page_id", F.sha2(html, 256).alias("payload_digest"), F.octet_length(html).alias("size")).where(F.col("size") >= min_bytes)
     groups = light.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = rows.join(groups, "payload_digest", "left")
+    groups = written(groups, "repeated-payloads")
+    joined = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "payload_digest", "left")
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     return joined.select("page_id", "url", "html", "payload_digest", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -166,13 +168,16 @@ def with_originals(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 100, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record for each page (page_id, url, html); gives the manifest: path, records.
 
-    folder: a URI that pyarrow can write to from every executor; the shared one if not given.
+    folder: one that pyarrow can write to from every executor, named as Spark
+    resolves it (against the default file system if it has no scheme); a new one
+    in the shared folder if not given.
     """
     spark = configure(pages.sparkSession)
-    folder = folder or scratch(spark, "warc")
-    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    at, _ = hadoop_path(spark, folder or scratch(spark, "warc"))
+    uri = at.toUri().toString()
+    uri = f"file://{uri.removeprefix('file:')}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    fs, root = pafs.FileSystem.from_uri(uri)
     fs.create_dir(root, recursive=True)
-    uri = folder if "://" in folder else f"file://{folder}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(uri)
@@ -183,7 +188,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
             return pa.RecordBatch.from_pydict({"path": [path], "records": [count]})
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
                 if out is None:
                     path, count = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(path, compression=None)

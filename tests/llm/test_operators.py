@@ -13,11 +13,14 @@ import public_tokenizers
 import pytest
 import tiktoken
 import tokenizers
+import xxhash
 from pyspark.sql import functions as F
 
+from conftest import DATA
 from lodestrand.llm import ann, bpe, chat, common, gam, lang_crf, lm, ngram_join, packing, quality_rules, queries, warc
 
 RANKS, WORDS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"))
+SECOND = RANKS, public_tokenizers.PATTERN
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -80,6 +83,22 @@ def test_nearest_reaches_recall(spark):
     assert np.mean(hits) >= 0.9 and all(len(v) == 20 for v in got.values())
 
 
+def test_nearest_query_reaches_recall_on_the_table(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet").collect() if r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    got = defaultdict(list)
+    for r in queries.op1_nearest(spark, f"{DATA}/sf0.01").orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+    hits = [len(set(got[q]) & set(brute_nearest(rows, q, 20))) / 20 for q in got]
+    assert np.mean(hits) >= 0.9 and min(hits) >= 0.5
+
+
+def test_nearest_keeps_doubles(spark):
+    rows = [(i, [1.0 + i * 1e-12, 1.0]) for i in range(21)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(20, 0, -1)) and got[0].score == 2.0 + 20 * 1e-12
+
+
 def test_nearest_sample_reaches_the_largest_ids(spark, monkeypatch):
     class Seen(Exception):
         pass
@@ -148,20 +167,85 @@ def test_lm_base_scores(odd, docs, texts):
     assert lm.score_all(empty(odd)).count() == 0
 
 
+def lm_model(spark, rows, rounds=lm.ROUNDS):
+    df = common.configure(spark).createDataFrame(rows, "doc_id long, text string")
+    tokens = common.written(lm.tokenised(df, "doc_id", "text", F.lit(True)), "tokens")
+    counts = common.written(lm.counted(tokens, 8), "counts")
+    return tokens, counts, *lm.train(tokens, counts, rounds)
+
+
 def test_lm_trains_on_every_position(spark):
     rows = [(i, " ".join(f"w{(i * 3 + j) % 11}" for j in range(i % 4 or 30))) for i in range(200)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    common.configure(spark)
-    t = lm._tables(lm._counted(df, "text", 8))
-    weights = np.zeros((lm.ROWS, lm.CLASSES), dtype=np.float32)
-    assert sum(lm._changed(df, "text", t, weights, turn)[1][0] for turn in range(lm.ROUNDS)) == t.total == sum(len(x.split()) + 1 for _, x in rows)
+    tokens, _, t, _ = lm_model(spark, rows, rounds=0)
+    visits = [sum(lm._changed(tokens, t, t.weights(), turn)[k][1][: (1, lm.CLASSES)[k]].sum() for turn in range(lm.ROUNDS)) for k in (0, 1)]
+    assert visits == [t.total] * 2 and t.total == sum(len(x.split()) + 1 for _, x in rows)
+
+
+def plain_model(t, weights, text, counts):
+    """log10 probability of a text, position by position, and for each position the sum over all words and an unknown one."""
+
+    def parts(w):
+        raw = b"" if w is None else w.encode()
+        h = 1 if w is None else xxhash.xxh64_intdigest(raw)
+        kind = int(t.class_of[0 if w is None else (raw[-2] if len(raw) > 1 else 0) * 256 + raw[-1]])
+        at = int(np.searchsorted(t.head, np.uint64(h)))
+        place = int(t.head_place[at]) if at < len(t.head) and t.head[at] == h else 0
+        return h * 0x9E3779B97F4A7C15 % 2**64 >> 40, kind, place
+
+    def soft(x):
+        e = np.exp(x.astype(float) - x.max())
+        return e / e.sum()
+
+    w = [*words(text), None]
+    got = [parts(x) for x in w]
+    total, wholes = 0.0, []
+    for i, word in enumerate(w):
+        b = [got[i - k] if i >= k else (0, lm.CLASSES, 0) for k in (1, 2, 3)]
+        wide = lm.CLASSES + 1
+        outer = (0, b[0][0] % lm.WORD_ROWS, b[1][0] % lm.SKIP_ROWS, b[1][1] * wide + b[0][1], b[2][1])
+        of_class = soft(sum(weights[0][r + o] for r, o in zip(outer, lm.CLASS_OFFSETS, strict=True)))
+
+        def chance(word, parts, outside=False):
+            kind, place = parts[1], 0 if outside else parts[2]
+            inner = (kind, (b[0][0] + kind * 40503) % lm.PLACE_WORDS, (b[1][0] + kind * 40503) % lm.PLACE_SKIPS)
+            of_place = soft(sum(weights[1][r + o] for r, o in zip(inner, lm.PLACE_OFFSETS, strict=True)))
+            return of_class[kind] * of_place[place] * (1.0 if place else (counts.get(word, 0) + 1) / 10 ** t.in_place[kind])
+
+        total += math.log10(chance(word, got[i]))
+        own = {k: [] for k in range(lm.CLASSES)}
+        for x in counts:
+            own[parts(x)[1]].append(x)
+        wholes.append(sum(chance(x, parts(x)) for x in counts) + sum(chance("", (0, k, 0), True) for k in own))
+    return total, wholes
+
+
+def test_lm_scores_equal_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 60)
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"w{min(rnd.randint(0, 40), rnd.randint(0, 90))}{rnd.choice('abc')}" for _ in range(rnd.randint(0, 25)))) for i in range(150)]
+    tokens, counts, t, weights = lm_model(spark, rows)
+    times = Counter(x for _, text in rows for x in [*words(text), None])
+    assert 0 < len(t.head) < len(times) and t.head_place.max() > 0
+    got = {r.doc_id: r for r in lm.score(tokens, counts, t, weights, 8).collect()}
+    for k, text in rows[:12]:
+        total, wholes = plain_model(t, weights, text, times)
+        assert abs(got[k].score - total) < 1e-3 and all(abs(x - 1) < 1e-3 for x in wholes)
+
+
+def test_lm_learns_context(spark):
+    a, b = "red apple sweet", "blue berry sour"
+    rows = [(i, " ".join(a if (i + j) % 2 else b for j in range(20))) for i in range(300)]
+    tokens, counts, t, weights = lm_model(spark, rows)
+    plain = {r.doc_id: r.score for r in lm.score(tokens, counts, t, t.weights(), 8).collect()}
+    assert all(r.score > plain[r.doc_id] + 1 for r in lm.score(tokens, counts, t, weights, 8).collect())
 
 
 def test_lm_shares_add_up():
     g = np.random.default_rng(2)
-    rows = g.integers(0, lm.ROWS, (50, 6))
-    w = g.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
-    assert np.allclose(np.exp(lm.log_shares(w, rows)).sum(axis=1), 1, atol=1e-5)
+    rows, outcome = g.integers(0, 500, (6, 50)), g.integers(0, 48, 50)
+    w = 40 * g.normal(size=(500, 48)).astype(np.float32)
+    p = lm.shares(w, rows)
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and np.allclose(lm.log_shares(w, rows, outcome)[p[np.arange(50), outcome] > 1e-30], np.log(p[np.arange(50), outcome][p[np.arange(50), outcome] > 1e-30]), atol=1e-3)
 
 
 # -- packing
@@ -293,6 +377,52 @@ def test_rules(odd, docs):
     assert quality_rules.rate(empty(odd), PIECES).count() == 0
 
 
+#: The first article of the declaration of human rights.
+ARTICLES = {
+    "indic": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए",
+    "georgian": "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით",
+    "armenian": "Բոլոր մարդիկ ծնվում են ազատ ու հավասար իրենց արժանապատվությամբ ու իրավունքներով նրանք ունեն բանականություն ու խիղճ և միմյանց պետք է եղբայրաբար վերաբերվեն",
+    "hebrew": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם כולם חוננו בתבונה ובמצפון לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה",
+    "arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء",
+    "cjk": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다",
+    "greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα Είναι προικισμένοι με λογική και συνείδηση",
+    "cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства",
+    "other": "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል",
+}
+BLOCKS = {"indic": (0x905, 0x939), "armenian": (0x561, 0x586), "hebrew": (0x5D0, 0x5EA), "arabic": (0x620, 0x64A), "cjk": (0x4E00, 0x9FFF), "greek": (0x3B1, 0x3C9), "cyrillic": (0x430, 0x44F), "other": (0xA000, 0xA48C)}
+
+
+def test_rules_keep_scripts_and_reject_their_random_letters(spark):
+    g = random.Random(5)
+    rows = [(i, s, True, t) for i, (s, t) in enumerate(ARTICLES.items())]
+    rows += [(100 + i, s, False, " ".join("".join(chr(g.randint(a, z)) for _ in range(8)) for _ in range(80))) for i, (s, (a, z)) in enumerate(BLOCKS.items())]
+    got = {r.doc_id: r for r in quality_rules.rate(spark.createDataFrame([(i, t) for i, _, _, t in rows], "doc_id long, text string"), PIECES, SECOND, min_words=5).collect()}
+    assert {(i, got[i].script, got[i].kept) for i, *_ in rows} == {(i, s, k) for i, s, k, _ in rows}
+
+
+def test_rules_measure_as_a_plain_count(spark, docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.vocabulary(RANKS, public_tokenizers.PATTERN).ranks, special_tokens={})
+    rows = [(r.doc_id, r.text) for r in docs.limit(40).collect()] + [(10_000 + i, t) for i, t in enumerate(ARTICLES.values())]
+    got = {r.doc_id: r for r in quality_rules.rate(spark.createDataFrame(rows, "doc_id long, text string"), PIECES, SECOND).collect()}
+    for k, text in rows:
+        w = words(text, lower=False)
+        pieces = [x for y in w for x in sp.encode(y)]
+        r, n, b = got[k], max(len(pieces), 1), quality_rules.BANDS[got[k].script]
+        chars, share = sum(map(len, w)) / n, sum(sp.is_byte(x) or "\ufffd" in sp.id_to_piece(x) for x in pieces) / n
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(pieces).values())
+        assert r.n_tokens == len(pieces) and abs(r.chars_per_token - chars) < 1e-9 and abs(r.byte_share - share) < 1e-9 and abs(r.token_entropy - entropy) < 1e-9
+        second = None
+        if b.second:
+            own = [y for y in w if quality_rules.top_letter(y) >= 0x370]  # no text here mixes two of the scripts asked
+            second = sum(map(len, own)) / sum(len(enc.encode_ordinary(" " + y)) for y in own)
+            assert abs(r.second_chars - second) < 1e-9
+        fits = b.chars_per_token[0] <= chars <= b.chars_per_token[1] and share <= b.byte_share and entropy >= b.entropy * math.log2(max(min(n, b.entropy_tokens), 1)) and (second is None or second >= b.second)
+        assert r.kept == (fits and not r.base_failed)
+
+
 def test_rules_reject_what_no_vocabulary_knows(spark):
     g = random.Random(1)
     noise = " ".join("".join(chr(g.randint(0xE000, 0xE0FF)) for _ in range(8)) for _ in range(80))
@@ -333,6 +463,59 @@ def test_marginals_are_exact():
         at += n
 
 
+def test_crf_gradient_is_that_of_the_likelihood():
+    g = np.random.default_rng(4)
+    distinct = [b"abc", b"de", b"fgh", b"12"]
+    seqs, gold = g.integers(0, 4, (5, 7)), g.integers(0, 3, (5, 7))
+    seqs[1, 4:], gold[1, 4:], seqs[3, 1:], gold[3, 1:] = -1, -1, -1, -1
+    data = lang_crf.Sequences(seqs, gold, distinct, {b"de": 0}, 3)
+    weights, moves = 0.3 * g.normal(size=(lang_crf.BUCKETS + 1, 3)), 0.5 * g.normal(size=(3, 3))
+    _, by_weight, by_move = data.gradient(weights, moves)
+    step = 1e-5
+
+    def slope(param, at):
+        out = []
+        for sign in (1, -1):
+            param[at] += sign * step
+            out.append(data.gradient(weights, moves)[0])
+            param[at] -= sign * step
+        return (out[0] - out[1]) / (2 * step)
+
+    used = np.unique(np.concatenate([b for b, _ in data.features]))
+    for at in [(int(r), j) for r in used[:6] for j in range(3)]:
+        assert abs(slope(weights, at) - by_weight[at]) < 1e-4
+    for at in np.ndindex(3, 3):
+        assert abs(slope(moves, at) - by_move[at]) < 1e-4
+
+
+def test_language_predictions_equal_a_plain_chain(docs):
+    rows = [(r.text, r.lang) for r in docs.where("text is not null and lang is not null").limit(120).collect()]
+    model = lang_crf.fit([t[:600] for t, _ in rows], [x for _, x in rows], rounds=8)
+    for text, _ in rows[:10]:
+        w = [x for x in text.lower().encode().split()]
+        e, a = model.emissions(w).astype(float), model.moves
+        left, right = e.copy(), np.zeros_like(e)
+        for t in range(1, len(w)):
+            left[t] = np.logaddexp.reduce(left[t - 1][:, None] + a, axis=0) + e[t]
+        for t in range(len(w) - 2, -1, -1):
+            right[t] = np.logaddexp.reduce(a + (e[t + 1] + right[t + 1])[None, :], axis=1)
+        p = np.exp(left + right - np.logaddexp.reduce(left + right, axis=1, keepdims=True))
+        spoken = lang_crf.with_letter(w)
+        mean = p[spoken].mean(axis=0)
+        _, _, _, lang, score = lang_crf._labelled(model, [text])
+        assert lang[0] == model.languages[int(mean.argmax())] and abs(score[0] - mean.max()) < 1e-6
+
+
+def test_training_reads_long_texts_from_first_to_last(spark):
+    text = " ".join(f"word{i}" for i in range(9_000))
+    got = spark.createDataFrame([(text,), ("short text",), ("x" * 50_000,)], "t string").select(lang_crf._windows(F.col("t"), 20_000, 10).alias("t")).collect()
+    numbers = [int(w[4:]) for w in got[0].t.split()]
+    assert numbers[0] < 10 and numbers[-1] > 8_990 and len(got[0].t) <= 20_010 and got[1].t == "short text" and len(got[2].t) == 20_009
+    assert sum(y - x > 1 for x, y in zip(numbers, numbers[1:])) == 9 and all(w in text.split() for w in got[0].t.split())
+    cut = lang_crf._pieces([" ".join(map(str, range(1000))), "a b c"], 103)
+    assert cut[1] == "a b c" and cut[0].split()[0] == "0" and cut[0].split()[-1] == "999" and len(cut[0].split()) == 100
+
+
 def test_languages_held_out_and_odd(spark, docs, odd):
     got = lang_crf.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
@@ -384,8 +567,9 @@ def test_encoding_equals_the_library(odd, docs):
     ids, counts = bpe.Encoder(v).encode(hard)
     for t, x in zip(hard, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
         assert enc.encode_ordinary(t) == x.tolist()
-    with pytest.raises(ValueError, match="already"):
-        bpe.encode(odd, RANKS, public_tokenizers.PATTERN)
+    clash = bpe.decode(bpe.encode(odd.withColumn("decoded", F.lit("x")), RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert clash.columns == ["doc_id", "lang", "source", "n_chars", "score", "ids", "decoded"]
+    assert Counter((r.doc_id, bytes(r.decoded)) for r in clash.collect()) == Counter((r.doc_id, (r.text or "").encode()) for r in odd.collect())
     assert bpe.digests(empty(odd), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
@@ -404,6 +588,37 @@ def test_classifier_held_out_and_odd(spark, odd):
     assert gam.classify(empty(odd), labels).count() == 0
 
 
+def test_classifier_on_the_tables(spark):
+    sf = f"{DATA}/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    quality = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    held = [(r.score, quality[r.doc_id]) for r in gam.classify(docs, labels).collect() if r.held_out and r.doc_id in quality]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    auc = np.mean([(a > b) + (a == b) / 2 for a in good for b in bad])
+    assert auc > 0.97 and np.mean([(s >= 0.7) == (y == 1) for s, y in held]) > 0.9
+
+
+def test_classifier_scores_are_sums_of_its_tables(spark, docs):
+    g = np.random.default_rng(6)
+    rows = docs.where("text is not null").limit(60).collect()
+    x = gam.features([r.text for r in rows])
+    model = gam.fit(x, (g.random(len(rows)) < 0.5).astype(float), rounds=20, pair_rounds=5)
+    got = {r.doc_id: r.score for r in gam.score(docs.limit(60) if len(rows) < 60 else docs.where("text is not null").limit(60), model).collect()}
+    for r, f in zip(rows, x, strict=True):
+        b = [int((edges <= v).sum()) for edges, v in zip(model.edges, f, strict=True)]
+        z = model.prior + sum(t[i] for t, i in zip(model.tables, b, strict=True)) + sum(t[b[p] // model.coarse, b[q] // model.coarse] for (p, q), t in zip(model.pairs, model.grids, strict=True))
+        assert r.doc_id not in got or abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_classifier_keeps_a_score_at_the_bound(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, "")], "doc_id long, text string")
+    even = gam.Model(prior=float(np.log(0.7 / 0.3)))
+    score = gam.score(df, even).first().score
+    assert gam.keep(df, even, accept=score).count() == 3 and gam.keep(df, even, accept=np.nextafter(score, 1)).count() == 0
+    tied = gam.fit(np.ones((40, 3)), np.tile([0.0, 1.0], 20))
+    assert tied.pairs == [] and np.allclose(tied.score(np.ones((2, 3))), 0.5, atol=0.02)
+
+
 def test_tables_add_up():
     g = np.random.default_rng(3)
     x = g.normal(size=(3000, 4))
@@ -415,6 +630,36 @@ def test_tables_add_up():
 # -- shared parts
 
 
+def test_scratch_is_removed(spark):
+    import os
+
+    df = common.written(spark.range(3).toDF("x"), "kept")
+    path = common._PATHS[df].removeprefix("file:")
+    assert os.path.isdir(path) and df.count() == 3
+    common.discard(df, None)
+    assert not os.path.exists(path)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return {}
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("X", (), {"getCheckpointDir": lambda self: type("Y", (), {"isDefined": lambda self: False})()})()
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
 def test_chunks_keep_order_and_bounds():
     import pyarrow as pa
 
