@@ -296,15 +296,16 @@ def _rounds(classes: DataFrame, percent: int) -> DataFrame:
     def linked(found: DataFrame, labels: DataFrame | None, whole: bool) -> DataFrame:
         pairs = found.select(*pair).groupBy("a", "b", "u", "v").agg(F.count("*").alias("_n"), F.min("asked").alias("asked"))
         pairs = pairs.where("_n >= asked") if whole else pairs
-        links = written(_verify(pairs.select("a", "b", "u", "v"), classes, percent), "verified")
-        out = written(_merged(labels, components(links)), "labels")
-        discard(links, labels)
+        out = written(_merged(labels, components(_verify(pairs.select("a", "b", "u", "v"), classes, percent))), "labels")
+        discard(labels)
         return out
 
     labels: DataFrame | None = None
-    posts = classes.select("sig", *sizes, F.col("sig").alias("own"), F.explode("prefix").alias("token"))
+    used: list[DataFrame] = []
+    rest = classes.select("sig", *sizes, F.col("sig").alias("own"), F.explode("prefix").alias("token"))
     for k in PIVOTS:
-        posts = written(_lists(posts), "postings")
+        posts = written(_lists(rest), "postings")
+        discard(*used)
         if posts.isEmpty():
             break
         # what has least of its own is nearest to the others
@@ -314,15 +315,15 @@ def _rounds(classes: DataFrame, percent: int) -> DataFrame:
         found = posts.withColumnRenamed("token", "_t").join(pivots, (F.col("_t") == F.col("token")) & near(F.least("shared", "shared_b")))
         labels = linked(found, labels, False)
         left = posts.join(pivots.select("token", F.col("b").alias("sig")), ["token", "sig"], "left_anti")
-        rest = written(left.drop("own").join(labels, "sig", "left").select("sig", *sizes, F.coalesce("component", "sig").alias("own"), "token"), "rest")
-        discard(posts, pivots)
-        posts = rest
-    # all shingles that two prefixes share are here, unless the pair was verified before; sketches come along for what is left
-    rest = posts
-    posts = written(_lists(rest).join(classes.select("sig", "bits"), "sig").withColumn("band", _band(percent)), "postings")
-    discard(rest)
+        rest = left.drop("own").join(labels, "sig", "left").select("sig", *sizes, F.coalesce("component", "sig").alias("own"), "token")
+        used = [posts, pivots]
+    else:  # sketches come along for what is left
+        posts = written(_lists(rest).join(classes.select("sig", "bits"), "sig").withColumn("band", _band(percent)), "postings")
+        discard(*used)
     if posts.isEmpty():
+        discard(posts)
         return labels if labels is not None else classes.select("sig", F.col("sig").alias("component")).limit(0)
+    # all shingles that two prefixes share are here, unless the pair was verified before
     other = _renamed(posts, [*sizes, "bits", "band"]).withColumn("_band", F.explode(F.array("band_b", F.col("band_b") - 1)))
     apart = sum((F.bit_count(F.get(F.col("bits"), F.lit(i)).bitwiseXOR(F.get(F.col("bits_b"), F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
     most = F.least("shared", "shared_b", F.floor((F.col("shared") + F.col("shared_b") - apart) / 2))
@@ -348,10 +349,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
     least = rows.where("sig <> 0").groupBy("sig").agg(F.min("key").alias("first"))
     named = least.join(labels, "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = written(named.join(lowest, "component").select("sig", "component_id"), "class-ids")
+    ids = named.join(lowest, "component").select("sig", "component_id")
     out = rows.join(ids, "sig", "left").select(F.col("key").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), F.when(F.col("sig") != 0, F.col("sig")).alias("class_id"))
     out = written(out, "joined")
-    discard(shared, classes, labels, ids)
+    discard(shared, classes, labels)
     return out
 
 
