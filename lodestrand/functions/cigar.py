@@ -44,7 +44,7 @@ def blocks(pos: Column, cigar: Column, deleted: bool = False) -> Column:
     start = F.struct(pos.cast("long").alias("g"), F.lit(1).cast("long").alias("r"), F.array().cast("array<struct<start:bigint,stop:bigint,read_start:bigint,op:string>>").alias("out"))
 
     def step(s: Column, o: Column) -> Column:
-        shown = F.instr(F.lit(ON_READ if not deleted else ON_READ), o["op"]) > 0
+        shown = F.instr(F.lit(ON_READ), o["op"]) > 0
         on_read = F.when(shown, o["n"]).otherwise(0)
         on_reference = F.when(F.instr(F.lit(ON_REFERENCE), o["op"]) > 0, o["n"]).otherwise(0)
         kinds = ALIGNED["alleles"] + ("D" if deleted else "")
@@ -57,3 +57,8 @@ def blocks(pos: Column, cigar: Column, deleted: bool = False) -> Column:
 def is_countable(cigar: Column) -> Column:
     """Whether counting knows every operation (=, X and P are not known to it)."""
     return ~cigar.rlike("[=XP]")
+
+
+def is_whole(cigar: Column) -> Column:
+    """Whether no base of the read is clipped but still there."""
+    return ~cigar.contains("S")

@@ -34,7 +34,7 @@ def within(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 
 def resized(starts: Column, stops: Column, size: int, chrom_length: Column) -> tuple[Column, Column]:
     """One interval of a fixed size about the middle of a region's first start and last stop, kept inside the chromosome."""
-    middle = F.expr("1") * F.floor((F.array_min(starts) + F.array_max(stops)) / 2)
+    middle = F.floor((F.array_min(starts) + F.array_max(stops)) / 2)
     start = F.greatest(middle - size // 2, F.lit(1))
     return start.cast("long"), F.least(start + size - 1, chrom_length).cast("long")
 
@@ -46,3 +46,8 @@ def text(chrom: Column, start: Column, stop: Column) -> Column:
 def bare_name(chrom: Column) -> Column:
     """A chromosome's name without chr, for joins that take either form."""
     return F.regexp_replace(chrom, "^chr", "")
+
+
+def key(idnum: Column, start: Column, strand: Column | None = None) -> Column:
+    """What coordinates are sorted by: the chromosome's number, the strand if asked for, and the start."""
+    return F.struct(idnum.alias("idnum"), *([strand.alias("strand")] if strand is not None else []), start.alias("start"))

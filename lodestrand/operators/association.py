@@ -1,98 +1,175 @@
 """The combined test of read depth and allelic imbalance, and the fits of its dispersions.
 
-A region's rows fit in memory by nature (one per individual), so each region is
-fitted in a grouped Arrow call; everything around it is DataFrame work.
+A region's rows are one per individual; they are brought together by a grouped
+list, and a batch of regions is fitted at once in numpy.  Everything around it
+is DataFrame work; dispersions are found on grids whose likelihoods Spark sums.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.likelihood import beta_binomial
-from .optimize import bounded, simplex
+from .optimize import simplex, simplex_many
 
 READ_ERROR = 0.005
 FLAT = 1e7
 RESULT = "region_id string, chrom string, test_pos long, loglik_null double, loglik_alt double, chi_square double, p_value double, alpha double, beta double, dispersion double, all_reads long, as_reads long, as_ref long, as_alt long, n_individuals int, error string"
+#: Regions that are fitted at once.
+AT_ONCE = 1_000
+#: Points on either side of a grid's middle, and the finest step (of logarithms).
+SIDE, FINEST = 16, 1e-3
 
 
-def lbeta(a: float, b: float) -> float:
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma of positive numbers: Stirling's series at x + 8, brought back by a product."""
+    y = x + 8
+    v = 1 / y
+    product = x * (x + 1)
+    for k in range(2, 8):
+        product = product * (x + k)
+    w = v * v
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + v * (1 / 12 - w * (1 / 360 - w * (1 / 1260 - w / 1680))) - np.log(product)
+
+
+def lbeta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """ln Beta, by its series where an argument is very large."""
-    large, small = max(a, b), min(a, b)
-    if large >= 1e6:
-        q = small * (1 - small)
-        return math.lgamma(small) - small * math.log(large) + q / (2 * large) + q * (1 - 2 * small) / (12 * large**2) - q * q / (12 * large**3)
-    return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    large, small = np.maximum(a, b), np.minimum(a, b)
+    near = np.minimum(large, 1e6)
+    out = np.array(lgamma(near) + lgamma(np.minimum(small, 1e6)) - lgamma(near + np.minimum(small, 1e6)))
+    far = large >= 1e6
+    if far.any():
+        l, s = np.broadcast_to(large, out.shape)[far], np.broadcast_to(small, out.shape)[far]
+        q = s * (1 - s)
+        out[far] = lgamma(s) - s * np.log(l) + q / (2 * l) + q * (1 - 2 * s) / (12 * l**2) - q * q / (12 * l**3)
+    return out
 
 
-def add_logs(a: float, b: float) -> float:
-    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+def allele_error(ref: np.ndarray, alt: np.ndarray, error: float = READ_ERROR) -> np.ndarray:
+    """Log-likelihood of allele counts at a site that is homozygous after all."""
+    return np.logaddexp(math.log(error) * ref + math.log(1 - error) * alt, math.log(error) * alt + math.log(1 - error) * ref)
 
 
-def bb_loglik(p: float, sigma: float, ref: int, alt: int, het: float, error: float = READ_ERROR) -> float:
-    """Beta-binomial log-likelihood of allele counts."""
-    wrong = add_logs(math.log(error) * ref + math.log(1 - error) * alt, math.log(error) * alt + math.log(1 - error) * ref)
-    if het == 0:
-        return wrong
+def bb_loglik(p: np.ndarray, sigma: np.ndarray, ref: np.ndarray, alt: np.ndarray, het: np.ndarray, wrong: np.ndarray | None = None) -> np.ndarray:
+    """Beta-binomial log-likelihood of allele counts; wrong is that of error alone, if known."""
+    wrong = allele_error(ref, alt) if wrong is None else wrong
     scale = 1 / sigma**2 - 1
-    a, b = max(p * scale, 1e-10), max((1 - p) * scale, 1e-10)
+    a, b = np.maximum(p * scale, 1e-10), np.maximum((1 - p) * scale, 1e-10)
     own = lbeta(ref + a, alt + b) - lbeta(a, b)
-    return own if het == 1 else add_logs(math.log(het) + own, math.log(1 - het) + wrong)
+    with np.errstate(divide="ignore"):
+        return np.where(het >= 1, own, np.where(het <= 0, wrong, np.logaddexp(np.log(het) + own, np.log1p(-np.minimum(het, 1)) + wrong)))
 
 
-def bnb_loglik(k: int, mean: float, sigma: float, n: float) -> float:
-    """Beta-negative-binomial log-likelihood of a read count."""
-    mean = max(mean, 1e-5)
-    p = n / (n + mean)
-    if sigma < 1e-5:
-        return -lbeta(n, k + 1) - math.log(n + k) + n * math.log(p) + k * math.log1p(-p)
-    scale = 1 / sigma**2
+def bnb_loglik(k: np.ndarray, mean: np.ndarray, sigma: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Beta-negative-binomial log-likelihood of read counts."""
+    mean = np.maximum(mean, 1e-5)
+    p = np.asarray(n / (n + mean))
+    sigma = np.broadcast_to(sigma, p.shape)
+    scale = 1 / np.maximum(sigma, 1e-5) ** 2
     a, b = p * scale + 1, (1 - p) * scale
-    return (-lbeta(n, k) - math.log(k) if k > 0 else 0.0) + lbeta(a + n, b + k) - lbeta(a, b)
+    some = np.maximum(k, 1.0)
+    out = np.where(k > 0, -lbeta(n, some) - np.log(some), 0.0) + lbeta(a + n, b + k) - lbeta(a, b)
+    plain = sigma < 1e-5
+    return np.where(plain, -lbeta(n, k + 1) - np.log(n + k) + n * np.log(p) + k * np.log1p(-p), out) if plain.any() else out
 
 
-def region_loglik(rows: list[dict], alpha: float, beta: float, r: float, factors: Sequence[float], mode: str) -> float:
-    """Log-likelihood of a region's rows: depth unless mode is as, alleles unless it is bnb."""
-    total = 0.0
-    for row, f in zip(rows, factors, strict=True):
-        if mode != "as":
-            each = (2 * alpha, alpha + beta, 2 * beta)[row["dose"]] * row["scale"] * f
-            total += bnb_loglik(row["reads"], max(each, 1e-6), r, row["bnb_disp"])
-        if mode != "bnb" and row["dose"] == 1:
-            for ref, alt, het in row["sites"]:
-                total += bb_loglik(alpha / (alpha + beta), row["as_disp"], ref, alt, min(0.99, het))
-    return total
+def _stretches(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for counts[i] places, for all i in turn."""
+    return np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
 
 
-def fit_region(rows: list[dict], mode: str = "combined", pcs: np.ndarray | None = None) -> dict:
-    """Maximum likelihood with one expression level for both alleles, then with two; their ratio's chi-square and p."""
-    coefs: list[float] = []
+class Regions:
+    """Rows of some regions as arrays: those of a region lie together, and so do the sites of a row.
+
+    rows: of each region.  dose, reads, scale, depth (the individual's
+    dispersion): of each row.  sites: of each row.  ref, alt, het, spread (the
+    individual's dispersion of alleles): of each site.  pcs: covariates of each row.
+    """
 
-    def factors(c: Sequence[float]) -> list[float]:
-        return [1.0] * len(rows) if pcs is None or not len(c) else (1 + pcs[:, : len(c)] @ np.asarray(c)).tolist()
+    def __init__(self, rows: np.ndarray, dose: np.ndarray, reads: np.ndarray, scale: np.ndarray, depth: np.ndarray, sites: np.ndarray, ref: np.ndarray, alt: np.ndarray, het: np.ndarray, spread: np.ndarray, pcs: np.ndarray | None = None):
+        self.rows, self.dose, self.reads, self.scale, self.depth, self.pcs = rows, dose, reads, scale, depth, pcs
+        use = np.repeat(dose == 1, sites)  # alleles tell where the test site is heterozygous
+        self.ref, self.alt, self.het, self.spread = ref[use], alt[use], np.minimum(het[use], 0.99), np.repeat(spread, sites)[use]
+        own = np.repeat(np.repeat(np.arange(len(rows)), rows), np.where(dose == 1, sites, 0))
+        self.sites = np.bincount(own, minlength=len(rows))
+        self.wrong = allele_error(self.ref, self.alt)
+
+    def loglik(self, which: np.ndarray, alpha: np.ndarray, beta: np.ndarray, r: np.ndarray, coefs: np.ndarray, mode: str) -> np.ndarray:
+        """Log-likelihood of regions: depth unless mode is as, alleles unless it is bnb."""
+        out = np.zeros(len(which))
+        local = np.arange(len(which))
+        if mode != "as":
+            n = self.rows[which]
+            at, own = _stretches((np.cumsum(self.rows) - self.rows)[which], n), np.repeat(local, n)
+            dose = self.dose[at]
+            factor = 1.0 if self.pcs is None or not coefs.shape[1] else 1 + (self.pcs[at, : coefs.shape[1]] * coefs[own]).sum(axis=1)
+            each = ((2 - dose) * alpha[own] + dose * beta[own]) * self.scale[at] * factor
+            out += np.bincount(own, bnb_loglik(self.reads[at], np.maximum(each, 1e-6), r[own], self.depth[at]), len(which))
+        if mode != "bnb":
+            n = self.sites[which]
+            at, own = _stretches((np.cumsum(self.sites) - self.sites)[which], n), np.repeat(local, n)
+            if len(at):
+                out += np.bincount(own, bb_loglik((alpha / (alpha + beta))[own], self.spread[at], self.ref[at], self.alt[at], self.het[at], self.wrong[at]), len(which))
+        return out
+
+
+def fit_regions(data: Regions, mode: str = "combined") -> dict[str, np.ndarray]:
+    """Maximum likelihood of each region with one expression level for both alleles, then with two; their ratio's chi-square and p.
+
+    Of two starts the one that ends better is gone on from.
+    """
+    n = len(data.rows)
+    coefs = np.zeros((n, 0))
 
-    def cost(a: float, b: float, r: float, c: Sequence[float], how: str) -> float:
-        if a <= 0 or b <= 0 or r <= 0 or r > 1:
-            return FLAT
-        return -region_loglik(rows, a, b, r, factors(c), how)
+    def cost(which: np.ndarray, a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray, how: str) -> np.ndarray:
+        bad = (a <= 0) | (b <= 0) | (r <= 0) | (r > 1)
+        fine = lambda x: np.where(bad, 0.5, x)
+        return np.where(bad, FLAT, -data.loglik(which, fine(a), fine(b), fine(r), c, how))
 
     first = "bnb" if mode != "as" else "as"
-    starts = [simplex(lambda x: cost(x[0], x[0], x[1], (), first), list(s)) for s in ((0.5, 0.1), (0.5, 0.001))]
-    x = starts[-1][0]
-    for k in range(0 if pcs is None else pcs.shape[1]):
-        found, _ = simplex(lambda y: cost(x[0], x[0], x[1], [*coefs, y[0]], first), [0.0])
-        coefs.append(float(found[0]))
-        del k
-    null, null_cost = simplex(lambda y: cost(y[0], y[0], y[1], coefs, mode), list(x))
-    alt, alt_cost = simplex(lambda y: cost(y[0], y[1], y[2], coefs, mode), [null[0], null[0], null[1]])
+    x, value = np.zeros((n, 2)), np.full(n, np.inf)
+    for s in ((0.5, 0.1), (0.5, 0.001)):
+        found, at = simplex_many(lambda w, y: cost(w, y[:, 0], y[:, 0], y[:, 1], coefs[w], first), np.tile(s, (n, 1)))
+        x, value = np.where((at < value)[:, None], found, x), np.minimum(at, value)
+    for _ in range(0 if data.pcs is None else data.pcs.shape[1]):
+        found, _ = simplex_many(lambda w, y: cost(w, x[w, 0], x[w, 0], x[w, 1], np.concatenate((coefs[w], y), axis=1), first), np.zeros((n, 1)))
+        coefs = np.concatenate((coefs, found), axis=1)
+    null, null_cost = simplex_many(lambda w, y: cost(w, y[:, 0], y[:, 0], y[:, 1], coefs[w], mode), x)
+    alt, alt_cost = simplex_many(lambda w, y: cost(w, y[:, 0], y[:, 1], y[:, 2], coefs[w], mode), null[:, [0, 0, 1]])
     chi = 2 * (null_cost - alt_cost)
-    return {"loglik_null": -null_cost, "loglik_alt": -alt_cost, "chi_square": chi, "p_value": math.erfc(math.sqrt(max(chi, 0) / 2)), "alpha": float(alt[0]), "beta": float(alt[1]), "dispersion": float(alt[2])}
+    return {"loglik_null": -null_cost, "loglik_alt": -alt_cost, "chi_square": chi, "p_value": np.array([math.erfc(math.sqrt(max(c, 0) / 2)) if c == c else math.nan for c in chi]), "alpha": alt[:, 0], "beta": alt[:, 1], "dispersion": alt[:, 2]}
+
+
+def _gathered(rows: DataFrame, fields: Sequence[str | Column], keep: Sequence[str] = ()) -> DataFrame:
+    """A row per region: region_id, keep, and rows: a list of one struct an individual, by individual."""
+    return rows.groupBy("region_id").agg(*(F.first(c).alias(c) for c in keep), F.sort_array(F.collect_list(F.struct("individual", *fields))).alias("rows"))
+
+
+def _individuals(table: DataFrame) -> list[str]:
+    """Their names in order; what comes to the driver is a row for each."""
+    return sorted(r[0] for r in table.select(F.explode("rows.individual").alias("i")).distinct().collect())
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many members the lists of a column have, and all members."""
+    return np.diff(np.asarray(column.offsets)), column.flatten()
+
+
+def _floats(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.to_numpy(zero_copy_only=False), dtype=float)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of AT_ONCE rows at most, with nothing before or after a slice."""
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            yield b.take(pa.array(np.arange(at, min(at + AT_ONCE, b.num_rows))))
 
 
 def combined_test(rows: DataFrame, as_disp: DataFrame | None = None, bnb_disp: DataFrame | None = None, mode: str = "combined", pcs: DataFrame | None = None, min_as: int = 0, default_disp: float = 0.001) -> DataFrame:
@@ -108,29 +185,54 @@ def combined_test(rows: DataFrame, as_disp: DataFrame | None = None, bnb_disp: D
     known = rows
     for table, name in ((as_disp, "as_disp"), (bnb_disp, "bnb_disp")):
         known = known.join(F.broadcast(table.select("individual", F.col("disp").cast("double").alias(name))), "individual", "left") if table is not None else known.withColumn(name, F.lit(None).cast("double"))
-    known = known.join(F.broadcast(pcs.select("individual", F.col("values").alias("pcs"))), "individual", "left") if pcs is not None else known.withColumn("pcs", F.lit(None).cast("array<double>"))
-    sites = F.transform(F.filter("region_snps", lambda s: s["het_prob"] > 0.9), lambda s: F.array(s["ref_n"].cast("double"), s["alt_n"].cast("double"), s["het_prob"].cast("double")))
-    least = F.min("genome_reads").over(Window.partitionBy("region_id"))
-    flat = known.select(F.col("region_id").cast("string").alias("region_id"), "chrom", F.col("test_pos").cast("long").alias("test_pos"), F.col("individual").cast("string").alias("individual"), F.round(F.col("genotype")).cast("int").alias("dose"), sites.alias("sites"), F.col("region_reads").cast("long").alias("reads"), F.when(least > 0, F.col("genome_reads") / least).otherwise(F.col("genome_reads")).cast("double").alias("scale"), F.coalesce("as_disp", F.lit(default_disp)).alias("as_disp"), F.coalesce("bnb_disp", F.lit(1 / default_disp)).alias("bnb_disp"), "pcs")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("individual")
-        records = [{**r, "sites": [] if r["sites"] is None else [(int(s[0]), int(s[1]), float(s[2])) for s in r["sites"]]} for r in pdf.dropna(subset=["dose", "reads", "scale"]).to_dict("records")]
-        for r in records:
-            r["dose"], r["reads"] = int(r["dose"]), int(r["reads"])
-        het = [s for r in records if r["dose"] == 1 for s in r["sites"]]
-        out = {"region_id": pdf["region_id"].iloc[0], "chrom": pdf["chrom"].iloc[0], "test_pos": pdf["test_pos"].iloc[0], "all_reads": sum(r["reads"] for r in records), "as_ref": sum(s[0] for s in het), "as_alt": sum(s[1] for s in het), "n_individuals": len(records), "error": None}
-        out["as_reads"] = out["as_ref"] + out["as_alt"]
-        if out["as_reads"] < min_as or not out["all_reads"] + out["as_reads"]:
-            return pd.DataFrame(columns=[c.split()[0] for c in RESULT.split(", ")])
-        try:
-            values = np.array([r["pcs"] for r in records], dtype=float) if pcs is not None else None
-            out |= fit_region(records, mode, values)
-        except (ValueError, OverflowError, ZeroDivisionError) as e:
-            out |= dict.fromkeys(("loglik_null", "loglik_alt", "chi_square", "p_value", "alpha", "beta", "dispersion")) | {"error": str(e)}
-        return pd.DataFrame([out])[[c.split()[0] for c in RESULT.split(", ")]]
-
-    return flat.groupBy("region_id").applyInPandas(fit, RESULT)
+    known = known.join(F.broadcast(pcs.select("individual", F.col("values").alias("pcs"))), "individual", "left") if pcs is not None else known.withColumn("pcs", F.array().cast("array<double>"))
+    sites = F.transform(F.filter("region_snps", lambda s: s["het_prob"] > 0.9), lambda s: F.struct(*(s[c].cast("double").alias(c) for c in ("ref_n", "alt_n", "het_prob"))))
+    none = F.array().cast("array<struct<ref_n:double,alt_n:double,het_prob:double>>")
+    flat = known.select(F.col("region_id").cast("string").alias("region_id"), "chrom", F.col("test_pos").cast("long").alias("test_pos"), F.col("individual").cast("string").alias("individual"), F.round(F.col("genotype")).cast("int").alias("dose"), F.coalesce(sites, none).alias("sites"), F.col("region_reads").cast("long").alias("reads"), F.col("genome_reads").cast("double").alias("genome"), F.coalesce("as_disp", F.lit(default_disp)).alias("as_disp"), F.coalesce("bnb_disp", F.lit(1 / default_disp)).alias("bnb_disp"), "pcs").where("genome IS NOT NULL")
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    fitted = ("loglik_null", "loglik_alt", "chi_square", "p_value", "alpha", "beta", "dispersion")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches):
+            n, each = _lists(b.column("rows"))
+            field = {c: each.field(i) for i, c in enumerate(x.name for x in each.type)}
+            genome = _floats(field["genome"])
+            starts = np.cumsum(n) - n
+            least = np.repeat(np.minimum.reduceat(genome, starts), n)
+            scale = np.where(least > 0, genome / np.where(least > 0, least, 1), genome)
+            dose, reads = _floats(field["dose"]), _floats(field["reads"])
+            here = np.flatnonzero(np.isfinite(dose) & np.isfinite(reads))
+            sites, site = _lists(field["sites"])
+            at = _stretches((np.cumsum(sites) - sites)[here], sites[here])
+            ref, alt, het = (_floats(site.field(i))[at] for i in range(3))
+            m = np.bincount(np.repeat(np.arange(b.num_rows), n)[here], minlength=b.num_rows)
+            values = None
+            if pcs is not None:
+                wide, value = _lists(field["pcs"])
+                values = _floats(value).reshape(len(wide), -1)[here]
+            data = Regions(m, dose[here].astype(np.int64), reads[here], scale[here], _floats(field["bnb_disp"])[here], sites[here], ref, alt, het, _floats(field["as_disp"])[here], values)
+            own = np.repeat(np.arange(b.num_rows), data.sites)
+            total, as_ref, as_alt = np.bincount(np.repeat(np.arange(b.num_rows), m), data.reads, b.num_rows), np.bincount(own, data.ref, b.num_rows), np.bincount(own, data.alt, b.num_rows)
+            with np.errstate(all="ignore"):
+                got = fit_regions(data, mode)
+            fine = np.all([np.isfinite(got[c]) for c in fitted], axis=0)
+            long = lambda x: pa.array(x.astype(np.int64))
+            out = {c: b.column(c) for c in ("region_id", "chrom", "test_pos")} | {c: pa.array(got[c], mask=~fine) for c in fitted}
+            out |= {"all_reads": long(total), "as_reads": long(as_ref + as_alt), "as_ref": long(as_ref), "as_alt": long(as_alt), "n_individuals": pa.array(m.astype(np.int32)), "error": pa.array(np.where(fine, None, "the likelihood is not finite"), pa.string())}
+            keep = (as_ref + as_alt >= min_as) & (total + as_ref + as_alt > 0)
+            yield pa.RecordBatch.from_arrays([out[c] for c in names], names=names).filter(pa.array(keep))
+
+    return _gathered(flat, ["dose", "sites", "reads", "genome", "as_disp", "bnb_disp", "pcs"], ["chrom", "test_pos"]).mapInArrow(fit, RESULT)
+
+
+def _summed(table: DataFrame, of: Sequence[str], make, schema: str) -> DataFrame:
+    """Partial sums of columns value by the columns of, as make gives them for record batches, added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches):
+            yield pa.RecordBatch.from_pydict(make(b))
+
+    return table.mapInArrow(run, schema).groupBy(*of).agg(F.sum("value").alias("value"))
 
 
 def fit_allele_dispersion(rows: DataFrame, error: float = READ_ERROR, points: int = 33, rounds: int = 4, sure: bool = True) -> DataFrame:
@@ -143,53 +245,129 @@ def fit_allele_dispersion(rows: DataFrame, error: float = READ_ERROR, points: in
     """
     sites = rows.select("individual", F.explode("region_snps").alias("s")).where("s.het_prob IS NOT NULL AND s.ref_n + s.alt_n > 0")
     sites = sites.where("s.het_prob > 0.9").withColumn("s", F.col("s").withField("het_prob", F.least("s.het_prob", F.lit(0.99)))) if sure else sites
-    table = sites.groupBy("individual", F.col("s.ref_n").alias("r"), F.col("s.alt_n").alias("a"), F.col("s.het_prob").alias("h")).agg(F.count("*").alias("times"))
-    best = table.select("individual").distinct().select("individual", F.lit(0.01).alias("low"), F.lit(0.99).alias("high"))
+    key = F.col("individual").cast("string").alias("i")
+    table = sites.groupBy(key, *(F.col(f"s.{c}").cast("double").alias(c) for c in ("ref_n", "alt_n", "het_prob"))).agg(F.count("*").cast("double").alias("times")).persist()
+    best = {r.i: (0.01, 0.99, 0.01, 0.0) for r in table.select("i").distinct().collect()}  # a row per individual
     for _ in range(rounds):
-        grid = best.select("individual", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("disp", F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / (points - 1))
-        ll = table.join(F.broadcast(grid), "individual").groupBy("individual", "low", "high", "disp").agg(F.sum(F.col("times") * beta_binomial(0.5, F.col("disp"), F.col("r"), F.col("a"), F.col("h"), error)).alias("loglik"))
-        top = ll.groupBy("individual").agg(F.max_by(F.struct("disp", "low", "high", "loglik"), F.struct("loglik", -F.col("disp"))).alias("t"))
-        step = (F.col("t.high") - F.col("t.low")) / (points - 1)
-        kept = [(r.individual, r.disp, r.low, r.high, r.loglik) for r in top.select("individual", "t.disp", F.greatest(F.col("t.disp") - step, F.lit(0.01)).alias("low"), F.least(F.col("t.disp") + step, F.lit(0.99)).alias("high"), "t.loglik").collect()]  # a row per individual
-        best = rows.sparkSession.createDataFrame(kept, f"individual {rows.schema['individual'].dataType.simpleString()}, disp double, low double, high double, loglik double")
-    return best.select("individual", "disp", "loglik")
+        bounds = {k: v[:2] for k, v in best.items()}
+
+        def make(b: pa.RecordBatch, bounds: dict = bounds) -> dict:
+            names, which = np.unique(np.array(b.column("i").to_pylist(), dtype=object), return_inverse=True)
+            ref, alt, het, times = (_floats(b.column(c)) for c in ("ref_n", "alt_n", "het_prob", "times"))
+            low, high = np.array([bounds[x] for x in names]).T
+            wrong = allele_error(ref, alt, error)
+            ll = np.stack([np.bincount(which, times * bb_loglik(0.5, (low + (high - low) * p / (points - 1))[which], ref, alt, het, wrong), len(names)) for p in range(points)], axis=1)
+            return {"i": np.repeat(names, points).tolist(), "p": np.tile(np.arange(points), len(names)), "value": ll.ravel()}
+
+        for r in _summed(table, ["i", "p"], make, "i string, p long, value double").groupBy("i").agg(F.max_by(F.struct("p", "value"), F.struct("value", -F.col("p"))).alias("t")).collect():  # a row per individual
+            low, high = bounds[r.i]
+            step = (high - low) / (points - 1)
+            disp = low + step * r.t.p
+            best[r.i] = (max(disp - step, 0.01), min(disp + step, 0.99), disp, r.t.value)
+    table.unpersist()
+    kind = rows.schema["individual"].dataType
+    out = rows.sparkSession.createDataFrame([(k, v[2], v[3]) for k, v in best.items()], "i string, disp double, loglik double")
+    return out.select(F.col("i").cast(kind).alias("individual"), "disp", "loglik")
+
+
+def _best_mean(k: np.ndarray, t: np.ndarray, n: np.ndarray, gene: float, disp: np.ndarray, own: np.ndarray, count: int, steps: int = 5) -> np.ndarray:
+    """Of each region the mean that is likeliest: a grid of logarithms that closes in on the best point."""
+    total, width = np.bincount(own, k, count), np.bincount(own, t, count)
+    middle, step = np.log(np.maximum(total, 0.1) / np.maximum(width, 1e-9)), np.full(count, 0.25)
+    for _ in range(steps):
+        grid = middle[:, None] + step[:, None] * np.arange(-8, 9)
+        ll = np.stack([np.bincount(own, bnb_loglik(k, np.exp(grid[own, j]) * t, np.array(gene), disp), count) for j in range(17)], axis=1)
+        at = ll.argmax(axis=1)
+        middle = grid[np.arange(count), at]
+        step = np.where((at == 0) | (at == 16), step, step / 6)
+    return np.exp(middle)
 
 
 def fit_depth_dispersion(rows: DataFrame, sample: int | None = 2_000, seed: int = 0, max_rounds: int = 30, min_counts: int = 0, tolerance: float = 1e-4, fix_mean: float | None = None, fix_gene: float | None = None) -> DataFrame:
-    """individual and disp: the genome-wide dispersions of read depth.
+    """individual, disp and region_disp: the genome-wide dispersions of read depth, and that of all regions.
 
     In turn, each region's mean and one dispersion for all regions, then each
     individual's dispersion, are fitted while the likelihood grows by more than
-    tolerance.  At most sample regions take part, those of least hash (None:
+    tolerance: Spark sums the likelihoods on grids about the last values, which
+    close in.  At most sample regions take part, those of least hash (None:
     all), a documented bound; rounds are bounded too.
     """
     totals = rows.groupBy("region_id").agg(F.sum("region_reads").alias("n")).where(F.col("n") >= min_counts).select("region_id", F.md5(F.concat_ws("|", F.col("region_id").cast("string"), F.lit(str(seed)))).alias("h"))
     chosen = totals.orderBy("h", "region_id").limit(sample) if sample is not None else totals
     own = rows.join(F.broadcast(chosen.select("region_id")) if sample is not None else chosen.select("region_id"), "region_id", "left_semi")
-    least = F.min("genome_reads").over(Window.partitionBy("region_id"))
-    flat = own.select("region_id", "individual", F.col("region_reads").cast("long").alias("k"), F.when(least > 0, F.col("genome_reads") / least).otherwise(F.col("genome_reads")).alias("scale"))
-    got = flat.toPandas()  # at most sample regions
-    names = sorted(got["individual"].unique().tolist())
-    k = got.pivot_table(index="region_id", columns="individual", values="k", fill_value=0)[names].to_numpy()
-    t = got.pivot_table(index="region_id", columns="individual", values="scale", fill_value=1.0)[names].to_numpy()
-    gene, disp, mean, last = fix_gene or 0.005, np.full(len(names), 100.0), np.full(len(k), fix_mean or 1.0), -math.inf
-
-    def ll(i: int, m: float, g: float) -> float:
-        return sum(bnb_loglik(int(k[i, j]), m * t[i, j], g, disp[j]) for j in range(len(names)))
-
-    for _ in range(max_rounds):
-        for i in range(len(k)) if fix_mean is None else ():
-            high = max(4 * (k[i] / np.maximum(t[i], 1e-9)).max(), 1.0)
-            mean[i] = bounded(lambda m, i=i: -ll(i, m, gene), 0.0, high, tol=max(high * 1e-5, 1e-7))[0]
+    flat = own.where("genome_reads IS NOT NULL AND region_reads IS NOT NULL").select("region_id", F.col("individual").cast("string").alias("individual"), F.col("region_reads").cast("double").alias("k"), F.col("genome_reads").cast("double").alias("genome"))
+    table = _gathered(flat, ["k", "genome"]).persist()
+    names = _individuals(table)
+    number = {x: i for i, x in enumerate(names)}
+    gene, disp = math.log(fix_gene or 0.005), np.full(len(names), math.log(100.0))
+    gene_step, disp_step, last = 0.3, np.full(len(names), 0.3), -math.inf
+    offsets = np.arange(-SIDE, SIDE + 1)
+    low, high = (math.log(1e-5), 0.0), (0.0, math.log(1e4))
+
+    def passed(gene: float, disp: np.ndarray, gene_grid: np.ndarray | None, disp_grid: np.ndarray | None) -> dict[tuple[int, int], float]:
+        """Likelihoods by individual (-1: the regions' grid) and point of the grid, at the means that suit gene and disp."""
+
+        def make(b: pa.RecordBatch) -> dict:
+            n, each = _lists(b.column("rows"))
+            who, (k, genome) = np.array([number[x] for x in each.field(0).to_pylist()]), (_floats(each.field(i)) for i in (1, 2))
+            least = np.repeat(np.minimum.reduceat(genome, np.cumsum(n) - n), n)
+            t = np.where(least > 0, genome / np.where(least > 0, least, 1), genome)
+            at, d = np.repeat(np.arange(b.num_rows), n), np.exp(disp)[who]
+            mean = np.full(b.num_rows, fix_mean) if fix_mean is not None else _best_mean(k, t, d, math.exp(gene), d, at, b.num_rows)
+            m = mean[at] * t
+            if gene_grid is not None:
+                return {"who": np.full(len(gene_grid), -1), "p": np.arange(len(gene_grid)), "value": np.array([bnb_loglik(k, m, np.array(math.exp(g)), d).sum() for g in gene_grid])}
+            ll = np.stack([np.bincount(who, bnb_loglik(k, m, np.array(math.exp(gene)), np.exp(disp_grid[:, j])[who]), len(names)) for j in range(disp_grid.shape[1])], axis=1)
+            return {"who": np.repeat(np.arange(len(names)), disp_grid.shape[1]), "p": np.tile(np.arange(disp_grid.shape[1]), len(names)), "value": ll.ravel()}
+
+        return {(r.who, r.p): r.value for r in _summed(table, ["who", "p"], make, "who long, p long, value double").collect()}  # a row per individual and point
+
+    for _ in range(max_rounds if names else 0):
         if fix_gene is None:
-            gene = bounded(lambda g: -sum(ll(i, mean[i], g) for i in range(len(k))), 1e-5, 1.0, tol=1e-4)[0]
+            grid = np.clip(gene + gene_step * offsets, *low)
+            ll = passed(gene, disp, grid, None)
+            p = max(range(len(grid)), key=lambda i: (ll.get((-1, i), -math.inf), -abs(i - SIDE)))
+            gene, gene_step = float(grid[p]), gene_step if p in (0, len(grid) - 1) else max(gene_step / 4, FINEST)
+        grid = np.clip(disp[:, None] + disp_step[:, None] * offsets, *high)
+        ll = passed(gene, disp, None, grid)
+        now = 0.0
         for j in range(len(names)):
-            disp[j] = math.exp(bounded(lambda d, j=j: -sum(bnb_loglik(int(k[i, j]), mean[i] * t[i, j], gene, math.exp(d)) for i in range(len(k))), 0.0, math.log(1e4), tol=1e-2)[0])
-        now = sum(ll(i, mean[i], gene) for i in range(len(k)))
-        if now - last < tolerance:
+            p = max(range(grid.shape[1]), key=lambda i: (ll.get((j, i), -math.inf), -abs(i - SIDE)))  # noqa: B023
+            now += ll.get((j, p), 0.0)
+            disp[j], disp_step[j] = grid[j, p], disp_step[j] if p in (0, grid.shape[1] - 1) and 0 < grid[j, p] < high[1] else max(disp_step[j] / 4, FINEST)
+        if now - last < tolerance and disp_step.max() <= FINEST:
             break
         last = now
-    return rows.sparkSession.createDataFrame([(n, float(d), float(gene)) for n, d in zip(names, disp, strict=True)], f"individual {rows.schema['individual'].dataType.simpleString()}, disp double, region_disp double")
+    table.unpersist()
+    out = rows.sparkSession.createDataFrame([(n, float(math.exp(d)), math.exp(gene)) for n, d in zip(names, disp, strict=True)], "i string, disp double, region_disp double")
+    return out.select(F.col("i").cast(rows.schema["individual"].dataType).alias("individual"), "disp", "region_disp")
+
+
+def fit_region_dispersion(rows: DataFrame, disp: DataFrame) -> DataFrame:
+    """region_id, mean, region_disp and loglik of each region by itself, given the individuals' dispersions (individual, disp)."""
+    known = rows.join(F.broadcast(disp.select("individual", F.col("disp").cast("double").alias("disp"))), "individual")  # a row per individual
+    flat = known.where("genome_reads IS NOT NULL AND region_reads IS NOT NULL").select(F.col("region_id").cast("string").alias("region_id"), F.col("individual").cast("string").alias("individual"), F.col("region_reads").cast("double").alias("k"), F.col("genome_reads").cast("double").alias("genome"), "disp")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches):
+            n, each = _lists(b.column("rows"))
+            k, genome, d = (_floats(each.field(i)) for i in (1, 2, 3))
+            least = np.repeat(np.minimum.reduceat(genome, np.cumsum(n) - n), n)
+            t = np.where(least > 0, genome / np.where(least > 0, least, 1), genome)
+            none = np.zeros(0)
+            data = Regions(n, np.zeros(len(k), dtype=np.int64), k, t, d, np.zeros(len(k), dtype=np.int64), none, none, none, d)
+            at = np.repeat(np.arange(b.num_rows), n)
+            start = np.stack([np.maximum(np.bincount(at, k, b.num_rows), 0.1) / np.maximum(np.bincount(at, t, b.num_rows), 1e-9), np.full(b.num_rows, 0.05)], axis=1)
+
+            def cost(w: np.ndarray, y: np.ndarray, data: Regions = data) -> np.ndarray:
+                bad = (y[:, 0] <= 0) | (y[:, 1] <= 0) | (y[:, 1] > 1)
+                m, r = np.where(bad, 0.5, y[:, 0]), np.where(bad, 0.5, y[:, 1])
+                return np.where(bad, FLAT, -data.loglik(w, m / 2, m / 2, r, np.zeros((len(w), 0)), "bnb"))
+
+            x, value = simplex_many(cost, start)
+            yield pa.RecordBatch.from_arrays([b.column("region_id"), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(-value)], names=["region_id", "mean", "region_disp", "loglik"])
+
+    return _gathered(flat, ["k", "genome", "disp"]).mapInArrow(fit, "region_id string, mean double, region_disp double, loglik double")
 
 
 def fit_depth_model(rows: DataFrame, min_counts: int = 0, sample: int = 10_000, seed: int = 0) -> DataFrame:
@@ -238,22 +416,88 @@ def apply_depth_model(rows: DataFrame, coefs: DataFrame) -> DataFrame:
     return rows.withColumn("total", total).join(F.broadcast(coefs), "individual", "left").withColumn("expected", F.greatest(expected_depth(F.col("gc"), F.col("total"), c), F.lit(1e-6))).drop("coefs")
 
 
-def expected_ranks(results: DataFrame, p: str = "p_value") -> DataFrame:
+#: Rows of a stretch of ranks that one task numbers, and rows of the sample by which stretches are cut.
+STRETCH, CUTTERS = 250_000, 20_000
+
+
+def _stretched(df: DataFrame, p: str, key: str, stretch: int) -> tuple[DataFrame, int]:
+    """df with _s: the stretch of the order by p and key that a row lies in; and how many stretches there are.
+
+    Stretches are cut at rows of a bounded sample, so they are as long as each
+    other but for chance, also where many rows share a p, and the same however
+    often they are worked out.
+    """
+    n = df.count()
+    count = -(-n // stretch)
+    if count < 2:
+        return df.withColumn("_s", F.lit(0)), max(count, 1)
+    hashed = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
+    got = df.where(hashed < int(min(1.0, CUTTERS / n) * (1 << 30))).select(p, key).collect()  # CUTTERS rows
+    got.sort(key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]))
+    cuts = [got[i * len(got) // count] for i in range(1, count)] if len(got) >= count else []
+    here = F.struct(F.col(p), F.col(key))
+    at = F.array(*[F.struct(F.lit(c[0]).cast(df.schema[p].dataType).alias(p), F.lit(c[1]).alias(key)) for c in cuts])
+    return df.withColumn("_s", F.size(F.filter(at, lambda c: c <= here)) if cuts else F.lit(0)), len(cuts) + 1
+
+
+def _offset(values: dict[int, object], default: object) -> Column:
+    """A value by stretch; as many as there are stretches."""
+    if not values:
+        return F.lit(default)
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("_s")], F.lit(default))
+
+
+def ranked(df: DataFrame, p: str, key: str = "region_id", stretch: int = STRETCH) -> tuple[DataFrame, int]:
+    """df with _s and _rank: the place, from 1, in the order by p and then key; and the number of rows.
+
+    Each stretch of the order is numbered by itself and moved on by the rows of those before.
+    """
+    cut, _ = _stretched(df, p, key, stretch)
+    sizes = {r._s: r["count"] for r in cut.groupBy("_s").count().collect()}  # a row per stretch
+    before, at = {}, 0
+    for s in sorted(sizes):
+        before[s] = at
+        at += sizes[s]
+    rank = F.row_number().over(Window.partitionBy("_s").orderBy(p, key)) + _offset(before, 0)
+    return cut.withColumn("_rank", rank), at
+
+
+def expected_ranks(results: DataFrame, p: str = "p_value", stretch: int = STRETCH) -> DataFrame:
     """results with the uniform quantile of each p by rank, and -log10 of both; p counts as 1e-20 at least."""
-    w = Window.orderBy(p, "region_id")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    out = results.withColumn("expected", F.row_number().over(w) / n)
+    out, n = ranked(results, p, stretch=stretch)
+    out = out.withColumn("expected", F.col("_rank") / max(n, 1)).drop("_rank", "_s")
     return out.withColumns({"log_p": -F.log10(F.greatest(p, F.lit(1e-20))), "log_expected": -F.log10("expected")})
 
 
-def false_discovery(results: DataFrame, p: str = "p_value") -> DataFrame:
-    """results with fdr: Benjamini and Hochberg's adjusted p; a p of 0 counts as the least above it."""
-    least = F.min(F.when(F.col(p) > 0, F.col(p))).over(Window.partitionBy())
-    own = results.withColumn("_p", F.when(F.col(p) > 0, F.col(p)).otherwise(least))
-    rank = F.row_number().over(Window.orderBy("_p", "region_id"))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    own = own.withColumn("_q", F.col("_p") * n / rank).withColumn("_r", rank)
-    return own.withColumn("fdr", F.least(F.min("_q").over(Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))).drop("_p", "_q", "_r")
+def false_discovery(results: DataFrame, p: str = "p_value", stretch: int = STRETCH) -> DataFrame:
+    """results with fdr: Benjamini and Hochberg's adjusted p; a p of 0 counts as the least above it.
+
+    The least p * n / rank from a row on is that of its own stretch from there
+    on, or of a later stretch.
+    """
+    least = results.agg(F.min(F.when(F.col(p) > 0, F.col(p)))).first()[0]
+    own, n = ranked(results.withColumn("_p", F.when(F.col(p) > 0, F.col(p)).otherwise(F.lit(least).cast("double"))), "_p", stretch=stretch)
+    own = own.withColumn("_q", F.col("_p") * n / F.col("_rank"))
+    mins = {r._s: r.q for r in own.groupBy("_s").agg(F.min("_q").alias("q")).collect()}  # a row per stretch
+    after, low = {}, math.inf
+    for s in sorted(mins, reverse=True):
+        after[s] = low
+        low = min(low, mins[s] if mins[s] is not None else math.inf)
+    from_here = F.min("_q").over(Window.partitionBy("_s").orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("fdr", F.least(from_here, _offset(after, math.inf), F.lit(1.0))).drop("_p", "_q", "_rank", "_s")
+
+
+def every_other(rows: DataFrame, skip: int, place: str = "test_pos", key: str = "region_id") -> DataFrame:
+    """rows of the regions that are left when so many are passed over before each one, in the order of place and key."""
+    if skip < 0:
+        raise ValueError("skip must not be negative")
+    numbered, _ = ranked(rows.select(place, key).distinct(), place, key)
+    return rows.join(numbered.where(F.pmod(F.col("_rank") - 1, F.lit(skip + 1)) == skip).select(key), key, "left_semi")
+
+
+def count_matrix(rows: DataFrame, value: str, names: list) -> DataFrame:
+    """region_id and a column of value for each individual of names; what is missing is null."""
+    return rows.groupBy("region_id").pivot("individual", names).agg(F.first(value))
 
 
 def power_rates(results: DataFrame, by: tuple[str, ...], level: float = 0.1) -> DataFrame:
@@ -266,17 +510,34 @@ def power_rates(results: DataFrame, by: tuple[str, ...], level: float = 0.1) ->
 def loadings(rows: DataFrame, value: str = "reads", components: int | None = None) -> DataFrame:
     """individual, component (from 1) and loading of the principal components of regions by individuals, centred.
 
-    Spark sums the individuals' products; only that matrix, individuals squared, is decomposed.
+    Each task sums the individuals' products over its regions; only that matrix, individuals squared, is decomposed.
     """
-    wide = rows.select("region_id", "individual", F.col(value).cast("double").alias("v"))
-    a, b = wide.select("region_id", F.col("individual").alias("a"), F.col("v").alias("va")), wide.select("region_id", F.col("individual").alias("b"), F.col("v").alias("vb"))
-    moments = a.join(b, "region_id").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"), F.sum("va").alias("sa"), F.sum("vb").alias("sb"), F.count("*").alias("n")).toPandas()
-    names = sorted(moments["a"].unique().tolist())
+    wide = rows.select("region_id", F.col("individual").cast("string").alias("individual"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    table = _gathered(wide, ["v"]).persist()
+    names = _individuals(table)
     at = {x: i for i, x in enumerate(names)}
-    c = np.zeros((len(names), len(names)))
-    for r in moments.itertuples():
-        c[at[r.a], at[r.b]] = (r.s - r.sa * r.sb / r.n) / max(r.n - 1, 1)
+    n = len(names)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, sa, both = np.zeros((n, n)), np.zeros((n, n)), np.zeros((n, n))
+        for b in _pieces(batches):
+            m, each = _lists(b.column("rows"))
+            x, here = np.zeros((b.num_rows, n)), np.zeros((b.num_rows, n))
+            where = np.repeat(np.arange(b.num_rows), m), np.array([at[y] for y in each.field(0).to_pylist()], dtype=np.int64)
+            x[where], here[where] = _floats(each.field(1)), 1
+            s += x.T @ x
+            sa += x.T @ here
+            both += here.T @ here
+        a, b = np.divmod(np.arange(n * n), max(n, 1))
+        yield pa.RecordBatch.from_pydict({"a": a, "b": b, "s": s.ravel(), "sa": sa.ravel(), "sb": sa.T.ravel(), "n": both.ravel()})
+
+    sums = table.mapInArrow(products, "a long, b long, s double, sa double, sb double, n double").groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("s", "sa", "sb", "n")))
+    c = np.zeros((n, n))
+    for r in sums.collect():  # a row per two individuals
+        c[r.a, r.b] = (r.s - r.sa * r.sb / r.n) / max(r.n - 1, 1) if r.n else 0.0
+    table.unpersist()
     values, vectors = np.linalg.eigh(c)
-    order = np.argsort(-values)[: components or len(names)]
-    out = [(n, k + 1, float(vectors[i, j])) for k, j in enumerate(order) for i, n in enumerate(names)]
-    return rows.sparkSession.createDataFrame(out, f"individual {rows.schema['individual'].dataType.simpleString()}, component int, loading double")
+    order = np.argsort(-values)[: components or n]
+    turn = [1.0 if vectors[np.abs(vectors[:, j]).argmax(), j] > 0 else -1.0 for j in order]
+    out = [(x, k + 1, float(vectors[i, j] * turn[k])) for k, j in enumerate(order) for i, x in enumerate(names)]
+    return rows.sparkSession.createDataFrame(out, "i string, component int, loading double").select(F.col("i").cast(rows.schema["individual"].dataType).alias("individual"), "component", "loading")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cigar
 from ..functions.alleles import allele_class
+from .overlap import read_variants
 
 
 def last_per_position(snps: DataFrame) -> DataFrame:
@@ -37,13 +41,13 @@ def usable_hits(hits: DataFrame, read: str = "qname") -> DataFrame:
     return hits.withColumn("_any", F.max(~F.col("is_snp")).over(Window.partitionBy(read))).where(~F.col("_any")).drop("_any")
 
 
-def one_site_per_read(hits: DataFrame, read: str = "qname", seed: int = 0) -> DataFrame:
+def one_site_per_read(hits: DataFrame, read: str = "qname", seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """One hit of each read, chosen by hash, so that the choice does not depend on partitions or order.
 
-    The md5 of read, site and seed orders the hits.
+    The md5 of read, site and seed orders the hits; by names what tells reads of one name apart.
     """
     order = F.md5(F.concat_ws("|", F.col(read).cast("string"), F.col("site").cast("string"), F.lit(str(seed))))
-    return hits.withColumn("_n", F.row_number().over(Window.partitionBy(read).orderBy(order))).where("_n = 1").drop("_n")
+    return hits.withColumn("_n", F.row_number().over(Window.partitionBy(*by, read).orderBy(order))).where("_n = 1").drop("_n")
 
 
 def saturated(n: Column, most: int) -> Column:
@@ -51,9 +55,38 @@ def saturated(n: Column, most: int) -> Column:
     return F.least(n, F.lit(most))
 
 
-def start_depth(reads: DataFrame, most: int = 65_535, by: tuple[str, ...] = ("chrom", "pos")) -> DataFrame:
-    """Reads that start at each position, up to a largest count."""
-    return reads.groupBy(*by).agg(saturated(F.count("*"), most).alias("n"))
+def start_depth(reads: DataFrame, most: int | None = None, by: tuple[str, ...] = ("chrom", "pos")) -> DataFrame:
+    """Reads that start at each position, up to a largest count if one is given."""
+    n = F.count("*")
+    return reads.groupBy(*by).agg((saturated(n, most) if most is not None else n).alias("n"))
+
+
+def countable_reads(reads: DataFrame, chroms: DataFrame) -> DataFrame:
+    """Reads that counting takes up: inside their chromosome (chroms: chrom, length) and without clipped bases."""
+    known = reads.join(F.broadcast(chroms.select("chrom", F.col("length").alias("_length"))), "chrom")  # a row per chromosome
+    last = F.col("pos") + cigar.reference_length(F.col("cigar")) - 1
+    return known.where((F.col("pos") >= 1) & (last <= F.col("_length")) & cigar.is_whole(F.col("cigar"))).select(*reads.columns)
+
+
+def count_reads(reads: DataFrame, snps: DataFrame, chroms: DataFrame, genotypes: DataFrame | None = None, by: tuple[str, ...] = ("individual",), read: str = "qname", seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Depth (by, chrom, pos, n) and allele counts (by, chrom, site, ref, alt, ref_n, alt_n, other_n) as counting makes them.
+
+    A read past its chromosome's end or with clipped bases counts nowhere, nor
+    does one over an indel.  One whose CIGAR has =, X or P counts in depth
+    alone.  Of the sites of a read one counts, chosen by hash; with genotypes
+    (chrom, pos, individual, hap1, hap2), of those where its individual is
+    heterozygous.
+    """
+    usable = countable_reads(reads, chroms)
+    hits = read_variants(usable, snps, counting=True)
+    over = hits.where("NOT is_snp").select(*by, read).distinct()
+    depth = start_depth(usable.join(over, [*by, read], "left_anti"), by=(*by, "chrom", "pos"))
+    hits = hits.join(over, [*by, read], "left_anti")
+    if genotypes is not None:
+        het = genotypes.where("hap1 <> hap2").select("chrom", F.col("pos").alias("site"), "individual").distinct()
+        hits = hits.join(het, ["chrom", "site", "individual"], "left_semi")
+    chosen = one_site_per_read(hits, read, seed, by)
+    return depth, allele_counts(chosen, (*by, "chrom", "site", "ref", "alt"))
 
 
 def track_stats(track: DataFrame, value: str = "n", chrom: str = "chrom") -> DataFrame:
@@ -77,12 +110,14 @@ def polymorphic(genotypes: DataFrame) -> DataFrame:
     return n.where("ref_n > 0 AND alt_n > 0")
 
 
-def subset_samples(genotypes: DataFrame, names: list[str]) -> DataFrame:
-    """Genotypes of the named samples; a name given twice counts once, an unknown one is an error."""
+def subset_samples(genotypes: DataFrame, names: list[str], strict: bool = True) -> DataFrame:
+    """Genotypes of the named samples; a name given twice counts once, an unknown one is an error, or a warning if not strict."""
     wanted = list(dict.fromkeys(names))
     have = {r[0] for r in genotypes.where(F.col("sample").isin(wanted)).select("sample").distinct().collect()}
     if missing := [n for n in wanted if n not in have]:
-        raise ValueError(f"samples not found: {', '.join(missing)}")
+        if strict:
+            raise ValueError(f"samples not found: {', '.join(missing)}")
+        warnings.warn(f"samples not found: {', '.join(missing)}", stacklevel=2)
     return genotypes.where(F.col("sample").isin(wanted))
 
 

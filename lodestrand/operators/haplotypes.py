@@ -19,10 +19,8 @@ def oriented(test_hap1: Column, hap1: Column, hap2: Column, ref_n: Column, alt_n
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    own = hap1 == test_hap1
     ref = F.when(test_hap1.isNotNull(), F.when(F.when(test_hap1 == 0, hap1 == 0).otherwise(hap2 == 0), ref_n).otherwise(alt_n))
     alt = F.when(test_hap1.isNotNull(), F.when(F.when(test_hap1 == 0, hap1 == 0).otherwise(hap2 == 0), alt_n).otherwise(ref_n))
-    del own
     if mode == "zero":
         return F.coalesce(ref, F.lit(0)), F.coalesce(alt, F.lit(0))
     flip = coin == 1
@@ -33,13 +31,15 @@ def oriented(test_hap1: Column, hap1: Column, hap2: Column, ref_n: Column, alt_n
     return F.coalesce(ref, F.when(flip, second).otherwise(first)), F.coalesce(alt, F.when(flip, first).otherwise(second))
 
 
-def region_counts(sites: DataFrame, genotypes: DataFrame, as_counts: DataFrame, mode: str = "zero", seed: int = 0) -> DataFrame:
+def region_counts(sites: DataFrame, genotypes: DataFrame, as_counts: DataFrame, mode: str = "zero", seed: int = 0, probabilities: DataFrame | None = None) -> DataFrame:
     """A row per region, individual and heterozygous site: region_id, individual, pos, het_prob, ref_n, alt_n, other_n.
 
     sites: region_id, chrom, pos, test_pos.  genotypes: chrom, pos, individual,
     hap1, hap2.  as_counts: chrom, site, individual, ref_n, alt_n, other_n.
     With rand_hap the coin falls once for a region and individual, with
     rand_allele once for a site.  A missing allele makes no heterozygote.
+    probabilities (chrom, pos, individual, p_ra): how likely each individual is
+    heterozygous at a site; without them 1.
     """
     haps = genotypes.select("chrom", "pos", "individual", "hap1", "hap2")
     test = haps.select("chrom", F.col("pos").alias("test_pos"), "individual", F.when(F.col("hap1") != F.col("hap2"), F.col("hap1")).alias("test_hap1"))
@@ -49,7 +49,16 @@ def region_counts(sites: DataFrame, genotypes: DataFrame, as_counts: DataFrame,
     parts = ["region_id", "individual"] + (["pos"] if mode == "rand_allele" else [])
     coin = (F.conv(F.substring(hash_order(*parts, seed=seed), 1, 1), 16, 10).cast("int") % 2).cast("int")
     ref, alt = oriented(F.col("test_hap1"), F.col("hap1"), F.col("hap2"), F.col("ref_n"), F.col("alt_n"), mode, coin)
-    return at.select("region_id", "chrom", "test_pos", "individual", "pos", F.lit(1.0).alias("het_prob"), ref.alias("ref_n"), alt.alias("alt_n"), "other_n")
+    likely = F.lit(1.0)
+    if probabilities is not None:
+        at = at.join(probabilities.select("chrom", "pos", "individual", F.col("p_ra").cast("double").alias("p_ra")), ["chrom", "pos", "individual"], "left")
+        likely = F.col("p_ra")
+    return at.select("region_id", "chrom", "test_pos", "individual", "pos", likely.alias("het_prob"), ref.alias("ref_n"), alt.alias("alt_n"), "other_n")
+
+
+def dosage(p_ra: Column, p_aa: Column) -> Column:
+    """Expected number of alternate alleles."""
+    return p_ra + 2.0 * p_aa
 
 
 def input_rows(regions: DataFrame, sites: DataFrame, reads: DataFrame, genome: DataFrame) -> DataFrame:

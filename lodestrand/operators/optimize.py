@@ -1,4 +1,4 @@
-"""Minimisers in numpy and plain Python: downhill simplex, and bounded search in one dimension."""
+"""Minimisers in numpy: downhill simplex for one function or for many at once, and bounded search in one dimension."""
 
 from __future__ import annotations
 
@@ -87,3 +87,48 @@ def bounded(f: Callable[[float], float], low: float, high: float, tol: float = 1
             elif fu <= fv or v in (x, w):
                 v, fv = u, fu
     return x, fx
+
+
+def simplex_many(f: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, max_iter: int = 50_000, xtol: float = 1e-4, ftol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """simplex() for as many functions as start has rows, all worked on together.
+
+    f gets numbers of functions and a point for each, and gives their values.
+    """
+    n, d = start.shape
+    pts = np.repeat(start[:, None, :].astype(float), d + 1, axis=1)
+    for i in range(d):
+        pts[:, i + 1, i] = np.where(start[:, i] != 0, start[:, i] * 1.05, 0.00025)
+    every = np.arange(n)
+    val = np.stack([f(every, pts[:, i]) for i in range(d + 1)], axis=1)
+    left = every
+    for _ in range(max_iter):
+        order = np.argsort(val[left], axis=1, kind="stable")
+        pts[left], val[left] = np.take_along_axis(pts[left], order[:, :, None], axis=1), np.take_along_axis(val[left], order, axis=1)
+        p, v = pts[left], val[left]
+        done = (np.abs(p[:, 1:] - p[:, :1]).max(axis=(1, 2)) <= xtol) & (np.abs(v[:, 1:] - v[:, :1]).max(axis=1) <= ftol)
+        left, p, v = left[~done], p[~done], v[~done]
+        if not len(left):
+            break
+        centre = p[:, :-1].mean(axis=1)
+        away = centre - p[:, -1]
+        r = centre + away
+        fr = f(left, r)
+        better, fair = fr < v[:, 0], (fr >= v[:, 0]) & (fr < v[:, -2])
+        # a second point: twice as far where the first was best, half as far on the better side where it was bad
+        t = np.where(better, 2.0, np.where(fr < v[:, -1], 0.5, -0.5))
+        second = centre + t[:, None] * away
+        fs = np.full(len(left), np.inf)
+        ask = np.flatnonzero(~fair)
+        fs[ask] = f(left[ask], second[ask])
+        use = np.where(better, fs < fr, ~fair & (fs < np.minimum(fr, v[:, -1])))
+        shrink = ~better & ~fair & ~use
+        new, fn = np.where(use[:, None], second, r), np.where(use, fs, fr)
+        keep = np.flatnonzero(~shrink)
+        pts[left[keep], -1], val[left[keep], -1] = new[keep], fn[keep]
+        if shrink.any():
+            k = left[shrink]
+            pts[k, 1:] = pts[k, :1] + 0.5 * (pts[k, 1:] - pts[k, :1])
+            for i in range(1, d + 1):
+                val[k, i] = f(k, pts[k, i])
+    best = val.argmin(axis=1)
+    return pts[every, best], val[every, best]

@@ -7,12 +7,13 @@ A point lies in one bin, so no pair is found twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alleles, cigar
 
-BIN = 1_024
+#: Positions of a bin: of regions, and of aligned blocks, which are as long as a read at most.
+BIN, READ_BIN = 1_024, 128
 
 
 def interval_points(intervals: DataFrame, points: DataFrame, start: str = "start", stop: str = "stop", pos: str = "pos", chrom: str = "chrom", width: int = BIN, how: str = "inner") -> DataFrame:
@@ -37,7 +38,7 @@ def interval_intervals(a: DataFrame, b: DataFrame, start: str = "start", stop: s
     return left.join(right, on).drop("_bin", "_bin_b")
 
 
-def read_variants(reads: DataFrame, snps: DataFrame, counting: bool = False, keep: list[Column] | None = None) -> DataFrame:
+def read_variants(reads: DataFrame, snps: DataFrame, counting: bool = False) -> DataFrame:
     """A row for each variant that a read covers: the read's columns, snp_idx, site, ref, alt, read_pos, is_snp, base.
 
     SNPs count in aligned blocks alone; indels count inside deletions too.
@@ -49,8 +50,8 @@ def read_variants(reads: DataFrame, snps: DataFrame, counting: bool = False, kee
     block = F.inline(cigar.blocks(F.col("pos"), F.col("cigar"), deleted=not counting))
     at = reads.select(*reads.columns, block)
     if counting:
-        at = at.where("op = 'M'")
+        at = at.where((F.col("op") == "M") & cigar.is_countable(F.col("cigar")))
     points = snps.select("chrom", F.col("pos").alias("site"), "snp_idx", F.col("allele1").alias("ref"), F.col("allele2").alias("alt"))
-    hits = interval_points(at, points, "start", "stop", "site").withColumn("is_snp", ~kind).where("op <> 'D' OR NOT is_snp")
+    hits = interval_points(at, points, "start", "stop", "site", width=READ_BIN).withColumn("is_snp", ~kind).where("op <> 'D' OR NOT is_snp")
     read_pos = F.col("read_start") + F.when(F.col("op") == "D", 0).otherwise(F.col("site") - F.col("start"))
     return hits.select(*reads.columns, "snp_idx", "site", "ref", "alt", read_pos.alias("read_pos"), "is_snp", "op").withColumn("base", F.when(F.col("op") != "D", F.substr("seq", F.col("read_pos").cast("int"), F.lit(1)))).drop("op")

@@ -5,27 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import seq
+from ..functions import coords, seq
 from .overlap import interval_points
 
 
-def window_sums(depth: DataFrame, centres: DataFrame, half: int, value: str = "n") -> DataFrame:
-    """centres (chrom, pos, ...) with region_n: the depth from half before to half after each, by one RANGE frame.
-
-    Depth rows and centres with no weight are sorted together, so nothing is joined.
-    """
-    rest = [c for c in centres.columns if c not in ("chrom", "pos")]
-    at = centres.select("chrom", "pos", F.lit(0).cast("long").alias("_n"), F.struct(F.lit(1).alias("_c"), *rest).alias("_row"))
-    tracks = depth.select("chrom", "pos", F.col(value).cast("long").alias("_n"), F.lit(None).cast(at.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy("chrom").orderBy("pos").rangeBetween(-half, half)
-    both = tracks.unionByName(at).withColumn("region_n", F.sum("_n").over(w)).where("_row IS NOT NULL")
-    return both.select("chrom", "pos", *(F.col(f"_row.{c}").alias(c) for c in rest), "region_n")
-
-
 def window_sums_binned(depth: DataFrame, centres: DataFrame, half: int, value: str = "n", width: int = 1 << 16) -> DataFrame:
-    """What window_sums() gives, with (chromosome, bin) as the unit of work, for chromosomes too long for one task.
+    """centres (chrom, pos, ...) with region_n: the depth from half before to half after each, by a RANGE frame.
 
-    Depth that reaches into a neighbouring bin's windows goes to both.
+    Depth rows and centres with no weight are sorted together, so nothing is
+    joined; the unit of work is a bin of a chromosome, and depth that reaches
+    into a neighbouring bin's windows goes to both.
     """
     rest = [c for c in centres.columns if c not in ("chrom", "pos")]
     at = centres.select("chrom", F.floor(F.col("pos") / width).alias("_bin"), "pos", F.lit(0).cast("long").alias("_n"), F.struct(F.lit(1).alias("_c"), *rest).alias("_row"))
@@ -79,3 +68,9 @@ def region_bases(regions: DataFrame, chunks: DataFrame, key: str = "region_id",
     cut = F.substr("bases", (first + 1).cast("int"), (last - first + 1).cast("int"))
     n = got.groupBy(key).agg(F.sum(seq.count_bases(cut, "GC")).alias("gc"), F.sum(seq.count_bases(cut, "AT")).alias("at"))
     return n.withColumn("gc_fraction", F.when(F.col("gc") + F.col("at") > 0, F.col("gc") / (F.col("gc") + F.col("at"))))
+
+
+def sorted_by_place(rows: DataFrame, chroms: DataFrame, start: str = "start", strand: str | None = None) -> DataFrame:
+    """rows in the order of their chromosomes' numbers (chroms: chrom, idnum), of strand if named, and of start; a range-partitioned sort."""
+    known = rows.join(F.broadcast(chroms.select("chrom", F.col("idnum").alias("_id"))), "chrom", "left")  # a row per chromosome
+    return known.orderBy(coords.key(F.col("_id"), F.col(start), F.col(strand) if strand else None)).drop("_id")

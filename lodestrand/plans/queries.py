@@ -241,10 +241,35 @@ def split_pairs_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("disposition", F.when(F.col("disposition").isin("remap", "excess_versions"), "versions").otherwise(F.col("disposition"))).groupBy("disposition").agg(F.count("*").alias("n"))
 
 
-@query()
+PAIR_VERSIONS = """psites AS (SELECT qname, is_a, read_pos, site, allele1, allele2, row_number() OVER (PARTITION BY qname, is_a ORDER BY read_pos, site) AS k FROM phits WHERE is_snp),
+fair AS (SELECT o.qname, o.is_a, o.seq AS own FROM own o LEFT JOIN pstate s USING (qname) LEFT JOIN shared h USING (qname) WHERE o.ok AND coalesce(s.indels, 0) = 0 AND coalesce(s.snps, 0) <= 6 AND NOT coalesce(h.discordant, false)),
+grown AS (
+  SELECT qname, is_a, own, own AS seq, 1 AS k FROM fair
+  UNION
+  SELECT v.qname, v.is_a, v.own, left(v.seq, (s.read_pos - 1)::INTEGER) || a.allele || substr(v.seq, (s.read_pos + 1)::INTEGER), v.k + 1
+  FROM grown v JOIN psites s ON s.qname = v.qname AND s.is_a = v.is_a AND s.k = v.k, unnest([substr(v.seq, s.read_pos::INTEGER, 1), s.allele1, s.allele2]) AS a(allele)),
+ends AS (SELECT DISTINCT v.qname, v.is_a, v.own, v.seq FROM grown v LEFT JOIN (SELECT qname, is_a, max(k) AS last FROM psites GROUP BY ALL) l USING (qname, is_a) WHERE v.k = coalesce(l.last, 0) + 1),
+few AS (SELECT qname FROM ends GROUP BY qname HAVING count(*) <= 64),
+keyed AS (SELECT e.qname, e.is_a, e.own, e.seq, coalesce((SELECT string_agg(substr(e.seq, p.read_pos::INTEGER, 1), '' ORDER BY p.site) FROM psites p WHERE p.qname = e.qname AND p.is_a = e.is_a AND EXISTS (SELECT 1 FROM psites q WHERE q.qname = p.qname AND q.is_a <> p.is_a AND q.site = p.site)), '') AS key FROM ends e JOIN few USING (qname)),
+product AS (SELECT DISTINCT x.qname, x.own AS own_a, y.own AS own_b, x.seq AS seq_a, y.seq AS seq_b FROM keyed x JOIN keyed y ON x.qname = y.qname AND x.key = y.key AND x.is_a AND NOT y.is_a),
+sized AS (SELECT *, count(*) OVER (PARTITION BY qname) - 1 AS n_versions FROM product),
+made AS (SELECT * FROM sized WHERE n_versions <= 64)"""
+PAIR_BASE = (PAIRS, PAIRED, SNPS, PAIR_HITS, PAIR_VERSIONS)
+
+
+@query(with_sql(*PAIR_BASE, body="""SELECT CASE WHEN NOT o.ok THEN 'mate_pos_mismatch' WHEN indels > 0 THEN 'indel' WHEN snps > 6 THEN 'excess_snps' WHEN discordant THEN 'discordant' WHEN m.qname IS NULL THEN 'excess_versions' WHEN coalesce(snps, 0) = 0 THEN 'keep' ELSE 'remap' END AS disposition, count(*) AS n
+FROM own o LEFT JOIN pstate USING (qname) LEFT JOIN shared USING (qname) LEFT JOIN (SELECT DISTINCT qname FROM made) m USING (qname) WHERE is_a GROUP BY 1""").replace("WITH ", "WITH RECURSIVE ", 1))
+def split_pairs_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by what becomes of them, those with too many versions apart."""
+    rows, _ = split.split_pairs(views.pairs(spark, sf_dir), views.snps(spark, sf_dir))
+    return rows.groupBy("disposition").agg(F.count("*").alias("n"))
+
+
+@query(with_sql(*PAIR_BASE, body="""SELECT m.qname, o.pos AS pos_a, o.mate_pos AS pos_b, row_number() OVER (PARTITION BY m.qname ORDER BY seq_a, seq_b) AS version_no, n_versions, m.qname::VARCHAR || '.' || o.pos::VARCHAR || '-' || o.mate_pos::VARCHAR || '.' || (row_number() OVER (PARTITION BY m.qname ORDER BY seq_a, seq_b))::VARCHAR || '.' || n_versions::VARCHAR AS name, seq_a, seq_b
+FROM made m JOIN (SELECT x.qname, x.pos, y.pos AS mate_pos FROM own x JOIN own y ON x.qname = y.qname AND x.is_a AND NOT y.is_a) o USING (qname) JOIN pstate s USING (qname) WHERE s.snps > 0 AND NOT (seq_a = own_a AND seq_b = own_b)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def split_pairs_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of pairs whose mates agree at shared SNPs."""
-    return split.split_pairs(views.pairs(spark, sf_dir), views.snps(spark, sf_dir))[1]
+    return split.split_pairs(views.pairs(spark, sf_dir), views.snps(spark, sf_dir))[1].withColumns({c: F.col(c).cast("long") for c in ("version_no", "n_versions")})
 
 
 @query(with_sql(READS, body="SELECT qname || '.x' AS orig_name, pos AS exp_pos1, pos + 7 AS exp_pos2, 1 AS version_no, 3 AS n_versions, qname || '.x.' || pos::VARCHAR || '-' || (pos + 7)::VARCHAR || '.1.3' AS name, '@' || qname || chr(10) || reverse(translate(seq, 'ACGT', 'TGCA')) || chr(10) || '+' || chr(10) || repeat('B', 32) AS record FROM reads"))
@@ -308,8 +333,8 @@ def as_counts_one_snp_per_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(READS, body="SELECT chrom, pos, least(count(*), 65535) AS n FROM reads WHERE flag IN (0, 16) GROUP BY chrom, pos"))
 def read_start_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads that start at each position."""
-    return counts.start_depth(usable(views.reads(spark, sf_dir)))
+    """Reads that start at each position, up to what two bytes hold."""
+    return counts.start_depth(usable(views.reads(spark, sf_dir)), 65_535)
 
 
 @query(with_sql(READS, body="SELECT chrom, pos // 100 AS bin, least(count(*), 255) AS n FROM reads WHERE flag IN (0, 16) GROUP BY ALL"))
@@ -452,7 +477,17 @@ def cht_input_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return input_rows(spark, sf_dir).select("region_id", "individual", "test_id", "genotype", "haplotype", "region_reads", "genome_reads")
 
 
-@query()
+SITES_OF_ROWS = """rsites AS (SELECT DISTINCT p.region_id, p.chrom, p.test_pos, s.pos FROM parts p JOIN snps s ON s.chrom = p.chrom AND s.pos BETWEEN p.a AND p.z),
+rplaced AS (SELECT s.*, g.individual, CASE WHEN t.hap1 <> t.hap2 THEN CASE WHEN t.hap1 = 0 THEN g.hap1 = 0 ELSE g.hap2 = 0 END END AS same, coalesce(c.ref_n, 0) AS r, coalesce(c.alt_n, 0) AS a, coalesce(c.other_n, 0) AS o
+  FROM rsites s JOIN genotypes g ON g.chrom = s.chrom AND g.pos = s.pos AND g.hap1 <> g.hap2 LEFT JOIN genotypes t ON t.chrom = s.chrom AND t.pos = s.test_pos AND t.individual = g.individual LEFT JOIN as_counts c ON c.chrom = s.chrom AND c.site = s.pos AND c.individual = g.individual),
+rturned AS (SELECT region_id, individual, pos, CASE WHEN same THEN r WHEN NOT same THEN a ELSE 0 END AS ref_n, CASE WHEN same THEN a WHEN NOT same THEN r ELSE 0 END AS alt_n, o AS other_n FROM rplaced),
+rlists AS (SELECT region_id, individual, count(*) AS n_sites, sum(ref_n + alt_n)::BIGINT AS as_n, string_agg(pos::VARCHAR, ';' ORDER BY pos) AS ps, string_agg('1.00', ';') AS ones, string_agg(ref_n::VARCHAR, ';' ORDER BY pos) AS rs, string_agg(alt_n::VARCHAR, ';' ORDER BY pos) AS als, string_agg(other_n::VARCHAR, ';' ORDER BY pos) AS os FROM rturned GROUP BY ALL),
+text_rows AS (SELECT g.chrom, g.pos AS test_pos, g.individual, s.name AS test_id, s.allele1 AS ref, s.allele2 AS alt, (hap1 + hap2)::DOUBLE AS genotype, hap1::VARCHAR || '|' || hap2::VARCHAR AS haplotype, greatest(g.pos - 50, 1)::VARCHAR || ';' || (g.pos + 100)::VARCHAR AS starts, (g.pos + 50)::VARCHAR || ';' || (g.pos + 150)::VARCHAR AS stops,
+  n_sites, as_n, ps, ones, rs, als, os, coalesce(d.region_reads, 0) AS region_reads, n.genome_reads::DOUBLE AS genome_reads
+  FROM genotypes g JOIN snps s USING (chrom, pos) LEFT JOIN rlists l ON l.region_id = g.chrom || ':' || g.pos::VARCHAR AND l.individual = g.individual LEFT JOIN rdepth d ON d.region_id = g.chrom || ':' || g.pos::VARCHAR AND d.individual = g.individual LEFT JOIN genome_n n ON n.individual = g.individual)"""
+
+
+@query(with_sql(*INPUT_BASE, SITES_OF_ROWS, body="""SELECT concat_ws(' ', chrom, test_pos::VARCHAR, test_id, ref, alt, coalesce(printf('%.2f', genotype), 'NA'), coalesce(haplotype, 'NA'), starts, stops, coalesce(ps, 'NA'), coalesce(ones, 'NA'), coalesce(ones, 'NA'), coalesce(rs, 'NA'), coalesce(als, 'NA'), coalesce(os, 'NA'), region_reads::VARCHAR, coalesce(printf('%.2f', genome_reads), 'NA')) AS value FROM text_rows"""))
 def cht_input_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the combined test as text lines."""
     return tables.input_text(input_rows(spark, sf_dir))
@@ -631,7 +666,10 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.reads(spark, sf_dir).orderBy(remap.hash_order("qname", seed=7), "qname").limit(2000).select("qname", "chrom", "pos")
 
 
-@query()
+@query(with_sql(*INPUT_BASE, """rows AS (SELECT g.chrom || ':' || g.pos::VARCHAR AS region_id, g.individual, (hap1 + hap2)::DOUBLE AS genotype, hap1::VARCHAR || '|' || hap2::VARCHAR AS haplotype FROM genotypes g),
+sites AS (SELECT p.region_id, g.individual, count(DISTINCT s.pos)::INTEGER AS n_sites FROM parts p JOIN snps s ON s.chrom = p.chrom AND s.pos BETWEEN p.a AND p.z JOIN genotypes g ON g.chrom = s.chrom AND g.pos = s.pos AND g.hap1 <> g.hap2 GROUP BY ALL),
+here AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY individual) AS n FROM rows),
+there AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY md5(region_id || '|' || individual::VARCHAR || '|0'), individual) AS n FROM rows)""", body="SELECT h.region_id, h.individual, t.genotype, t.haplotype, s.n_sites FROM here h JOIN there t USING (region_id, n) LEFT JOIN sites s ON s.region_id = h.region_id AND s.individual = h.individual"))
 def permute_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the combined test with genotypes dealt out anew."""
     return haplotypes.permuted(input_rows(spark, sf_dir)).select("region_id", "individual", "genotype", "haplotype", F.size("region_snps").alias("n_sites"))
@@ -676,3 +714,6 @@ def cht_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pca_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Principal components of depth in regions."""
     return association.loadings(input_rows(spark, sf_dir), "region_reads", 3)
+
+
+from . import counting, files  # noqa: E402, F401  their queries are registered as well

@@ -19,6 +19,11 @@ def _na(c: Column) -> Column:
     return F.when(c != "NA", c)
 
 
+def _formatted(form: str, c: Column) -> Column:
+    """A number as text, or NA."""
+    return F.when(c.isNotNull(), F.format_string(form, c)).otherwise("NA")
+
+
 def read_snps(spark: SparkSession, paths: str | list[str], chrom: str | None = None) -> DataFrame:
     """chrom, pos, allele1, allele2 of files with pos and two alleles a line, named by chromosome; alleles in upper case, - left out."""
     named = F.lit(chrom) if chrom else F.regexp_extract("file", r"([^/]+?)\.snps\.txt(\.gz)?$", 1)
@@ -62,6 +67,19 @@ def write_values(values: DataFrame, path: str, column: str = "disp") -> None:
     values.orderBy("individual").select(F.col(column).cast("string").alias("value")).coalesce(1).write.text(path)
 
 
+def write_coefficients(coefs: DataFrame, path: str) -> None:
+    """A line of tab-separated coefficients (an array, coefs) for each individual, in their order."""
+    coefs.orderBy("individual").select(F.array_join(F.transform("coefs", lambda c: c.cast("string")), "\t").alias("value")).coalesce(1).write.text(path)
+
+
+def read_coefficients(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """individual and coefs from a line of numbers for each, in the order of names; the lines must be as many."""
+    rows = [[float(x) for x in r.p] for r in _fields(spark, path).select("p").collect()]  # a line per individual
+    if len(rows) != len(names):
+        raise ValueError(f"{len(rows)} lines for {len(names)} individuals")
+    return spark.createDataFrame(list(zip(names, rows, strict=True)), "individual string, coefs array<double>")
+
+
 def read_covariates(spark: SparkSession, path: str, names: list[str], count: int) -> DataFrame:
     """individual and values (the first count covariates) from a matrix with a line per individual."""
     rows = [[float(x) for x in r.p[:count]] for r in _fields(spark, path).select("p").collect()]  # a line per individual
@@ -90,12 +108,12 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return _fields(spark, path).select(F.concat_ws(":", p[0], p[1], p[6]).alias("region_id"), p[0].alias("chrom"), p[1].cast("long").alias("test_pos"), p[3].alias("ref"), p[4].alias("alt"), longs(p[7]).alias("starts"), longs(p[8]).alias("stops"))
 
 
-def input_text(rows: DataFrame) -> DataFrame:
-    """value: the seventeen columns of a row of the combined test; what is null is NA."""
+def input_text(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """value: the seventeen columns of a row of the combined test; what is null is NA.  keep: columns that come along."""
     r = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NA"))
     joined = lambda f, fmt=None: F.when(F.size("region_snps") > 0, F.array_join(F.transform("region_snps", lambda s: F.format_string(fmt, s[f]) if fmt else s[f].cast("string")), ";")).otherwise("NA")
-    parts = [r("chrom"), r("test_pos"), r("test_id"), r("ref"), r("alt"), F.coalesce(F.format_string("%.2f", F.col("genotype")), F.lit("NA")), r("haplotype"), F.array_join("starts", ";"), F.array_join("stops", ";"), joined("pos"), joined("het_prob", "%.2f"), joined("linkage", "%.2f"), joined("ref_n"), joined("alt_n"), joined("other_n"), r("region_reads"), F.coalesce(F.format_string("%.2f", F.col("genome_reads").cast("double")), F.lit("NA"))]
-    return rows.select(F.concat_ws(" ", *parts).alias("value"))
+    parts = [r("chrom"), r("test_pos"), r("test_id"), r("ref"), r("alt"), _formatted("%.2f", F.col("genotype")), r("haplotype"), F.array_join("starts", ";"), F.array_join("stops", ";"), joined("pos"), joined("het_prob", "%.2f"), joined("linkage", "%.2f"), joined("ref_n"), joined("alt_n"), joined("other_n"), r("region_reads"), _formatted("%.2f", F.col("genome_reads").cast("double"))]
+    return rows.select(*(keep or []), F.concat_ws(" ", *parts).alias("value"))
 
 
 def read_input(spark: SparkSession, files: dict[str, str]) -> DataFrame:
@@ -119,7 +137,7 @@ def read_input(spark: SparkSession, files: dict[str, str]) -> DataFrame:
 
 def result_text(results: DataFrame) -> DataFrame:
     """value: a tab-separated line for each result."""
-    f = lambda c, fmt: F.coalesce(F.format_string(fmt, F.col(c)), F.lit("NA"))
+    f = lambda c, fmt: _formatted(fmt, F.col(c))
     return results.select(F.concat_ws("\t", "chrom", F.col("test_pos").cast("string"), "region_id", f("loglik_null", "%.2f"), f("loglik_alt", "%.2f"), f("chi_square", "%.3f"), f("p_value", "%g"), f("alpha", "%g"), f("beta", "%g"), f("dispersion", "%g"), *(F.col(c).cast("string") for c in ("as_ref", "as_alt", "as_reads", "all_reads", "n_individuals"))).alias("value"))
 
 

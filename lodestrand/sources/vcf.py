@@ -80,10 +80,12 @@ def read_variants(spark: SparkSession, paths: str | list[str], chroms: DataFrame
     return placed(rows, chroms) if chroms is not None else rows
 
 
-def placed(rows: DataFrame, chroms: DataFrame) -> DataFrame:
-    """rows with chromosome names as chroms has them; a position outside is an error, an unknown chromosome goes."""
+def placed(rows: DataFrame, chroms: DataFrame, strict: bool = False) -> DataFrame:
+    """rows with chromosome names as chroms has them; a position outside is an error, an unknown chromosome goes, or is an error if strict."""
     known = F.broadcast(chroms.select(F.col("chrom").alias("_own"), "length", F.regexp_replace("chrom", "^chr", "").alias("_bare")))  # a row per chromosome
-    at = rows.join(known, F.regexp_replace("chrom", "^chr", "") == F.col("_bare"))
+    at = rows.join(known, F.regexp_replace("chrom", "^chr", "") == F.col("_bare"), "left" if strict else "inner")
+    if strict:
+        at = at.withColumn("_own", F.when(F.col("_own").isNotNull(), F.col("_own")).otherwise(F.raise_error(F.concat(F.lit("unknown chromosome: "), F.col("chrom"))).cast("string")))
     pos = F.when(F.col("pos").between(1, F.col("length")), F.col("pos")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("position outside of"), F.col("_own"), F.col("pos").cast("string"))).cast("long"))
     return at.select(*(F.col("_own").alias("chrom") if c == "chrom" else pos.alias("pos") if c == "pos" else F.col(c) for c in rows.columns))
 

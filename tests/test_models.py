@@ -125,3 +125,82 @@ def test_mates_of_a_stream(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert [tuple(r) for r in spark.sql(pairs).collect()] == [("c1", "a", 5, 20, "paired")]
+
+
+def test_many_functions_are_minimised_as_one(spark):
+    goal = np.array([[3.0, -1.0], [0.5, 2.0], [-4.0, 0.25]])
+
+    def cost(which, x):
+        return ((x - goal[which]) ** 2 * [1, 10]).sum(axis=1)
+
+    x, value = optimize.simplex_many(cost, np.array([[0.0, 0.5]] * 3))
+    for i in range(3):
+        one, least = optimize.simplex(lambda p, i=i: float(cost(np.array([i]), p[None])[0]), [0.0, 0.5])
+        assert np.allclose(x[i], one, atol=1e-12) and abs(value[i] - least) < 1e-12
+
+
+def test_regions_fitted_together_equal_plain_likelihoods(spark):
+    g = np.random.default_rng(3)
+    rows = []
+    for r in range(6):
+        for i in range(12):
+            dose = int(g.integers(0, 3))
+            sites = [(100 + r, 0.95, 1.0, int(g.integers(0, 9)), int(g.integers(0, 9)), 0) for _ in range(int(g.integers(0, 3)))]
+            rows.append((f"r{r}", "c", r, f"i{i:02d}", float(dose), sites, int(g.integers(0, 40)), float(1000 + i)))
+    df = spark.createDataFrame(rows, "region_id string, chrom string, test_pos long, individual string, genotype double, region_snps array<struct<pos:bigint,het_prob:double,linkage:double,ref_n:bigint,alt_n:bigint,other_n:bigint>>, region_reads long, genome_reads double")
+    got = {r.region_id: r for r in association.combined_test(df).collect()}
+    for k, r in got.items():
+        own = [x for x in rows if x[0] == k]
+        total = 0.0
+        for x in own:
+            mean = {0: 2 * r.alpha, 1: r.alpha + r.beta, 2: 2 * r.beta}[int(x[4])] * x[7] / 1000
+            total += float(association.bnb_loglik(np.array(float(x[6])), np.array(mean), np.array(r.dispersion), np.array(1000.0)))
+            if x[4] == 1:
+                total += sum(float(association.bb_loglik(r.alpha / (r.alpha + r.beta), 0.001, s[3], s[4], s[1])) for s in x[5])
+        assert abs(total - r.loglik_alt) < 1e-6 * abs(total) + 1e-6 and r.loglik_alt >= r.loglik_null - 1e-3
+        assert r.all_reads == sum(x[6] for x in own) and r.as_ref == sum(s[3] for x in own if x[4] == 1 for s in x[5])
+
+
+def test_dispersions_are_found_again(spark):
+    rows = simulate.simulate_counts(spark, n_tests=400, n_inds=6, depth_disp=60.0, gene_disp=0.05, mean=150.0)
+    got = association.fit_depth_dispersion(rows, sample=None).collect()
+    own = sorted((r.region_id, r.individual, r.region_reads) for r in rows.collect())
+    k, at = np.array([float(r[2]) for r in own]), np.repeat(np.arange(400), 6)
+
+    def loglik(disp, gene):
+        d = np.tile(disp, 400)
+        mean = association._best_mean(k, np.ones(len(k)), d, gene, d, at, 400)[at]
+        return association.bnb_loglik(k, mean, np.array(gene), d).sum()
+
+    found, gene = np.array([r.disp for r in sorted(got, key=lambda r: r.individual)]), got[0].region_disp
+    best = loglik(found, gene)
+    assert len(got) == 6 and best >= loglik(np.full(6, 60.0), 0.05)
+    assert all(best >= loglik(found * np.where(np.arange(6) == i, f, 1), gene) - 0.05 for i in range(6) for f in (0.8, 1.25)) and best >= max(loglik(found, gene * 0.9), loglik(found, gene * 1.1)) - 0.05
+    each = association.fit_region_dispersion(rows, spark.createDataFrame([(r.individual, r.disp) for r in got], "individual string, disp double"))
+    mean = each.agg(F.avg("mean"), F.count("*")).first()
+    assert mean[1] == 400 and 120 < mean[0] < 180
+    few = association.fit_depth_dispersion(rows, sample=50, max_rounds=3)
+    assert few.count() == 6
+
+
+def test_ranks_in_stretches(spark):
+    g = np.random.default_rng(2)
+    p = np.where(g.random(3000) < 0.4, 1.0, g.random(3000))
+    p[:3] = 0
+    df = spark.createDataFrame([(f"r{i:05d}", float(x)) for i, x in enumerate(p)], "region_id string, p_value double")
+    for f, c in ((association.false_discovery, "fdr"), (association.expected_ranks, "expected")):
+        whole = {r.region_id: r[c] for r in f(df).collect()}
+        cut = {r.region_id: r[c] for r in f(df, stretch=200).collect()}
+        assert whole.keys() == cut.keys() and all(abs(whole[k] - cut[k]) < 1e-12 for k in whole)
+    sizes = association.ranked(df, "p_value", stretch=200)[0].groupBy("_s").count().collect()
+    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 600
+    assert association.false_discovery(df.where("1 = 0")).count() == 0
+
+
+def test_loadings_equal_those_of_the_matrix(spark):
+    g = np.random.default_rng(5)
+    x = g.normal(size=(200, 5)) @ g.normal(size=(5, 5))
+    df = spark.createDataFrame([(f"r{i}", j, float(v)) for i, row in enumerate(x) for j, v in enumerate(row)], "region_id string, individual int, reads double")
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    for r in association.loadings(df, "reads").collect():
+        assert abs(abs(vectors[r.individual, 5 - r.component]) - abs(r.loading)) < 1e-8

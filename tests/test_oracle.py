@@ -32,7 +32,7 @@ def test_same_as_sql(spark, sf_dir, duck, name):
     assert got
 
 
-@pytest.mark.parametrize("name", [n for n in core.QUERIES if n not in core.SQL and n not in ("fit_as", "fit_bnb", "cht_test")])
+@pytest.mark.parametrize("name", [n for n in core.QUERIES if n not in core.SQL])
 def test_runs(spark, sf_dir, name):
     assert core.QUERIES[name](spark, sf_dir).count() > 0
 

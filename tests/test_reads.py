@@ -163,3 +163,28 @@ def test_samples_must_be_there(spark):
     assert counts.subset_samples(g, ["a", "a"]).count() == 1
     with pytest.raises(ValueError, match="not found"):
         counts.subset_samples(g, ["b"])
+
+
+def test_pairs_must_come_back_as_proper_pairs(spark):
+    to_remap = spark.createDataFrame([(q, "c1", p, "5M") for q in ("ok", "improper", "single", "swapped", "moved", "second", "tied") for p in (10, 30)], "qname string, chrom string, pos long, cigar string")
+    rows = []
+    for q, flags, places, named in (("ok", (99, 147), (10, 30), (10, 30)), ("improper", (97, 145), (10, 30), (10, 30)), ("single", (0, 0), (10, 30), (10, 30)), ("swapped", (99, 147), (10, 30), (30, 10)), ("moved", (99, 147), (10, 31), (10, 30)), ("second", (99, 147 | 256), (10, 30), (10, 30)), ("tied", (163, 83), (10, 10), (10, 10))):
+        rows += [(f"{q}.{named[0]}-{named[1]}.1.1", flags[i], "c1", places[i], places[1 - i], "5M") for i in (0, 1)]
+    back = spark.createDataFrame(rows, "name string, flag int, chrom string, pos long, mate_pos long, cigar string")
+    got = {r.qname: r.verdict for r in remap.remap_verdict(to_remap, back).collect()}
+    assert got == {"ok": "keep", "improper": "poisoned", "single": "poisoned", "swapped": "wrong_place", "moved": "wrong_place", "second": "poisoned", "tied": "keep"}
+
+
+def test_reads_of_other_individuals_are_no_duplicates(spark):
+    reads = spark.createDataFrame([("a", 1, 0, "c", 5), ("b", 2, 0, "c", 5), ("c", 2, 0, "c", 5)], "qname string, individual long, flag int, chrom string, pos long")
+    assert remap.dedup_single(reads).count() == 1 and remap.dedup_single(reads, by=("individual",)).count() == 2
+
+
+def test_counting_leaves_out_clipped_and_past_the_end(spark):
+    reads = spark.createDataFrame([("a", 1, "c", 5, "4M", "ACGT"), ("b", 1, "c", 98, "4M", "ACGT"), ("s", 1, "c", 5, "1S3M", "ACGT"), ("e", 1, "c", 5, "4=", "ACGT"), ("i", 1, "c", 20, "4M", "ACGT")], "qname string, individual long, chrom string, pos long, cigar string, seq string")
+    snps = spark.createDataFrame([("c", 6, 0, "C", "T"), ("c", 7, 1, "G", "T"), ("c", 21, 2, "C", "CA")], "chrom string, pos long, snp_idx long, allele1 string, allele2 string")
+    chroms = spark.createDataFrame([("c", 100)], "chrom string, length long")
+    het = spark.createDataFrame([("c", 6, 1, 0, 0), ("c", 7, 1, 0, 1)], "chrom string, pos long, individual long, hap1 long, hap2 long")
+    depth, alleles = counts.count_reads(reads, snps, chroms, het)
+    assert [(r.pos, r.n) for r in depth.collect()] == [(5, 2)]
+    assert [(r.site, r.ref_n, r.alt_n, r.other_n) for r in alleles.collect()] == [(7, 1, 0, 0)]

@@ -125,3 +125,68 @@ def test_fastq(spark):
     a, b = tables.fastq_pair(v)
     assert a.first().value == "@n\nAACG\n+\nIIIJ" and b.first().value == "@n\nCAAA\n+\nJIII"
     assert a.select(F.size(F.split("value", "\n"))).first()[0] == 4
+
+
+def test_fasta_in_many_splits(spark, tmp_path):
+    import random
+
+    g = random.Random(1)
+    seqs = {f"c{i}": "".join(g.choice("ACGT") for _ in range(n)) for i, n in enumerate((5_000, 1, 12_345, 777))}
+    for i, own in enumerate((("c0", "c1"), ("c2", "c3"))):
+        put(tmp_path / f"{i}.fa", "".join(f">{c} x\n" + "".join(seqs[c][k : k + 61] + "\n" for k in range(0, len(seqs[c]), 61)) for c in own))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        lengths = spark.createDataFrame([(c, len(x)) for c, x in seqs.items()], "chrom string, length long")
+        chunks = fasta.read_fasta(spark, str(tmp_path), 100, lengths)
+        assert chunks.rdd.getNumPartitions() >= 1
+        got = {(r.chrom, r.chunk_start): r.bases for r in chunks.collect()}
+        with pytest.raises(ValueError, match="as long as"):
+            fasta.read_fasta(spark, str(tmp_path), 100, lengths.where("chrom = 'c1'").withColumn("length", F.lit(2).cast("long")))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(c, k + 1): x[k : k + 100] for c, x in seqs.items() for k in range(0, len(x), 100)}
+    lines = [r.value for r in fasta.fasta_lines(spark.createDataFrame([(c, k, b) for (c, k), b in got.items()], "chrom string, chunk_start long, bases string"), 70).collect()]
+    assert lines == [y for c in sorted(seqs) for y in [f">{c}", *(seqs[c][k : k + 70] for k in range(0, len(seqs[c]), 70))]]
+
+
+def test_gzip_is_told_by_its_first_bytes(spark, tmp_path):
+    from lodestrand.sources import streams
+
+    put(tmp_path / "a.txt", "x\ny\n", True)
+    put(tmp_path / "b.gz.not", "p\nq\nr")
+    (tmp_path / "c.txt").write_bytes(gzip.compress(b"1\n2") + gzip.compress(b"3\n"))
+    got = {(r.path.rsplit("/", 1)[-1], r.line, r.value) for r in streams.read_lines(spark, str(tmp_path)).collect()}
+    assert got == {("a.txt", 1, "x"), ("a.txt", 2, "y"), ("b.gz.not", 1, "p"), ("b.gz.not", 2, "q"), ("b.gz.not", 3, "r"), ("c.txt", 1, "1"), ("c.txt", 2, "23")}
+    assert {r.lines for r in streams.count_lines(spark, str(tmp_path)).collect()} == {2, 3}
+
+
+def test_bam_of_many_blocks_and_damage(spark, tmp_path):
+    from lodestrand.sources import streams
+
+    data = bam_bytes()
+    (tmp_path / "a.bam").write_bytes(data)
+    raw = b"".join(streams.pieces(f"file://{tmp_path}/a.bam"))
+    assert list(sam.parse_bam(iter([raw[i : i + 7] for i in range(0, len(raw), 7)]))) == list(sam.parse_bam(iter([raw])))
+    with pytest.raises(ValueError, match="ends within"):
+        list(sam.parse_bam(iter([raw[:-3]])))
+    (tmp_path / "b.bam").write_bytes(data[:-5])
+    with pytest.raises(ValueError, match="ends within"):
+        list(streams.pieces(f"file://{tmp_path}/b.bam"))
+
+
+def test_files_of_a_chromosome_are_paired():
+    chroms = ["chr1", "chr11", "chrX"]
+    assert impute.paired_files(["/a/chr11.x.gz", "/a/chr1.x"], ["/b/chr1_h", "/b/chr11_h"], chroms) == [("chr1", "/a/chr1.x", "/b/chr1_h"), ("chr11", "/a/chr11.x.gz", "/b/chr11_h")]
+    with pytest.raises(ValueError, match="partner"):
+        impute.paired_files(["chr1"], ["chrX"], chroms)
+    with pytest.raises(ValueError, match="second"):
+        impute.paired_files(["chr1.a", "chr1.b"], ["chr1"], chroms)
+
+
+def test_unknown_chromosomes_may_be_refused(spark):
+    rows = spark.createDataFrame([("9", 5)], "chrom string, pos long")
+    chroms = spark.createDataFrame([("chr1", 100)], "chrom string, length long")
+    assert vcf.placed(rows, chroms).count() == 0
+    with pytest.raises(Exception, match="unknown chromosome"):
+        vcf.placed(rows, chroms, strict=True).collect()
