@@ -5,7 +5,7 @@ The class of a word comes from its last two bytes; the frequent endings have a
 class each.  In a class, its most frequent words have a place each and all
 others share one.  Both softmaxes, over classes and over the places of a class,
 sum weights of hashed features: a bias, the word before, the word skipped to,
-and for classes the pair of classes before and a skip over two words.  Words
+and for classes the pair of classes before.  Words
 that share a place have their add-one relative frequency there, with room for
 words not met in training, so the probabilities of all words and the end add up
 to 1.
@@ -49,11 +49,15 @@ HEAD = 65_536
 OWN_CLASSES = 32
 CLASSES = 48
 #: Places of a class: the first for all words without one of their own.
-PLACES = 64
+PLACES = 32
 #: A training round uses one position of each so many; all rounds use every position.
 ROUNDS = 2
+#: Of Adagrad's steps.
+RATE = 0.05
 #: Bytes of input for each range of word hashes; one task holds a range.
 RANGE_BYTES = 4 << 20
+#: Bytes of packed tokens for each task of training at least, if there are tasks enough: each sends what it changed.
+TASK_BYTES = 32 << 20
 SLAB = 1 << 14
 BATCH = 1 << 13
 END_HASH = np.uint64(1)
@@ -62,13 +66,13 @@ END_ENDING = 0
 STEEPEST = np.float32(60)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
-#: Rows of the classes' weights: bias, word before, word skipped to, pair of classes before, class three before.
+#: Rows of the classes' weights: bias, word before, word skipped to, pair of classes before.
 WORD_ROWS, SKIP_ROWS = 1 << 13, 1 << 12
 _WIDE = CLASSES + 1
-CLASS_OFFSETS = np.cumsum([0, 1, WORD_ROWS, SKIP_ROWS, _WIDE * _WIDE])
-CLASS_ROWS = int(CLASS_OFFSETS[-1]) + _WIDE
+CLASS_OFFSETS = np.cumsum([0, 1, WORD_ROWS, SKIP_ROWS])
+CLASS_ROWS = int(CLASS_OFFSETS[-1]) + _WIDE * _WIDE
 #: Rows of the places' weights: bias of each class, and with the class the word before and the word skipped to.
-PLACE_WORDS, PLACE_SKIPS = 1 << 14, 1 << 13
+PLACE_WORDS, PLACE_SKIPS = 1 << 13, 1 << 12
 PLACE_OFFSETS = np.cumsum([0, CLASSES, PLACE_WORDS])
 PLACE_ROWS = int(PLACE_OFFSETS[-1]) + PLACE_SKIPS
 
@@ -154,9 +158,9 @@ def contexts(c: Corpus, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out[there] = values[there - k]
         return out
 
-    one, two, three = (back(kind, k, CLASSES) for k in (1, 2, 3))
+    one, two = back(kind, 1, CLASSES), back(kind, 2, CLASSES)
     before, skipped = back(word, 1, 0), back(word, 2, 0)
-    outer = (np.zeros(n, dtype=np.int64), before % WORD_ROWS, skipped % SKIP_ROWS, two * _WIDE + one, three)
+    outer = (np.zeros(n, dtype=np.int64), before % WORD_ROWS, skipped % SKIP_ROWS, two * _WIDE + one)
     own = kind * 40503
     inner = (kind, (before + own) % PLACE_WORDS, (skipped + own) % PLACE_SKIPS)
     return np.stack([r + o for r, o in zip(outer, CLASS_OFFSETS, strict=True)]), np.stack([r + o for r, o in zip(inner, PLACE_OFFSETS, strict=True)])
@@ -188,7 +192,7 @@ def log_shares(weights: np.ndarray, rows: np.ndarray, outcome: np.ndarray) -> np
     return out
 
 
-def improve(weights: np.ndarray, squares: np.ndarray, visits: np.ndarray, rows: np.ndarray, outcome: np.ndarray, rate: float = 0.05) -> None:
+def improve(weights: np.ndarray, squares: np.ndarray, visits: np.ndarray, rows: np.ndarray, outcome: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step per batch of positions, in place."""
     for a in range(0, len(outcome), BATCH):
         r, y = rows[:, a : a + BATCH], outcome[a : a + BATCH]
@@ -196,22 +200,30 @@ def improve(weights: np.ndarray, squares: np.ndarray, visits: np.ndarray, rows:
         np.negative(miss, out=miss)
         miss[np.arange(len(y)), y] += 1
         for own in r:
+            if own[0] == own[-1] and (own == own[0]).all():  # a bias
+                _step(weights, squares, miss.sum(axis=0)[None] / np.sqrt(len(own), dtype=np.float32), own[:1], rate)
+                visits[own[0]] += len(own)
+                continue
             order = np.argsort(own.astype(np.uint16), kind="stable")  # rows fit, and narrow keys sort fast
             own = own[order]
             starts = np.flatnonzero(np.diff(own, prepend=-1))
             at, times = own[starts], np.diff(np.append(starts, len(own)))
             g = np.add.reduceat(np.take(miss, order, axis=0, mode="clip"), starts, axis=0)
             g /= np.sqrt(times, dtype=np.float32)[:, None]
-            q = np.take(squares, at, axis=0, mode="clip")
-            q += g * g
-            squares[at] = q
-            q += np.float32(1e-3)
-            g *= np.float32(rate)
-            g /= np.sqrt(q, out=q)
-            weights[at] += g
+            _step(weights, squares, g, at, rate)
             visits[at] += times
 
 
+def _step(weights: np.ndarray, squares: np.ndarray, g: np.ndarray, at: np.ndarray, rate: float) -> None:
+    q = np.take(squares, at, axis=0, mode="clip")
+    q += g * g
+    squares[at] = q
+    q += np.float32(1e-3)
+    g *= np.float32(rate)
+    g /= np.sqrt(q, out=q)
+    weights[at] += g
+
+
 PACKED = "batch long, keys array<long>, trains binary, counts binary, hashes binary, endings binary, times binary, tokens binary"
 
 
@@ -354,7 +366,7 @@ def tables(counts: DataFrame) -> Tables:
     return Tables(h, c, place, class_of, np.log10(rest_n + rest_v + 1), np.log((n + 1) / (n.sum() + CLASSES)), place_prior, int(tokens.sum()), int(words.sum()))
 
 
-def _changed(tokens: DataFrame, t: Tables, weights: tuple[np.ndarray, ...], turn: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray]]:
+def _changed(tokens: DataFrame, t: Tables, weights: tuple[np.ndarray, ...], turn: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[np.ndarray, np.ndarray]]:
     """What a round over all training texts changes in the weights, averaged by visits; and the visits.
 
     Round turn of so many rounds uses the positions that leave turn when divided by rounds.
@@ -371,7 +383,7 @@ def _changed(tokens: DataFrame, t: Tables, weights: tuple[np.ndarray, ...], turn
             at = np.flatnonzero(trains[c.doc] & ((c.place + c.counts[c.doc]) % rounds == turn))
             at = at[np.argsort((at.astype(np.uint64) * _PRIME) >> np.uint64(40))]
             for k, (rows, outcome) in enumerate(zip(contexts(c, classes), (classes, places), strict=True)):
-                improve(w[k], squares[k], visits[k], np.take(rows, at, axis=1), outcome[c.tokens[at]])
+                improve(w[k], squares[k], visits[k], np.take(rows, at, axis=1), outcome[c.tokens[at]], rate)
         salt = TaskContext.get().partitionId() % salts
         for k, x in enumerate(w):
             high = -(-len(x) // blocks)
@@ -392,7 +404,8 @@ def _changed(tokens: DataFrame, t: Tables, weights: tuple[np.ndarray, ...], turn
         return pa.table({"block": table.column("block")[:1], "salt": table.column("salt")[:1], "at": [own.astype("<u4").tobytes()], "visits": [total[own].tobytes()], "change": [mean.astype("<f2").tobytes()]})
 
     kinds = "block long, salt long, at binary, visits binary, change binary"
-    parts = tokens.select("batch", "keys", "trains", "counts", "hashes", "endings", "tokens").mapInArrow(run, kinds).groupBy("block", "salt").applyInArrow(add, kinds)
+    tasks = max(tokens.sparkSession.sparkContext.defaultParallelism, plan_bytes(tokens) // TASK_BYTES)
+    parts = tokens.select("batch", "keys", "trains", "counts", "hashes", "endings", "tokens").coalesce(tasks).mapInArrow(run, kinds).groupBy("block", "salt").applyInArrow(add, kinds)
     out = [(np.zeros_like(w), np.zeros(len(w))) for w in weights]
     for r in parts.withColumn("salt", F.lit(0).cast("long")).groupBy("block", "salt").applyInArrow(add, kinds).collect():  # as many numbers as there are weights
         change, visits = out[r.block // blocks]
@@ -403,12 +416,12 @@ def _changed(tokens: DataFrame, t: Tables, weights: tuple[np.ndarray, ...], turn
     return out
 
 
-def train(tokens: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Tables, tuple[np.ndarray, ...]]:
+def train(tokens: DataFrame, counts: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Tables, tuple[np.ndarray, ...]]:
     """Tables and weights from packed tokens and the counts of those that train."""
     t = tables(counts)
     weights = t.weights()
     for turn in range(rounds if t.total else 0):
-        weights = tuple(w + change for w, (change, _) in zip(weights, _changed(tokens, t, weights, turn, rounds), strict=True))
+        weights = tuple(w + change for w, (change, _) in zip(weights, _changed(tokens, t, weights, turn, rounds, rate), strict=True))
     return t, weights
 
 

@@ -200,9 +200,9 @@ def plain_model(t, weights, text, counts):
     got = [parts(x) for x in w]
     total, wholes = 0.0, []
     for i, word in enumerate(w):
-        b = [got[i - k] if i >= k else (0, lm.CLASSES, 0) for k in (1, 2, 3)]
+        b = [got[i - k] if i >= k else (0, lm.CLASSES, 0) for k in (1, 2)]
         wide = lm.CLASSES + 1
-        outer = (0, b[0][0] % lm.WORD_ROWS, b[1][0] % lm.SKIP_ROWS, b[1][1] * wide + b[0][1], b[2][1])
+        outer = (0, b[0][0] % lm.WORD_ROWS, b[1][0] % lm.SKIP_ROWS, b[1][1] * wide + b[0][1])
         of_class = soft(sum(weights[0][r + o] for r, o in zip(outer, lm.CLASS_OFFSETS, strict=True)))
 
         def chance(word, parts, outside=False):
