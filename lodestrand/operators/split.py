@@ -14,20 +14,24 @@ MAX_SNPS, MAX_SEQS = 6, 64
 
 
 def sites_of(reads: DataFrame, snps: DataFrame, key: str = "qname") -> DataFrame:
-    """key, n_snps, n_indels and sites (read_pos, ref, alt, site; by position) of each read that covers a variant."""
+    """key, chrom, seq, n_snps, n_indels and sites (read_pos, ref, alt, site; by position) of each read that covers a variant."""
     hits = read_variants(reads, snps)
     site = F.struct("read_pos", "ref", "alt", "site")
-    return hits.groupBy(key).agg(F.count_if("is_snp").alias("n_snps"), F.count_if(~F.col("is_snp")).alias("n_indels"), F.sort_array(F.collect_list(F.when(F.col("is_snp"), site))).alias("sites"))
+    return hits.groupBy(key).agg(F.first("chrom").alias("chrom"), F.first("seq").alias("seq"), F.count_if("is_snp").alias("n_snps"), F.count_if(~F.col("is_snp")).alias("n_indels"), F.sort_array(F.collect_list(F.when(F.col("is_snp"), site))).alias("sites"))
 
 
-def expanded(reads: DataFrame, sites: DataFrame, genotypes: DataFrame | None = None, key: str = "qname", max_snps: int = MAX_SNPS) -> DataFrame:
-    """key, seq and seqs: all versions of reads with 1 to max_snps SNPs and no indel, the read's own sequence among them or not.
+def _fit_to_expand(max_snps: int) -> Column:
+    return (F.col("n_indels") == 0) & F.col("n_snps").between(1, max_snps)
+
+
+def expanded(sites: DataFrame, genotypes: DataFrame | None = None, key: str = "qname", max_snps: int = MAX_SNPS) -> DataFrame:
+    """key, seq and seqs: all versions of reads (what sites_of() gives) with 1 to max_snps SNPs and no indel, the read's own sequence among them or not.
 
     Without genotypes every base a site may have is tried; with them the
     haplotypes of the samples, and what unphased sites allow.  The bound on
     SNPs holds before anything is made, so a read's versions are few.
     """
-    own = reads.select(key, "chrom", "seq").join(sites.where((F.col("n_indels") == 0) & F.col("n_snps").between(1, max_snps)), key)
+    own = sites.where(_fit_to_expand(max_snps))
     if genotypes is None:
         return own.select(key, "seq", alleles.all_versions(F.col("seq"), F.col("sites")).alias("seqs"))
     each = own.select(key, "seq", "chrom", F.explode("sites").alias("s")).select(key, "seq", "chrom", "s.*")
@@ -44,14 +48,21 @@ def split_single(reads: DataFrame, snps: DataFrame, genotypes: DataFrame | None
 
     Dispositions: the flag's, or keep (nothing to test), remap, indel,
     excess_snps, excess_versions.  Versions: qname, pos, version_no, n_versions,
-    name and seq, numbered by sequence.
+    name and seq, numbered by sequence.  A read's name is its key; where several
+    individuals share names, put the individual into them.
     """
+    if max_snps < 1 or max_seqs < 1:
+        raise ValueError("max_snps and max_seqs must be 1 or more")
     if genotypes is not None and samples:
         genotypes = subset_samples(genotypes, samples)
     rows = reads.withColumn("disposition", mapping_disposition())
-    single = rows.where("disposition = 'single'")
-    sites = sites_of(single, snps)
-    made = expanded(single, sites, genotypes, max_snps=max_snps).select("qname", F.array_sort(F.array_except("seqs", F.array("seq"))).alias("others"))
+    sites = sites_of(rows.where("disposition = 'single'"), snps)
+    fresh = lambda seqs: F.array_sort(F.array_except(seqs, F.array("seq")))
+    if genotypes is None:  # versions are made where the sites are, so that reads are joined once
+        found = sites.withColumn("others", F.when(_fit_to_expand(max_snps), fresh(alleles.all_versions(F.col("seq"), F.col("sites")))))
+    else:
+        made = expanded(sites, genotypes, max_snps=max_snps).select("qname", fresh("seqs").alias("others"))
+        found = sites.join(made, "qname", "left")
     n = F.coalesce(F.size("others"), F.lit(0))
     judged = (
         F.when(F.col("disposition") != "single", F.col("disposition"))
@@ -61,7 +72,7 @@ def split_single(reads: DataFrame, snps: DataFrame, genotypes: DataFrame | None
         .when(n < max_seqs, "remap")
         .otherwise("excess_versions")
     )
-    joined = rows.join(sites.drop("sites"), "qname", "left").join(made, "qname", "left").withColumn("disposition", judged)
+    joined = rows.join(found.select("qname", "n_snps", "n_indels", "others"), "qname", "left").withColumn("disposition", judged)
     versions = joined.where("disposition = 'remap'").select("qname", "pos", F.size("others").alias("n_versions"), F.posexplode("others").alias("i", "seq"))
     versions = versions.select("qname", "pos", (F.col("i") + 1).alias("version_no"), "n_versions", alleles.encode_name(F.col("qname"), [F.col("pos")], F.col("i") + 1, F.col("n_versions")).alias("name"), "seq")
     return joined.select(*reads.columns, "disposition"), versions
@@ -106,7 +117,7 @@ def split_pairs(reads: DataFrame, snps: DataFrame, max_snps: int = MAX_SNPS, max
     pairs, _ = mates(reads)
     side = lambda x: pairs.where("ok").select(F.concat_ws("/", F.col("qname").cast("string"), F.lit(x)).alias("read"), "qname", "chrom", F.col(f"{x}.pos").alias("pos"), F.col(f"{x}.cigar").alias("cigar"), F.col(f"{x}.seq").alias("seq"))
     both = side("a").withColumn("side", F.lit("a")).unionByName(side("b").withColumn("side", F.lit("b")))
-    sites = sites_of(both, snps, "read")
+    sites = sites_of(both, snps, "read").drop("chrom", "seq")
     own = both.join(sites, "read", "left")
     count = lambda c, s: F.max(F.when(F.col("side") == s, F.coalesce(c, F.lit(0))))
     state = own.groupBy("qname").agg(F.sum(F.coalesce("n_indels", F.lit(0))).alias("indels"), F.greatest(count("n_snps", "a"), count("n_snps", "b")).alias("snps"), F.max(F.when(F.col("side") == "a", F.col("seq"))).alias("own_a"), F.max(F.when(F.col("side") == "b", F.col("seq"))).alias("own_b"), F.max(F.when(F.col("side") == "a", F.col("sites"))).alias("s_a"), F.max(F.when(F.col("side") == "b", F.col("sites"))).alias("s_b"))
