@@ -147,8 +147,12 @@ def fit_regions(data: Regions, mode: str = "combined") -> dict[str, np.ndarray]:
 
 
 def _gathered(rows: DataFrame, fields: Sequence[str | Column], keep: Sequence[str] = ()) -> DataFrame:
-    """A row per region: region_id, keep, and rows: a list of one struct an individual, by individual."""
-    return rows.groupBy("region_id").agg(*(F.first(c).alias(c) for c in keep), F.sort_array(F.collect_list(F.struct("individual", *fields))).alias("rows"))
+    """A row per region: region_id, keep, and rows: a list of one struct an individual, by individual.
+
+    Fits are long and rows short, so the shuffle's partitions stay as many as they are set to be.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "region_id").groupBy("region_id").agg(*(F.first(c).alias(c) for c in keep), F.sort_array(F.collect_list(F.struct("individual", *fields))).alias("rows"))
 
 
 def _individuals(table: DataFrame) -> list[str]:
