@@ -27,22 +27,28 @@ AT_ONCE = 1_000
 SIDE, FINEST = 16, 1e-3
 
 
-def lgamma(x: np.ndarray) -> np.ndarray:
-    """ln Gamma of positive numbers: Stirling's series at x + 8, brought back by a product."""
+def _stirling(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln Gamma of x + 8 by Stirling's series, and the product that brings it back to x."""
     y = x + 8
     v = 1 / y
-    product = x * (x + 1)
-    for k in range(2, 8):
-        product = product * (x + k)
+    q = x * (x + 7)
+    product = q * (q + 6) * (q + 10) * (q + 12)  # x (x + 1) ... (x + 7)
     w = v * v
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + v * (1 / 12 - w * (1 / 360 - w * (1 / 1260 - w / 1680))) - np.log(product)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + v * (1 / 12 - w * (1 / 360 - w * (1 / 1260 - w / 1680))), product
+
+
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma of positive numbers."""
+    series, product = _stirling(x)
+    return series - np.log(product)
 
 
 def lbeta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """ln Beta, by its series where an argument is very large."""
     large, small = np.maximum(a, b), np.minimum(a, b)
-    near = np.minimum(large, 1e6)
-    out = np.array(lgamma(near) + lgamma(np.minimum(small, 1e6)) - lgamma(near + np.minimum(small, 1e6)))
+    x, y = np.minimum(large, 1e6), np.minimum(small, 1e6)
+    (sx, px), (sy, py), (sb, pb) = _stirling(x), _stirling(y), _stirling(x + y)
+    out = np.array(sx + sy - sb + np.log(pb / (px * py)))
     far = large >= 1e6
     if far.any():
         l, s = np.broadcast_to(large, out.shape)[far], np.broadcast_to(small, out.shape)[far]
@@ -66,15 +72,20 @@ def bb_loglik(p: np.ndarray, sigma: np.ndarray, ref: np.ndarray, alt: np.ndarray
         return np.where(het >= 1, own, np.where(het <= 0, wrong, np.logaddexp(np.log(het) + own, np.log1p(-np.minimum(het, 1)) + wrong)))
 
 
-def bnb_loglik(k: np.ndarray, mean: np.ndarray, sigma: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Beta-negative-binomial log-likelihood of read counts."""
+def ways(k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The part of bnb_loglik() that neither mean nor sigma changes."""
+    some = np.maximum(k, 1.0)
+    return np.where(k > 0, -lbeta(n, some) - np.log(some), 0.0)
+
+
+def bnb_loglik(k: np.ndarray, mean: np.ndarray, sigma: np.ndarray, n: np.ndarray, fixed: np.ndarray | None = None) -> np.ndarray:
+    """Beta-negative-binomial log-likelihood of read counts; fixed is ways(k, n), if known."""
     mean = np.maximum(mean, 1e-5)
     p = np.asarray(n / (n + mean))
     sigma = np.broadcast_to(sigma, p.shape)
     scale = 1 / np.maximum(sigma, 1e-5) ** 2
     a, b = p * scale + 1, (1 - p) * scale
-    some = np.maximum(k, 1.0)
-    out = np.where(k > 0, -lbeta(n, some) - np.log(some), 0.0) + lbeta(a + n, b + k) - lbeta(a, b)
+    out = (ways(k, n) if fixed is None else fixed) + lbeta(a + n, b + k) - lbeta(a, b)
     plain = sigma < 1e-5
     return np.where(plain, -lbeta(n, k + 1) - np.log(n + k) + n * np.log(p) + k * np.log1p(-p), out) if plain.any() else out
 
@@ -99,6 +110,7 @@ class Regions:
         own = np.repeat(np.repeat(np.arange(len(rows)), rows), np.where(dose == 1, sites, 0))
         self.sites = np.bincount(own, minlength=len(rows))
         self.wrong = allele_error(self.ref, self.alt)
+        self.ways = ways(reads, depth)
 
     def loglik(self, which: np.ndarray, alpha: np.ndarray, beta: np.ndarray, r: np.ndarray, coefs: np.ndarray, mode: str) -> np.ndarray:
         """Log-likelihood of regions: depth unless mode is as, alleles unless it is bnb."""
@@ -110,7 +122,7 @@ class Regions:
             dose = self.dose[at]
             factor = 1.0 if self.pcs is None or not coefs.shape[1] else 1 + (self.pcs[at, : coefs.shape[1]] * coefs[own]).sum(axis=1)
             each = ((2 - dose) * alpha[own] + dose * beta[own]) * self.scale[at] * factor
-            out += np.bincount(own, bnb_loglik(self.reads[at], np.maximum(each, 1e-6), r[own], self.depth[at]), len(which))
+            out += np.bincount(own, bnb_loglik(self.reads[at], np.maximum(each, 1e-6), r[own], self.depth[at], self.ways[at]), len(which))
         if mode != "bnb":
             n = self.sites[which]
             at, own = _stretches((np.cumsum(self.sites) - self.sites)[which], n), np.repeat(local, n)
@@ -278,9 +290,10 @@ def _best_mean(k: np.ndarray, t: np.ndarray, n: np.ndarray, gene: float, disp: n
     """Of each region the mean that is likeliest: a grid of logarithms that closes in on the best point."""
     total, width = np.bincount(own, k, count), np.bincount(own, t, count)
     middle, step = np.log(np.maximum(total, 0.1) / np.maximum(width, 1e-9)), np.full(count, 0.25)
+    fixed = ways(k, disp)
     for _ in range(steps):
         grid = middle[:, None] + step[:, None] * np.arange(-8, 9)
-        ll = np.stack([np.bincount(own, bnb_loglik(k, np.exp(grid[own, j]) * t, np.array(gene), disp), count) for j in range(17)], axis=1)
+        ll = np.stack([np.bincount(own, bnb_loglik(k, np.exp(grid[own, j]) * t, np.array(gene), disp, fixed), count) for j in range(17)], axis=1)
         at = ll.argmax(axis=1)
         middle = grid[np.arange(count), at]
         step = np.where((at == 0) | (at == 16), step, step / 6)
@@ -320,7 +333,8 @@ def fit_depth_dispersion(rows: DataFrame, sample: int | None = 2_000, seed: int
             mean = np.full(b.num_rows, fix_mean) if fix_mean is not None else _best_mean(k, t, d, math.exp(gene), d, at, b.num_rows)
             m = mean[at] * t
             if gene_grid is not None:
-                return {"who": np.full(len(gene_grid), -1), "p": np.arange(len(gene_grid)), "value": np.array([bnb_loglik(k, m, np.array(math.exp(g)), d).sum() for g in gene_grid])}
+                fixed = ways(k, d)
+                return {"who": np.full(len(gene_grid), -1), "p": np.arange(len(gene_grid)), "value": np.array([bnb_loglik(k, m, np.array(math.exp(g)), d, fixed).sum() for g in gene_grid])}
             ll = np.stack([np.bincount(who, bnb_loglik(k, m, np.array(math.exp(gene)), np.exp(disp_grid[:, j])[who]), len(names)) for j in range(disp_grid.shape[1])], axis=1)
             return {"who": np.repeat(np.arange(len(names)), disp_grid.shape[1]), "p": np.tile(np.arange(disp_grid.shape[1]), len(names)), "value": ll.ravel()}
 
