@@ -126,11 +126,19 @@ def combined_counts(as_counts: DataFrame) -> DataFrame:
     return as_counts.groupBy("chrom", "site").agg(*(F.sum(c).alias(c) for c in ("ref_n", "alt_n", "other_n")))
 
 
-def dense_report(snps: DataFrame, as_counts: DataFrame, genotypes: DataFrame | None = None) -> DataFrame:
-    """A row per variant, covered or not: counts (0 if none) and the genotype as h1|h2 (NA if unknown)."""
-    n = as_counts.select("chrom", F.col("site").alias("pos"), "ref_n", "alt_n", "other_n")
-    out = snps.join(n, ["chrom", "pos"], "left").na.fill(0, ["ref_n", "alt_n", "other_n"])
+def dense_report(snps: DataFrame, as_counts: DataFrame, genotypes: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row per variant, covered or not: counts (0 if none) and the genotype as h1|h2 (NA if unknown).
+
+    With by (individual), a row per variant and each of them that has a row in genotypes or counts at all.
+    """
+    at = [*by, "chrom", "pos"]
+    n = as_counts.select(*by, "chrom", F.col("site").alias("pos"), "ref_n", "alt_n", "other_n")
+    if by:
+        who = as_counts.select(*by) if genotypes is None else as_counts.select(*by).unionByName(genotypes.select(*by))
+        everyone = who.distinct().agg(F.collect_set(F.struct(*by)))  # a value for each individual
+        snps = snps.withColumn("_who", everyone.scalar()).select(F.explode("_who").alias("_who"), *snps.columns).select("_who.*", *snps.columns)
+    out = snps.join(n, at, "left").na.fill(0, ["ref_n", "alt_n", "other_n"])
     if genotypes is None:
         return out.withColumn("genotype", F.lit("NA"))
-    own = genotypes.select("chrom", "pos", F.when(F.col("hap1").isNotNull() & F.col("hap2").isNotNull(), F.concat_ws("|", F.col("hap1").cast("string"), F.col("hap2").cast("string"))).alias("genotype"))
-    return out.join(own, ["chrom", "pos"], "left").na.fill("NA", ["genotype"])
+    own = genotypes.select(*at, F.when(F.col("hap1").isNotNull() & F.col("hap2").isNotNull(), F.concat_ws("|", F.col("hap1").cast("string"), F.col("hap2").cast("string"))).alias("genotype"))
+    return out.join(own, at, "left").na.fill("NA", ["genotype"])

@@ -365,13 +365,12 @@ def combined_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.combined_counts(as_counts(spark, sf_dir))
 
 
-@query(with_sql(*BASE, GENOTYPES, AS_COUNTS, body="""SELECT s.chrom, s.pos, s.allele1, s.allele2, coalesce(c.ref_n, 0) AS ref_n, coalesce(c.alt_n, 0) AS alt_n, coalesce(c.other_n, 0) AS other_n, coalesce(g.hap1::VARCHAR || '|' || g.hap2::VARCHAR, 'NA') AS genotype
-FROM snps s LEFT JOIN as_counts c ON c.chrom = s.chrom AND c.site = s.pos AND c.individual = 3 LEFT JOIN genotypes g ON g.chrom = s.chrom AND g.pos = s.pos AND g.individual = 3"""))
+@query(with_sql(*BASE, GENOTYPES, AS_COUNTS, "everyone AS (SELECT individual FROM genotypes UNION SELECT individual FROM as_counts)", body="""SELECT e.individual, s.chrom, s.pos, s.allele1, s.allele2, coalesce(c.ref_n, 0) AS ref_n, coalesce(c.alt_n, 0) AS alt_n, coalesce(c.other_n, 0) AS other_n, coalesce(g.hap1::VARCHAR || '|' || g.hap2::VARCHAR, 'NA') AS genotype
+FROM snps s CROSS JOIN everyone e LEFT JOIN as_counts c ON c.chrom = s.chrom AND c.site = s.pos AND c.individual = e.individual LEFT JOIN genotypes g ON g.chrom = s.chrom AND g.pos = s.pos AND g.individual = e.individual"""))
 def as_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of one individual: every variant, with counts and genotype."""
-    g = views.genotypes(spark, sf_dir).where("individual = 3")
-    out = counts.dense_report(views.snps(spark, sf_dir), as_counts(spark, sf_dir).where("individual = 3"), g)
-    return out.select("chrom", "pos", "allele1", "allele2", "ref_n", "alt_n", "other_n", "genotype")
+    """The report of every individual: every variant, with counts and genotype."""
+    out = counts.dense_report(views.snps(spark, sf_dir), as_counts(spark, sf_dir), views.genotypes(spark, sf_dir), by=("individual",))
+    return out.select("individual", "chrom", "pos", "allele1", "allele2", "ref_n", "alt_n", "other_n", "genotype")
 
 
 GCOUNT = "gcount AS (SELECT chrom, pos, count(*) FILTER (WHERE hap1 + hap2 = 1) AS het, least(count(*) FILTER (WHERE hap1 + hap2 = 1) + 2 * count(*) FILTER (WHERE hap1 + hap2 = 0), count(*) FILTER (WHERE hap1 + hap2 = 1) + 2 * count(*) FILTER (WHERE hap1 + hap2 = 2)) AS minor_n FROM genotypes GROUP BY chrom, pos)"
