@@ -70,34 +70,57 @@ def power_grid(spark: SparkSession, sizes: tuple[int, ...] = (10, 20, 30, 40, 50
 
 
 def haplotype_chunks(chunks: DataFrame, haps: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """chrom, chunk_start, hap (1 or 2) and bases: both copies of the sequence with the variants of haps (chrom, pos, ref, alt, hap1, hap2), one base each."""
+    """chrom, chunk_start, hap (1 or 2), bases and sites: both copies of the sequence with the variants of haps (chrom, pos, ref, alt, hap1, hap2), one base each, and the positions at which the copies differ."""
     site = haps.withColumns({"chunk_start": (F.floor((F.col("pos") - 1) / chunk) * chunk + 1).cast("long")})
     lists = site.groupBy("chrom", "chunk_start").agg(F.sort_array(F.collect_list(F.struct("pos", "alt", "hap1", "hap2"))).alias("s"))
     both = chunks.join(lists, ["chrom", "chunk_start"], "left").withColumn("hap", F.explode(F.array(F.lit(1), F.lit(2))))
     own = F.filter(F.coalesce("s", F.array().cast(lists.schema["s"].dataType)), lambda s: F.when(F.col("hap") == 1, s["hap1"]).otherwise(s["hap2"]) == 1)
-    return both.select("chrom", "chunk_start", "hap", F.aggregate(own, F.col("bases"), lambda b, s: substitute(b, (s["pos"] - F.col("chunk_start") + 1).cast("int"), s["alt"])).alias("bases"))
+    return both.select("chrom", "chunk_start", "hap", F.aggregate(own, F.col("bases"), lambda b, s: substitute(b, (s["pos"] - F.col("chunk_start") + 1).cast("int"), s["alt"])).alias("bases"), F.transform(F.filter(F.coalesce("s", F.array().cast(lists.schema["s"].dataType)), lambda s: s["hap1"] != s["hap2"]), lambda s: s["pos"].cast("long")).alias("sites"))
 
 
 READ = "qname string, hap int, pos_a long, pos_b long, seq_a string, seq_b string"
 
 
+def _start(g: np.random.Generator, site: int, size: int, read_len: int, length: int) -> tuple[int, int]:
+    """A fragment's start and size such that one of its two end reads, by a coin, covers a place of a sequence.
+
+    Where neither end can, so near to an end of the sequence, the fragment is one read long.
+    """
+    ends = [0, size - read_len]
+    if g.integers(0, 2):
+        ends.reverse()
+    for shift, long in (*((e, size) for e in ends), (0, read_len)):
+        low, high = max(0, site - shift - (length - long)), min(read_len - 1, site - shift)
+        if low <= high:
+            return site - shift - int(g.integers(low, high + 1)), long
+    raise ValueError("the place is not in the sequence")
+
+
 def simulate_reads(copies: DataFrame, per_chunk: int, read_len: int = 36, insert_mean: float = 100.0, insert_sd: float = 50.0, seed: int = 1) -> DataFrame:
     """Read pairs of copies (chrom, chunk_start, hap, bases): per_chunk fragments of each chunk, of normal length, both ends read.
 
-    The second read is on the other strand.
+    The second read is on the other strand.  Where copies have sites (as those
+    of haplotype_chunks), one read of each fragment covers one of them, drawn at
+    random, and a chunk without any gives no fragment.
     """
+    forced = "sites" in copies.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn = str.maketrans("ACGTNacgtn", "TGCANtgcan")
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
+                sites = r.sites if forced and r.sites is not None else ()
                 g = np.random.default_rng([seed, r.chunk_start, r.hap, sum(r.chrom.encode())])
-                for i in range(per_chunk):
-                    size = min(max(int(g.normal(insert_mean, insert_sd)), read_len), len(r.bases))
-                    at = int(g.integers(0, len(r.bases) - size + 1))
+                ends = min(read_len, len(r.bases))
+                for i in range(per_chunk if len(sites) or not forced else 0):
+                    size = min(max(int(g.normal(insert_mean, insert_sd)), ends), len(r.bases))
+                    if forced:
+                        at, size = _start(g, int(sites[g.integers(0, len(sites))]) - r.chunk_start, size, ends, len(r.bases))
+                    else:
+                        at = int(g.integers(0, len(r.bases) - size + 1))
                     piece = r.bases[at : at + size]
-                    out.append((f"{r.chrom}:{r.chunk_start}:{r.hap}:{i}", r.hap, r.chunk_start + at, r.chunk_start + at + max(size - read_len, 0), piece[:read_len], piece[-read_len:].translate(turn)[::-1]))
+                    out.append((f"{r.chrom}:{r.chunk_start}:{r.hap}:{i}", r.hap, r.chunk_start + at, r.chunk_start + at + size - ends, piece[:ends], piece[-ends:].translate(turn)[::-1]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")])
 
     return copies.mapInPandas(run, READ)

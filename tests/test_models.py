@@ -204,3 +204,28 @@ def test_loadings_equal_those_of_the_matrix(spark):
     values, vectors = np.linalg.eigh(np.cov(x.T))
     for r in association.loadings(df, "reads").collect():
         assert abs(abs(vectors[r.individual, 5 - r.component]) - abs(r.loading)) < 1e-8
+
+
+def test_simulated_fragments_cover_heterozygous_sites(spark):
+    bases = "".join("ACGT"[i * i % 7 % 4] for i in range(400))
+    chunks = spark.createDataFrame([("chr1", 1, bases[:200]), ("chr1", 201, bases[200:])], "chrom string, chunk_start long, bases string")
+    sites = [(3, 1, 0), (100, 0, 1), (150, 1, 1), (199, 0, 1)]
+    haps = spark.createDataFrame([("chr1", p, bases[p - 1], "N", a, b) for p, a, b in sites], "chrom string, pos long, ref string, alt string, hap1 int, hap2 int")
+    copies = simulate.haplotype_chunks(chunks, haps, chunk=200)
+    own = {(r.chunk_start, r.hap): r for r in copies.collect()}
+    assert own[1, 1].sites == own[1, 2].sites == [3, 100, 199] and own[201, 1].sites == []
+    got = simulate.simulate_reads(copies, 50).collect()
+    assert len(got) == 100 and {r.hap for r in got} == {1, 2}
+    covered = set()
+    for r in got:
+        over = {p for p in (3, 100, 199) if r.pos_a <= p < r.pos_a + 36 or r.pos_b <= p < r.pos_b + 36}
+        assert over and 1 <= r.pos_a <= r.pos_b and r.pos_b + 36 <= 201
+        covered |= over
+        at = own[1, r.hap].bases
+        assert r.seq_a == at[r.pos_a - 1 : r.pos_a + 35]
+        assert r.seq_b == at[r.pos_b - 1 : r.pos_b + 35].translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    assert covered == {3, 100, 199}
+    free = simulate.simulate_reads(copies.drop("sites"), 5).collect()
+    assert len(free) == 20 and free == simulate.simulate_reads(copies.drop("sites"), 5).collect()
+    # a place that neither end of a fragment as long as the sequence can cover
+    assert simulate._start(np.random.default_rng(1), 50, 101, 20, 101)[1] == 20
