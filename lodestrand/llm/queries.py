@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, gam, lang_crf, lm, ngram_join, packing, quality_rules, warc
+from . import ann, bpe, chat, gam, lang_crf, lm, ngram_join, packing, quality_rules, runs, vector_codes, warc
 from .common import table
 
 
@@ -62,7 +62,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-OPERATORS = (op1_nearest, op2_chat_formatting, op3_lm_scoring, op4_packing, op5_warc, op6_ngram_join, op7_quality_rules, op8_language_id, op9_bpe, op10_quality_classifier)
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a code of 16 parts, with its error and its label's."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, a tenth of the documents made to repeat, and its text without the repetitions."""
+    return runs.described(runs.find(runs.with_loops(table(spark, sf_dir, "documents"))))
+
+
+OPERATORS = (op1_nearest, op2_chat_formatting, op3_lm_scoring, op4_packing, op5_warc, op6_ngram_join, op7_quality_rules, op8_language_id, op9_bpe, op10_quality_classifier, op12_vector_codes, op13_periodic_runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -70,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL}
+    return {"op2_chat_formatting": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL, "op13_periodic_runs": runs.ORACLE_SQL}
