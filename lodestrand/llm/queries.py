@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, gam, lang_crf, lm, ngram_join, packing, quality_rules, runs, vector_codes, warc
+from . import ann, bpe, chat, gam, lang_crf, lm, ngram_join, packing, quality_rules, runs, substrings, vector_codes, warc
 from .common import table
 
 
@@ -62,6 +62,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without words of passages that also start earlier."""
+    return substrings.described(substrings.dedupe(table(spark, sf_dir, "documents")))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a code of 16 parts, with its error and its label's."""
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
@@ -72,7 +77,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.described(runs.find(runs.with_loops(table(spark, sf_dir, "documents"))))
 
 
-OPERATORS = (op1_nearest, op2_chat_formatting, op3_lm_scoring, op4_packing, op5_warc, op6_ngram_join, op7_quality_rules, op8_language_id, op9_bpe, op10_quality_classifier, op12_vector_codes, op13_periodic_runs)
+OPERATORS = (op1_nearest, op2_chat_formatting, op3_lm_scoring, op4_packing, op5_warc, op6_ngram_join, op7_quality_rules, op8_language_id, op9_bpe, op10_quality_classifier, op11_substrings, op12_vector_codes, op13_periodic_runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -80,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL, "op13_periodic_runs": runs.ORACLE_SQL}
+    return {"op2_chat_formatting": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op11_substrings": substrings.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL, "op13_periodic_runs": runs.ORACLE_SQL}
