@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import chrom as chroms
-from ..sources import fasta, impute, sam, streams, tables, vcf
+from ..sources import fasta, impute, order, sam, streams, tables, vcf
 from ..sources.scratch import folder
 from . import views
 from .queries import INPUT_BASE, NAMES, SITES_OF_ROWS, TARGET_BASE, input_rows, query, targets
@@ -180,6 +180,34 @@ def fastq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(name, F.col("value").alias("first")).join(b.select(name, F.col("value").alias("second")), "qname")
 
 
+_ALONG = "CASE cigar WHEN '32M' THEN 32 WHEN '10S22M' THEN 22 WHEN '10M50N22M' THEN 82 WHEN '12M2D20M' THEN 34 ELSE 29 END"
+
+
+def sorted_bam(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of BAM files of all reads, sorted by place, in parts with an index each."""
+    path = folder(spark, "bam")
+    sam.write_bam(sam_reads(spark, sf_dir), path, views.chromosomes(spark).orderBy("chrom"))
+    return path
+
+
+@query(with_sql(READS, body=f"SELECT qname, flag, chrom, pos, mapq, cigar, pos + 5 AS mate_pos, 37::BIGINT AS tlen, seq, repeat('I', 32) AS qual, {_MATE} FROM reads"))
+def bam_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as sorted BAM parts and read in splits of 64 KiB."""
+    return sam.read_bam(spark, sorted_bam(spark, sf_dir), split_bytes=1 << 16).drop("rnext")
+
+
+@query(with_sql(READS, body=f"SELECT qname, chrom, pos, cigar FROM reads WHERE chrom = 'chr3' AND pos <= 9000 AND pos + {_ALONG} > 5001"))
+def bam_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads that overlap a region, by the index of each part; the chromosome is named without chr."""
+    return sam.read_bam(spark, sorted_bam(spark, sf_dir), region="3:5,001-9,000").select("qname", "chrom", "pos", "cigar")
+
+
+@query(with_sql(READS, body="SELECT chrom, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos, 0::BIGINT AS breaks FROM reads GROUP BY chrom"))
+def bam_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a check of the order of sorted BAM parts, read in small splits, says of each chromosome."""
+    return order.checked(sam.read_bam(spark, sorted_bam(spark, sf_dir), split_bytes=1 << 16)).select("chrom", "n", "first_pos", "last_pos", "breaks")
+
+
 @query(with_sql(READS, body="SELECT 4 * count(*) AS lines, sum(length(seq))::BIGINT AS bases FROM reads"))
 def fastq_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FASTQ records written, and read as lines whatever the files are called."""

@@ -1,22 +1,13 @@
-"""Aligned reads: SAM text by the JVM, BAM from inflated BGZF blocks, streamed."""
+"""Aligned reads as SAM text, split by the JVM.  BAM files are in `bam`, whose names are known here too."""
 
 from __future__ import annotations
 
-import itertools
-import struct
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
-from . import streams
+from .bam import BASES, COLUMNS, OPERATIONS, BamSource, parse_bam, read_bam, with_mate_chrom, write_bam
 
-COLUMNS = "qname string, flag int, chrom string, pos bigint, mapq int, cigar string, rnext string, mate_pos bigint, tlen bigint, seq string, qual string"
-#: Codes of BAM (fixed values).
-BASES, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+__all__ = ["BASES", "COLUMNS", "OPERATIONS", "BamSource", "on_chromosome", "parse_bam", "read_bam", "read_sam", "sam_text", "with_mate_chrom", "write_bam"]
 
 
 def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -28,10 +19,6 @@ def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return with_mate_chrom(out)
 
 
-def with_mate_chrom(reads: DataFrame) -> DataFrame:
-    return reads.withColumn("mate_chrom", F.when(F.col("rnext") == "=", F.col("chrom")).otherwise(F.col("rnext")))
-
-
 def sam_text(reads: DataFrame) -> DataFrame:
     """value: a SAM line for each read."""
     return reads.select(F.concat_ws("\t", *(F.col(c.split()[0]).cast("string") for c in COLUMNS.split(", "))).alias("value"))
@@ -41,112 +28,3 @@ def on_chromosome(reads: DataFrame, chrom: str) -> DataFrame:
     """Reads of a chromosome whose name may come with or without chr."""
     bare = chrom.removeprefix("chr")
     return reads.where(F.col("chrom").isin(bare, f"chr{bare}"))
-
-
-class _Window:
-    """The bytes of a stream of which those used up are let go."""
-
-    def __init__(self, stream: Iterator[bytes]):
-        self.stream, self.data, self.at = stream, b"", 0
-
-    def take(self, n: int) -> bytes | None:
-        """The next n bytes, or None at the end."""
-        if len(self.data) - self.at < n:
-            parts = [self.data[self.at :]]
-            have = len(parts[0])
-            while have < n and (more := next(self.stream, None)) is not None:
-                parts.append(more)
-                have += len(more)
-            self.data, self.at = b"".join(parts), 0
-            if have < n:
-                if have:
-                    raise ValueError("the file ends within a record")
-                return None
-        self.at += n
-        return self.data[self.at - n : self.at]
-
-
-_PAIRS = ["".join(BASES[b >> 4] + BASES[b & 15]) for b in range(256)]
-_PHRED = bytes(min(q + 33, 126) for q in range(256))
-
-
-def parse_bam(stream: Iterator[bytes]) -> Iterator[tuple]:
-    """Rows of COLUMNS from the inflated bytes of a BAM file, piece by piece."""
-    w = _Window(stream)
-
-    def number() -> int:
-        got = w.take(4)
-        if got is None:
-            raise ValueError("the file ends within its header")
-        return struct.unpack("<i", got)[0]
-
-    if w.take(4) != b"BAM\x01":
-        raise ValueError("not a BAM file")
-    w.take(number())
-    names = []
-    for _ in range(number()):
-        names.append((w.take(number()) or b"")[:-1].decode())
-        number()
-    while (head := w.take(4)) is not None:
-        raw = w.take(struct.unpack("<i", head)[0]) or b""
-        ref, pos, l_name, mapq, _, n_ops, flag, l_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
-        p = 32 + l_name
-        ops = struct.unpack_from(f"<{n_ops}I", raw, p)
-        q = p + 4 * n_ops
-        seq = "".join(map(_PAIRS.__getitem__, raw[q : q + (l_seq + 1) // 2]))[:l_seq]
-        q += (l_seq + 1) // 2
-        qual = raw[q : q + l_seq]
-        text = "*" if not l_seq or qual[0] == 255 else qual.translate(_PHRED).decode()
-        chrom = names[ref] if ref >= 0 else "*"
-        rnext = "*" if next_ref < 0 else "=" if next_ref == ref else names[next_ref]
-        yield raw[32 : 31 + l_name].decode(), flag, chrom, pos + 1, mapq, "".join(f"{o >> 4}{OPERATIONS[o & 15]}" for o in ops) or "*", rnext, next_pos + 1, tlen, seq or "*", text
-
-
-def read_bam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Reads of BAM files, each streamed by a task of its own: split by chromosome before, as archives usually are."""
-    kinds = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[t]) for n, t in (c.split() for c in COLUMNS.split(", "))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                rows = parse_bam(streams.pieces(path))
-                while some := list(itertools.islice(rows, 20_000)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds.types, strict=True)], schema=kinds)
-
-    return with_mate_chrom(streams.files(spark, paths).mapInArrow(run, COLUMNS))
-
-
-class BamSource(DataSource):
-    """spark.read.format("bam").load(path): files that pyarrow can open on every executor; a task per file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return COLUMNS
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _BamReader(self.options["path"])
-
-
-class _BamReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        import pyarrow.fs as pafs
-
-        if "://" not in self.path:
-            import glob
-
-            return [InputPartition(p) for p in sorted(glob.glob(self.path))] or [InputPartition(self.path)]
-        fs, at = pafs.FileSystem.from_uri(self.path)
-        if fs.get_file_info(at).type != pafs.FileType.Directory:
-            return [InputPartition(self.path)]
-        root = self.path.removesuffix(at)
-        return [InputPartition(root + x.path) for x in fs.get_file_info(pafs.FileSelector(at)) if x.path.endswith(".bam")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = partition.value
-        yield from parse_bam(streams.pieces(path if "://" in path else f"file://{path}"))
