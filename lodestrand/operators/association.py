@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .optimize import simplex, simplex_many
+from ..sources.scratch import folder
+from .optimize import simplex_many
 
 READ_ERROR = 0.005
 FLAT = 1e7
@@ -388,41 +389,109 @@ def fit_region_dispersion(rows: DataFrame, disp: DataFrame) -> DataFrame:
     return _gathered(flat, ["k", "genome", "disp"]).mapInArrow(fit, "region_id string, mean double, region_disp double, loglik double")
 
 
-def fit_depth_model(rows: DataFrame, min_counts: int = 0, sample: int = 10_000, seed: int = 0) -> DataFrame:
-    """individual and coefs (ten) of expected depth: exp(quartic of GC) times a polynomial of the region's total.
-
-    rows: region_id, individual, gc, reads.  Fitted in four steps: the slope,
-    the reads' polynomial, the GC polynomial, then all, by Poisson likelihood, on
-    at most sample regions, those of least hash.
-    """
-    total = F.sum("reads").over(Window.partitionBy("region_id"))
-    known = rows.withColumn("total", total).where(F.col("gc").isNotNull() & (F.col("total") >= max(min_counts, 1)))
-    regions = known.select("region_id").distinct().withColumn("h", F.md5(F.concat_ws("|", F.col("region_id").cast("string"), F.lit(str(seed))))).orderBy("h", "region_id").limit(sample)
-    picked = known.join(F.broadcast(regions.select("region_id")), "region_id", "left_semi").select("individual", "gc", F.col("total").cast("double").alias("total"), F.col("reads").cast("double").alias("reads"))
+#: Trial steps that a pass over the rows looks at, by their damping times the present one; passes at most; gain of a pass that ends the fit.
+DAMPINGS, MOST_PASSES, GAIN = (0.01, 0.1, 1.0, 10.0), 200, 1e-7
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        gc, tot, k = (pdf[c].to_numpy(float) for c in ("gc", "total", "reads"))
-        powers = np.stack([gc**i for i in range(5)], axis=1)
-        depths = np.stack([tot**i for i in range(1, 5)], axis=1)
 
-        def cost(c: np.ndarray) -> float:
-            e = np.maximum(np.exp(np.clip(powers @ c[:5], -50, 50)) * (depths @ c[6:]), 1e-6)
-            return float((e - k * np.log(e)).sum())
+def _depth_sums(table: DataFrame, trials: dict, scale: float) -> dict:
+    """Of each individual and trial: loss, gradient, expected curvature and, where it differs, true curvature of the depth model, summed over all its regions.
 
-        c = np.zeros(10)
-        c[6] = k.sum() / max(tot.sum(), 1)
-        for free in ([6], [6, 7, 8, 9], [0, 1, 2, 3, 4], list(range(10))):
-            def part(x: np.ndarray, free: list[int] = free) -> float:
-                y = c.copy()
-                y[free] = x
-                return cost(y)
+    Each task adds up its own rows, so what is shuffled is 65 numbers an
+    individual, trial and task.  trials: by individual, as many points each.
+    """
+    sent = table.sparkSession.sparkContext.broadcast(trials)  # ten numbers an individual and trial
+    upper, last = np.triu_indices(9), np.triu_indices(4)
 
-            found, value = simplex(part, c[free].tolist(), max_iter=2_000)
-            if value <= cost(c):
-                c[free] = found
-        return pd.DataFrame({"individual": [pdf["individual"].iloc[0]], "coefs": [c.tolist()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for b in batches:
+            codes = b.column("individual").dictionary_encode()
+            code = codes.indices.to_numpy()
+            gc, tot, k = (b.column(c).to_numpy() for c in ("gc", "total", "reads"))
+            powers = np.stack([gc**i for i in range(5)], axis=1)
+            depths = np.stack([(tot / scale) ** i for i in range(1, 5)], axis=1)
+            for c, name in enumerate(codes.dictionary.to_pylist()):
+                own = np.flatnonzero(code == c)
+                sums = known.setdefault(name, np.zeros((len(sent.value[name]), 65)))
+                for t, x in enumerate(sent.value[name]):
+                    reads = depths[own] @ x[5:]
+                    raw = np.exp(np.clip(powers[own] @ x[:5], -50, 50)) * reads
+                    e = np.maximum(raw, 1e-6)
+                    moves = (raw > 1e-6)[:, None] * np.concatenate([powers[own], depths[own] / np.where(reads > 0, reads, 1)[:, None]], axis=1)
+                    curve = (moves * e[:, None]).T @ moves
+                    true = (moves[:, 5:] * k[own][:, None]).T @ moves[:, 5:]
+                    sums[t] += np.concatenate([[float((e - k[own] * np.log(e)).sum())], moves.T @ (e - k[own]), curve[upper], true[last]])
+        rows = [(n, t, v.tolist()) for n, s in known.items() for t, v in enumerate(s)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["individual", "trial", "sums"])
+
+    rows = table.mapInArrow(run, "individual string, trial int, sums array<double>").select("individual", "trial", F.posexplode("sums").alias("i", "v"))
+    found: dict = {}
+    for r in rows.groupBy("individual", "trial", "i").agg(F.sum("v").alias("v")).collect():  # 65 numbers an individual and trial
+        found.setdefault((r.individual, r.trial), np.zeros(65))[r.i] = r.v
+    sent.unpersist()
+    return found
+
+
+def _depth_step(sums: np.ndarray, x: np.ndarray, damping: float, true: bool) -> np.ndarray:
+    """The point that a damped step leads to from x, by the expected or the true curvature."""
+    h = np.zeros((9, 9))
+    h[np.triu_indices(9)] = sums[10:55]
+    if true:
+        h[5:, 5:][np.triu_indices(4)] = sums[55:]
+    h = h + np.triu(h, 1).T
+    h[np.diag_indices(9)] += damping * np.maximum(np.diag(h), 1e-9)
+    return x - np.linalg.lstsq(h, sums[1:10], rcond=None)[0]
+
+
+def fit_depth_model(rows: DataFrame, min_counts: int = 0, sample: int | None = None, seed: int = 0) -> DataFrame:
+    """individual and coefs (ten) of expected depth: exp(quartic of GC) times a polynomial of the region's total.
 
-    return picked.groupBy("individual").applyInPandas(fit, f"individual {rows.schema['individual'].dataType.simpleString()}, coefs array<double>")
+    rows: region_id, individual, gc, reads.  Fitted by Poisson likelihood on all
+    regions (or on at most sample of them, those of least hash), for all
+    individuals together: each pass over the rows sums loss, gradient and
+    curvatures at some points of each individual, and damped steps, by the
+    expected and by the true curvature, lead on from the best, until no
+    individual gains a ten-millionth of its loss.  A fit that has not ended
+    after MOST_PASSES is an error.
+    """
+    total = F.sum("reads").over(Window.partitionBy("region_id"))
+    known = rows.withColumn("total", total).where(F.col("gc").isNotNull() & F.col("reads").isNotNull() & (F.col("total") >= max(min_counts, 1)))
+    if sample is not None:
+        regions = known.select("region_id").distinct().withColumn("h", F.md5(F.concat_ws("|", F.col("region_id").cast("string"), F.lit(str(seed))))).orderBy("h", "region_id").limit(sample)
+        known = known.join(F.broadcast(regions.select("region_id")), "region_id", "left_semi")
+    table = known.select(F.col("individual").cast("string").alias("individual"), *(F.col(c).cast("double").alias(c) for c in ("gc", "total", "reads"))).persist()
+    begin = table.groupBy("individual").agg(F.sum("reads").alias("k"), F.sum("total").alias("t"), F.count("*").alias("n")).collect()  # a row per individual
+    scale = sum(r.t for r in begin) / max(sum(r.n for r in begin), 1) or 1.0
+    best = {r.individual: np.array([0.0] * 5 + [r.k / max(r.t, 1) * scale, 0, 0, 0]) for r in begin}
+    damping = {n: [0.1, 0.1] for n in best}
+    now = {n: v for (n, _), v in (_depth_sums(table, {n: [x] for n, x in best.items()}, scale) if best else {}).items()}
+    active, wide = set(best), len(DAMPINGS)
+    for _ in range(MOST_PASSES):
+        if not active:
+            break
+        trials = {n: [_depth_step(now[n], best[n], own * d, true) for true, own in enumerate(damping[n]) for d in DAMPINGS] if n in active else [] for n in best}
+        found = _depth_sums(table, trials, scale)
+        for n in list(active):
+            losses = np.array([found[n, t][0] for t in range(2 * wide)])
+            losses[~np.isfinite(losses)] = math.inf
+            k = int(losses.argmin())
+            gain = now[n][0] - losses[k]
+            if gain > 0:
+                for true in range(2):
+                    damping[n][true] = min(max(damping[n][true] * DAMPINGS[losses[true * wide : (true + 1) * wide].argmin()], 1e-12), 1e6)
+                best[n], now[n] = trials[n][k], found[n, k]
+                if gain <= GAIN * abs(now[n][0]):
+                    active.discard(n)
+            else:
+                damping[n] = [100 * d for d in damping[n]]
+                if min(damping[n]) > 1e12:
+                    active.discard(n)
+    table.unpersist()
+    if active:
+        raise ValueError(f"the depth models of {len(active)} individuals have not come to rest after {MOST_PASSES} passes")
+    out = [(n, [*map(float, x[:5]), 0.0, *(float(v / scale**i) for i, v in enumerate(x[5:], 1))]) for n, x in best.items()]
+    kind = rows.schema["individual"].dataType.simpleString()
+    return rows.sparkSession.createDataFrame(out, "individual string, coefs array<double>").select(F.col("individual").cast(kind), "coefs")
 
 
 def apply_depth_model(rows: DataFrame, coefs: DataFrame) -> DataFrame:
@@ -434,35 +503,31 @@ def apply_depth_model(rows: DataFrame, coefs: DataFrame) -> DataFrame:
     return rows.withColumn("total", total).join(F.broadcast(coefs), "individual", "left").withColumn("expected", F.greatest(expected_depth(F.col("gc"), F.col("total"), c), F.lit(1e-6))).drop("coefs")
 
 
-#: Rows of a stretch of ranks that one task numbers, and rows of the sample by which stretches are cut.
-STRETCH, CUTTERS = 250_000, 20_000
+#: Rows of a stretch of ranks that one task numbers, while stretches are not more than MOST_STRETCHES; beyond, they grow with the table.
+STRETCH, MOST_STRETCHES = 250_000, 10_000
 
 
-def _stretched(df: DataFrame, p: str, key: str, stretch: int) -> tuple[DataFrame, int]:
-    """df with _s: the stretch of the order by p and key that a row lies in; and how many stretches there are.
+def _stretched(df: DataFrame, p: str, key: str, stretch: int) -> DataFrame:
+    """df with _s: the stretch of the order by p and key that a row lies in.
 
-    Stretches are cut at rows of a bounded sample, so they are as long as each
-    other but for chance, also where many rows share a p, and the same however
-    often they are worked out.
+    Stretches are Spark's ranges of the order, so rows that share a p are dealt
+    out by key.  They are written down, as ranges that are worked out again may
+    be cut elsewhere.
     """
     n = df.count()
-    count = -(-n // stretch)
+    count = min(-(-n // stretch), MOST_STRETCHES)
     if count < 2:
-        return df.withColumn("_s", F.lit(0)), max(count, 1)
-    hashed = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
-    got = df.where(hashed < int(min(1.0, CUTTERS / n) * (1 << 30))).select(p, key).collect()  # CUTTERS rows
-    got.sort(key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]))
-    cuts = [got[i * len(got) // count] for i in range(1, count)] if len(got) >= count else []
-    here = F.struct(F.col(p), F.col(key))
-    at = F.array(*[F.struct(F.lit(c[0]).cast(df.schema[p].dataType).alias(p), F.lit(c[1]).alias(key)) for c in cuts])
-    return df.withColumn("_s", F.size(F.filter(at, lambda c: c <= here)) if cuts else F.lit(0)), len(cuts) + 1
+        return df.withColumn("_s", F.lit(0))
+    path = folder(df.sparkSession, "ranges")
+    cut = df.repartitionByRange(count, F.asc_nulls_first(p), F.col(key)).withColumn("_s", F.spark_partition_id())
+    cut.write.parquet(path)
+    return df.sparkSession.read.schema(cut.schema).parquet(path)
 
 
-def _offset(values: dict[int, object], default: object) -> Column:
-    """A value by stretch; as many as there are stretches."""
-    if not values:
-        return F.lit(default)
-    return F.coalesce(F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("_s")], F.lit(default))
+def _by_stretch(df: DataFrame, values: dict[int, object], name: str, kind: str) -> DataFrame:
+    """df with a value by stretch, of which there are at most MOST_STRETCHES."""
+    rows = df.sparkSession.createDataFrame(list(values.items()), f"_s int, {name} {kind}")
+    return df.join(F.broadcast(rows), "_s", "left")
 
 
 def ranked(df: DataFrame, p: str, key: str = "region_id", stretch: int = STRETCH) -> tuple[DataFrame, int]:
@@ -470,14 +535,14 @@ def ranked(df: DataFrame, p: str, key: str = "region_id", stretch: int = STRETCH
 
     Each stretch of the order is numbered by itself and moved on by the rows of those before.
     """
-    cut, _ = _stretched(df, p, key, stretch)
+    cut = _stretched(df, p, key, stretch)
     sizes = {r._s: r["count"] for r in cut.groupBy("_s").count().collect()}  # a row per stretch
     before, at = {}, 0
     for s in sorted(sizes):
         before[s] = at
         at += sizes[s]
-    rank = F.row_number().over(Window.partitionBy("_s").orderBy(p, key)) + _offset(before, 0)
-    return cut.withColumn("_rank", rank), at
+    out = _by_stretch(cut, before, "_before", "long")
+    return out.withColumn("_rank", F.row_number().over(Window.partitionBy("_s").orderBy(p, key)) + F.col("_before")).drop("_before"), at
 
 
 def expected_ranks(results: DataFrame, p: str = "p_value", stretch: int = STRETCH) -> DataFrame:
@@ -502,7 +567,7 @@ def false_discovery(results: DataFrame, p: str = "p_value", stretch: int = STRET
         after[s] = low
         low = min(low, mins[s] if mins[s] is not None else math.inf)
     from_here = F.min("_q").over(Window.partitionBy("_s").orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
-    return own.withColumn("fdr", F.least(from_here, _offset(after, math.inf), F.lit(1.0))).drop("_p", "_q", "_rank", "_s")
+    return _by_stretch(own, after, "_after", "double").withColumn("fdr", F.least(from_here, F.col("_after"), F.lit(1.0))).drop("_p", "_q", "_rank", "_s", "_after")
 
 
 def every_other(rows: DataFrame, skip: int, place: str = "test_pos", key: str = "region_id") -> DataFrame:

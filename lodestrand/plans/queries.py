@@ -698,9 +698,10 @@ def fit_bnb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def depth_splines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth models of the individuals, fitted on their reads by part size and applied."""
-    li = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("region_id"), F.col("l_returnflag").alias("individual")).agg(F.count("*").alias("reads")).join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("region_id"), (F.col("p_size") / 100.0).alias("gc")), "region_id")
-    return association.apply_depth_model(li, association.fit_depth_model(li)).select("region_id", "individual", "reads", "expected")
+    """Depth models of the individuals, fitted on the reads and GC content of all regions, and applied."""
+    gc = regions.region_bases(two_part_regions(spark, sf_dir), views.sequence(spark, sf_dir)).select("region_id", F.col("gc_fraction").alias("gc"))
+    rows = input_rows(spark, sf_dir).select("region_id", "individual", F.col("region_reads").alias("reads")).join(gc, "region_id")
+    return association.apply_depth_model(rows, association.fit_depth_model(rows)).select("region_id", "individual", "reads", "expected")
 
 
 @query()
@@ -715,4 +716,4 @@ def pca_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return association.loadings(input_rows(spark, sf_dir), "region_reads", 3)
 
 
-from . import counting, files  # noqa: E402, F401  their queries are registered as well
+from . import counting, files, replays  # noqa: E402, F401  their queries are registered as well

@@ -4,6 +4,7 @@ import math
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.functions import likelihood
@@ -229,3 +230,63 @@ def test_simulated_fragments_cover_heterozygous_sites(spark):
     assert len(free) == 20 and free == simulate.simulate_reads(copies.drop("sites"), 5).collect()
     # a place that neither end of a fragment as long as the sequence can cover
     assert simulate._start(np.random.default_rng(1), 50, 101, 20, 101)[1] == 20
+
+
+# -- ranks over many stretches, depth models of all rows
+
+
+def test_ranks_when_stretches_grow(spark, monkeypatch):
+    """Beyond the most stretches, each gets longer; none ever holds everything."""
+    monkeypatch.setattr(association, "MOST_STRETCHES", 5)
+    g = np.random.default_rng(1)
+    p = np.where(g.random(4_000) < 0.4, 0.5, g.random(4_000))  # many share a p
+    df = spark.createDataFrame([(int(i), float(x)) for i, x in enumerate(p)], "region_id long, p_value double").repartition(3)
+    got, n = association.ranked(df, "p_value", stretch=100)
+    rows = got.collect()
+    assert n == 4_000 and [r.region_id for r in sorted(rows, key=lambda r: r._rank)] == sorted(range(4_000), key=lambda i: (p[i], i))
+    sizes = [sum(r._s == s for r in rows) for s in {r._s for r in rows}]
+    assert len(sizes) == 5 and max(sizes) < 2_000
+    m = sorted(p)
+    want, low = {}, 1.0
+    for k in range(n, 0, -1):
+        low = want[m[k - 1]] = min(low, m[k - 1] * n / k)
+    fdr = {r.region_id: r.fdr for r in association.false_discovery(df, stretch=100).collect()}
+    assert all(abs(fdr[i] - want[p[i]]) < 1e-12 for i in range(n))
+
+
+def test_depth_models_are_no_worse_than_a_simplex(spark):
+    g = np.random.default_rng(2)
+    n = 3_000
+    gc, total = g.uniform(0.2, 0.8, n), g.integers(5, 400, n).astype(float)
+    rows, kept = [], {}
+    for name, c in {"a": (0.1, 0.8, -0.5), "b": (-0.3, 0.0, 0.4), "c": (0.0, 0.0, 0.0)}.items():
+        k = g.poisson(np.exp(c[0] + c[1] * gc + c[2] * gc**2) * total / 4)
+        kept[name] = k
+        rows += [(i, name, float(gc[i]), int(k[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "region_id long, individual string, gc double, reads long")
+    all_reads = sum(kept.values()).astype(float)
+    powers, depths = np.stack([gc**i for i in range(5)], axis=1), np.stack([all_reads**i for i in range(1, 5)], axis=1)
+
+    def loss(c, k):
+        e = np.maximum(np.exp(powers @ c[:5]) * (depths @ c[6:]), 1e-6)
+        return float((e - k * np.log(e)).sum())
+
+    for r in association.fit_depth_model(df).collect():
+        c, k = np.array(r.coefs), kept[r.individual]
+        start = np.zeros(10)
+        start[6] = k.sum() / all_reads.sum()
+        x, _ = optimize.simplex(lambda y, k=k: loss(y, k), start.tolist(), max_iter=4_000)
+        assert len(c) == 10 and loss(c, k) <= loss(x, k) + 1e-6
+        for i in (0, 1, 2, 6):  # and no neighbour is better
+            for step in (-1e-3, 1e-3):
+                near = c.copy()
+                near[i] *= 1 + step
+                assert loss(near, k) >= loss(c, k) - 1e-6
+    assert association.fit_depth_model(df, sample=100).count() == 3 and association.fit_depth_model(df.where("1 = 0")).count() == 0
+
+
+def test_depth_models_that_do_not_come_to_rest_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(association, "MOST_PASSES", 1)
+    df = spark.createDataFrame([(i, "a", 0.3 + i % 5 / 10, 3 + i * i % 17) for i in range(50)], "region_id long, individual string, gc double, reads long")
+    with pytest.raises(ValueError, match="come to rest"):
+        association.fit_depth_model(df)
