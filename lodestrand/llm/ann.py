@@ -8,9 +8,9 @@ entries for many vectors at once.  A vector lies in the list of its nearest
 centroid and, near a boundary, in those of further centroids too.  A query
 reads the lists whose centroids are at most a ratio farther than its nearest.
 Every vector is indexed, and scores are exact.  What a query finds in its lists
-counts only from a score on that some times as many vectors of the sample reach
-as are asked for, so that few rows leave a list; a query that finds too little
-above that floor reads its lists again without one.
+counts only from a score on that, by the sample, somewhat more vectors reach than
+are asked for, so that few rows leave a list; a query that finds too little
+above that floor has its neighbours elsewhere: it reads wider, without a floor.
 
 Equal vectors are one class: it is indexed once, with as many of its smallest
 ids as an answer can show, and equal queries are searched once.  Long lists and
@@ -25,6 +25,7 @@ table gives an empty table; other columns are left behind.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,13 +39,17 @@ from .common import configure, written
 
 #: Vectors that the centroids are fitted on, at most, unless lists are so many that each needs PER_LIST of them.
 SAMPLE, PER_LIST = 20_000, 4
+#: Bytes of that sample on the driver, at most: with very long vectors it is smaller, and so are centroids fewer.
+SAMPLE_BYTES = 128 << 20
 #: Lists grow with the square root of the vectors: so many times that, but LIST_SIZE vectors a list at least are aimed at.
 #: Their centroids are sent to every task, so no more than MOST_LISTS are made: reached at some 60 million vectors.
 LISTS, LIST_SIZE, MOST_LISTS = 4, 256, 32_768
 #: Neighbours of a centroid in the graph, entries, and centroids that a search keeps.
 DEGREE, ENTRIES, BEAM = 16, 8, 64
-#: The floor under a query's scores is that of so many times the vectors asked for, of the sample.
-FLOOR = 2
+#: The power of the ratio within which queries read that found too little.
+WIDER = 2.0
+#: The floor under a query's scores is that of so many times the vectors asked for, by the sample's share of all; of so many of the sample at least.
+FLOOR, FLOOR_LEAST = 1.5, 8
 #: Vectors that are searched for at once.
 SEARCHED = 256
 #: Lists that a vector may lie in, and how much farther than the nearest centroid (distance ratio).
@@ -52,7 +57,7 @@ REPLICAS, BOUNDARY = 6, 1.03
 #: A further list needs a centroid at least so much (of its own distance) away from those chosen.
 APART = 0.4
 #: Queries of the sample by which the ratio for a query's lists is set, and the share of their neighbours that it must reach.
-TRIALS, REACH = 300, 0.95
+TRIALS, REACH, ALMOST_ALL = 300, 0.95, 0.99
 #: Lists that are searched together, and the rows and the queries' readings of such a group that one task works on.
 GROUP, BLOCKS = 8, (8_192, 32_768)
 
@@ -219,8 +224,8 @@ def _vector_lists(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, ids[row, k]
 
 
-def query_lists(index: Index, q: np.ndarray, sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and list of every list that queries read: all within the ratio, and on to at least rows vectors.
+def query_lists(index: Index, q: np.ndarray, sizes: np.ndarray, rows: int, wider: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Row and list of every list that queries read: all within the ratio (to the power wider), and on to at least rows vectors.
 
     A search that ends with its last centroid still within is made again with twice the room.
     """
@@ -229,7 +234,7 @@ def query_lists(index: Index, q: np.ndarray, sizes: np.ndarray, rows: int) -> tu
     while len(left):
         ids, dist = index.search(index.aimed(q[left]), beam=room)
         have = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1)
-        fit = (dist <= index.ratio * dist[:, :1] + 1e-9) | (np.concatenate((np.zeros((len(left), 1)), have[:, :-1]), axis=1) < rows)
+        fit = (dist <= index.ratio**wider * dist[:, :1] + 1e-9) | (np.concatenate((np.zeros((len(left), 1)), have[:, :-1]), axis=1) < rows)
         again = fit[:, -1] & (room < len(index.centroids))
         row, k = np.nonzero(fit & (ids >= 0) & ~again[:, None])
         found.append((left[row], ids[row, k]))
@@ -238,20 +243,22 @@ def query_lists(index: Index, q: np.ndarray, sizes: np.ndarray, rows: int) -> tu
 
 
 def calibrate(index: Index, sample: np.ndarray, k: int, rng: np.random.Generator) -> float:
-    """The distance ratio within which lists must be read to meet REACH of the true neighbours of queries of the sample."""
+    """The distance ratio within which lists must be read to meet REACH of the true neighbours of queries of the sample,
+    and half of the neighbours of ALMOST_ALL of these queries."""
     own = rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)
     row, at = vector_lists(index, sample)  # rows in order
     first = np.searchsorted(row, np.arange(len(sample) + 1))
     q = index.aimed(sample[own])
     dist = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (index.centroids**2).sum(axis=1) - 2 * q @ index.centroids.T, 0))
     dist /= np.maximum(dist.min(axis=1, keepdims=True), 1e-9)
-    need = []
+    need: list[list[float]] = []
     for i, q in enumerate(own):
         scores = sample @ sample[q]
         scores[q] = -np.inf
-        for x in np.argsort(-scores, kind="stable")[: min(k, len(sample) - 1)]:
-            need.append(dist[i, at[first[x] : first[x + 1]]].min())
-    return float(np.quantile(need, REACH)) if need else 1.0
+        need.append([dist[i, at[first[x] : first[x + 1]]].min() for x in np.argsort(-scores, kind="stable")[: min(k, len(sample) - 1)]])
+    if len(sample) < 2:
+        return 1.0
+    return max(float(np.quantile(need, REACH)), float(np.quantile(np.median(need, axis=1), ALMOST_ALL)))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -286,13 +293,16 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     n, radius = classes.agg(F.count("*"), F.max(length)).first()
     wanted = max(1, min(MOST_LISTS, n // LIST_SIZE, int(LISTS * n**0.5)))
-    size = max(SAMPLE, PER_LIST * wanted)
+    size = min(max(SAMPLE, PER_LIST * wanted), max(1, SAMPLE_BYTES // (8 * dim)))
+    wanted = min(wanted, max(1, size // PER_LIST))
     share = min(1.0, 1.1 * size / n + 200 / n)
     hashed = F.pmod(F.xxhash64("cls"), F.lit(1 << 30))
-    got = sorted(classes.where(hashed < int(share * (1 << 30))).select(hashed.alias("h"), "cls", "v").collect())[:size]
-    got.sort(key=lambda r: r.cls)
-    index = build(np.array([r.v for r in got] or [classes.first().v], dtype=np.float64), float(radius), wanted, k)
+    got = classes.where(hashed < int(share * (1 << 30))).select(hashed.alias("h"), "cls", "v").toArrow()
+    x, order = _matrix(got.column("v"), dim), np.lexsort((np.asarray(got.column("cls")), np.asarray(got.column("h"))))[:size]
+    x = x[order[np.argsort(np.asarray(got.column("cls"))[order], kind="stable")]]
+    index = build(x if len(x) else np.array([classes.first().v], dtype=np.float64), float(radius), wanted, k)
     sent = spark.sparkContext.broadcast(index)
+    of_sample = max(FLOOR_LEAST, math.ceil(FLOOR * (k + 1) * len(index.sample) / n))  # neighbours of a query that the sample should hold
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -308,23 +318,30 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
     asking = written(asking, "queries")
     own = classes.join(asking.select("cls").distinct(), "cls", "left_semi").select("cls", "v")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            q = _matrix(b.column("v"), dim)
-            row, at = query_lists(sent.value, q, sizes, REPLICAS * (k + 1))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(at), *(b.column(c).take(take) for c in ("cls", "v")), pa.array(sent.value.floor(q, FLOOR * (k + 1))[row])], names=["list", "cls", "v", "floor"])
+    def probed(asking: DataFrame, wider: float) -> DataFrame:
+        """The lists that queries read; those that read wider do so without a floor."""
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _slices(batches):
+                q = _matrix(b.column("v"), dim)
+                row, at = query_lists(sent.value, q, sizes, REPLICAS * (k + 1), wider)
+                take = pa.array(row)
+                floor = sent.value.floor(q, of_sample)[row] if wider == 1 else np.full(len(row), -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(at), *(b.column(c).take(take) for c in ("cls", "v")), pa.array(floor)], names=["list", "cls", "v", "floor"])
 
-    probes = written(own.mapInArrow(probe, f"list long, cls long, v {kind}, floor double"), "probes")
-    lists, probes = (x.withColumn("grp", F.floor(F.col("list") / GROUP)) for x in (lists, probes))
+        return written(asking.mapInArrow(probe, f"list long, cls long, v {kind}, floor double"), "probes").withColumn("grp", F.floor(F.col("list") / GROUP))
+
+    lists = lists.withColumn("grp", F.floor(F.col("list") / GROUP))
     groups = -(-len(sizes) // GROUP)
-    splits = np.ones((2, groups), dtype=np.int64)
-    for i, x in enumerate((lists, probes)):
+
+    def parts(x: DataFrame, most: int) -> np.ndarray:
+        """In how many blocks each group of lists is worked on."""
+        out = np.ones(groups, dtype=np.int64)
         for r in x.groupBy("grp").count().collect():
-            splits[i, r.grp] = -(-r["count"] // BLOCKS[i])
-    splits = F.broadcast(spark.createDataFrame(list(zip(range(groups), *splits.tolist(), strict=True)), "grp long, rows int, asks int"))  # a row per GROUP centroids
-    blocks = lists.join(splits, "grp").withColumns({"row_block": F.pmod(F.xxhash64("cls"), "rows").cast("int"), "ask_block": F.explode(F.sequence(F.lit(0), F.col("asks") - 1))})
-    asks = probes.join(splits, "grp").withColumns({"ask_block": F.pmod(F.xxhash64("cls"), "asks").cast("int"), "row_block": F.explode(F.sequence(F.lit(0), F.col("rows") - 1))})
+            out[r.grp] = -(-r["count"] // most)
+        return out
+
+    row_parts = parts(lists, BLOCKS[0])
 
     def best(ask: pa.Table, have: pa.Table) -> pa.Table:
         heads, names = (np.asarray(x.column("cls").combine_chunks() if x.num_rows else [], dtype=np.int64) for x in (have, ask))
@@ -360,16 +377,20 @@ def nearest(vectors: DataFrame, queries: int = 20, k: int = 20, key: str = "vec_
     by = ("grp", "row_block", "ask_block")
     places = Window.partitionBy("cls").orderBy(F.desc("score"), "head")
 
-    def searched(asks: DataFrame) -> DataFrame:
+    def searched(probes: DataFrame) -> DataFrame:
         """cls, id and score of the k + 1 nearest rows of each query's lists."""
+        splits = spark.createDataFrame(list(zip(range(groups), row_parts.tolist(), parts(probes, BLOCKS[1]).tolist(), strict=True)), "grp long, rows int, asks int")
+        splits = F.broadcast(splits)  # a row per GROUP centroids
+        blocks = lists.join(splits, "grp").withColumns({"row_block": F.pmod(F.xxhash64("cls"), "rows").cast("int"), "ask_block": F.explode(F.sequence(F.lit(0), F.col("asks") - 1))})
+        asks = probes.join(splits, "grp").withColumns({"ask_block": F.pmod(F.xxhash64("cls"), "asks").cast("int"), "row_block": F.explode(F.sequence(F.lit(0), F.col("rows") - 1))})
         got = asks.select(*by, "list", "cls", "v", "floor").groupBy(*by).cogroup(blocks.select(*by, "list", "cls", "ids", "v").groupBy(*by)).applyInArrow(best, "cls long, head long, ids array<long>, score double")
         got = got.withColumn("r", F.dense_rank().over(places)).where(f"r <= {k + 1}").select("cls", F.explode("ids").alias("id"), "score").distinct()
         return written(got, "found")
 
-    found = searched(asks)
+    found = searched(probed(own, 1.0))
     enough = found.groupBy("cls").count().where(F.col("count") > k).select("cls")
-    short = asks.join(enough, "cls", "left_anti").withColumn("floor", F.lit(float("-inf")))
-    found = found.join(enough, "cls", "left_semi").unionByName(searched(short))
+    short = own.join(enough, "cls", "left_anti")
+    found = found.join(enough, "cls", "left_semi").unionByName(searched(probed(short, WIDER)))
     order = Window.partitionBy("cls").orderBy(F.desc("score"), "id")
     top = found.withColumn("r", F.dense_rank().over(order)).where(f"r <= {k + 1}").select("cls", "id", "score").distinct()
     each = asking.withColumnRenamed("id", "query_id").join(top, "cls").where("query_id <> id")
