@@ -233,7 +233,7 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     files = max(1, manifest.count())
-    return manifest.select("path", "records", "folder").repartition(min(files, 4096), F.xxhash64("path")).mapInArrow(run, schema)
+    return manifest.select("path", "records", "folder").repartition(files, F.xxhash64("path")).mapInArrow(run, schema)
 
 
 def described(pages: DataFrame) -> DataFrame:
