@@ -344,6 +344,8 @@ def tables(counts: DataFrame) -> Tables:
         for b in batches:
             for h, e, x in _numbers(b):
                 keep = (np.log2(x) * 8).astype(np.int64) >= least
+                if not keep.any():  # most ranges: no row of them reaches the driver
+                    continue
                 yield pa.RecordBatch.from_pydict({"h": pa.array([h[keep].tobytes()]), "e": pa.array([e[keep].tobytes()]), "n": pa.array([x[keep].tobytes()])})
 
     top = counts.mapInArrow(heads, "h binary, e binary, n binary").collect()
