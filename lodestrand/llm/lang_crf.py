@@ -39,6 +39,8 @@ TRAINING_WORDS = 320_000
 #: Of longer texts training reads so many characters, in WINDOWS stretches spread evenly from the first to the last
 #: (they are labelled whole all the same).
 TRAINING_CHARS, WINDOWS = 20_000, 10
+#: In place of one of these bounds: none.  The fit is the driver's, so then the table must be small enough for it.
+ALL = 1 << 62
 BUCKETS = 1 << 16
 LEXICON = 4_000
 #: Words whose features are worked out at once.
@@ -294,10 +296,10 @@ def fit(texts: list[str], languages: list[str], rounds: int = 45, rate: float =
     return model
 
 
-def _pieces(texts: list[str], most: int) -> list[str]:
+def _pieces(texts: list[str], most: int, windows: int = WINDOWS) -> list[str]:
     """Texts with most words together at most: the longest are cut to the length at which that holds.
 
-    What is kept of a text are runs of words, as many as WINDOWS, spread evenly from its first word to its last.
+    What is kept of a text are runs of words, as many as windows, spread evenly from its first word to its last.
     """
     own = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
     left, cap = most, 0
@@ -307,7 +309,7 @@ def _pieces(texts: list[str], most: int) -> list[str]:
             break
         cap, left = size, left - size
     cap = max(cap, 1)
-    runs = min(WINDOWS, cap)
+    runs = min(windows, cap)
 
     def cut(x: list[str]) -> list[str]:
         each = cap // runs
@@ -325,26 +327,29 @@ def _windows(text: Column, most: int, windows: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), stretch), " "))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = TRAINING_TEXTS) -> Model | None:
-    """A model of the texts whose language is known, of at most texts of them.
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", texts: int | None = None, words: int | None = None, chars: int | None = None, windows: int = WINDOWS) -> Model | None:
+    """A model of the texts whose language is known: of at most texts of them, with at most words words together.
 
     Each language has an even share of the texts, its own of least hash, and an
     even share of the words; counts over the whole table say which part of the
-    hash range holds that many.
+    hash range holds that many.  Of texts of more than chars characters, windows
+    stretches that are spread evenly over them are read.  None stands for
+    TRAINING_TEXTS, TRAINING_WORDS and TRAINING_CHARS, ALL for no bound.
     """
+    texts, words, chars = (bound if given is None else given for given, bound in ((texts, TRAINING_TEXTS), (words, TRAINING_WORDS), (chars, TRAINING_CHARS)))
     usable = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     count = {r.l: r.n for r in usable.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not count:
         return None
-    quota = max(1, texts // len(count))
+    quota = max(1, texts // len(count)) if texts < ALL else max(count.values())
     hashed = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
     least = F.coalesce(*(F.when(F.col("l") == name, F.lit(int(min(1.0, (1.3 * quota + 20) / n) * (1 << 30)))) for name, n in count.items()))
-    picked = usable.where(hashed < least).select("k", "l", hashed.alias("h"), _windows(F.col("t"), TRAINING_CHARS, WINDOWS).alias("t"))
+    picked = usable.where(hashed < least).select("k", "l", hashed.alias("h"), (F.col("t") if chars >= ALL else _windows(F.col("t"), chars, windows)).alias("t"))
     rows = picked.groupBy("k", "l").agg(F.first("h").alias("h"), F.min("t").alias("t")).collect()
     by = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.h, r.k or "")):
         by[r.l].append(r.t)
-    taken = [(t, x) for x in sorted(by) for t in _pieces(by[x][:quota], TRAINING_WORDS // len(count))]
+    taken = [(t, x) for x in sorted(by) for t in (_pieces(by[x][:quota], words // len(count), windows) if words < ALL else by[x][:quota])]
     return fit([t for t, _ in taken], [x for _, x in taken]) if taken else None
 
 
