@@ -359,12 +359,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; columns stay.
 
-    Rows are told apart by doc_id and text: one that repeats another's goes, a
-    component's rows without a doc_id come last, and a hash of both decides
-    among rows with the same doc_id.
+    Rows are told apart by doc_id and text: of those that share both, the one
+    whose columns together have the least hash stays; a component's rows without
+    a doc_id come last, and a hash of doc_id and text decides among rows with
+    the same doc_id.
     """
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.lit("|"), "text"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    own = rows.select("_row", "doc_id").join(join(rows.select("_row", "text"), key="_row", size=size, percent=percent).select("_row", "component_id").distinct(), "_row")
-    kept = own.groupBy("component_id").agg(least.alias("_first")).select(F.col("_first")["_row"].alias("_row"))
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    hashable = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.withColumns({"_row": F.xxhash64("doc_id", F.lit("|"), "text"), "_all": F.xxhash64(*(F.col(f"`{c}`") for c in hashable))})
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "_all"))
+    own = rows.select("_row", "_all", "doc_id").join(join(rows.select("_row", "text"), key="_row", size=size, percent=percent).select("_row", "component_id").distinct(), "_row")
+    kept = own.groupBy("component_id").agg(least.alias("_first")).select(F.col("_first")["_row"].alias("_row"), F.col("_first")["_all"].alias("_all"))
+    return rows.join(kept, ["_row", "_all"], "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
