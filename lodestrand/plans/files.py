@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import chrom as chroms
+from ..sources import lines as line_source
 from ..sources import fasta, impute, order, sam, streams, tables, vcf
 from ..sources.scratch import folder
 from . import views
@@ -190,6 +191,19 @@ def sorted_bam(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+@query(with_sql(SNPS, body="SELECT chrom, pos, name, allele1, allele2 FROM snps"))
+def vcf_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants written as block gzip, read in splits of 4 KiB, and shown to be in order."""
+    path = folder(spark, "vcf-blocks")
+    s = views.snps(spark, sf_dir).repartitionByRange(3, "chrom", "pos").sortWithinPartitions("chrom", "pos")
+    line_source.write_blocks(s.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "name", "allele1", "allele2", F.lit("."), F.lit("PASS"), F.lit(".")).alias("value")), path, header="##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO")
+    lines = line_source.block_lines(spark, path, split_bytes=4 << 10).where("NOT startswith(value, '#')")
+    p = F.split("value", "\t")
+    placed = lines.select("file", "start", p[0].alias("chrom"), p[1].cast("long").alias("pos"))
+    order.checked(placed, F.col("file"), F.col("start")).collect()  # a row per file and chromosome, or an error
+    return vcf.read_variants(spark, path, in_blocks=True)
+
+
 @query(with_sql(READS, body=f"SELECT qname, flag, chrom, pos, mapq, cigar, pos + 5 AS mate_pos, 37::BIGINT AS tlen, seq, repeat('I', 32) AS qual, {_MATE} FROM reads"))
 def bam_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads written as sorted BAM parts and read in splits of 64 KiB."""
@@ -243,6 +257,16 @@ def cht_input_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("individual", "chrom", "test_pos", "test_id", "genotype", "haplotype", F.when(F.col("region_snps").isNotNull(), F.size("region_snps").cast("long")).alias("n_sites"), total.alias("as_n"), "region_reads", "genome_reads")
 
 
+@query(with_sql(*INPUT_BASE, SITES_OF_ROWS, body="SELECT individual::VARCHAR AS individual, row_number() OVER (PARTITION BY individual ORDER BY chrom, test_pos) - 1 AS \"row\", chrom, test_pos, test_id FROM text_rows"))
+def cht_input_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the combined test written in one order for each individual, read line by line together."""
+    path = folder(spark, "cht-in-order")
+    rows = tables.input_text(input_rows(spark, sf_dir), keep=["individual", "chrom", "test_pos", "region_id"])
+    parts = rows.repartitionByRange(4, "chrom", "test_pos", "region_id").sortWithinPartitions("individual", "chrom", "test_pos", "region_id")
+    parts.select("individual", "value").write.partitionBy("individual").text(path)
+    return tables.read_aligned_input(spark, {str(i): f"{path}/individual={i}" for i in range(25)}).select("individual", "row", "chrom", "test_pos", "test_id")
+
+
 @query("SELECT n_name AS individual, n_nationkey / 10.0 + 0.05 AS disp, n_nationkey + 0.5 AS c1, n_nationkey * 2.0 AS c2 FROM nation")
 def individual_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dispersions, coefficients and covariates of individuals written and read."""

@@ -18,7 +18,6 @@ import itertools
 import json
 import re
 import struct
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,13 +25,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from . import bgzf, streams
+from .parts import PartsWriter
 
 COLUMNS = "qname string, flag int, chrom string, pos bigint, mapq int, cigar string, rnext string, mate_pos bigint, tlen bigint, seq string, qual string"
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
@@ -637,60 +636,22 @@ class Encoder:
         return Index(self.bins, windows)
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    name: str | None
-
+class BamWriter(PartsWriter):
+    """A BAM file and its index for each task."""
 
-class BamWriter(DataSourceArrowWriter):
-    """A file and its index for each task, hidden until all have ended."""
+    ending = ".bam"
 
     def __init__(self, path: str, chroms: list[tuple[str, int]], overwrite: bool):
-        self.path, self.chroms, self.overwrite = path.rstrip("/"), chroms, overwrite
-        self.job = uuid.uuid4().hex[:12]
-
-    @property
-    def hidden(self) -> str:
-        return f"{self.path}/_temporary-{self.job}"
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        fs, folder = bgzf.opened(self.hidden)
-        task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}-{self.job}-{task.taskAttemptId()}.bam"
-        fs.create_dir(folder, recursive=True)
-        with fs.open_output_stream(f"{folder}/{name}") as out:
-            e, rows = Encoder(out, self.chroms), 0
-            for batch in iterator:
-                for r in zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True):
-                    e.add(*r)
-                rows += batch.num_rows
-            index = e.close()
-        if not rows and task.partitionId():  # an empty table still has one file
-            fs.delete_file(f"{folder}/{name}")
-            return Written(None)
-        with fs.open_output_stream(f"{folder}/{name}.bai") as out:
-            out.write(index.packed())
-        return Written(name)
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, folder = bgzf.opened(self.path)
-        if self.overwrite:
-            for x in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
-                if x.type == pafs.FileType.File:
-                    fs.delete_file(x.path)
-        hidden = bgzf.opened(self.hidden)[1]
-        for m in messages:
-            if m and m.name:
-                for end in (".bai", ""):  # an index is never younger than what it is of
-                    fs.move(f"{hidden}/{m.name}{end}", f"{folder}/{m.name.rsplit('-', 1)[0]}.bam{end}")
-        if fs.get_file_info(hidden).type == pafs.FileType.Directory:
-            fs.delete_dir(hidden)
-        fs.open_output_stream(f"{folder}/_SUCCESS").close()
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, hidden = bgzf.opened(self.hidden)
-        if fs.get_file_info(hidden).type == pafs.FileType.Directory:
-            fs.delete_dir(hidden)
+        super().__init__(path, overwrite)
+        self.chroms = chroms
+
+    def put(self, out: pa.NativeFile, batches: Iterator[pa.RecordBatch]) -> tuple[int, dict[str, bytes]]:
+        e, rows = Encoder(out, self.chroms), 0
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True):
+                e.add(*r)
+            rows += batch.num_rows
+        return rows, {".bai": e.close().packed()}
 
 
 def in_order(reads: DataFrame, chroms: DataFrame, parts: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seq import reverse_complement
+from .lines import numbered, text_lines
 
 REGION_COLUMNS = ("chrom", "pos", "end_pos", "ref", "alt", "strand", "name", "starts", "stops")
 INPUT_COLUMNS = ("CHROM", "TEST.SNP.POS", "TEST.SNP.ID", "TEST.SNP.REF.ALLELE", "TEST.SNP.ALT.ALLELE", "TEST.SNP.GENOTYPE", "TEST.SNP.HAPLOTYPE", "REGION.START", "REGION.END", "REGION.SNP.POS", "REGION.SNP.HET.PROB", "REGION.SNP.LINKAGE.PROB", "REGION.SNP.REF.HAP.COUNT", "REGION.SNP.ALT.HAP.COUNT", "REGION.SNP.OTHER.HAP.COUNT", "REGION.READ.COUNT", "GENOMEWIDE.READ.COUNT")
@@ -116,23 +117,56 @@ def input_text(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return rows.select(*(keep or []), F.concat_ws(" ", *parts).alias("value"))
 
 
-def read_input(spark: SparkSession, files: dict[str, str]) -> DataFrame:
-    """Rows of the combined test from a file for each individual; NA is null, and rows with a header's first word are passed over."""
-    out = None
-    for individual, path in files.items():
-        p = F.col("p")
-        at = lambda i: _na(F.get(p, F.lit(i)))  # noqa: E731, B023
-        lists = [F.split(at(i), ";") for i in range(9, 15)]
-        names = (("pos", "bigint"), ("het_prob", "double"), ("linkage", "double"), ("ref_n", "bigint"), ("alt_n", "bigint"), ("other_n", "bigint"))
-        snps = F.when(at(9).isNotNull(), F.transform(F.arrays_zip(*(x.alias(f"c{i}") for i, x in enumerate(lists))), lambda z: F.struct(*(z[f"c{i}"].cast(kind).alias(name) for i, (name, kind) in enumerate(names)))))
-        rows = _fields(spark, path).where("p[0] <> 'CHROM'").select(
-            F.concat_ws(":", p[0], p[1], F.get(p, F.lit(7)), F.get(p, F.lit(8))).alias("region_id"), p[0].alias("chrom"), p[1].cast("long").alias("test_pos"), at(2).alias("test_id"), at(3).alias("ref"), at(4).alias("alt"), at(5).cast("double").alias("genotype"), at(6).alias("haplotype"),
-            F.split(at(7), ";").cast("array<bigint>").alias("starts"), F.split(at(8), ";").cast("array<bigint>").alias("stops"), snps.alias("region_snps"), at(15).cast("long").alias("region_reads"), at(16).cast("double").alias("genome_reads"),
-        ).withColumn("individual", F.lit(individual))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+def _of_individuals(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """individual, file, start, i and value of the lines of all files, in one scan; a path may be a folder."""
+    if not files:
         raise ValueError("no file is named")
-    return out
+    sc = spark.sparkContext
+
+    def plain(path: str) -> str:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath()
+
+    names = spark.createDataFrame([(plain(path), name) for name, path in files.items()], "_at string, individual string")  # a row per individual
+    lines = text_lines(spark, list(files.values()))
+    # a file lies at one of the paths, or in a folder that is one of them
+    path = F.url_decode(F.regexp_replace(F.regexp_replace("file", "^[A-Za-z0-9+.-]+:(//[^/]*)?", ""), r"\+", "%2B"))
+    found = lines.select("file").distinct().withColumn("_parts", F.split(path, "/"))
+    above = found.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda n: F.array_join(F.slice("_parts", F.lit(1), n), "/"))).alias("_at"))
+    own = above.join(F.broadcast(names), "_at").select("file", "individual")
+    return lines.join(F.broadcast(own), "file")  # a row per file
+
+
+def read_input(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """Rows of the combined test from a file (or folder) for each individual, in one scan of all; NA is null, and rows with a header's first word are passed over."""
+    return _input_rows(_of_individuals(spark, files))
+
+
+def _input_rows(lines: DataFrame, *more: str) -> DataFrame:
+    p = F.col("p")
+    at = lambda i: _na(F.get(p, F.lit(i)))
+    lists = [F.split(at(i), ";") for i in range(9, 15)]
+    names = (("pos", "bigint"), ("het_prob", "double"), ("linkage", "double"), ("ref_n", "bigint"), ("alt_n", "bigint"), ("other_n", "bigint"))
+    snps = F.when(at(9).isNotNull(), F.transform(F.arrays_zip(*(x.alias(f"c{i}") for i, x in enumerate(lists))), lambda z: F.struct(*(z[f"c{i}"].cast(kind).alias(name) for i, (name, kind) in enumerate(names)))))
+    return lines.where("trim(value) <> ''").withColumn("p", F.split(F.trim("value"), r"\s+")).where("p[0] <> 'CHROM'").select(
+        F.concat_ws(":", p[0], p[1], F.get(p, F.lit(7)), F.get(p, F.lit(8))).alias("region_id"), p[0].alias("chrom"), p[1].cast("long").alias("test_pos"), at(2).alias("test_id"), at(3).alias("ref"), at(4).alias("alt"), at(5).cast("double").alias("genotype"), at(6).alias("haplotype"),
+        F.split(at(7), ";").cast("array<bigint>").alias("starts"), F.split(at(8), ";").cast("array<bigint>").alias("stops"), snps.alias("region_snps"), at(15).cast("long").alias("region_reads"), at(16).cast("double").alias("genome_reads"), "individual", *more,
+    )
+
+
+def read_aligned_input(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """read_input() with row, the number of a line in its individual's file, from 0 (a header counts).
+
+    Line by line, all individuals must have the same test: one that another
+    lacks, or has elsewhere, is an error that names the row.
+    """
+    rows = _input_rows(numbered(_of_individuals(spark, files), by=("individual",)).withColumnRenamed("line", "row"), "row")
+    each = rows.groupBy("row").agg(F.count("*").alias("n"), F.min("region_id").alias("low"), F.max("region_id").alias("high"))
+    bad = each.where((F.col("n") != len(files)) | (F.col("low") != F.col("high"))).orderBy("row").limit(1).collect()
+    if bad:
+        r = bad[0]
+        raise ValueError(f"row {r.row}: {r.n} of {len(files)} individuals have a test there" if r.low == r.high else f"row {r.row}: {r.low} for one individual, {r.high} for another")
+    return rows
 
 
 def result_text(results: DataFrame) -> DataFrame:

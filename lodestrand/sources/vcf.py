@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lines as line_source
+
 #: log10 likelihood of what is missing (a third of one), as an array of three (fixed value).
 MISSING_GL = -0.477
 
@@ -56,28 +58,35 @@ def genotype_probabilities(fmt: Column, sample: Column, pl_as_gl: bool = False)
     return F.coalesce(parse_probabilities(field(fmt, sample, "GP")), parse_likelihoods(field(fmt, sample, "GL")), parse_likelihoods(field(fmt, sample, "PL"), phred=not pl_as_gl))
 
 
-def read_samples(spark: SparkSession, paths: str | list[str]) -> list[str]:
+def read_samples(spark: SparkSession, paths: str | list[str], in_blocks: bool = False) -> list[str]:
     """Sample names of the header line, which all files must share."""
-    heads = spark.read.text(paths).where(F.col("value").startswith("#CHROM")).distinct().limit(2).collect()
+    lines = line_source.block_lines(spark, paths) if in_blocks else spark.read.text(paths)
+    heads = lines.select("value").where(F.col("value").startswith("#CHROM")).distinct().limit(2).collect()
     if len(heads) != 1:
         raise ValueError("no #CHROM line" if not heads else "the files have different samples")
     return heads[0][0].split("\t")[9:]
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], max_lines: int | None = None) -> DataFrame:
-    """chrom, pos, name, allele1, allele2, format and fields (an array) of each record; max_lines is of each file."""
-    lines = spark.read.text(paths).where("value <> '' AND NOT startswith(value, '#')")
+def read_lines(spark: SparkSession, paths: str | list[str], max_lines: int | None = None, in_blocks: bool = False) -> DataFrame:
+    """chrom, pos, name, allele1, allele2, format and fields (an array) of each record; max_lines is of each file.
+
+    in_blocks: files of block gzip are read in splits (pyarrow must know their folder), others as ever.
+    """
+    if in_blocks:
+        lines = line_source.block_lines(spark, paths)
+    else:
+        lines = spark.read.text(paths) if max_lines is None else line_source.text_lines(spark, paths)
+    lines = lines.where("value <> '' AND NOT startswith(value, '#')")
     if max_lines is not None:
-        lines = lines.withColumns({"_f": F.input_file_name(), "_i": F.monotonically_increasing_id()})
-        lines = lines.withColumn("_n", F.row_number().over(Window.partitionBy("_f").orderBy("_i"))).where(F.col("_n") <= max_lines)
+        lines = line_source.first_lines(lines, max_lines)
     p = F.split("value", "\t")
     return lines.select(p[0].alias("chrom"), p[1].cast("long").alias("pos"), p[2].alias("name"), p[3].alias("allele1"), p[4].alias("allele2"), F.get(p, F.lit(8)).alias("format"), F.slice(p, F.lit(10), F.greatest(F.size(p) - 9, F.lit(0))).alias("fields"))
 
 
-def read_variants(spark: SparkSession, paths: str | list[str], chroms: DataFrame | None = None, max_lines: int | None = None) -> DataFrame:
+def read_variants(spark: SparkSession, paths: str | list[str], chroms: DataFrame | None = None, max_lines: int | None = None, in_blocks: bool = False, strict: bool = False) -> DataFrame:
     """chrom, pos, name, allele1, allele2; with chroms (chrom, length), names are matched with or without chr and positions checked."""
-    rows = read_lines(spark, paths, max_lines).drop("format", "fields")
-    return placed(rows, chroms) if chroms is not None else rows
+    rows = read_lines(spark, paths, max_lines, in_blocks).drop("format", "fields")
+    return placed(rows, chroms, strict) if chroms is not None else rows
 
 
 def placed(rows: DataFrame, chroms: DataFrame, strict: bool = False) -> DataFrame:
@@ -90,11 +99,14 @@ def placed(rows: DataFrame, chroms: DataFrame, strict: bool = False) -> DataFram
     return at.select(*(F.col("_own").alias("chrom") if c == "chrom" else pos.alias("pos") if c == "pos" else F.col(c) for c in rows.columns))
 
 
-def read_genotypes(spark: SparkSession, paths: str | list[str], chroms: DataFrame | None = None, pl_as_gl: bool = False, max_lines: int | None = None) -> DataFrame:
-    """A row per variant and sample: chrom, pos, name, allele1, allele2, sample, hap1, hap2, phased, p_rr, p_ra, p_aa."""
-    names = read_samples(spark, paths)
-    rows = read_lines(spark, paths, max_lines)
-    rows = placed(rows, chroms) if chroms is not None else rows
+def read_genotypes(spark: SparkSession, paths: str | list[str], chroms: DataFrame | None = None, pl_as_gl: bool = False, max_lines: int | None = None, in_blocks: bool = False, strict: bool = False) -> DataFrame:
+    """A row per variant and sample: chrom, pos, name, allele1, allele2, sample, hap1, hap2, phased, p_rr, p_ra, p_aa.
+
+    strict: a chromosome that chroms does not have is an error, else its rows go.
+    """
+    names = read_samples(spark, paths, in_blocks)
+    rows = read_lines(spark, paths, max_lines, in_blocks)
+    rows = placed(rows, chroms, strict) if chroms is not None else rows
     each = rows.select("chrom", "pos", "name", "allele1", "allele2", "format", F.posexplode("fields").alias("_i", "_v"))
     hap1, hap2, phased = parse_genotype(field(F.col("format"), F.col("_v"), "GT"))
     p = genotype_probabilities(F.col("format"), F.col("_v"), pl_as_gl)
