@@ -36,9 +36,9 @@ def match_totals(hits: DataFrame) -> DataFrame:
     return totals.withColumn("other_share", F.col("other_n") / F.greatest(F.col("ref_n") + F.col("alt_n") + F.col("other_n"), F.lit(1)))
 
 
-def usable_hits(hits: DataFrame, read: str = "qname") -> DataFrame:
-    """Hits of reads that cover no indel."""
-    return hits.withColumn("_any", F.max(~F.col("is_snp")).over(Window.partitionBy(read))).where(~F.col("_any")).drop("_any")
+def usable_hits(hits: DataFrame, read: str = "qname", by: tuple[str, ...] = ()) -> DataFrame:
+    """Hits of reads that cover no indel; by: columns within which reads are told apart, as individuals are."""
+    return hits.withColumn("_any", F.max(~F.col("is_snp")).over(Window.partitionBy(*by, read))).where(~F.col("_any")).drop("_any")
 
 
 def one_site_per_read(hits: DataFrame, read: str = "qname", seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:

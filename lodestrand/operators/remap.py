@@ -9,7 +9,7 @@ from ..functions.alleles import decode_name
 from .classify import FIRST, PAIRED, PROPER, SECONDARY, SUPPLEMENTARY, UNMAPPED, duplicate_disposition, has, is_plain_single
 
 
-def remap_verdict(to_remap: DataFrame, remapped: DataFrame, check_chrom: bool = False) -> DataFrame:
+def remap_verdict(to_remap: DataFrame, remapped: DataFrame, check_chrom: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """to_remap (a row per read: qname, chrom, pos, cigar, ...) with a verdict for its name:
     keep, missing, poisoned, wrong_place, incomplete or cigar_changed.
 
@@ -18,18 +18,19 @@ def remap_verdict(to_remap: DataFrame, remapped: DataFrame, check_chrom: bool =
     A version of a pair must come back as a proper pair; its left read (the
     first one, where both begin together) tells whether it is in place.
     remapped: name (as encoded), flag, chrom, pos, mate_pos, cigar.
+    by: columns of both within which names are told apart, as individuals are.
     """
     at = decode_name(F.col("name"))
-    rows = remapped.select(at.alias("d"), "flag", F.col("chrom").alias("new_chrom"), "pos", "mate_pos", "cigar").select("d.*", "flag", "new_chrom", "pos", "mate_pos", "cigar")
-    own = to_remap.groupBy("qname").agg(F.array_sort(F.collect_set("cigar")).alias("cigars"), F.min("chrom").alias("own_chrom"), F.count("*").alias("n_reads"))
+    rows = remapped.select(*by, at.alias("d"), "flag", F.col("chrom").alias("new_chrom"), "pos", "mate_pos", "cigar").select(*by, "d.*", "flag", "new_chrom", "pos", "mate_pos", "cigar")
+    own = to_remap.groupBy(*by, "qname").agg(F.array_sort(F.collect_set("cigar")).alias("cigars"), F.min("chrom").alias("own_chrom"), F.count("*").alias("n_reads"))
     single = F.col("exp_pos2").isNull()
     left = single | (F.col("pos") < F.col("mate_pos")) | ((F.col("pos") == F.col("mate_pos")) & has(FIRST))
     here = (F.col("pos") == F.col("exp_pos1")) & (single | (F.col("mate_pos") == F.col("exp_pos2")))
-    rows = rows.join(own.select(F.col("qname").alias("orig_name"), "own_chrom"), "orig_name")
+    rows = rows.join(own.select(*by, F.col("qname").alias("orig_name"), "own_chrom"), [*by, "orig_name"])
     right = F.coalesce(here & ~has(UNMAPPED), F.lit(False)) & (F.col("new_chrom").eqNullSafe(F.col("own_chrom")) if check_chrom else F.lit(True))
     tells = F.coalesce(left, F.lit(True))
     bad = has(SECONDARY) | has(SUPPLEMENTARY) | (~single & ~(has(PAIRED) & has(PROPER)))
-    tally = rows.groupBy("orig_name").agg(F.bool_or(bad).alias("poisoned"), F.count_if(right & tells).alias("n_right"), F.count_if(~right & tells).alias("n_wrong"), F.max("n_versions").alias("n_asked"), F.array_sort(F.collect_set("cigar")).alias("new_cigars"))
+    tally = rows.groupBy(*by, "orig_name").agg(F.bool_or(bad).alias("poisoned"), F.count_if(right & tells).alias("n_right"), F.count_if(~right & tells).alias("n_wrong"), F.max("n_versions").alias("n_asked"), F.array_sort(F.collect_set("cigar")).alias("new_cigars"))
     verdict = (
         F.when(F.col("n_right").isNull(), "missing")
         .when(F.col("poisoned"), "poisoned")
@@ -38,8 +39,8 @@ def remap_verdict(to_remap: DataFrame, remapped: DataFrame, check_chrom: bool =
         .when((F.size("new_cigars") > 2) | (F.col("cigars") != F.col("new_cigars")), "cigar_changed")
         .otherwise("keep")
     )
-    judged = own.join(tally, own["qname"] == tally["orig_name"], "left").select("qname", verdict.alias("verdict"))
-    return to_remap.join(judged, "qname")
+    judged = own.join(tally.withColumnRenamed("orig_name", "qname"), [*by, "qname"], "left").select(*by, "qname", verdict.alias("verdict"))
+    return to_remap.join(judged, [*by, "qname"])
 
 
 def kept(keep: DataFrame, judged: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def as_counts_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- uncertain genotypes
 
 _PKEY = "(snp_idx::VARCHAR || '-' || individual::VARCHAR)"
-UNSURE = f"""unsure AS (SELECT chrom, pos, individual, {h("t", _PKEY)} % 1000 / 1000.0 AS p_ra, (1 - {h("t", _PKEY)} % 1000 / 1000.0) * ({h("o", _PKEY)} % 100) / 100.0 AS p_aa FROM genotypes)"""
+UNSURE = f"""unsure AS MATERIALIZED (SELECT chrom, pos, individual, {h("t", _PKEY)} % 1000 / 1000.0 AS p_ra, (1 - {h("t", _PKEY)} % 1000 / 1000.0) * ({h("o", _PKEY)} % 100) / 100.0 AS p_aa FROM genotypes)"""
 
 
 def unsure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ def unsure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.genotypes(spark, sf_dir).select("chrom", "pos", "individual", het.alias("p_ra"), ((1 - het) * (hashed("o", key) % 100) / 100.0).alias("p_aa"))
 
 
-SITES_OF = "sites AS (SELECT DISTINCT p.region_id, p.chrom, p.test_pos, s.pos FROM parts p JOIN snps s ON s.chrom = p.chrom AND s.pos BETWEEN p.a AND p.z)"
+SITES_OF = "sites AS MATERIALIZED (SELECT DISTINCT p.region_id, p.chrom, p.test_pos, s.pos FROM parts p JOIN snps s ON s.chrom = p.chrom AND s.pos BETWEEN p.a AND p.z)"
 
 
 @query(with_sql(*BASE, GENOTYPES, PARTS, UNSURE, SITES_OF, body="""SELECT g.chrom || ':' || g.pos::VARCHAR AS region_id, g.individual, round(g.p_ra + 2 * g.p_aa, 6) AS genotype, x.n_sites, round(x.het_probs, 6) AS het_probs

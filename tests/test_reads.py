@@ -188,3 +188,12 @@ def test_counting_leaves_out_clipped_and_past_the_end(spark):
     depth, alleles = counts.count_reads(reads, snps, chroms, het)
     assert [(r.pos, r.n) for r in depth.collect()] == [(5, 2)]
     assert [(r.site, r.ref_n, r.alt_n, r.other_n) for r in alleles.collect()] == [(7, 1, 0, 0)]
+
+
+def test_verdicts_tell_individuals_apart(spark):
+    """Two individuals have a read of the same name; the version of one came back elsewhere."""
+    to_remap = spark.createDataFrame([("a", "r", "c1", 5, "4M"), ("b", "r", "c1", 5, "4M"), ("c", "r", "c1", 5, "4M")], "individual string, qname string, chrom string, pos long, cigar string")
+    name = alleles.encode_name(F.col("qname"), [F.col("pos")], F.lit(1), F.lit(1))
+    back = to_remap.where("individual <> 'c'").select("individual", name.alias("name"), F.lit(0).alias("flag"), "chrom", F.when(F.col("individual") == "b", 9).otherwise(5).cast("long").alias("pos"), F.lit(0).cast("long").alias("mate_pos"), "cigar")
+    got = {r.individual: r.verdict for r in remap.remap_verdict(to_remap, back, by=("individual",)).collect()}
+    assert got == {"a": "keep", "b": "wrong_place", "c": "missing"}
