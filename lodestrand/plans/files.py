@@ -11,7 +11,7 @@ from ..sources import fasta, impute, order, sam, streams, tables, vcf
 from ..sources.scratch import folder
 from . import views
 from .queries import INPUT_BASE, NAMES, SITES_OF_ROWS, TARGET_BASE, input_rows, query, targets
-from .views import GENOTYPES, READS, SEQUENCE, SNPS, h, hashed, load, with_sql
+from .views import GENOTYPES, ORDER_SEQUENCE, READS, SNPS, h, hashed, load, with_sql
 
 CHROMS = [f"chr{i}" for i in range(1, 6)]
 
@@ -138,18 +138,19 @@ def sample_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in tables.read_names(spark, path, allow_repeats=True)], "name string")
 
 
-@query(with_sql(SEQUENCE, "whole AS (SELECT chrom, string_agg(bases, '' ORDER BY chunk_start) AS s FROM genome GROUP BY chrom)", body="SELECT chrom, (i * 1000 + 1)::BIGINT AS chunk_start, substr(s, (i * 1000 + 1)::INTEGER, 1000) AS bases FROM whole, range(0, 22) AS t(i) WHERE i * 1000 < length(s)"))
+@query(with_sql(ORDER_SEQUENCE, "whole AS (SELECT chrom, string_agg(bases, '' ORDER BY chunk_start) AS s FROM genome GROUP BY chrom)", body="SELECT chrom, (i * 1000 + 1)::BIGINT AS chunk_start, substr(s, (i * 1000 + 1)::INTEGER, 1000) AS bases FROM (SELECT chrom, s, unnest(range(0, (length(s) + 999) // 1000)) AS i FROM whole)"))
 def fasta_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chromosomes written as FASTA lines and read in chunks of another length."""
-    path = put(fasta.fasta_lines(views.sequence(spark, sf_dir)).coalesce(1), "fasta", gzip=False)
-    lengths = views.sequence(spark, sf_dir).groupBy("chrom").agg(F.sum(F.length("bases")).alias("length"))
-    return fasta.read_fasta(spark, path, 1_000, lengths)
+    """Chromosomes, of bases by order, written as FASTA files and read in chunks of another length."""
+    path = folder(spark, "fasta")
+    chunks = views.order_sequence(spark, sf_dir)
+    fasta.write_fasta(chunks, path)
+    return fasta.read_fasta(spark, f"{path}/*", 1_000, chunks.groupBy("chrom").agg(F.sum(F.length("bases")).alias("length")))
 
 
-@query(with_sql(SEQUENCE, body="SELECT chrom, b AS base, count(*) AS n FROM (SELECT chrom, unnest(string_split(bases, '')) AS b FROM genome) AS x WHERE b <> '' GROUP BY ALL"))
+@query(with_sql(ORDER_SEQUENCE, body="SELECT chrom, b AS base, count(*) AS n FROM (SELECT chrom, unnest(string_split(bases, '')) AS b FROM genome) AS x WHERE b <> '' GROUP BY ALL"))
 def base_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters of each chromosome."""
-    return fasta.composition(views.sequence(spark, sf_dir))
+    return fasta.composition(views.order_sequence(spark, sf_dir))
 
 
 def sam_reads(spark: SparkSession, sf_dir: str) -> DataFrame:

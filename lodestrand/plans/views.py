@@ -149,6 +149,15 @@ SEQUENCE = f"""genome AS (
   SELECT chrom, chunk * 32 + 1 AS chunk_start, {sql_letters("'g-' || chrom || '-' || chunk::VARCHAR")} AS bases
   FROM (SELECT 'chr' || c::VARCHAR AS chrom, unnest(range(0, {(SPACE + 999) // 32 + 1})) AS chunk FROM range(1, 6) AS t(c)) AS x)"""
 
+
+def order_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chromosomes that grow with the orders, each of which gives 32 bases: chrom, chunk_start, bases."""
+    key = F.col("o_orderkey")
+    return load(spark, sf_dir, "orders").select(F.concat(F.lit("chr"), (key % 5 + 1).cast("string")).alias("chrom"), (F.floor(key / 5) * 32 + 1).cast("long").alias("chunk_start"), letters(key).alias("bases"))
+
+
+ORDER_SEQUENCE = f"""genome AS (SELECT 'chr' || (o_orderkey % 5 + 1)::VARCHAR AS chrom, (o_orderkey // 5 * 32 + 1)::BIGINT AS chunk_start, {sql_letters("o_orderkey::VARCHAR")} AS bases FROM orders)"""
+
 #: The CIGAR walk in SQL: blocks of aligned bases.
 BLOCKS = r"""ops AS (
   SELECT qname, individual, flag, chrom, pos, seq, cigar, unnest(regexp_extract_all(cigar, '(\d+)[MIDNSHP=X]', 1))::BIGINT AS n, unnest(regexp_extract_all(cigar, '\d+([MIDNSHP=X])', 1)) AS op, generate_subscripts(regexp_extract_all(cigar, '\d+[MIDNSHP=X]'), 1) AS i

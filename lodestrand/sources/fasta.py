@@ -83,10 +83,18 @@ def read_fasta(spark: SparkSession, paths: str | list[str], chunk: int = 10_000,
 
 
 def fasta_lines(chunks: DataFrame, width: int = 70) -> DataFrame:
-    """value: the lines of a FASTA file in order: the name of each chromosome, then its bases, width letters a line.
+    """value: the lines of a FASTA file in order: the name of each chromosome, then its bases, width letters a line."""
+    return _lines(chunks, width).orderBy("chrom", "line").select("value")
 
-    Chunks are cut into the parts of lines, which are put together line by line, so no chromosome is gathered.
-    """
+
+def write_fasta(chunks: DataFrame, path: str, width: int = 70) -> None:
+    """A folder with a FASTA file for each chromosome (read path/*): a task streams the sorted lines of one."""
+    lines = _lines(chunks, width).repartition("chrom").sortWithinPartitions("chrom", "line")
+    lines.select("chrom", "value").write.partitionBy("chrom").text(path)
+
+
+def _lines(chunks: DataFrame, width: int) -> DataFrame:
+    """chrom, line (-1 for the name) and value; chunks are cut into parts of lines, which are put together line by line, so no chromosome is gathered."""
     first, last = F.floor((F.col("chunk_start") - 1) / width), F.floor((F.col("chunk_start") + F.length("bases") - 2) / width)
     each = chunks.where("bases <> ''").withColumn("line", F.explode(F.sequence(first, last)))
     start = F.greatest(F.col("line") * width + 1, F.col("chunk_start"))
@@ -94,7 +102,7 @@ def fasta_lines(chunks: DataFrame, width: int = 70) -> DataFrame:
     parts = each.select("chrom", "line", start.alias("at"), F.substr("bases", (start - F.col("chunk_start") + 1).cast("int"), (stop - start + 1).cast("int")).alias("part"))
     lines = parts.groupBy("chrom", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "").alias("value"))
     heads = chunks.select("chrom").distinct().select("chrom", F.lit(-1).cast("long").alias("line"), F.concat(F.lit(">"), "chrom").alias("value"))
-    return heads.unionByName(lines).orderBy("chrom", "line").select("value")
+    return heads.unionByName(lines)
 
 
 def fasta_text(chunks: DataFrame, width: int = 70) -> DataFrame:
