@@ -624,3 +624,70 @@ def loadings(rows: DataFrame, value: str = "reads", components: int | None = Non
     turn = [1.0 if vectors[np.abs(vectors[:, j]).argmax(), j] > 0 else -1.0 for j in order]
     out = [(x, k + 1, float(vectors[i, j] * turn[k])) for k, j in enumerate(order) for i, x in enumerate(names)]
     return rows.sparkSession.createDataFrame(out, "i string, component int, loading double").select(F.col("i").cast(rows.schema["individual"].dataType).alias("individual"), "component", "loading")
+
+
+#: Further columns that leading_loadings carries, how small what is left of a component must be, and passes at most.
+OVERSAMPLE, RESIDUE, MOST_TURNS = 8, 1e-8, 300
+
+
+def leading_loadings(rows: DataFrame, value: str = "reads", components: int = 3, seed: int = 0) -> DataFrame:
+    """individual, component (from 1) and loading of the leading principal components, for many individuals.
+
+    Block power iteration from a random start: a pass multiplies the covariance
+    of the individuals by a few columns without ever making it, each task over
+    its own regions, so that tasks and driver hold as many columns and no
+    product of individuals.  It ends when what the covariance makes of each
+    component differs from a multiple of it by RESIDUE of the largest at most;
+    after MOST_TURNS passes that is an error.  What is missing counts as its
+    individual's mean (loadings() leaves it out of each product instead).
+    """
+    wide = rows.select("region_id", F.col("individual").cast("string").alias("individual"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    means = {r.individual: r.m for r in wide.groupBy("individual").agg(F.avg("v").alias("m")).collect()}  # a row per individual
+    kind = rows.schema["individual"].dataType
+    names = sorted(means)
+    n, m = len(names), wide.select("region_id").distinct().count()
+    k, carried = min(components, n), min(components + OVERSAMPLE, n)
+    if not n:
+        return rows.sparkSession.createDataFrame([], "i string, component int, loading double").select(F.col("i").cast(kind).alias("individual"), "component", "loading")
+    table = _gathered(wide, ["v"]).persist()
+    spark = rows.sparkSession.sparkContext
+    fixed = spark.broadcast(({x: i for i, x in enumerate(names)}, np.array([means[x] for x in names])))
+
+    def multiplied(q: np.ndarray) -> np.ndarray:
+        sent = spark.broadcast(q)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (at, centre), columns = fixed.value, sent.value
+            z = np.zeros(columns.shape)
+            for b in _pieces(batches):
+                size, each = _lists(b.column("rows"))
+                who = np.array([at[y] for y in each.field(0).to_pylist()], dtype=np.int64)
+                region, x = np.repeat(np.arange(b.num_rows), size), _floats(each.field(1)) - centre[who]
+                own = np.zeros((b.num_rows, columns.shape[1]))
+                np.add.at(own, region, x[:, None] * columns[who])
+                np.add.at(z, who, x[:, None] * own[region])
+            yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(z)), pa.int32()), "z": pa.array(z.tolist(), pa.list_(pa.float64()))})
+
+        parts = table.mapInArrow(run, "i int, z array<double>").select("i", F.posexplode("z").alias("j", "v"))
+        out = np.zeros(q.shape)
+        for r in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # individuals by columns
+            out[r.i, r.j] = r.v
+        sent.unpersist()
+        return out / max(m - 1, 1)
+
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, carried)))[0]
+    for _ in range(MOST_TURNS):
+        z = multiplied(q)
+        values, turn = np.linalg.eigh(q.T @ z)
+        best = np.argsort(-values)[:k]
+        vectors, made = q @ turn[:, best], z @ turn[:, best]
+        left = np.linalg.norm(made - vectors * values[best], axis=0).max(initial=0.0)
+        if left <= RESIDUE * max(abs(values).max(), 1e-300):
+            break
+        q = np.linalg.qr(z)[0]
+    else:
+        raise ValueError(f"the components have not come to rest after {MOST_TURNS} passes")
+    table.unpersist()
+    signs = [1.0 if vectors[np.abs(vectors[:, j]).argmax(), j] > 0 else -1.0 for j in range(k)]
+    out = [(x, j + 1, float(vectors[i, j] * signs[j])) for j in range(k) for i, x in enumerate(names)]
+    return rows.sparkSession.createDataFrame(out, "i string, component int, loading double").select(F.col("i").cast(kind).alias("individual"), "component", "loading")

@@ -290,3 +290,19 @@ def test_depth_models_that_do_not_come_to_rest_are_an_error(spark, monkeypatch):
     df = spark.createDataFrame([(i, "a", 0.3 + i % 5 / 10, 3 + i * i % 17) for i in range(50)], "region_id long, individual string, gc double, reads long")
     with pytest.raises(ValueError, match="come to rest"):
         association.fit_depth_model(df)
+
+
+def test_leading_components_equal_exact_ones(spark):
+    g = np.random.default_rng(7)
+    n, m = 40, 300
+    x = g.normal(size=(m, 4)) @ (np.array([9, 6, 4, 2])[:, None] * g.normal(size=(4, n))) + g.normal(size=(m, n)) + g.normal(size=n) * 20
+    df = spark.createDataFrame([(i, f"n{j:02}", float(x[i, j])) for i in range(m) for j in range(n)], "region_id long, individual string, reads double")
+    vectors = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :3]
+    got = np.zeros((n, 3))
+    for r in association.leading_loadings(df, components=3).collect():
+        got[int(r.individual[1:]), r.component - 1] = r.loading
+    assert np.abs(np.abs((got * vectors).sum(axis=0)) - 1).max() < 1e-6 and np.linalg.norm(vectors - got @ (got.T @ vectors)) < 1e-6
+    exact = {(r.individual, r.component): r.loading for r in association.loadings(df, components=3).collect()}
+    assert all(abs(exact[f"n{j:02}", k + 1] - got[j, k]) < 1e-6 for j in range(n) for k in range(3))
+    assert association.leading_loadings(df.where("1 = 0")).count() == 0
+    assert association.leading_loadings(df.where("individual < 'n02'"), components=5).count() == 4
