@@ -4,7 +4,6 @@ import math
 import time
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.functions import likelihood
@@ -276,20 +275,20 @@ def test_depth_models_are_no_worse_than_a_simplex(spark):
         start = np.zeros(10)
         start[6] = k.sum() / all_reads.sum()
         x, _ = optimize.simplex(lambda y, k=k: loss(y, k), start.tolist(), max_iter=4_000)
-        assert len(c) == 10 and loss(c, k) <= loss(x, k) + 1e-6
+        assert len(c) == 10 and r.converged and loss(c, k) <= loss(x, k) + 1e-6 * abs(loss(x, k))
         for i in (0, 1, 2, 6):  # and no neighbour is better
             for step in (-1e-3, 1e-3):
                 near = c.copy()
                 near[i] *= 1 + step
-                assert loss(near, k) >= loss(c, k) - 1e-6
+                assert loss(near, k) >= loss(c, k) - 1e-6 * abs(loss(c, k))
     assert association.fit_depth_model(df, sample=100).count() == 3 and association.fit_depth_model(df.where("1 = 0")).count() == 0
 
 
-def test_depth_models_that_do_not_come_to_rest_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(association, "MOST_PASSES", 1)
+def test_depth_models_that_do_not_come_to_rest_say_so(spark, monkeypatch):
     df = spark.createDataFrame([(i, "a", 0.3 + i % 5 / 10, 3 + i * i % 17) for i in range(50)], "region_id long, individual string, gc double, reads long")
-    with pytest.raises(ValueError, match="come to rest"):
-        association.fit_depth_model(df)
+    assert association.fit_depth_model(df).first().converged
+    monkeypatch.setattr(association, "MOST_PASSES", 1)
+    assert not association.fit_depth_model(df).first().converged
 
 
 def test_leading_components_equal_exact_ones(spark):
