@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import alleles, seq
+from ..functions import alleles, cigar, seq
 from .classify import mapping_disposition
 from .counts import subset_samples
-from .overlap import read_variants
+from .overlap import count_within, in_bins, members_within, site_counts, variant_bins
 
 MAX_SNPS, MAX_SEQS = 6, 64
 
 
-def sites_of(reads: DataFrame, snps: DataFrame, key: str = "qname") -> DataFrame:
-    """key, chrom, seq, n_snps, n_indels and sites (read_pos, ref, alt, site; by position) of each read that covers a variant."""
-    hits = read_variants(reads, snps)
-    site = F.struct("read_pos", "ref", "alt", "site")
-    return hits.groupBy(key).agg(F.first("chrom").alias("chrom"), F.first("seq").alias("seq"), F.count_if("is_snp").alias("n_snps"), F.count_if(~F.col("is_snp")).alias("n_indels"), F.sort_array(F.collect_list(F.when(F.col("is_snp"), site))).alias("sites"))
+def sites_of(reads: DataFrame, snps: DataFrame, key: str = "qname", most: int | None = None) -> DataFrame:
+    """key, chrom, seq, n_snps, n_indels and sites (read_pos, ref, alt, site; by position) of each read that covers a variant.
+
+    With most, a bin's sites are not listed where a read covers more SNPs than that in it, or an indel:
+    the lists of reads with more, or with an indel, are not whole, those of all others are.
+    """
+    blocks = reads.select(key, "chrom", "seq", F.inline(cigar.blocks(F.col("pos"), F.col("cigar"), deleted=True)))
+    here = site_counts(blocks, variant_bins(snps), most).where("n_snps + n_indels > 0")
+    return here.groupBy(key).agg(F.first("chrom").alias("chrom"), F.first("seq").alias("seq"), F.sum("n_snps").alias("n_snps"), F.sum("n_indels").alias("n_indels"), _listed(F.col("sites")).alias("sites"))
+
+
+def _listed(sites: Column) -> Column:
+    """The lists of a group as one, by position in the read; nulls are none."""
+    return F.sort_array(F.flatten(F.collect_list(sites)))
 
 
 def _fit_to_expand(max_snps: int) -> Column:
@@ -56,7 +65,7 @@ def split_single(reads: DataFrame, snps: DataFrame, genotypes: DataFrame | None
     if genotypes is not None and samples:
         genotypes = subset_samples(genotypes, samples)
     rows = reads.withColumn("disposition", mapping_disposition())
-    sites = sites_of(rows.where("disposition = 'single'"), snps)
+    sites = sites_of(rows.where("disposition = 'single'"), snps, most=max_snps)
     fresh = lambda seqs: F.array_sort(F.array_except(seqs, F.array("seq")))
     if genotypes is None:  # versions are made where the sites are, so that reads are joined once
         found = sites.withColumn("others", F.when(_fit_to_expand(max_snps), fresh(alleles.all_versions(F.col("seq"), F.col("sites")))))
@@ -92,20 +101,30 @@ def mates(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, both.where(F.size("r") != 2).select("qname", "chrom", F.size("r").alias("n"))
 
 
-def pair_products(pairs: DataFrame, versions_a: DataFrame, versions_b: DataFrame, shared: DataFrame, max_seqs: int = MAX_SEQS) -> DataFrame:
-    """Versions of pairs whose mates agree at the SNPs that both cover: qname, seq_a, seq_b, within the limits.
+def pair_versions(own_a: Column, own_b: Column, sites_a: Column, sites_b: Column, at_a: Column, at_b: Column, max_seqs: int = MAX_SEQS) -> Column:
+    """Versions of a pair (seq_a, seq_b; sorted) whose mates agree at the SNPs that both cover; null if there are too many.
 
-    versions: qname, seq.  shared: qname, at_a, at_b: positions in either read of
-    shared SNPs.  Pairs with too many versions to try are left out before
-    anything is made: n_a + n_b may be max_seqs at most, and so may the result
-    besides the original.
+    at_a, at_b: positions in either read of shared SNPs.  Before pairs of
+    versions are made it is known that both mates' versions are max_seqs
+    together at most; the result may be as many, besides the original.
     """
-    few = versions_a.groupBy("qname").agg(F.count("*").alias("n_a")).join(versions_b.groupBy("qname").agg(F.count("*").alias("n_b")), "qname").where(F.col("n_a") + F.col("n_b") <= max_seqs).select("qname")
-    none = F.array().cast("array<int>")
-    places = pairs.select("qname").join(few, "qname").join(shared, "qname", "left").select("qname", F.coalesce("at_a", none).alias("at_a"), F.coalesce("at_b", none).alias("at_b"))
-    side = lambda v, at, name: v.join(places, "qname").select("qname", seq.bases_at(F.col("seq"), F.col(at)).alias("key"), F.col("seq").alias(name)).distinct()
-    made = side(versions_a, "at_a", "seq_a").join(side(versions_b, "at_b", "seq_b"), ["qname", "key"]).select("qname", "seq_a", "seq_b").distinct()
-    return made.withColumn("_n", F.count("*").over(Window.partitionBy("qname"))).where(F.col("_n") <= max_seqs + 1).drop("_n")
+    a, b = alleles.all_versions(own_a, sites_a), alleles.all_versions(own_b, sites_b)
+    keyed = lambda v, at: F.transform(v, lambda x: F.struct(seq.bases_at(x, at).alias("key"), x.alias("seq")))
+    made = F.flatten(F.transform(keyed(a, at_a), lambda x: F.transform(F.filter(keyed(b, at_b), lambda y: y["key"] == x["key"]), lambda y: F.struct(x["seq"].alias("seq_a"), y["seq"].alias("seq_b")))))
+    return F.when(F.size(a) + F.size(b) <= max_seqs, F.sort_array(made))
+
+
+def shared_sites(pairs: DataFrame, snps: DataFrame) -> DataFrame:
+    """qname, n_shared and discordant of pairs (what mates() gives) whose mates cover the same SNPs: how many, and whether they show different bases there."""
+    blocks = lambda x: cigar.blocks(F.col(f"{x}.pos"), F.col(f"{x}.cigar"))
+    both = lambda x, y: F.struct(F.greatest(x["start"], y["start"]).alias("start"), F.least(x["stop"], y["stop"]).alias("stop"), (x["read_start"] - x["start"]).alias("to_a"), (y["read_start"] - y["start"]).alias("to_b"))
+    common = F.flatten(F.transform(blocks("a"), lambda x: F.transform(F.filter(blocks("b"), lambda y: (y["start"] <= x["stop"]) & (x["start"] <= y["stop"])), lambda y: both(x, y))))
+    stretches = pairs.select("qname", "chrom", F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), F.inline(common))
+    n = count_within("_snps_upto")
+    base = lambda s, to, v: F.substr(F.col(s), (F.col(to) + v["site"]).cast("int"), F.lit(1))
+    differ = F.exists(members_within("_snps", "_snps_upto"), lambda v: base("seq_a", "to_a", v) != base("seq_b", "to_b", v))
+    here = in_bins(stretches, variant_bins(snps)).where(n > 0).select("qname", n.cast("long").alias("n"), differ.alias("differ"))
+    return here.groupBy("qname").agg(F.sum("n").alias("n_shared"), F.bool_or("differ").alias("discordant"))
 
 
 def split_pairs(reads: DataFrame, snps: DataFrame, max_snps: int = MAX_SNPS, max_seqs: int = MAX_SEQS) -> tuple[DataFrame, DataFrame]:
@@ -113,36 +132,37 @@ def split_pairs(reads: DataFrame, snps: DataFrame, max_snps: int = MAX_SNPS, max
     and the versions of those to be aligned again (qname, pos_a, pos_b, version_no, n_versions, name, seq_a, seq_b).
 
     A pair whose mates show different bases at a shared SNP is discordant.
+    Mates are brought together, meet the variants of their bins and come
+    together again; versions are made within the pair's row.
     """
     pairs, _ = mates(reads)
-    side = lambda x: pairs.where("ok").select(F.concat_ws("/", F.col("qname").cast("string"), F.lit(x)).alias("read"), "qname", "chrom", F.col(f"{x}.pos").alias("pos"), F.col(f"{x}.cigar").alias("cigar"), F.col(f"{x}.seq").alias("seq"))
-    both = side("a").withColumn("side", F.lit("a")).unionByName(side("b").withColumn("side", F.lit("b")))
-    sites = sites_of(both, snps, "read").drop("chrom", "seq")
-    own = both.join(sites, "read", "left")
-    count = lambda c, s: F.max(F.when(F.col("side") == s, F.coalesce(c, F.lit(0))))
-    state = own.groupBy("qname").agg(F.sum(F.coalesce("n_indels", F.lit(0))).alias("indels"), F.greatest(count("n_snps", "a"), count("n_snps", "b")).alias("snps"), F.max(F.when(F.col("side") == "a", F.col("seq"))).alias("own_a"), F.max(F.when(F.col("side") == "b", F.col("seq"))).alias("own_b"), F.max(F.when(F.col("side") == "a", F.col("sites"))).alias("s_a"), F.max(F.when(F.col("side") == "b", F.col("sites"))).alias("s_b"))
-    nothing = F.array().cast(sites.schema["sites"].dataType)
-    s_a, s_b = F.coalesce("s_a", nothing), F.coalesce("s_b", nothing)
-    common = F.array_intersect(F.transform(s_a, lambda s: s["site"]), F.transform(s_b, lambda s: s["site"]))
-    at = lambda s: F.transform(F.filter(s, lambda x: F.array_contains(common, x["site"])), lambda x: x["read_pos"].cast("int"))
-    state = state.select("*", at(s_a).alias("at_a"), at(s_b).alias("at_b"))
+    side = lambda x: F.struct(F.lit(x).alias("side"), F.col(f"{x}.pos").cast("long").alias("pos"), F.col(f"{x}.seq").alias("seq"), F.when(F.col("ok"), cigar.blocks(F.col(f"{x}.pos"), F.col(f"{x}.cigar"), deleted=True)).alias("blocks"))
+    each = pairs.select("qname", "chrom", "ok", F.inline(F.array(side("a"), side("b"))))
+    blocks = each.select("qname", "chrom", "ok", "side", "pos", "seq", F.explode_outer("blocks").alias("_b")).select("qname", "chrom", "ok", "side", "pos", "seq", "_b.*")
+    own = site_counts(blocks, variant_bins(snps), max_snps, "left")
+    of = lambda s, c: F.when(F.col("side") == s, F.col(c))
+    total = lambda s: F.coalesce(F.sum(of(s, "n_snps")), F.lit(0))
+    state = own.groupBy("chrom", "qname").agg(F.first("ok").alias("ok"), F.sum("n_indels").alias("indels"), F.greatest(total("a"), total("b")).alias("snps"), *(F.max(of(s, c)).alias(f"{name}_{s}") for s in "ab" for c, name in (("pos", "pos"), ("seq", "own"))), *(_listed(of(s, "sites")).alias(f"s_{s}") for s in "ab"))
+    common = F.array_intersect(F.transform("s_a", lambda s: s["site"]), F.transform("s_b", lambda s: s["site"]))
+    state = state.withColumn("fair", F.col("ok") & (F.col("indels") == 0) & (F.col("snps") <= max_snps)).withColumn("common", common)
+    at = lambda s: F.transform(F.filter(s, lambda x: F.array_contains("common", x["site"])), lambda x: x["read_pos"].cast("int"))
+    state = state.withColumns({"at_a": at("s_a"), "at_b": at("s_b")})
     state = state.withColumn("agree", seq.bases_at(F.col("own_a"), F.col("at_a")) == seq.bases_at(F.col("own_b"), F.col("at_b")))
-    open_ = state.where((F.col("indels") == 0) & (F.col("snps") <= max_snps) & F.col("agree"))
-    made = lambda s, o: open_.select("qname", F.explode(alleles.all_versions(F.col(o), F.coalesce(s, nothing))).alias("seq"))
-    product = pair_products(pairs, made("s_a", "own_a"), made("s_b", "own_b"), state.select("qname", "at_a", "at_b"), max_seqs)
-    fresh = product.join(state.select("qname", "own_a", "own_b"), "qname").where("NOT (seq_a = own_a AND seq_b = own_b)").drop("own_a", "own_b")
-    found = product.groupBy("qname").agg((F.count("*") - 1).alias("n_versions"))
+    made = pair_versions(*(F.col(c) for c in ("own_a", "own_b", "s_a", "s_b", "at_a", "at_b")), max_seqs)
+    state = state.withColumn("made", F.when(F.col("fair") & F.col("agree"), made))
+    n = F.when(F.size("made") <= max_seqs + 1, F.size("made") - 1).cast("long")
+    state = state.select("qname", "chrom", "pos_a", "pos_b", "ok", "indels", "snps", "agree", "own_a", "own_b", "made", n.alias("n"))
     judged = (
         F.when(~F.col("ok"), "mate_pos_mismatch")
         .when(F.col("indels") > 0, "indel")
         .when(F.col("snps") > max_snps, "excess_snps")
         .when(~F.col("agree"), "discordant")
-        .when(F.col("n_versions").isNull(), "excess_versions")
+        .when(F.col("n").isNull(), "excess_versions")
         .when(F.col("snps") == 0, "keep")
         .otherwise("remap")
     )
-    classified = pairs.join(state.select("qname", "indels", "snps", "agree"), "qname", "left").join(found, "qname", "left").select("qname", "chrom", F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), judged.alias("disposition"), F.coalesce("n_versions", F.lit(0)).alias("n_versions"))
-    number = F.row_number().over(Window.partitionBy("qname").orderBy("seq_a", "seq_b"))
-    remap = classified.where("disposition = 'remap'").select("qname", "pos_a", "pos_b", "n_versions")
-    versions = fresh.join(remap, "qname").withColumn("version_no", number)
-    return classified, versions.select("qname", "pos_a", "pos_b", "version_no", "n_versions", alleles.encode_name(F.col("qname").cast("string"), [F.col("pos_a"), F.col("pos_b")], F.col("version_no"), F.col("n_versions")).alias("name"), "seq_a", "seq_b")
+    classified = state.withColumn("disposition", judged).withColumn("n_versions", F.coalesce("n", F.lit(0)))
+    fresh = F.filter("made", lambda v: (v["seq_a"] != F.col("own_a")) | (v["seq_b"] != F.col("own_b")))
+    versions = classified.where("disposition = 'remap'").select("qname", "pos_a", "pos_b", "n_versions", F.posexplode(fresh).alias("i", "v")).select("qname", "pos_a", "pos_b", (F.col("i") + 1).alias("version_no"), "n_versions", "v.*")
+    name = alleles.encode_name(F.col("qname").cast("string"), [F.col("pos_a"), F.col("pos_b")], F.col("version_no"), F.col("n_versions"))
+    return classified.select("qname", "chrom", "pos_a", "pos_b", "disposition", "n_versions"), versions.select("qname", "pos_a", "pos_b", "version_no", "n_versions", name.alias("name"), "seq_a", "seq_b")
