@@ -109,6 +109,11 @@ class Regions:
         use = np.repeat(dose == 1, sites)  # alleles tell where the test site is heterozygous
         self.ref, self.alt, self.het, self.spread = ref[use], alt[use], np.minimum(het[use], 0.99), np.repeat(spread, sites)[use]
         own = np.repeat(np.repeat(np.arange(len(rows)), rows), np.where(dose == 1, sites, 0))
+        # sites without reads add the same whatever the parameters are
+        some = self.ref + self.alt > 0
+        bare = np.full(int((~some).sum()), 0.5)
+        self.bare = np.bincount(own[~some], bb_loglik(bare, bare, self.ref[~some], self.alt[~some], self.het[~some]), len(rows))
+        self.ref, self.alt, self.het, self.spread, own = (x[some] for x in (self.ref, self.alt, self.het, self.spread, own))
         self.sites = np.bincount(own, minlength=len(rows))
         self.wrong = allele_error(self.ref, self.alt)
         self.ways = ways(reads, depth)
@@ -125,6 +130,7 @@ class Regions:
             each = ((2 - dose) * alpha[own] + dose * beta[own]) * self.scale[at] * factor
             out += np.bincount(own, bnb_loglik(self.reads[at], np.maximum(each, 1e-6), r[own], self.depth[at], self.ways[at]), len(which))
         if mode != "bnb":
+            out += self.bare[which]
             n = self.sites[which]
             at, own = _stretches((np.cumsum(self.sites) - self.sites)[which], n), np.repeat(local, n)
             if len(at):
@@ -205,7 +211,7 @@ def combined_test(rows: DataFrame, as_disp: DataFrame | None = None, bnb_disp: D
     known = known.join(F.broadcast(pcs.select("individual", F.col("values").alias("pcs"))), "individual", "left") if pcs is not None else known.withColumn("pcs", F.array().cast("array<double>"))
     sites = F.transform(F.filter("region_snps", lambda s: s["het_prob"] > 0.9), lambda s: F.struct(*(s[c].cast("double").alias(c) for c in ("ref_n", "alt_n", "het_prob"))))
     none = F.array().cast("array<struct<ref_n:double,alt_n:double,het_prob:double>>")
-    flat = known.select(F.col("region_id").cast("string").alias("region_id"), "chrom", F.col("test_pos").cast("long").alias("test_pos"), F.col("individual").cast("string").alias("individual"), F.round(F.col("genotype")).cast("int").alias("dose"), F.coalesce(sites, none).alias("sites"), F.col("region_reads").cast("long").alias("reads"), F.col("genome_reads").cast("double").alias("genome"), F.coalesce("as_disp", F.lit(default_disp)).alias("as_disp"), F.coalesce("bnb_disp", F.lit(1 / default_disp)).alias("bnb_disp"), "pcs").where("genome IS NOT NULL")
+    flat = known.select(F.col("region_id").cast("string").alias("region_id"), "chrom", F.col("test_pos").cast("long").alias("test_pos"), F.col("individual").cast("string").alias("individual"), F.round(F.col("genotype")).cast("int").alias("dose"), F.coalesce(F.when(F.round(F.col("genotype")) == 1, sites), none).alias("sites"), F.col("region_reads").cast("long").alias("reads"), F.col("genome_reads").cast("double").alias("genome"), F.coalesce("as_disp", F.lit(default_disp)).alias("as_disp"), F.coalesce("bnb_disp", F.lit(1 / default_disp)).alias("bnb_disp"), "pcs").where("genome IS NOT NULL")
     names = [c.split()[0] for c in RESULT.split(", ")]
     fitted = ("loglik_null", "loglik_alt", "chi_square", "p_value", "alpha", "beta", "dispersion")
 

@@ -305,3 +305,23 @@ def test_leading_components_equal_exact_ones(spark):
     assert all(abs(exact[f"n{j:02}", k + 1] - got[j, k]) < 1e-6 for j in range(n) for k in range(3))
     assert association.leading_loadings(df.where("1 = 0")).count() == 0
     assert association.leading_loadings(df.where("individual < 'n02'"), components=5).count() == 4
+
+
+def test_sites_of_regions_are_cut_once(spark):
+    regions = spark.createDataFrame([("r", "c", 1000, [900, 950, 5000], [960, 1000, 5001])], "region_id string, chrom string, test_pos long, starts array<long>, stops array<long>")
+    haps = [("c", p, "a", h, 1 - h) for p, h in ((899, 0), (950, 1), (1000, 0), (5001, 1))] + [("c", 960, "a", 0, 0), ("c", 955, "a", None, 1)]
+    genotypes = spark.createDataFrame(haps, "chrom string, pos long, individual string, hap1 int, hap2 int")
+    n = spark.createDataFrame([("c", 950, "a", 3, 2, 1), ("c", 5001, "a", 7, 0, 0)], "chrom string, site long, individual string, ref_n long, alt_n long, other_n long")
+    depth = spark.createDataFrame([("c", 955, "a", 2), ("c", 5000, "a", 4), ("c", 4999, "a", 9)], "chrom string, pos long, individual string, n long")
+    got = haplotypes.region_lists(regions, genotypes, n, depth).collect()
+    assert [(r.individual, r.known, r.hap1, r.region_n) for r in got] == [("a", True, 0, 2 + 2 + 4)]  # a place in two parts counts in both
+    assert [(s.pos, s.ref_n, s.alt_n, s.other_n) for s in got[0].region_snps] == [(950, 2, 3, 1), (1000, 0, 0, 0), (5001, 0, 7, 0)]
+
+
+def test_sites_without_reads_are_not_fitted():
+    one = np.ones(1)
+    make = lambda ref, alt: association.Regions(np.array([1]), np.array([1]), 9 * one, one, 50 * one, np.array([len(ref)]), np.array(ref, float), np.array(alt, float), np.full(len(ref), 0.99), 0.1 * one)
+    data = make([5, 0, 0], [3, 0, 0])
+    at = (np.array([0]), one, 2 * one, 0.2 * one, np.zeros((1, 0)), "combined")
+    assert data.sites.tolist() == [1]
+    assert abs(data.loglik(*at)[0] - make([5], [3]).loglik(*at)[0] - 2 * np.log(1.01)) < 1e-9
