@@ -316,11 +316,14 @@ def fit_depth_dispersion(rows: DataFrame, sample: int | None = 2_000, seed: int
     close in.  At most sample regions take part, those of least hash (None:
     all), a documented bound; rounds are bounded too.
     """
+    kind = rows.schema["individual"].dataType
+    session, rows = rows.sparkSession, rows.select("region_id", "individual", "region_reads", "genome_reads").persist()  # read twice
     totals = rows.groupBy("region_id").agg(F.sum("region_reads").alias("n")).where(F.col("n") >= min_counts).select("region_id", F.md5(F.concat_ws("|", F.col("region_id").cast("string"), F.lit(str(seed)))).alias("h"))
     chosen = totals.orderBy("h", "region_id").limit(sample) if sample is not None else totals
     own = rows.join(F.broadcast(chosen.select("region_id")) if sample is not None else chosen.select("region_id"), "region_id", "left_semi")
     flat = own.where("genome_reads IS NOT NULL AND region_reads IS NOT NULL").select("region_id", F.col("individual").cast("string").alias("individual"), F.col("region_reads").cast("double").alias("k"), F.col("genome_reads").cast("double").alias("genome"))
-    table = _gathered(flat, ["k", "genome"]).persist()
+    table = _gathered(flat, ["k", "genome"])
+    table = (table.coalesce(max(session.sparkContext.defaultParallelism, 1)) if sample is not None else table).persist()
     names = _individuals(table)
     number = {x: i for i, x in enumerate(names)}
     gene, disp = math.log(fix_gene or 0.005), np.full(len(names), math.log(100.0))
@@ -364,8 +367,9 @@ def fit_depth_dispersion(rows: DataFrame, sample: int | None = 2_000, seed: int
             break
         last = now
     table.unpersist()
-    out = rows.sparkSession.createDataFrame([(n, float(math.exp(d)), math.exp(gene)) for n, d in zip(names, disp, strict=True)], "i string, disp double, region_disp double")
-    return out.select(F.col("i").cast(rows.schema["individual"].dataType).alias("individual"), "disp", "region_disp")
+    rows.unpersist()
+    out = session.createDataFrame([(n, float(math.exp(d)), math.exp(gene)) for n, d in zip(names, disp, strict=True)], "i string, disp double, region_disp double")
+    return out.select(F.col("i").cast(kind).alias("individual"), "disp", "region_disp")
 
 
 def fit_region_dispersion(rows: DataFrame, disp: DataFrame) -> DataFrame:
