@@ -417,7 +417,7 @@ def _depth_sums(table: DataFrame, trials: dict, scale: float) -> dict:
         for b in batches:
             codes = b.column("individual").dictionary_encode()
             code = codes.indices.to_numpy()
-            gc, tot, k = (b.column(c).to_numpy() for c in ("gc", "total", "reads"))
+            gc, tot, k, n = (b.column(c).to_numpy() for c in ("gc", "total", "reads", "n"))
             powers = np.stack([gc**i for i in range(5)], axis=1)
             depths = np.stack([(tot / scale) ** i for i in range(1, 5)], axis=1)
             for c, name in enumerate(codes.dictionary.to_pylist()):
@@ -428,9 +428,9 @@ def _depth_sums(table: DataFrame, trials: dict, scale: float) -> dict:
                     raw = np.exp(np.clip(powers[own] @ x[:5], -50, 50)) * reads
                     e = np.maximum(raw, 1e-6)
                     moves = (raw > 1e-6)[:, None] * np.concatenate([powers[own], depths[own] / np.where(reads > 0, reads, 1)[:, None]], axis=1)
-                    curve = (moves * e[:, None]).T @ moves
+                    curve = (moves * (n[own] * e)[:, None]).T @ moves
                     true = (moves[:, 5:] * k[own][:, None]).T @ moves[:, 5:]
-                    sums[t] += np.concatenate([[float((e - k[own] * np.log(e)).sum())], moves.T @ (e - k[own]), curve[upper], true[last]])
+                    sums[t] += np.concatenate([[float((n[own] * e - k[own] * np.log(e)).sum())], moves.T @ (n[own] * e - k[own]), curve[upper], true[last]])
         rows = [(n, t, v.tolist()) for n, s in known.items() for t, v in enumerate(s)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["individual", "trial", "sums"])
 
@@ -470,8 +470,10 @@ def fit_depth_model(rows: DataFrame, min_counts: int = 0, sample: int | None = N
     if sample is not None:
         regions = known.select("region_id").distinct().withColumn("h", F.md5(F.concat_ws("|", F.col("region_id").cast("string"), F.lit(str(seed))))).orderBy("h", "region_id").limit(sample)
         known = known.join(F.broadcast(regions.select("region_id")), "region_id", "left_semi")
-    table = known.select(F.col("individual").cast("string").alias("individual"), *(F.col(c).cast("double").alias(c) for c in ("gc", "total", "reads"))).persist()
-    begin = table.groupBy("individual").agg(F.sum("reads").alias("k"), F.sum("total").alias("t"), F.count("*").alias("n")).collect()  # a row per individual
+    table = known.select(F.col("individual").cast("string").alias("individual"), *(F.col(c).cast("double").alias(c) for c in ("gc", "total", "reads")))
+    # the sums are linear in reads, so an individual's regions of one GC and total are one row
+    table = table.groupBy("individual", "gc", "total").agg(F.sum("reads").alias("reads"), F.count("*").cast("double").alias("n")).persist()
+    begin = table.groupBy("individual").agg(F.sum("reads").alias("k"), F.sum(F.col("total") * F.col("n")).alias("t"), F.sum("n").alias("n")).collect()  # a row per individual
     scale = sum(r.t for r in begin) / max(sum(r.n for r in begin), 1) or 1.0
     best = {r.individual: np.array([0.0] * 5 + [r.k / max(r.t, 1) * scale, 0, 0, 0]) for r in begin}
     damping = {n: [0.1, 0.1] for n in best}
