@@ -325,3 +325,12 @@ def test_sites_without_reads_are_not_fitted():
     at = (np.array([0]), one, 2 * one, 0.2 * one, np.zeros((1, 0)), "combined")
     assert data.sites.tolist() == [1]
     assert abs(data.loglik(*at)[0] - make([5], [3]).loglik(*at)[0] - 2 * np.log(1.01)) < 1e-9
+
+
+def test_haplotype_versions_list_no_more_sites_than_they_use(spark, sf_dir, monkeypatch):
+    from lodestrand.operators import split
+
+    given, own = [], split.sites_of
+    monkeypatch.setattr(split, "sites_of", lambda *a, **k: given.append(k.get("most")) or own(*a, **k))
+    queries.QUERIES["versions_haplotype_unphased"](spark, sf_dir)
+    assert given == [split.MAX_SNPS]
