@@ -7,9 +7,10 @@ References are chosen first, so that only text that may repeat is put into
 automata.  Windows of a text are grouped by the least hash of their k-word
 stretches, which equal windows share; the groups' hashes are dealt out by
 range, and where one is met again, its first place is a reference and all others
-are queries to the shard of that place.  (Places of one hash that a task meets
-itself are settled there, so a range gets a hash once from each task, however
-frequent it is.)  A shard's references, in document order, become a suffix
+are queries to the shard of that place.  (Of places of one hash that a task meets
+itself the first one goes to the range, which so gets a hash once from each task,
+however frequent it is; the others wait for what the range says of that place,
+so that a text is cut by the first places of all, not by those of each task.)  A shard's references, in document order, become a suffix
 automaton that knows the first end of each of its word sequences.  It is
 broadcast: to all tasks while references are few altogether, and else to the
 tasks of its shard, which are as many as its queries ask for.  The queries are
@@ -149,7 +150,7 @@ class Shard:
         return before
 
 
-PLACES = "part long, keys binary, sigs binary, ats binary, windows binary, first_keys binary, first_sigs binary, first_ats binary"
+PLACES = "part long, waits boolean, keys binary, sigs binary, ats binary, windows binary, first_keys binary, first_sigs binary, first_ats binary"
 
 
 def window_groups(w: Words, least: int, anchor: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,14 +199,6 @@ def _firsts(hashes: np.ndarray, key: np.ndarray, sig: np.ndarray, at: np.ndarray
     return order, head, order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
 
 
-def _told(order: np.ndarray, head: np.ndarray, first: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Places of hashes that are met more than once, with their first place, by bucket of document."""
-    alone = head & np.append(head[1:], True)
-    order, first = order[~alone], first[~alone]
-    key, sig, at, windows = columns
-    yield from _cells(-1 - _bucket(key[order], sig[order], buckets), [key[order], sig[order], at[order], windows[order], key[first], sig[first], at[first]])
-
-
 def _bucket(key: np.ndarray, sig: np.ndarray, buckets: int) -> np.ndarray:
     return (_mixed(key.view(np.uint64) * _PRIME[1] + sig.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
@@ -214,20 +207,27 @@ def _places(pieces: DataFrame, least: int, anchor: int, seed: int, ranges: int,
     """Groups of windows whose hash is met more than once, with the first place of that hash."""
     names = [c.split()[0] for c in PLACES.split(", ")]
 
-    def rows(cells: Iterator[tuple[int, list[bytes]]], width: int) -> Iterator[pa.RecordBatch]:
+    def rows(cells: Iterator[tuple[int, list[bytes]]], waits: bool = False) -> Iterator[pa.RecordBatch]:
         got = list(cells)
+        width = len(got[0][1]) if got else 0
         for i in range(0, len(got), 64):
             some = got[i : i + 64]
-            columns = [pa.array([c[1][j] for c in some], pa.binary()) if j < width else pa.nulls(len(some), pa.binary()) for j in range(len(names) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in some], pa.int64()), *columns], names=names)
+            columns = [pa.array([c[1][j] for c in some], pa.binary()) if j < width else pa.nulls(len(some), pa.binary()) for j in range(len(names) - 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in some], pa.int64()), pa.array([waits] * len(some)), *columns], names=names)
+
+    def at_place(key: np.ndarray, sig: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where a place is told its hash's first place."""
+        return -1 - _bucket(key, _mixed(sig.view(np.uint64) + at.view(np.uint64)).view(np.int64), buckets)
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         hashes, key, sig, at, windows = (np.concatenate(x) for x in zip(*held, strict=True))
         order, head, first = _firsts(hashes, key, sig, at)
-        yield from rows(_told(order, head, first, [key, sig, at, windows], buckets), 7)
-        own = order[head]
+        own, others = order[head], (~np.append(head[1:], True)[head]).astype(np.int64)
         part = ((hashes[own] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        yield from rows(_cells(part, [key[own], sig[own], at[own], windows[own], hashes[own]]), 5)
+        yield from rows(_cells(part, [key[own], sig[own], at[own], windows[own], hashes[own], others]))
+        order, first = order[~head], first[~head]
+        to = key[first], sig[first], at[first]
+        yield from rows(_cells(at_place(*to), [key[order], sig[order], at[order], windows[order], *to]), True)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -245,14 +245,35 @@ def _places(pieces: DataFrame, least: int, anchor: int, seed: int, ranges: int,
             yield from flush(held)
 
     def meet(t: pa.Table) -> pa.Table:
+        """Of hashes that are met more than once, here or within a task, the places with their first one."""
         if t.column("part")[0].as_py() < 0:
             return t
-        key, sig, at, windows = (unpacked(t.column(c), "<i8") for c in ("keys", "sigs", "ats", "windows"))
-        order, head, first = _firsts(unpacked(t.column("first_keys"), "<u8"), key, sig, at)
-        got = list(rows(_told(order, head, first, [key, sig, at, windows], buckets), 7))
+        key, sig, at, windows, others = (unpacked(t.column(c), "<i8") for c in ("keys", "sigs", "ats", "windows", "first_sigs"))
+        hashes = unpacked(t.column("first_keys"), "<u8")
+        order, head, first = _firsts(hashes, key, sig, at)
+        alone = head & np.append(head[1:], True) & ~np.isin(hashes[order], hashes[others > 0])
+        order, first = order[~alone], first[~alone]
+        own = key[order], sig[order], at[order]
+        got = list(rows(_cells(at_place(*own), [*own, windows[order], key[first], sig[first], at[first]])))
+        return pa.Table.from_batches(got) if got else t.slice(0, 0)
+
+    def tell(t: pa.Table) -> pa.Table:
+        """Places that wait for another of their hash get the first place that it was told."""
+        waits = t.column("waits")
+        told, waiting = ([unpacked(x.column(c), "<i8") for c in names[2:]] for x in (t.filter(pc.invert(waits)), t.filter(waits)))
+        n = len(told[0])
+        asked = [np.concatenate((told[i], waiting[4 + i])) for i in range(3)]
+        order = np.lexsort((np.arange(len(asked[0])) >= n, asked[2], asked[1], asked[0]))  # what was told goes before those that wait for it
+        last = np.maximum.accumulate(np.where(order < n, np.arange(len(order)), 0))
+        answer = np.empty(len(order), dtype=np.int64)
+        answer[order] = order[last]
+        firsts = [told[4 + i][answer] for i in range(3)]
+        key, sig, at, windows = (np.concatenate((a, b)) for a, b in zip(told[:4], waiting[:4], strict=True))
+        got = list(rows(_cells(-1 - _bucket(key, sig, buckets), [key, sig, at, windows, *firsts])))
         return pa.Table.from_batches(got) if got else t.slice(0, 0)
 
-    return pieces.select("key", "sig", "at", "body").mapInArrow(deal, PLACES).groupBy("part").applyInArrow(meet, PLACES)
+    met = pieces.select("key", "sig", "at", "body").mapInArrow(deal, PLACES).groupBy("part").applyInArrow(meet, PLACES)
+    return met.groupBy("part").applyInArrow(tell, PLACES)
 
 
 def _by_document(places: DataFrame) -> DataFrame:

@@ -92,6 +92,15 @@ def test_hashes_decide_nothing(spark, monkeypatch):
     assert turns[:3] == [0, 1, 2]
 
 
+def test_texts_are_cut_by_the_first_places_of_all_tasks(spark):
+    """However many tasks hold copies, each copy is told of the first one, not of the first of its task."""
+    body = " ".join(f"w{i}" for i in range(120))
+    copies = spark.createDataFrame([(i, 0, 0, body) for i in range(40)], "key long, sig long, at long, body string").repartition(8)
+    told = substrings._places(copies, 20, 8, 0, 4, 4).collect()
+    keys, firsts = ([k for r in told for k in np.frombuffer(r[c], dtype="<i8").tolist()] for c in ("keys", "first_keys"))
+    assert set(firsts) == {0} and set(keys) == set(range(40)) and len(keys) % 40 == 0
+
+
 def test_groups_hold_each_window_once():
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 80))) for _ in range(20)]
