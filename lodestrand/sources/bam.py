@@ -41,6 +41,8 @@ BASES, OPERATIONS, ALONG = "=ACMGRSVTWYHKDBN", "MIDNSHP=X", "MDN=X"
 MAGIC, INDEX_MAGIC, REACH, WINDOW = b"BAM\x01", b"BAI\x01", 1 << 29, 1 << 14
 #: Bytes of a file for each split; inflated bytes that are decoded at once; records in a row that tell where records begin.
 SPLIT_BYTES, BATCH_BYTES, IN_A_ROW = 32 << 20, 4 << 20, 12
+#: Tasks from which on small splits that follow each other share one, up to SPLIT_BYTES.
+TASKS = 256
 _PAIRS = np.array([[ord(BASES[b >> 4]), ord(BASES[b & 15])] for b in range(256)], dtype=np.uint8)
 _PHRED = np.minimum(np.arange(256) + 33, 126).astype(np.uint8)
 
@@ -374,6 +376,7 @@ class Part(InputPartition):
     exact: bool
     region: tuple[int, int, int] | None = None
     in_blocks: bool = True
+    step: int = 0  # bytes of each split, where the part is several that follow each other
 
     def __post_init__(self):
         super().__init__(None)
@@ -437,9 +440,11 @@ class BamReader(DataSourceReader):
         self.pushed: dict[str, int | str] = {}
 
     def partitions(self) -> list[InputPartition]:
-        return [p for path in self.paths for file, size in found_files(path) for p in self._of(file, size)]
+        files = [x for path in self.paths for x in found_files(path)]
+        together = max(1, min(sum(size for _, size in files) // TASKS, SPLIT_BYTES) // self.split_bytes)
+        return [p for file, size in files for p in self._of(file, size, together)]
 
-    def _of(self, path: str, size: int) -> list[Part]:
+    def _of(self, path: str, size: int, together: int = 1) -> list[Part]:
         if not bgzf.is_block_gzip(path):
             return [Part(path, 0, size, True, None, False)]
         pushed = (self.pushed["chrom"], self.pushed.get("low", 1) - 1, self.pushed.get("high", REACH)) if self.pushed.get("chrom") not in (None, "*") else None
@@ -458,8 +463,8 @@ class BamReader(DataSourceReader):
                 found = [index.chunks(*s) for s in spans]
                 chunks = min(found, key=lambda c: sum((e >> 16) - (b >> 16) for b, e in c))
                 return [Part(path, b, e, True, inside) for b, e in self._dealt(chunks)]
-        cuts = [*range(0, size, self.split_bytes), size]
-        return [Part(path, b, e, False, inside) for b, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        cuts = [*range(0, size, self.split_bytes * together), size]
+        return [Part(path, b, e, False, inside, step=self.split_bytes) for b, e in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _dealt(self, chunks: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Chunks that lie close go to one task, up to the size of a split."""
@@ -490,18 +495,27 @@ class BamReader(DataSourceReader):
         with bgzf.open_file(partition.path) as f:
             size = f.size()
             header = read_header(f, size)
-            begin, end = partition.begin, partition.end
-            if not partition.exact:
-                begin, end = first_record(f, size, begin, header), end << 16
-            split, decoder = Split(f, size, begin, end), Decoder(header)
-            for data, at in split:
-                rows = decoder.rows(data, at, partition.region)
-                if rows.num_rows:
-                    yield rows
-            if not partition.exact and begin < end < size << 16:
-                following = first_record(f, size, partition.end, header)
-                if split.next is not None and split.next != following or split.next is None and following & 0xFFFF:
-                    raise ValueError(f"{partition.path}: records go on at {split.next}, not at {following} as bytes from {partition.end} on look; read it with larger splits")
+            decoder = Decoder(header)
+            if partition.exact:
+                yield from self._rows(Split(f, size, partition.begin, partition.end), decoder, partition.region)
+                return
+            begin = first_record(f, size, partition.begin, header)
+            for low in range(partition.begin, partition.end, partition.step or partition.end - partition.begin):
+                end = min(low + (partition.step or partition.end), partition.end)
+                split = Split(f, size, begin, end << 16)
+                yield from self._rows(split, decoder, partition.region)
+                if end == size:
+                    return
+                following = first_record(f, size, end, header)
+                if begin < end << 16 and (split.next is not None and split.next != following or split.next is None and following & 0xFFFF):
+                    raise ValueError(f"{partition.path}: records go on at {split.next}, not at {following} as bytes from {end} on look; read it with larger splits")
+                begin = following
+
+    def _rows(self, split: Split, decoder: Decoder, region: tuple[int, int, int] | None) -> Iterator[pa.RecordBatch]:
+        for data, at in split:
+            rows = decoder.rows(data, at, region)
+            if rows.num_rows:
+                yield rows
 
 
 class FilteredBamReader(BamReader):
@@ -540,6 +554,17 @@ def with_mate_chrom(reads: DataFrame) -> DataFrame:
 # -- writing
 
 
+class _Hex(dict):
+    """The code of each base as a hexadecimal digit; what is no base is N."""
+
+    def __missing__(self, c: int) -> str:
+        return "f"
+
+
+_CODES = _Hex({ord(x): f"{i:x}" for i, c in enumerate(BASES) for x in (c, c.lower())})
+_SCORES = bytes((i - 33) % 256 for i in range(256))
+
+
 class Encoder:
     """Records of BAM from rows, in blocks, with their index."""
 
@@ -548,7 +573,6 @@ class Encoder:
         self.numbers = {n: i for i, (n, _) in enumerate(chroms)}
         self.bins: list[dict[int, list[tuple[int, int]]]] = [{} for _ in chroms]
         self.windows: list[dict[int, int]] = [{} for _ in chroms]
-        self.codes = {c: i for i, c in enumerate(BASES)} | {c.lower(): i for i, c in enumerate(BASES)}
         self.spelled: dict[str, tuple[bytes, int]] = {"*": (b"", 0)}
         text = ("@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{length}\n" for n, length in chroms)).encode()
         names = b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", length) for n, length in chroms)
@@ -587,20 +611,24 @@ class Encoder:
             raise ValueError(f"{name}: not a chromosome of the header")
         return self.numbers[name]
 
+    def scores(self, qual: str) -> bytes:
+        if qual.isascii() and (not qual or min(qual) >= "!"):
+            return qual.encode().translate(_SCORES)
+        return bytes(ord(c) - 33 for c in qual)
+
     def add(self, qname: str, flag: int, chrom: str | None, pos: int | None, mapq: int, cigar: str | None, rnext: str | None, mate_pos: int | None, tlen: int | None, seq: str | None, qual: str | None) -> None:
         ref, begin = self.number(chrom), (pos or 0) - 1
         next_ref = ref if rnext == "=" else self.number(rnext)
         ops, along = self.cigar(cigar or "*")
         bases = "" if seq in (None, "*") else seq
-        codes = [self.codes.get(c, 15) for c in bases] + [0] * (len(bases) % 2)
-        quals = bytes([255]) * len(bases) if qual in (None, "*") else bytes(ord(c) - 33 for c in qual)
+        quals = bytes([255]) * len(bases) if qual in (None, "*") else self.scores(qual)
         if len(quals) != len(bases):
             raise ValueError(f"{qname}: bases and qualities are not equally many")
         end = begin + max(along, 1)
         kind = bin_of(max(begin, 0), max(end, 1))
         name = (qname or "*").encode() + b"\0"
         body = struct.pack("<iiBBHHHiiii", ref, begin, len(name), mapq or 0, kind, len(ops) // 4, flag, len(bases), next_ref, (mate_pos or 0) - 1, tlen or 0) + name + ops
-        body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + quals
+        body += bytes.fromhex(bases.translate(_CODES) + "0" * (len(bases) % 2)) + quals
         data = struct.pack("<i", len(body)) + body
         if self.held and len(self.held) + len(data) > bgzf.FILL:
             self.flush()

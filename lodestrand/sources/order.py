@@ -83,11 +83,10 @@ def report(rows: DataFrame, file: Column | None = None, start: Column | None = N
     """
     parts = _parts(rows.select((file if file is not None else F.lit("")).alias("file"), (start if start is not None else F.spark_partition_id()).cast("long").alias("start"), F.coalesce("chrom", F.lit("*")).alias("chrom"), F.coalesce("pos", F.lit(0)).cast("long").alias("pos")))
     # of a file, a row for each split and chromosome: what ended the split before, and whether the chromosome was there before
-    order = Window.partitionBy("file").orderBy("start")
-    splits = parts.groupBy("file", "start").agg(F.max_by("chrom", F.col("ends").cast("int")).alias("_last"))
-    splits = splits.select("file", "start", F.lag("_last").over(order).alias("_ended"))
+    # (windows alone, so that the rows are read once)
+    ahead = Window.partitionBy("file").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy("file", "chrom").orderBy("start")
-    joined = parts.join(splits, ["file", "start"]).withColumn("_before", F.lag("last_pos").over(own))
+    joined = parts.withColumn("_ended", F.last(F.when(F.col("ends"), F.col("chrom")), ignorenulls=True).over(ahead)).withColumn("_before", F.lag("last_pos").over(own))
     goes_on = (F.col("turn") == 0) & F.col("_ended").eqNullSafe(F.col("chrom"))
     back = F.col("_before").isNotNull() & (~goes_on | (F.col("first_pos") < F.col("_before")))
     same = F.col("repeats") + F.when(F.col("_before").isNotNull() & goes_on & (F.col("first_pos") == F.col("_before")), 1).otherwise(0)

@@ -66,6 +66,38 @@ def test_every_split_gives_its_records(sample):
         assert got == rows and len(parts) == -(-os.path.getsize(path) // size)
 
 
+def test_small_splits_share_tasks(sample, monkeypatch):
+    path, rows = sample
+    monkeypatch.setattr(bam, "TASKS", 3)
+    for size in (30_000, 9_973):
+        got, parts = read(path, size)
+        assert got == rows and 1 < len(parts) <= 5
+
+
+def test_bases_and_scores_are_packed(tmp_path):
+    seqs = ["ACGTN", "acgtn=", "", "*", "AÄ?T", "R" * 7]
+    with pa.OSFile(str(tmp_path / "b.bam"), "wb") as f:
+        e = bam.Encoder(f, CHROMS)
+        for i, x in enumerate(seqs):
+            e.add(f"q{i}", 0, "c1", i + 1, 0, None, None, 0, 0, x, "".join(chr(33 + k) for k in range(len(x))) if x != "*" else None)
+        with pytest.raises(ValueError):
+            e.add("q", 0, "c1", 9, 0, None, None, 0, 0, "A", " ")
+        e.close()
+    assert [r[9] for r in read(str(tmp_path / "b.bam"))[0]] == ["ACGTN", "ACGTN=", "*", "*", "ANNT", "R" * 7]
+
+
+def test_the_order_is_told_in_one_pass(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    rows = spark.range(1000).selectExpr("'f' AS file", "id div 100 AS start", "'c1' AS chrom", "id AS pos").repartition(3, "start").sortWithinPartitions("start", "pos").mapInArrow(seen, "file string, start long, chrom string, pos long")
+    assert [tuple(r)[1:6] for r in order.report(rows, F.col("file"), F.col("start")).collect()] == [("c1", 1000, 0, 999, 0)] and n.value == 1000
+
+
 def test_a_cut_at_every_block_gives_each_record_once(sample):
     path, rows = sample
     size = os.path.getsize(path)
