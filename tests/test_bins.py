@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestrand.operators import overlap, split
+from lodestrand.operators import counts, overlap, split
 
 
 def reads(spark, *rows):
@@ -46,3 +46,19 @@ def test_shared_sites_of_two_cigars(spark):
     got = split.shared_sites(pairs, snps(spark, [("c1", p, "A", "C") for p in (12, 18, 19, 22, 25, 29)])).first()
     assert (got.n_shared, got.discordant) == (4, False)
     assert split.shared_sites(pairs.withColumn("a", F.col("a").withField("seq", F.lit("C" * 20))), snps(spark, [("c1", 25, "A", "C")])).first().discordant
+
+
+def test_reads_are_counted_once_for_a_report(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    schema = "individual long, chrom string, site long, ref string, alt string, ref_n long, alt_n long, other_n long"
+    made = spark.createDataFrame([(i, "c1", 10 + i, "A", "C", i, 1, 0) for i in range(3)], schema).mapInArrow(seen, schema)
+    genotypes = spark.createDataFrame([(7, "c1", 10, 0, 1), (0, "c1", 10, None, 1)], "individual long, chrom string, pos long, hap1 long, hap2 long")
+    got = counts.dense_report(snps(spark, [("c1", 10, "A", "C"), ("c1", 12, "A", "C")]), made, genotypes, by=("individual",)).collect()
+    assert {(r.individual, r.pos): (r.ref_n, r.alt_n, r.genotype) for r in got} == {(i, p): (i if hit else 0, int(hit), "0|1" if (i, p) == (7, 10) else "NA") for i in (0, 1, 2, 7) for p in (10, 12) for hit in [i < 3 and p == 10 + i]}
+    assert len(got) == 8 and n.value == 3
