@@ -21,7 +21,9 @@ A window that shares its hash but is not found at the first place of that hash
 may still repeat one of the other places.  Those that are left and all
 references are grouped once more, each window by a hash of all its words, and
 streamed again, with another hash each time until none is left; so no result
-rests on hashes.
+rests on hashes.  Windows of a kind whose words touch go as one stretch, so rows
+are bounded by the words, not by the windows: in a text with a period of which
+the first place holds a part, every other window would be a row.
 
 Defined results: a null or empty text has no word and loses none; very long
 texts are worked on whole (their references lie in shards by blocks); rows equal
@@ -292,13 +294,18 @@ def _by_document(places: DataFrame) -> DataFrame:
     return places.groupBy("part").applyInArrow(run, "key long, sig long, places binary")
 
 
-PIECES = "shard long, reference boolean, key long, sig long, at long, n long, body string"
+PIECES = "shard long, reference boolean, key long, sig long, at long, n long, asked binary, body string"
 
 
 def _cut(places: DataFrame, pieces: DataFrame, least: int, shards: int) -> DataFrame:
-    """The references of every shard and the queries to it, as words of their documents."""
+    """The references of every shard and the queries to it, as words of their documents.
+
+    Queries whose words touch are one row, whose bits (asked, null for all) say
+    which windows are its own: rows are bounded by the words, even where
+    neighbouring windows ask different shards.
+    """
     names = [c.split()[0] for c in PIECES.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.string()]
+    kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary(), pa.string()]
 
     def stretches(key: int, sig: int, base: int, body: str, places: bytes) -> Iterator[tuple]:
         at, windows, fk, fs, fa = np.frombuffer(places, dtype="<i8").reshape(5, -1)
@@ -312,12 +319,16 @@ def _cut(places: DataFrame, pieces: DataFrame, least: int, shards: int) -> DataF
         order = np.lexsort((at, shard, reference))
         at, reach, shard, reference = at[order], (at + windows)[order], shard[order], reference[order]
         new = np.ones(len(at), dtype=bool)
-        new[1:] = (shard[1:] != shard[:-1]) | (reference[1:] != reference[:-1]) | (at[1:] > reach[:-1])
+        new[1:] = (shard[1:] != shard[:-1]) | (reference[1:] != reference[:-1]) | (at[1:] > reach[:-1] + np.where(reference[1:], 0, least - 1))
         heads = np.flatnonzero(new)
-        ends = reach[np.append(heads[1:], len(at)) - 1] + least - 1
-        for h, end in zip(heads.tolist(), ends.tolist(), strict=True):
-            low = int(at[h])
-            yield int(shard[h]), bool(reference[h]), key, sig, low, end - low, b" ".join(words[low - base : end - base]).decode("utf-8", "surrogatepass")
+        stops = np.append(heads[1:], len(at))
+        for h, stop in zip(heads.tolist(), stops.tolist(), strict=True):
+            low, end = int(at[h]), int(reach[stop - 1]) + least - 1
+            asked = np.zeros(end - low - least + 1, dtype=bool)
+            for a, r in zip((at[h:stop] - low).tolist(), (reach[h:stop] - low).tolist(), strict=True):
+                asked[a:r] = True
+            bits = None if asked.all() else np.packbits(asked).tobytes()
+            yield int(shard[h]), bool(reference[h]), key, sig, low, end - low, bits, b" ".join(words[low - base : end - base]).decode("utf-8", "surrogatepass")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
@@ -343,32 +354,46 @@ def _cut(places: DataFrame, pieces: DataFrame, least: int, shards: int) -> DataF
 FOUND = "removed boolean, key long, sig long, at long, n long, body string"
 
 
-def _answers(shard: Shard, queries: list[tuple[int, int, int, str]], least: int) -> pa.Table:
-    """Stretches of the queries' words that are removed, and stretches of windows that were not found."""
-    bodies, ends, owner, place = [], [], [], []
-    for i, (_, _, _, body) in enumerate(queries):
+def _stretched(owner: np.ndarray, place: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, in order, as stretches of words: owner, first word and number of words; windows whose words touch are one."""
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (place[1:] > place[:-1] + least)
+    heads = np.flatnonzero(new)
+    last = np.append(heads[1:], len(owner)) - 1 if len(heads) else heads
+    return owner[heads], place[heads], place[last] - place[heads] + least
+
+
+def _answers(shard: Shard, queries: list[tuple[int, int, int, str, bytes | None]], least: int) -> pa.Table:
+    """Stretches of the queries' words that are removed, and stretches with windows that were asked for and not found.
+
+    Where found and missed windows alternate, as in a text with a period of which
+    the references have a part, stretches of both kinds overlap: a window that
+    was found is only found again.
+    """
+    bodies, ends, owner, asked = [], [], [], []
+    for _, _, _, body, bits in queries:
         words = body.encode("utf-8", "surrogatepass").split()
         got = shard.automaton.ends(words, least)[least - 1 :]
         bodies.append(words)
         ends += got
         owner.append(len(got))
+        asked.append(np.ones(len(got), dtype=bool) if bits is None else np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(got)).astype(bool))
     count = np.array(owner, dtype=np.int64)
     owner, place = np.repeat(np.arange(len(queries)), count), ragged(np.zeros(len(queries), dtype=np.int64), count)
     key, sig, at = (np.array([q[i] for q in queries], dtype=np.int64) for i in range(3))
     ends = np.array(ends, dtype=np.int64)
     gone = ends >= 0
     gone[gone] = shard.earlier(ends[gone], least, key[owner[gone]], sig[owner[gone]], at[owner[gone]] + place[gone])
-    new = np.ones(len(ends), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (gone[1:] != gone[:-1])
-    heads = np.flatnonzero(new)
-    n = np.diff(np.append(heads, len(ends))) + least - 1
-    who, flags, low = owner[heads], gone[heads], place[heads]
-    left = [None if f else b" ".join(bodies[w][p : p + m]).decode("utf-8", "surrogatepass") for f, w, p, m in zip(flags.tolist(), who.tolist(), low.tolist(), n.tolist(), strict=True)]
-    return pa.table({"removed": pa.array(flags), "key": key[who], "sig": sig[who], "at": at[who] + low, "n": n, "body": pa.array(left, pa.string())})
+    missed = np.concatenate([np.zeros(0, dtype=bool), *asked]) & ~gone
+    (lost, from_, size), (who, low, n) = (_stretched(owner[x], place[x], least) for x in (gone, missed))
+    left = [b" ".join(bodies[w][p : p + m]).decode("utf-8", "surrogatepass") for w, p, m in zip(who.tolist(), low.tolist(), n.tolist(), strict=True)]
+    flags = pa.array(np.arange(len(lost) + len(who)) < len(lost))
+    who, low, n = (np.concatenate(x) for x in ((lost, who), (from_, low), (size, n)))
+    return pa.table({"removed": flags, "key": key[who], "sig": sig[who], "at": at[who] + low, "n": n, "body": pa.array([None] * len(lost) + left, pa.string())})
 
 
-def _rows(t: pa.Table | pa.RecordBatch) -> list[tuple[int, int, int, str]]:
-    return list(zip(*(t.column(c).to_pylist() for c in ("key", "sig", "at", "body")), strict=True))
+def _rows(t: pa.Table | pa.RecordBatch, *more: str) -> list[tuple]:
+    return list(zip(*(t.column(c).to_pylist() for c in ("key", "sig", "at", "body", *more)), strict=True))
 
 
 def _streamed(pieces: DataFrame, least: int) -> DataFrame:
@@ -389,9 +414,9 @@ def _streamed(pieces: DataFrame, least: int) -> DataFrame:
                 for k in np.unique(shards).tolist():
                     if k not in made:
                         made[k] = Shard(sent.value[k])
-                    yield from _answers(made[k], _rows(b.filter(pa.array(shards == k))), least).to_batches()
+                    yield from _answers(made[k], _rows(b.filter(pa.array(shards == k)), "asked"), least).to_batches()
 
-        return pieces.where("NOT reference").select("shard", "key", "sig", "at", "body").mapInArrow(stream, FOUND)
+        return pieces.where("NOT reference").select("shard", "key", "sig", "at", "asked", "body").mapInArrow(stream, FOUND)
 
     counts = pieces.where("NOT reference").groupBy("shard").agg(F.ceil(F.sum("n") / STREAM_WORDS).cast("int").alias("tasks"))
     if counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -399,11 +424,11 @@ def _streamed(pieces: DataFrame, least: int) -> DataFrame:
     dealt = pieces.join(counts, "shard")
     every = F.sequence(F.lit(0), F.col("tasks") - 1)
     one = F.array(F.pmod(F.hash("key", "sig", "at"), F.col("tasks")))
-    dealt = dealt.withColumn("salt", F.explode(F.when(F.col("reference"), every).otherwise(one))).select("shard", "salt", "reference", "key", "sig", "at", "body")
+    dealt = dealt.withColumn("salt", F.explode(F.when(F.col("reference"), every).otherwise(one))).select("shard", "salt", "reference", "key", "sig", "at", "asked", "body")
 
     def work(t: pa.Table) -> pa.Table:
         is_reference = t.column("reference")
-        queries = _rows(t.filter(pc.invert(is_reference)))
+        queries = _rows(t.filter(pc.invert(is_reference)), "asked")
         if not queries:
             return pa.Table.from_pylist([], schema=pa.schema([("removed", pa.bool_()), *((c, pa.int64()) for c in ("key", "sig", "at", "n")), ("body", pa.string())]))
         return _answers(Shard(_rows(t.filter(is_reference))), queries, least)

@@ -150,3 +150,13 @@ def test_odd_rows(spark):
     digests = {r.doc_id: r for r in substrings.described(substrings.dedupe(df.where("doc_id IN (5, 6)"))).collect()}
     assert digests[6].n_removed == 45_000 and digests[6].kept_sha256 == hashlib.sha256(b"start").hexdigest()
     assert substrings.dedupe(df.where("1 = 0")).count() == 0 and substrings.dedupe(df.where("doc_id < 4")).count() == 4
+
+
+def test_a_period_of_which_references_hold_a_part_makes_few_rows(spark):
+    rng = random.Random(7)
+    rows = [(k, " ".join(f"o{k}-{j}" for j in range(30 + k)) + f" a{p} b{p}" * 150) for p in range(8) for k in (2 * p, 2 * p + 1)]
+    rows += [(100 + k, f"b{k % 8} a{k % 8} " * (15 + k) + " ".join(f"x{rng.randrange(9)}" for _ in range(60)) + f" a{k % 8} b{k % 8} c{k % 3}" * 20) for k in range(16)]
+    compared(spark, rows, 20)
+    docs = spark.createDataFrame(rows, "key long, text string").withColumn("sig", F.lit(0).cast("long"))
+    words = sum(len(t.split()) for _, t in rows)
+    assert substrings.removed_stretches(docs).count() < words / 20
