@@ -8,7 +8,7 @@ is DataFrame work; dispersions are found on grids whose likelihoods Spark sums.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -401,36 +401,48 @@ def fit_region_dispersion(rows: DataFrame, disp: DataFrame) -> DataFrame:
 
 #: Trial steps that a pass over the rows looks at, by their damping times the present one; passes at most; gain of a pass that ends the fit.
 DAMPINGS, MOST_PASSES, GAIN = (0.01, 0.1, 1.0, 10.0), 60, 1e-6
+#: Rows of an individual, one of each GC and total, up to which one task passes over all of them; those of larger ones are passed over by all tasks.
+ONE_TASK = 100_000
+_UPPER, _LAST = np.triu_indices(9), np.triu_indices(4)
+
+
+def _depth_loss(powers: np.ndarray, depths: np.ndarray, k: np.ndarray, n: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """At a point: loss, gradient, expected curvature and, where it differs, true curvature of the depth model, summed over rows of n regions and k reads."""
+    reads = depths @ x[5:]
+    raw = np.exp(np.clip(powers @ x[:5], -50, 50)) * reads
+    e = np.maximum(raw, 1e-6)
+    moves = (raw > 1e-6)[:, None] * np.concatenate([powers, depths / np.where(reads > 0, reads, 1)[:, None]], axis=1)
+    curve = (moves * (n * e)[:, None]).T @ moves
+    true = (moves[:, 5:] * k[:, None]).T @ moves[:, 5:]
+    return np.concatenate([[float((n * e - k * np.log(e)).sum())], moves.T @ (n * e - k), curve[_UPPER], true[_LAST]])
+
+
+def _depth_terms(gc: np.ndarray, total: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of GC, 0 to 4, and of the total over scale, 1 to 4."""
+    return np.stack([gc**i for i in range(5)], axis=1), np.stack([(total / scale) ** i for i in range(1, 5)], axis=1)
 
 
 def _depth_sums(table: DataFrame, trials: dict, scale: float) -> dict:
-    """Of each individual and trial: loss, gradient, expected curvature and, where it differs, true curvature of the depth model, summed over all its regions.
+    """_depth_loss() of each individual at its trial points, over all its rows.
 
     Each task adds up its own rows, so what is shuffled is 65 numbers an
     individual, trial and task.  trials: by individual, as many points each.
     """
-    sent = table.sparkSession.sparkContext.broadcast(trials)  # ten numbers an individual and trial
-    upper, last = np.triu_indices(9), np.triu_indices(4)
+    sent = table.sparkSession.sparkContext.broadcast(trials)  # nine numbers an individual and trial
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
-            codes = b.column("individual").dictionary_encode()
+            codes = b.column("individual").dictionary_encode(null_encoding="encode")
             code = codes.indices.to_numpy()
             gc, tot, k, n = (b.column(c).to_numpy() for c in ("gc", "total", "reads", "n"))
-            powers = np.stack([gc**i for i in range(5)], axis=1)
-            depths = np.stack([(tot / scale) ** i for i in range(1, 5)], axis=1)
+            powers, depths = _depth_terms(gc, tot, scale)
             for c, name in enumerate(codes.dictionary.to_pylist()):
-                own = np.flatnonzero(code == c)
-                sums = known.setdefault(name, np.zeros((len(sent.value[name]), 65)))
-                for t, x in enumerate(sent.value[name]):
-                    reads = depths[own] @ x[5:]
-                    raw = np.exp(np.clip(powers[own] @ x[:5], -50, 50)) * reads
-                    e = np.maximum(raw, 1e-6)
-                    moves = (raw > 1e-6)[:, None] * np.concatenate([powers[own], depths[own] / np.where(reads > 0, reads, 1)[:, None]], axis=1)
-                    curve = (moves * (n[own] * e)[:, None]).T @ moves
-                    true = (moves[:, 5:] * k[own][:, None]).T @ moves[:, 5:]
-                    sums[t] += np.concatenate([[float((n[own] * e - k[own] * np.log(e)).sum())], moves.T @ (n[own] * e - k[own]), curve[upper], true[last]])
+                if points := sent.value.get(name):
+                    own = np.flatnonzero(code == c)
+                    sums = known.setdefault(name, np.zeros((len(points), 65)))
+                    for t, x in enumerate(points):
+                        sums[t] += _depth_loss(powers[own], depths[own], k[own], n[own], x)
         rows = [(n, t, v.tolist()) for n, s in known.items() for t, v in enumerate(s)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["individual", "trial", "sums"])
 
@@ -445,73 +457,119 @@ def _depth_sums(table: DataFrame, trials: dict, scale: float) -> dict:
 def _depth_step(sums: np.ndarray, x: np.ndarray, damping: float, true: bool) -> np.ndarray:
     """The point that a damped step leads to from x, by the expected or the true curvature."""
     h = np.zeros((9, 9))
-    h[np.triu_indices(9)] = sums[10:55]
+    h[_UPPER] = sums[10:55]
     if true:
-        h[5:, 5:][np.triu_indices(4)] = sums[55:]
+        h[5:, 5:][_LAST] = sums[55:]
     h = h + np.triu(h, 1).T
     h[np.diag_indices(9)] += damping * np.maximum(np.diag(h), 1e-9)
     return x - np.linalg.lstsq(h, sums[1:10], rcond=None)[0]
 
 
+def _depth_start(k: float, t: float, scale: float) -> np.ndarray:
+    """Where the fit of k reads begins, in regions whose totals come to t: a straight line."""
+    return np.array([0.0] * 5 + [k / max(t, 1) * scale, 0, 0, 0])
+
+
+def _depth_fit(x: np.ndarray, most: int) -> Generator[list[np.ndarray], list[np.ndarray], tuple[np.ndarray, bool]]:
+    """The fit of an individual from x on: yields the points of a pass, is sent _depth_loss() at each, and returns the best one and whether it came to rest in most passes."""
+    (now,) = yield [x]
+    damping, wide = [0.1, 0.1], len(DAMPINGS)
+    for _ in range(most):
+        trials = [_depth_step(now, x, own * d, bool(true)) for true, own in enumerate(damping) for d in DAMPINGS]
+        found = yield trials
+        losses = np.array([s[0] for s in found])
+        losses[~np.isfinite(losses)] = math.inf
+        k = int(losses.argmin())
+        gain = now[0] - losses[k]
+        if gain > 0:
+            damping = [min(max(own * DAMPINGS[losses[true * wide : (true + 1) * wide].argmin()], 1e-12), 1e6) for true, own in enumerate(damping)]
+            x, now = trials[k], found[k]
+            if gain <= GAIN * abs(now[0]):
+                return x, True
+        else:
+            damping = [100 * d for d in damping]
+            if min(damping) > 1e12:
+                return x, True
+    return x, False
+
+
+def _passed(fits: dict, sums: Callable[[dict], dict]) -> dict:
+    """What fits, _depth_fit() by individual, return; sums gives what they ask for, by individual and number of the point."""
+    asked, done = {n: next(f) for n, f in fits.items()}, {}
+    while asked:
+        found = sums(asked)
+        for n, points in list(asked.items()):
+            try:
+                asked[n] = fits[n].send([found[n, t] for t in range(len(points))])
+            except StopIteration as end:
+                done[n] = end.value
+                del asked[n]
+    return done
+
+
+def _fitted_alone(table: DataFrame, scale: float) -> list[tuple[str, np.ndarray, bool]]:
+    """The fits of individuals each of whose rows one task holds: all passes in that task, over the rows in order, so that sums are the same for any partitioning."""
+    most, parts = MOST_PASSES, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def fit(own: pa.Table) -> pa.Table:
+        own = own.sort_by([("gc", "ascending"), ("total", "ascending")])
+        gc, total, k, n = (own.column(c).to_numpy() for c in ("gc", "total", "reads", "n"))
+        powers, depths = _depth_terms(gc, total, scale)
+        x, rests = _passed({0: _depth_fit(_depth_start(k.sum(), (total * n).sum(), scale), most)}, lambda asked: {(0, t): _depth_loss(powers, depths, k, n, x) for t, x in enumerate(asked[0])})[0]
+        return pa.table({"individual": own.column("individual")[:1], "x": pa.array([x.tolist()]), "converged": [rests]})
+
+    # fits are long and rows short, so the partitions stay as many as they are set to be
+    rows = table.repartition(parts, "individual").groupBy("individual").applyInArrow(fit, "individual string, x array<double>, converged boolean").collect()  # ten values an individual
+    return [(r.individual, np.array(r.x), r.converged) for r in rows]
+
+
+def with_totals(rows: DataFrame) -> DataFrame:
+    """rows (region_id, reads) with region_total, the reads of all individuals in the region, unless they have it."""
+    return rows if "region_total" in rows.columns else rows.withColumn("region_total", F.sum("reads").over(Window.partitionBy("region_id")))
+
+
 def fit_depth_model(rows: DataFrame, min_counts: int = 0, sample: int | None = None, seed: int = 0) -> DataFrame:
     """individual, coefs (ten) of expected depth, exp(quartic of GC) times a polynomial of the region's total, and converged.
 
-    rows: region_id, individual, gc, reads.  Fitted by Poisson likelihood on all
-    regions (or on at most sample of them, those of least hash), for all
-    individuals together: each pass over the rows sums loss, gradient and
+    rows: region_id, individual, gc, reads, and region_total where it is known
+    (with_totals()).  Fitted by Poisson likelihood on all regions (or on at most sample of them,
+    those of least hash): each pass over the rows sums loss, gradient and
     curvatures at some points of each individual, and damped steps, by the
-    expected and by the true curvature, lead on from the best, until no
-    individual gains a millionth of its loss.  An individual that still gains
-    after MOST_PASSES, as where too few reads leave some coefficients without a
-    finite best value, has the best point so far and is not converged.
+    expected and by the true curvature, lead on from the best, until the
+    individual gains no more than a millionth of its loss.  An individual of up
+    to ONE_TASK different GC and totals is passed over in one task, which holds
+    them; the passes of all larger ones are made together, by Spark.  One that
+    still gains after MOST_PASSES, as where too few reads leave some
+    coefficients without a finite best value, has the best point so far and is
+    not converged.
     """
-    total = F.sum("reads").over(Window.partitionBy("region_id"))
-    known = rows.withColumn("total", total).where(F.col("gc").isNotNull() & F.col("reads").isNotNull() & (F.col("total") >= max(min_counts, 1)))
+    known = with_totals(rows).withColumn("total", F.col("region_total")).where(F.col("gc").isNotNull() & F.col("reads").isNotNull() & (F.col("total") >= max(min_counts, 1)))
     if sample is not None:
         regions = known.select("region_id").distinct().withColumn("h", F.md5(F.concat_ws("|", F.col("region_id").cast("string"), F.lit(str(seed))))).orderBy("h", "region_id").limit(sample)
         known = known.join(F.broadcast(regions.select("region_id")), "region_id", "left_semi")
     table = known.select(F.col("individual").cast("string").alias("individual"), *(F.col(c).cast("double").alias(c) for c in ("gc", "total", "reads")))
     # the sums are linear in reads, so an individual's regions of one GC and total are one row
     table = table.groupBy("individual", "gc", "total").agg(F.sum("reads").alias("reads"), F.count("*").cast("double").alias("n")).persist()
-    begin = table.groupBy("individual").agg(F.sum("reads").alias("k"), F.sum(F.col("total") * F.col("n")).alias("t"), F.sum("n").alias("n")).collect()  # a row per individual
+    begin = table.groupBy("individual").agg(F.sum("reads").alias("k"), F.sum(F.col("total") * F.col("n")).alias("t"), F.sum("n").alias("n"), F.count("*").alias("rows")).collect()  # a row per individual
     scale = sum(r.t for r in begin) / max(sum(r.n for r in begin), 1) or 1.0
-    best = {r.individual: np.array([0.0] * 5 + [r.k / max(r.t, 1) * scale, 0, 0, 0]) for r in begin}
-    damping = {n: [0.1, 0.1] for n in best}
-    now = {n: v for (n, _), v in (_depth_sums(table, {n: [x] for n, x in best.items()}, scale) if best else {}).items()}
-    active, wide = set(best), len(DAMPINGS)
-    for _ in range(MOST_PASSES):
-        if not active:
-            break
-        trials = {n: [_depth_step(now[n], best[n], own * d, true) for true, own in enumerate(damping[n]) for d in DAMPINGS] if n in active else [] for n in best}
-        found = _depth_sums(table, trials, scale)
-        for n in list(active):
-            losses = np.array([found[n, t][0] for t in range(2 * wide)])
-            losses[~np.isfinite(losses)] = math.inf
-            k = int(losses.argmin())
-            gain = now[n][0] - losses[k]
-            if gain > 0:
-                for true in range(2):
-                    damping[n][true] = min(max(damping[n][true] * DAMPINGS[losses[true * wide : (true + 1) * wide].argmin()], 1e-12), 1e6)
-                best[n], now[n] = trials[n][k], found[n, k]
-                if gain <= GAIN * abs(now[n][0]):
-                    active.discard(n)
-            else:
-                damping[n] = [100 * d for d in damping[n]]
-                if min(damping[n]) > 1e12:
-                    active.discard(n)
+    large = {r.individual: _depth_fit(_depth_start(r.k, r.t, scale), MOST_PASSES) for r in begin if r.rows > ONE_TASK}
+    is_large = F.when(F.col("individual").isNull(), F.lit(None in large)).otherwise(F.col("individual").isin([n for n in large if n is not None]))
+    out = _fitted_alone(table.where(~is_large), scale) if len(large) < len(begin) else []
+    if large:
+        wide = table.where(is_large)
+        out += [(n, x, rests) for n, (x, rests) in _passed(large, lambda asked: _depth_sums(wide, asked, scale)).items()]
     table.unpersist()
-    out = [(n, [*map(float, x[:5]), 0.0, *(float(v / scale**i) for i, v in enumerate(x[5:], 1))], n not in active) for n, x in best.items()]
+    out = [(n, [*map(float, x[:5]), 0.0, *(float(v / scale**i) for i, v in enumerate(x[5:], 1))], rests) for n, x, rests in out]
     kind = rows.schema["individual"].dataType.simpleString()
     return rows.sparkSession.createDataFrame(out, "individual string, coefs array<double>, converged boolean").select(F.col("individual").cast(kind), "coefs", "converged")
 
 
 def apply_depth_model(rows: DataFrame, coefs: DataFrame) -> DataFrame:
-    """rows (region_id, individual, gc, reads) with expected depth, at least 1e-6."""
+    """rows (region_id, individual, gc, reads, and region_total where it is known) with expected depth, at least 1e-6."""
     from ..functions.likelihood import expected_depth
 
-    total = F.sum("reads").over(Window.partitionBy("region_id")).cast("double")
     c = [F.get(F.col("coefs"), F.lit(i)) for i in range(10)]
-    return rows.withColumn("total", total).join(F.broadcast(coefs.select("individual", "coefs")), "individual", "left").withColumn("expected", F.greatest(expected_depth(F.col("gc"), F.col("total"), c), F.lit(1e-6))).drop("coefs")
+    return with_totals(rows).withColumn("total", F.col("region_total").cast("double")).join(F.broadcast(coefs.select("individual", "coefs")), "individual", "left").withColumn("expected", F.greatest(expected_depth(F.col("gc"), F.col("total"), c), F.lit(1e-6))).drop("coefs", *{"region_total"}.difference(rows.columns))
 
 
 #: Rows of a stretch of ranks that one task numbers, while stretches are not more than MOST_STRETCHES; beyond, they grow with the table.

@@ -291,6 +291,48 @@ def test_depth_models_that_do_not_come_to_rest_say_so(spark, monkeypatch):
     assert not association.fit_depth_model(df).first().converged
 
 
+def test_depth_models_of_small_individuals_take_one_job(spark, monkeypatch):
+    g, passes, sums = np.random.default_rng(5), [], association._depth_sums
+    rows = [(i, name, float(round(x, 2)), int(k)) for name, n in (("a", 600), ("b", 60), (None, 60)) for i, (x, k) in enumerate(zip(g.uniform(0.3, 0.7, n), g.poisson(30, n), strict=True))]
+    df = spark.createDataFrame(rows, "region_id long, individual string, gc double, reads long")
+    monkeypatch.setattr(association, "_depth_sums", lambda table, asked, scale: passes.append(set(asked)) or sums(table, asked, scale))
+    found = []
+    for most, large in ((100_000, set()), (100, {"a"}), (0, {"a", "b", None})):  # rows of one GC and total that a task holds
+        monkeypatch.setattr(association, "ONE_TASK", most, raising=False)
+        passes.clear()
+        found.append({r.individual: r for r in association.fit_depth_model(df).collect()})
+        assert set().union(*passes) == large
+    monkeypatch.setattr(association, "ONE_TASK", 100_000)
+    turned = spark.createDataFrame(rows[::-1], df.schema).repartition(3)
+    assert all(r.coefs == found[0][r.individual].coefs for r in association.fit_depth_model(turned).collect())  # to the last bit
+    powers = np.array([[0.5**i for i in range(5)]])
+    for name in ("a", "b", None):
+        at = [float(np.exp(powers @ f[name].coefs[:5])[0] * sum(c * 60.0**i for i, c in enumerate(f[name].coefs[5:]))) for f in found]
+        assert all(f[name].converged for f in found) and np.allclose(at, at[0], rtol=1e-4)
+
+
+def test_depth_splines_count_reads_once(spark, sf_dir, monkeypatch):
+    given = []
+    monkeypatch.setattr(association, "fit_depth_model", lambda rows: given.append(rows) or rows.select("individual"))
+    monkeypatch.setattr(association, "apply_depth_model", lambda rows, coefs: given.append(rows) or rows.withColumn("expected", F.lit(1.0)))
+    queries.QUERIES["depth_splines"](spark, sf_dir)
+    assert len(given) == 2 and not [f for rows in given for f in rows.inputFiles() if "orders.parquet" in f]
+    own, want = (d.select("region_id", "individual", F.col(c).alias("n")) for d, c in ((given[0], "reads"), (queries.input_rows(spark, sf_dir), "region_reads")))
+    assert own.count() == want.count() > 0 and own.exceptAll(want).count() == 0
+    assert given[0].groupBy("region_id").agg(F.sum("reads").alias("n"), F.min("region_total").alias("a"), F.max("region_total").alias("z")).where("n <> a OR n <> z").count() == 0
+
+
+def test_region_depth_is_that_of_the_rows(spark):
+    regions = spark.createDataFrame([("r", "c", 1000, [900, 950], [960, 1100]), ("s", "c", 5000, [4900], [5100])], "region_id string, chrom string, test_pos long, starts array<long>, stops array<long>")
+    genotypes = spark.createDataFrame([("c", 1000, "a", 0, 1), ("c", 1000, "b", None, None), ("c", 955, "d", 0, 1), ("c", 5000, "a", 1, 1)], "chrom string, pos long, individual string, hap1 int, hap2 int")
+    depth = spark.createDataFrame([("c", 955, "a", 2), ("c", 1001, "b", 4), ("c", 955, "d", 9), ("c", 5001, "b", 9)], "chrom string, pos long, individual string, n long")
+    n = spark.createDataFrame([], "chrom string, site long, individual string, ref_n long, alt_n long, other_n long")
+    own = sorted(map(tuple, haplotypes.region_depth(regions, genotypes, depth).collect()))
+    genome = depth.groupBy("individual").agg(F.sum("n").alias("genome_n"))
+    assert own == [("r", "a", 4), ("r", "b", 4), ("s", "a", 0)]  # an unknown allele is a genotype; no genotype at the test site is no row
+    assert own == sorted(map(tuple, haplotypes.input_rows(regions, genotypes, n, depth, genome).select("region_id", "individual", "region_reads").collect()))
+
+
 def test_leading_components_equal_exact_ones(spark):
     g = np.random.default_rng(7)
     n, m = 40, 300
